@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, language
 
 
 def queries() -> dict:
     return {
         "op5_decontamination": decontamination.op5,
+        "op7_language_id": language.op7,
     }
 
 
