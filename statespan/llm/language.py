@@ -58,9 +58,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * sample_docs / n + 0.001))])
-    digest = F.xxhash64("text")
-    near = rows.select("lang", F.substring("text", 1, sample_chars).alias("text"), digest.alias("h")).where(
+    near = rows.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h")).where(
         F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of a text count once
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample_docs)
     parts: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "k").collect():
