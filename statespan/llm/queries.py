@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language
+from . import decontamination, jaccard_join, language, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1,
         "op3_ngram_jaccard_join": jaccard_join.op3,
         "op5_decontamination": decontamination.op5,
         "op7_language_id": language.op7,
     }
 
 
+_OP1 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS k FROM d, unnest(generate_series(0, length(h) // 2 - 100)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+p AS (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM s),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM s GROUP BY doc_id),
+k AS (SELECT p.doc_id, string_agg(substr(h, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (a - prev) AS BIGINT)), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
 _OP3 = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -53,6 +68,7 @@ FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": _OP1,
         "op3_ngram_jaccard_join": _OP3,
         "op5_decontamination": _OP5,
     }
