@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language, suffix_dedup
+from . import chat, chunk_dedup, decontamination, jaccard_join, language, quality, segmentation, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1,
+        "op2_chat_formatting": chat.op2,
         "op3_ngram_jaccard_join": jaccard_join.op3,
+        "op4_warc": warc.op4,
         "op5_decontamination": decontamination.op5,
         "op7_language_id": language.op7,
+        "op8_sentencepiece": segmentation.op8,
+        "op9_quality_rules": quality.op9,
+        "op10_chunk_dedup": chunk_dedup.op10,
     }
 
 
@@ -28,6 +33,27 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(remove
        sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+_OP2 = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c(control) AS (VALUES ('<<SYS>>'), ('<</SYS>>'), ('<s>'), ('</s>'), ('[INST]'), ('[/INST]'), ('[ANSWER]'), ('[ROLE]'), ('[/ROLE]'), ('[/TURN]')),
+m(role, extra) AS (VALUES ('system', length('<<SYS>> ' || ' <</SYS>>')), ('user', length('<s>[INST] ' || ' [/INST]')), ('assistant', length('[ANSWER] ' || ' </s>'))),
+x AS (SELECT t.*, length(text) + length(text) - length(replace(text, chr(9243), ''))
+             + 2 * (SELECT sum((length(t.text) - length(replace(t.text, control, ''))) // length(control)) FROM c) + extra AS size FROM t JOIN m USING (role))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+_OP4 = r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+m AS (SELECT digest, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN m ON p.digest = m.digest AND n >= 1000
+"""
 _OP3 = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -69,6 +95,8 @@ FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": _OP1,
+        "op2_chat_formatting": _OP2,
         "op3_ngram_jaccard_join": _OP3,
+        "op4_warc": _OP4,
         "op5_decontamination": _OP5,
     }
