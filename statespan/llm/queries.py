@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunk_dedup, decontamination, jaccard_join, language, quality, segmentation, suffix_dedup, warc
+from . import chat, chunk_dedup, decontamination, html_text, jaccard_join, language, quality, segmentation, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_jaccard_join": jaccard_join.op3,
         "op4_warc": warc.op4,
         "op5_decontamination": decontamination.op5,
+        "op6_html_extraction": html_text.op6,
         "op7_language_id": language.op7,
         "op8_sentencepiece": segmentation.op8,
         "op9_quality_rules": quality.op9,
