@@ -173,22 +173,20 @@ def components(links: DataFrame) -> DataFrame:
     smallest node that can be reached.
 
     Alternates large-star and small-star steps, each a grouped minimum and an
-    equi-join, until the links form stars; every step is written to the shared folder.
+    equi-join, until a round changes nothing, when the links form stars; each round is
+    written to the shared folder.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = None
+    sign = None
     while True:
-        sign = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == seen:
-            break
-        seen = sign
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = saved(large.where("a <> b").distinct(), "large")
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = saved(small.where("a <> b").distinct(), "small")
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = saved(small.where("a <> b").distinct(), "stars")
+        seen, sign = sign, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == sign:
+            break
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component_id", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionByName(roots)

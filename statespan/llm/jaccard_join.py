@@ -16,8 +16,8 @@ needs no verification, so each document is first checked against one partner;
 only pairs between different components are checked after that.
 
 Columns of many documents (``hot``) come last in the order; what remains of
-them in a product is dealt as plain rows and linked through centres, a few rounds
-over, until few pairs of different components are left to check.
+them in a product is dealt as plain rows and linked through one centre, and only
+pairs of different components that can still reach their bound are paired.
 
 Defined cases: words are runs of anything but white space, A-Z lower-cased;
 fewer than five words are one shingle; a null, empty or blank text has no
@@ -41,12 +41,8 @@ PERCENT = 80
 HOT_FROM = 16
 #: Bound of the broadcast of hot columns (8 bytes each).
 MAX_HOT = 1_000_000
-#: Rounds of one centre for each hot column go on while there are more than FEW_PAIRS pairs
-#: of different components for each row, MAX_TURNS at most; what is left is checked pair by pair.
-FEW_PAIRS = 2
-MAX_TURNS = 6
 _FLUSH = 1 << 21
-_POSTING = np.dtype([("h", "<u8"), ("d", "<i8"), ("n", "<i4"), ("k", "<i4")])
+_POSTING = np.dtype([("h", "<u8"), ("d", "<i8"), ("n", "<i4"), ("k", "<i4"), ("p", "<i4")])
 
 
 def shingle_sets(column, k: int = WORDS):
@@ -163,7 +159,8 @@ def _postings(k: int, percent: int, n_blocks: int, shared):
                 late = grams[is_hot][: need - len(cold)]
                 rows = np.empty(len(cold) + len(late), _POSTING)
                 rows["h"][: len(cold)], rows["h"][len(cold):] = cold, late
-                rows["d"], rows["n"], rows["k"] = ids[r], n, len(late)
+                rows["d"], rows["n"], rows["k"], rows["p"] = ids[r], n, len(late), 0
+                rows["p"][len(cold):] = np.arange(len(late))
                 if len(late):
                     hot_rows = rows[len(cold):]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(1, -1, np.int32)), pa.array([hot_rows.tobytes()], pa.binary())], names=["block", "packed"])
@@ -181,7 +178,7 @@ def _postings(k: int, percent: int, n_blocks: int, shared):
 def _unpack(batches):
     for batch in batches:
         rows = np.frombuffer(b"".join(batch.column("packed").to_pylist()), _POSTING)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) for c in "hdnk"], names=list("hdnk"))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) for c in "hdnkp"], names=list("hdnkp"))
 
 
 def _product(percent: int):
@@ -260,7 +257,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     rest = f"({percent} * greatest(na, nb) + 99) div 100 - 1"
     cold = overlap.groupBy("a", "b", "na", "nb", "k").agg(F.sum("shared").alias("shared")).where(f"shared + k >= {need} - ({rest})")
     cold = saved(cold.select("a", "b", "shared"), "cold")
-    warm = saved(packed.where("block < 0").mapInArrow(_unpack, "h bigint, d bigint, n bigint, k bigint"), "warm")
+    warm = saved(packed.where("block < 0").mapInArrow(_unpack, "h bigint, d bigint, n bigint, k bigint, p bigint"), "warm")
 
     equal = summary.where("n > 0 and doc_id is not null")
     first = equal.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
@@ -276,33 +273,29 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     found = saved(components(links), "classes")
 
     own = lambda df, c: df.join(found.select(F.col("node").alias(c), F.col("component_id").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    # then, while hot columns hold many pairs of different components, a centre for each column
-    # out of its largest component; each column and round has another one
-    before = None
-    for turn in range(MAX_TURNS):
+    # then another centre for each hot column that still holds several components, out of its largest
+    labelled = saved(own(warm, "d"), "labelled")
+    parts = labelled.groupBy("h", "cd").agg(F.count("*").alias("m"), F.max_by("d", F.struct(F.col("k") + F.pmod(F.xxhash64("d", "h"), F.lit(8)), "d")).alias("e"))
+    columns = parts.groupBy("h").agg(F.max_by(F.struct(F.col("cd").alias("ce"), "e"), F.struct("m", "cd")).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1").select("h", "top.*")
+    tries = labelled.join(columns, "h").where("cd <> ce").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+    again = lambda more: saved(components(found.where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(_verified(more, texts, k, percent))), "classes")
+    tries = saved(tries, "tries")
+    if not tries.isEmpty():
+        found = again(tries)
         labelled = saved(own(warm, "d"), "labelled")
-        parts = labelled.groupBy("h", "cd").agg(F.count("*").alias("m"), F.max_by("d", F.struct(F.col("k") + F.pmod(F.xxhash64("d", "h", F.lit(turn)), F.lit(8)), "d")).alias("e"))
-        columns = parts.groupBy("h").agg(F.max_by(F.struct(F.col("cd").alias("ce"), "e"), F.struct("m", "cd")).alias("top"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("apart")).where("apart > 0")
-        columns = saved(columns.select("h", "top.ce", "top.e", "apart"), "columns")
-        apart = columns.agg(F.sum("apart")).first()[0] or 0
-        if apart <= FEW_PAIRS * labelled.count() or (before is not None and apart > 0.97 * before):
-            break
-        before = apart
-        tries = labelled.join(columns, "h").where("cd <> ce").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
-        links = saved(links.unionByName(_verified(saved(tries, "tries"), texts, k, percent)), "links")
-        found = saved(components(links), "classes")
 
-    # at last every pair between different components that shares a leading column
+    # at last every pair between different components that shares a leading column and can reach
+    # its bound: if this is the first column that they share, what both have from there on must
+    # do; pairs that share a cold column are in ``cold``
     apart = own(own(cold.select("a", "b"), "a"), "b").where("ca <> cb").select("a", "b")
-    left = labelled.join(columns.select("h"), "h", "left_semi")
+    mixed = labelled.groupBy("h").agg(F.min("cd").alias("lo"), F.max("cd").alias("hi")).where("lo < hi").select("h")
+    left = labelled.join(mixed, "h", "left_semi").withColumn("k", F.col("k") - F.col("p")).drop("p")
     right = left.select("h", F.col("d").alias("e"), F.col("n").alias("ne"), F.col("k").alias("ke"), F.col("cd").alias("ce"))
-    # a pair that shares no cold column shares at most its hot leading ones; others are in ``cold``
     fits = f"least(k, ke) >= ({percent} * (n + ne) + {99 + percent}) div {100 + percent} - (({percent} * greatest(n, ne) + 99) div 100 - 1)"
     across = left.join(right, "h").where(f"cd < ce and 100 * least(n, ne) >= {percent} * greatest(n, ne) and {fits}").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b"))
     more = saved(apart.unionByName(across).distinct(), "more")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, k, percent))
-        found = saved(components(links), "classes")
+        found = again(more)
     out = summary.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
