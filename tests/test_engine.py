@@ -225,3 +225,16 @@ def test_store(spark, tmp_path):
     steps.commit(0, rows.limit(3))
     rows.limit(5).write.parquet(f"file://{tmp_path}/steps/step=1")  # never committed
     assert steps.committed() == [0] and steps.counts().collect()[0].cumulative == 3
+
+
+def test_streamed_successors(spark, tmp_path):
+    from statespan.streaming.arrivals import distinct_successors
+
+    board = position.positions(spark.createDataFrame([(position.START_FEN,)], "fen string")).select("board", "wtm", "castling")
+    rows = board.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows.unionByName(rows).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = distinct_successors(stream, "ts").writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("arrivals").count() == 9
