@@ -44,7 +44,8 @@ def pseudo_moves(df: DataFrame) -> DataFrame:
 
 def successors(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Legal moves: the ``keep`` columns of ``df`` (all others than the position's, if not
-    given), uci, move_ord, piece, captured, promo and the position after it."""
+    given), uci, move_ord, piece, captured, promo (a kept column of such a name stays as it
+    is instead) and the position after it."""
     keep = [c for c in df.columns if c not in ("board", "wtm", "castling")] if keep is None else keep
     moved = F.when(F.col("promo") != "", F.col("promo")).otherwise(F.col("piece"))
     board = F.overlay(F.overlay("board", F.lit("."), F.col("from_sq") + 1, F.lit(1)), moved, F.col("to_sq") + 1, F.lit(1))
@@ -54,8 +55,9 @@ def successors(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = pseudo_moves(df).withColumns({"_board": board, "_castling": F.col("castling").bitwiseAND(F.bitwise_not(lost)).cast("int")})
     rows = rows.withColumns({"_occ": occupied(F.col("_board")), "_king": king_square(F.col("_board"), F.col("wtm"))})
     rows = rows.where(F.col("_king").isNotNull() & ~attacked(F.col("_board"), F.col("_occ"), F.col("_king"), ~F.col("wtm")))
-    return rows.select(*keep, uci(F.col("from_sq"), F.col("to_sq"), F.col("promo")).alias("uci"), "move_ord", "piece", "captured", "promo",
-                       F.col("_board").alias("board"), (~F.col("wtm")).alias("wtm"), F.col("_castling").alias("castling"))
+    made = {"uci": uci(F.col("from_sq"), F.col("to_sq"), F.col("promo")), **{c: F.col(c) for c in ("move_ord", "piece", "captured", "promo")},
+            "board": F.col("_board"), "wtm": ~F.col("wtm"), "castling": F.col("_castling")}
+    return rows.select(*keep, *[c.alias(k) for k, c in made.items() if k not in keep])
 
 
 def play(df: DataFrame, moves: list[str]) -> DataFrame:
