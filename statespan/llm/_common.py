@@ -44,7 +44,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``saved`` table that nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df._saved_path
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def n_parts(spark: SparkSession) -> int:
@@ -184,7 +193,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = saved(small.where("a <> b").distinct(), "stars")
+        old, edges = edges, saved(small.where("a <> b").distinct(), "stars")
+        discard(old)
         seen, sign = sign, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == sign:
             break

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_SPACE, SpanHash, components, n_parts, runs_hash, saved, table, text_slices, words
+from ._common import LOWER, NOT_SPACE, SpanHash, components, discard, n_parts, runs_hash, saved, table, text_slices, words
 
 WORDS = 5
 PERCENT = 80
@@ -230,7 +230,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("c"))
-    return common.where(f"100 * c >= {percent} * (na + nb - c)").select("a", "b").distinct()
+    links = saved(common.where(f"100 * c >= {percent} * (na + nb - c)").select("a", "b").distinct(), "verified")
+    discard(sets)
+    return links
 
 
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -258,6 +260,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     cold = overlap.groupBy("a", "b", "na", "nb", "k").agg(F.sum("shared").alias("shared")).where(f"shared + k >= {need} - ({rest})")
     cold = saved(cold.select("a", "b", "shared"), "cold")
     warm = saved(packed.where("block < 0").mapInArrow(_unpack, "h bigint, d bigint, n bigint, k bigint, p bigint"), "warm")
+    discard(packed)
 
     equal = summary.where("n > 0 and doc_id is not null")
     first = equal.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
