@@ -56,6 +56,17 @@ def discard(df: DataFrame) -> None:
     folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def others(docs: DataFrame):
+    """All columns but the text as one column ``row``, to go through a kernel beside it."""
+    return F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("row")
+
+
+def restored(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` out of row and text, some of them changed."""
+    changed = {"text": F.col("text"), **changed}
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, LOWER, SpanHash, merged, runs_hash, table, text_slices, words
+from ._common import ALNUM, LOWER, SpanHash, merged, others, restored, runs_hash, table, text_slices, words
 
 MAX_BLOCK_BYTES = 32 << 20
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -127,8 +127,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The documents in which no benchmark window occurs, columns as they came."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return _overlaps(rows, benchmark, window, max_block_bytes).where(F.size("items") == 0).select("row.*")
+    rows = docs.select(others(docs), "text")
+    return restored(_overlaps(rows, benchmark, window, max_block_bytes).where(F.size("items") == 0), docs)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import table
+from ._common import others, restored, table
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1000
@@ -85,7 +85,7 @@ class _Sizes:
         return [sum(len(t.compress(p)) for p in pieces) for t in self.tools]
 
 
-def _predict(shared, level: int, piece: int):
+def _predict(shared, level: int, piece: int, with_text: bool):
     def run(batches):
         dictionaries = shared.value
         names, sizes = list(dictionaries), _Sizes(dictionaries, level, piece)
@@ -104,16 +104,17 @@ def _predict(shared, level: int, piece: int):
                 langs.append(names[best])
                 scores.append(float(1 / np.exp2(np.maximum(got[best] - got, -60)).sum()))
                 margins.append(float(100 * (rest.min() - got[best]) / got[best]) if len(rest) else 100.0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=["row", "lang_pred", "score", "margin"])
+            kept = [c for c in ("row", "text") if c == "row" or with_text]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=[*kept, "lang_pred", "score", "margin"])
     return run
 
 
-def _identified(rows: DataFrame, dictionaries: dict[str, bytes], level: int, piece: int, min_margin: float) -> DataFrame:
+def _identified(rows: DataFrame, dictionaries: dict[str, bytes], level: int, piece: int, min_margin: float, with_text: bool = False) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(dictionaries)
-    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin")).schema
+    schema = rows.select("row", *["text"] * with_text, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin")).schema
     for field in schema:
         field.nullable = True
-    return rows.mapInArrow(_predict(shared, level, piece), schema).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < min_margin))
+    return rows.mapInArrow(_predict(shared, level, piece, with_text), schema).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < min_margin))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -125,8 +126,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents that are not rejected, columns as they came."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return _identified(rows, dictionaries, LEVEL, PIECE_BYTES, min_margin).where("not rejected").select("row.*")
+    rows = docs.select(others(docs), "text")
+    return restored(_identified(rows, dictionaries, LEVEL, PIECE_BYTES, min_margin, with_text=True).where("not rejected"), docs)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

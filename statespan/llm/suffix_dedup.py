@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, merged, n_parts, saved, table, text_slices
+from ._common import SpanHash, merged, n_parts, others, restored, saved, table, text_slices
 
 LENGTH = 100
 GRAM = 32
@@ -354,10 +354,9 @@ def _cut_texts(batches):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated strings cut out of ``text`` (characters of which
     every byte goes) and ``n_chars`` recounted, columns as they came."""
-    rows = _with_runs(docs, F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]))
+    rows = _with_runs(docs, others(docs))
     out = rows.mapInArrow(_cut_texts, rows.select("row", F.col("text").alias("kept")).schema)
-    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+    return restored(out, docs, text=F.col("kept"), n_chars=F.length("kept").cast("bigint"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
