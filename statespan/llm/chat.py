@@ -30,6 +30,10 @@ from ._common import table
 ESCAPE = "␛"
 
 
+#: The control strings of a marker: each bracketed token, or what else stands between spaces.
+_CONTROL = re.compile(r"<+[^<>\s]*>+|\[[^\[\]\s]*\]|\S+")
+
+
 @dataclass(frozen=True)
 class Role:
     before: str
@@ -50,7 +54,7 @@ class Template:
 
     def __post_init__(self):
         marks = {m for r in self.roles.values() for m in (r.before, r.after)} | set(self.other)
-        parts = {p for m in marks for p in m.split() if p}
+        parts = {p for m in marks for p in _CONTROL.findall(m)}
         object.__setattr__(self, "controls", tuple(sorted(parts, key=lambda c: (-len(c), c))))
 
 
