@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+LAST_ID = (1 << 63) - 1
 _own_folder: dict[str, str] = {}
 
 
@@ -67,6 +68,17 @@ def restored(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
     return df.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def document_key(docs: DataFrame) -> tuple:
+    """Columns d and h that tell documents apart: d is the id, a null one as LAST_ID; h is a hash
+    of the text for null ids and, if any id stands with different texts, for all; 0 otherwise."""
+    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    by_id = docs.where("doc_id is not null").select(d.alias("d"), h.alias("h")).groupBy("d").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    if by_id.where("low <> high").limit(1).count():
+        return d.alias("d"), h.alias("h")
+    return d.alias("d"), F.when(d == LAST_ID, h).otherwise(F.lit(0).cast("bigint")).alias("h")
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,8 +12,8 @@ minimum after it; what joins back are only chunks with a digest seen twice.
 
 Defined cases: a null text is empty and has no chunks; a text under MIN_CHUNK
 bytes is one chunk; a null id comes after all others; equal rows are one
-document; rows that share an id but not the text share what is removed; extra
-columns are ignored.
+document; rows that share an id but not the text are different documents, in
+order of a hash of the text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE2, SpanHash, merged, table, text_slices
+from ._common import _BYTE2, SpanHash, document_key, merged, table, text_slices
 
 MIN_CHUNK = 16
 MEAN_CHUNK = 40
 MAX_CHUNK = 256
 MIN_RUN = 64
-_LAST = (1 << 63) - 1
 _GEAR = np.random.default_rng(987654321).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -73,7 +72,7 @@ def cuts(h: np.ndarray, offsets: np.ndarray, least: int = MIN_CHUNK, mean: int =
 def _chunks(batches):
     """Distinct chunks of each slice, with the earliest place, and the others as repeats."""
     for batch in batches:
-        ids = batch.column("d").to_numpy(zero_copy_only=False)
+        ids, marks = batch.column("d").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
         for first, end, data, offsets in text_slices(batch.column("text")):
             if not len(data):
                 continue
@@ -87,25 +86,25 @@ def _chunks(batches):
             start[begin[sizes > 0]] = offsets[:-1][sizes > 0]
             one, two = SpanHash(data)(start, stop).view(np.int64), SpanHash(data, _BYTE2)(start, stop).view(np.int64)
             lo, size = (start - offsets[row]).astype(np.int32), (stop - start).astype(np.int32)
-            d = ids[first + row]
-            order = np.lexsort((lo, d, two, one))
+            d, h = ids[first + row], marks[first + row]
+            order = np.lexsort((lo, h, d, two, one))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
             lead = order[new][np.cumsum(new) - 1]
-            again = (d[order] != d[lead]) | (lo[order] != lo[lead])
+            again = (d[order] != d[lead]) | (h[order] != h[lead]) | (lo[order] != lo[lead])
             keep = order[new | again]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one[keep], two[keep], d[keep], lo[keep], size[keep], again[new | again])], names=["c1", "c2", "d", "lo", "size", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one[keep], two[keep], d[keep], h[keep], lo[keep], size[keep], again[new | again])], names=["c1", "c2", "d", "h", "lo", "size", "again"])
 
 
 def _with_runs(docs: DataFrame, row) -> DataFrame:
-    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d")
-    places = docs.select(d, "text").mapInArrow(_chunks, "c1 bigint, c2 bigint, d bigint, lo int, size int, again boolean")
-    known = places.where("again").select("d", "lo", "size")
+    key = document_key(docs)
+    places = docs.select(*key, "text").mapInArrow(_chunks, "c1 bigint, c2 bigint, d bigint, h bigint, lo int, size int, again boolean")
+    known = places.where("again").select("d", "h", "lo", "size")
     firsts = places.where("not again")
-    twice = firsts.groupBy("c1", "c2").agg(F.min(F.struct("d", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = firsts.join(twice, ["c1", "c2"]).where("d <> first.d or lo <> first.lo").select("d", "lo", "size")
-    runs = known.unionByName(late).groupBy("d").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
-    return docs.select(d, row.alias("row"), "text").join(runs, "d", "left").select("row", "text", "runs")
+    twice = firsts.groupBy("c1", "c2").agg(F.min(F.struct("d", "h", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = firsts.join(twice, ["c1", "c2"]).where("d <> first.d or h <> first.h or lo <> first.lo").select("d", "h", "lo", "size")
+    runs = known.unionByName(late).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
+    return docs.select(*key, row.alias("row"), "text").join(runs, ["d", "h"], "left").select("row", "text", "runs")
 
 
 def _removed(size: int, runs, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,8 +20,8 @@ earlier (in a document of smaller id, or earlier in the same document).
 
 Defined cases: a null text is empty; a text under LENGTH bytes keeps all; ids
 are compared as numbers, a null id comes after all others; equal rows are one
-document, and rows that share an id but not the text share what is cut (within
-each one's length); extra columns are ignored.
+document, and rows that share an id but not the text are different documents, in
+order of a hash of the text; extra columns are ignored.
 
 A block holds all distinct contexts of its anchors: 32 bytes each while
 collapsing, their bytes (at most 168) while sorting.
@@ -36,15 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, merged, n_parts, others, restored, saved, table, text_slices
+from ._common import SpanHash, document_key, merged, n_parts, others, restored, saved, table, text_slices
 
 LENGTH = 100
 GRAM = 32
 _PIECE = 1 << 20
 _FLUSH = 1 << 19
-_LAST = (1 << 63) - 1
-_CONTEXT = np.dtype([("g", "<u8"), ("c", "<u8"), ("d", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-_RUN = "repeated boolean, g bigint, d bigint, lo int, hi int"
+_CONTEXT = np.dtype([("g", "<u8"), ("c", "<u8"), ("d", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+_RUN = "repeated boolean, g bigint, d bigint, h bigint, lo int, hi int"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -58,7 +57,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1: n])
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The anchors of every window, with their runs of windows (lo to hi, in the document)."""
     if len(data) < LENGTH:
         return np.zeros(0, _CONTEXT)
@@ -78,20 +77,20 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndar
     cuts = np.flatnonzero(new)
     lo, hi, row = start[cuts], start[np.append(cuts[1:], len(start)) - 1], row[cuts]
     out = np.empty(len(cuts), _CONTEXT)
-    out["g"], out["c"], out["d"] = grams[anchor[cuts]], span(lo, hi + LENGTH), ids[row]
+    out["g"], out["c"], out["d"], out["h"] = grams[anchor[cuts]], span(lo, hi + LENGTH), ids[row], marks[row]
     out["lo"], out["hi"] = lo - offsets[row], hi - offsets[row]
     return out
 
 
-def _pieces(column, ids: np.ndarray):
+def _pieces(column, ids: np.ndarray, marks: np.ndarray):
     """Contexts slice by slice; a longer text goes piece by piece."""
     for first, end, data, offsets in text_slices(column, _PIECE):
         if len(data) <= _PIECE:
-            yield _contexts(data, offsets, ids[first:end])
+            yield _contexts(data, offsets, ids[first:end], marks[first:end])
             continue
         for base in range(0, len(data), _PIECE):
             part = data[base: base + _PIECE + LENGTH - 1]
-            found = _contexts(part, np.array([0, len(part)]), ids[first:end])
+            found = _contexts(part, np.array([0, len(part)]), ids[first:end], marks[first:end])
             found["lo"] += base
             found["hi"] += base
             yield found
@@ -99,11 +98,11 @@ def _pieces(column, ids: np.ndarray):
 
 def _collapsed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest of each context, in order of anchors, and the others."""
-    rows = rows[np.lexsort((rows["lo"], rows["d"], rows["c"], rows["g"]))]
+    rows = rows[np.lexsort((rows["lo"], rows["h"], rows["d"], rows["c"], rows["g"]))]
     first = np.ones(len(rows), bool)
     first[1:] = (rows["g"][1:] != rows["g"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
     lead = rows[first][np.cumsum(first) - 1]
-    again = (rows["d"] != lead["d"]) | (rows["lo"] != lead["lo"])
+    again = (rows["d"] != lead["d"]) | (rows["h"] != lead["h"]) | (rows["lo"] != lead["lo"])
     return rows[first], rows[again]
 
 
@@ -124,7 +123,7 @@ def _deal(n_blocks: int):
     def run(batches):
         parts, size, count = [], 0, 0
         for batch in batches:
-            for found in _pieces(batch.column("text"), batch.column("d").to_numpy(zero_copy_only=False)):
+            for found in _pieces(batch.column("text"), batch.column("d").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)):
                 parts.append(found)
                 size += len(found)
                 if size >= _FLUSH:
@@ -137,7 +136,7 @@ def _deal(n_blocks: int):
 
 def _runs(repeated: bool, rows: np.ndarray) -> pa.Table:
     return pa.table({"repeated": pa.array(np.full(len(rows), repeated)), "g": rows["g"].view(np.int64).copy() if rows["g"].flags.c_contiguous else np.ascontiguousarray(rows["g"]).view(np.int64),
-                     "d": np.ascontiguousarray(rows["d"]), "lo": np.ascontiguousarray(rows["lo"]), "hi": np.ascontiguousarray(rows["hi"])})
+                     "d": np.ascontiguousarray(rows["d"]), "h": np.ascontiguousarray(rows["h"]), "lo": np.ascontiguousarray(rows["lo"]), "hi": np.ascontiguousarray(rows["hi"])})
 
 
 def _collapse(n_blocks: int):
@@ -164,7 +163,7 @@ def _cut_contexts(n_blocks: int):
             g = flat.field("g").to_numpy(zero_copy_only=False)
             lo, hi = flat.field("lo").to_numpy(zero_copy_only=False), flat.field("hi").to_numpy(zero_copy_only=False)
             ends = np.cumsum(np.array(todo.value_lengths().to_numpy(zero_copy_only=False), np.int64))
-            ids = batch.column("d").to_pylist()
+            ids, marks = batch.column("d").to_pylist(), batch.column("h").to_pylist()
             heads: dict[int, list[bytes]] = {}
             texts: dict[int, list[bytes]] = {}
             block = (g.view(np.uint64) % np.uint64(n_blocks)).astype(np.int64).tolist()
@@ -175,7 +174,7 @@ def _cut_contexts(n_blocks: int):
                     for i in range(int(ends[r - 1]) if r else 0, int(ends[r])):
                         a = int(lo[i])
                         text = raw[base + a: min(base + int(hi[i]) + LENGTH, stop)]
-                        heads.setdefault(block[i], []).append(np.array([ids[r], a, len(text)], np.int64).tobytes())
+                        heads.setdefault(block[i], []).append(np.array([ids[r], marks[r], a, len(text)], np.int64).tobytes())
                         texts.setdefault(block[i], []).append(text)
             yield pa.RecordBatch.from_arrays([pa.array(list(heads), pa.int32()), pa.array([b"".join(x) for x in heads.values()], pa.binary()), pa.array([b"".join(x) for x in texts.values()], pa.binary())], names=["block", "heads", "texts"])
     return run
@@ -244,9 +243,11 @@ def suffix_order(s: np.ndarray, reach: int | None = None, depth: int = 3) -> np.
 
 
 def _sort_block(_, group):
-    heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), np.int64).reshape(-1, 3)
+    heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), np.int64).reshape(-1, 4)
+    keys, document = np.unique(heads[:, :2], axis=0, return_inverse=True)  # in order of d, then h
+    document = document.ravel()
     raw = np.frombuffer(b"".join(group.column("texts").to_pylist()), np.uint8)
-    sizes = heads[:, 2]
+    sizes = heads[:, 3]
     # one separator before each context: symbols 2 to 257 are bytes, 1 separates
     begin = np.cumsum(sizes + 1) - sizes
     text = np.ones(len(raw) + len(heads), np.int64)
@@ -264,7 +265,7 @@ def _sort_block(_, group):
         rows = small[x[:, None] + reach]
         equal[a: a + len(x) - 1] = (rows[1:] == rows[:-1]).all(axis=1)
     kind = np.cumsum(~equal)
-    d, at = heads[owner[order], 0], heads[owner[order], 1] + order - begin[owner[order]]
+    d, at = document[owner[order]], heads[owner[order], 2] + order - begin[owner[order]]
     again = equal.copy()
     again[:-1] |= equal[1:]
     kind, d, at = kind[again], d[again], at[again]
@@ -281,25 +282,25 @@ def _sort_block(_, group):
     new[1:] = (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)
     cuts = np.flatnonzero(new)
     last = np.append(cuts[1:], len(d)) - 1
-    return pa.table({"d": d[cuts], "lo": at[cuts].astype(np.int32), "hi": at[last].astype(np.int32) if len(cuts) else np.zeros(0, np.int32)})
+    return pa.table({"d": keys[d[cuts], 0], "h": keys[d[cuts], 1], "lo": at[cuts].astype(np.int32), "hi": at[last].astype(np.int32) if len(cuts) else np.zeros(0, np.int32)})
 
 
 def _repeats(texts: DataFrame) -> DataFrame:
-    """Runs (d, lo, hi) of window starts that repeat an earlier window; texts has d and text."""
+    """Runs (d, h, lo, hi) of window starts that repeat an earlier window; texts has d, h and text."""
     n_blocks = 4 * n_parts(texts.sparkSession)
     dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal(n_blocks), "block int, packed binary")
     runs = saved(dealt.groupBy("block").applyInArrow(_collapse(n_blocks), _RUN), "runs")
-    todo = runs.where("not repeated").groupBy("d").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("todo"))
-    cut = texts.join(todo, "d").mapInArrow(_cut_contexts(n_blocks), "block int, heads binary, texts binary")
-    late = cut.groupBy("block").applyInArrow(_sort_block, "d bigint, lo int, hi int")
-    return runs.where("repeated").select("d", "lo", "hi").unionByName(late)
+    todo = runs.where("not repeated").groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("todo"))
+    cut = texts.join(todo, ["d", "h"]).mapInArrow(_cut_contexts(n_blocks), "block int, heads binary, texts binary")
+    late = cut.groupBy("block").applyInArrow(_sort_block, "d bigint, h bigint, lo int, hi int")
+    return runs.where("repeated").select("d", "h", "lo", "hi").unionByName(late)
 
 
 def _with_runs(docs: DataFrame, row) -> DataFrame:
     """row, text and the runs of repeated windows of each document."""
-    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d")
-    runs = _repeats(docs.select(d, "text")).groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return docs.select(d, row.alias("row"), "text").join(runs, "d", "left").select("row", "text", "runs")
+    key = document_key(docs)
+    runs = _repeats(docs.select(*key, "text")).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return docs.select(*key, row.alias("row"), "text").join(runs, ["d", "h"], "left").select("row", "text", "runs")
 
 
 def _removed(size: int, runs) -> tuple[np.ndarray, np.ndarray]:

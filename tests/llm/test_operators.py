@@ -85,6 +85,23 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.repeated_spans(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tool", [suffix_dedup, chunk_dedup])
+@pytest.mark.parametrize("ids", [[None] * 5, [5] * 5, [None, 5, 5, None, None]])
+def test_dedup_tells_rows_of_one_id_apart(spark, tool, ids):
+    rng = random.Random(12)
+    passage, clean = prose(rng, 60), prose(rng, 400)
+    texts = [clean, prose(rng, 90) + passage + passage, prose(rng, 30) + passage, clean[:20], clean]
+    rows = documents(spark, texts, ids)
+    whole = len(clean.encode())
+    found = sorted((r.n_bytes, r.n_removed) for r in tool.repeated_spans(rows).collect())
+    # equal rows of one id are one document
+    assert [x for n, x in found if n == whole] == ([0, whole] if ids[0] != ids[4] else [0, 0])
+    assert sum(x > 0 for n, x in found if n < whole) == 2 and found[0][1] == 0
+    if tool is suffix_dedup:
+        kept = [r.text for r in suffix_dedup.remove_repeats(rows).collect()]
+        assert kept.count(clean) == 2 and kept.count(clean[:20]) == 1
+
+
 def test_suffix_dedup_cuts_whole_characters(spark):
     text = "é" * 300
     out = suffix_dedup.remove_repeats(documents(spark, ["x" + text, text], [1, 2])).orderBy("doc_id").collect()
