@@ -18,6 +18,9 @@ A character without a piece of its own is spelled in byte pieces, at a score
 below all pieces. A literal U+2581 is such a character, so decoding gives back
 the very text.
 
+A row gives the best segmentation as tokens and the others as edits of it: which
+tokens give way to which, chunk by chunk; ``segmentations`` spells them out.
+
 Defined cases: a null text gives null tokens, an empty text no tokens and one
 segmentation of score 0; equal scores prefer longer last pieces; rows are never
 merged or dropped; extra columns are ignored.
@@ -273,7 +276,7 @@ class Segmenter:
         gaps = self.gap[places]
         near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= n else np.argpartition(gaps, n - 2)[: n - 1]
         near = [int(i) for i in sorted(near) if np.isfinite(gaps[i])]
-        options = [self._nbest_known(chunks[i], n) for i in near]
+        options = [self._nbest_known(chunks[i], int(places[i]), n) for i in near]
         heap = [(-0.0, (0,) * len(near))]
         seen, out = {heap[0][1]}, []
         while heap and len(out) < n:
@@ -287,9 +290,12 @@ class Segmenter:
                         heapq.heappush(heap, (sum(x[0][0] - x[p][0] for x, p in zip(options, new)), new))
         return out
 
-    def _nbest_known(self, chunk: str, n: int) -> list:
+    def _nbest_known(self, chunk: str, place: int, n: int) -> list:
+        """The n best of a chunk; of equal scores the one that the chunk was solved with comes first."""
         if (chunk, n) not in self.known:
-            self.known[chunk, n] = self.nbest(chunk, n)
+            best = tuple(self.flat[self.begin[place]: self.begin[place] + self.size[place]].tolist())
+            found = self.nbest(chunk, n)
+            self.known[chunk, n] = [(found[0][0], best), *[x for x in found if x[1] != best]][:n]
         return self.known[chunk, n]
 
     def decode(self, ids: list[int]) -> str:
@@ -307,36 +313,71 @@ def _segmenter(shared) -> Segmenter:
     return held[key]
 
 
+def segmentations(tokens: list[int], others: list) -> list[list[int]]:
+    """The ids of all n best segmentations of a row of ``encode``, best first."""
+    out = [list(tokens)]
+    for edits in others:
+        ids = list(tokens)
+        for start, end, new in sorted(edits, reverse=True):
+            ids[start:end] = new
+        out.append(ids)
+    return out
+
+
+def _edits(rows: list) -> pa.Array:
+    """Rows of lists of lists of (start, end, ids) as an Arrow column; None is null."""
+    row_at, list_at, ids_at = [0], [0], [0]
+    start, end, ids = [], [], []
+    for row in rows:
+        for edits in row or ():
+            for a, b, new in edits:
+                start.append(a)
+                end.append(b)
+                ids += new
+                ids_at.append(len(ids))
+            list_at.append(len(start))
+        row_at.append(len(list_at) - 1)
+    number = lambda x: pa.array(x, pa.int32())
+    edit = pa.StructArray.from_arrays([number(start), number(end), pa.ListArray.from_arrays(number(ids_at), number(ids))], names=["start", "end", "ids"])
+    lists = pa.ListArray.from_arrays(number(list_at), edit)
+    return pa.ListArray.from_arrays(number(row_at), lists, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def _encode(shared, n: int, with_ids: bool):
     def run(batches):
         tool = _segmenter(shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            size, digest, scores, back, tokens = [], [], [], [], []
+            size, digest, scores, back, tokens, others = [], [], [], [], [], []
             for r, chunks, places, ids in tool.slices(texts):
                 if texts[r] is None:
-                    for x in (size, digest, scores, back, tokens):
+                    for x in (size, digest, scores, back, tokens, others):
                         x.append(None)
                     continue
                 size.append(len(ids))
                 digest.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-                scores.append([s for s, _ in tool.text_nbest(chunks, places, n)])
+                best = tool.text_nbest(chunks, places, n)
+                scores.append([s for s, _ in best])
+                if with_ids:
+                    ends = np.cumsum(tool.size[places])
+                    others.append([[(int(ends[i] - tool.size[places[i]]), int(ends[i]), new) for i, new in changed.items()] for _, changed in best[1:]])
                 back.append(tool.decode(ids.tolist()) == texts[r])
                 tokens.append(ids if with_ids else None)
             columns = [batch.column("row"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.bool_())]
             names = ["row", "n_tokens", "tokens_sha256", "scores", "round_trip"]
             if with_ids:
-                columns.append(pa.array(tokens, pa.list_(pa.int32())))
-                names.append("tokens")
+                columns += [pa.array(tokens, pa.list_(pa.int32())), _edits(others)]
+                names += ["tokens", "others"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
 def encode(docs: DataFrame, model: str | None = None, n: int = N_BEST, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, tokens_sha256 (of the ids as 32-bit little-endian numbers), scores
-    (of the n best segmentations), round_trip (decoding gives back the text), tokens."""
+    (of the n best segmentations), round_trip (decoding gives back the text), tokens of the best
+    and, for each of the others, the edits (start, end, ids) that make it of those tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model or default_model()))
-    schema = "row bigint, n_tokens bigint, tokens_sha256 string, scores array<double>, round_trip boolean" + (", tokens array<int>" if with_ids else "")
+    schema = "row bigint, n_tokens bigint, tokens_sha256 string, scores array<double>, round_trip boolean" + (", tokens array<int>, others array<array<struct<start:int,end:int,ids:array<int>>>>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("row"), "text")
     return rows.mapInArrow(_encode(shared, n, with_ids), schema).withColumnRenamed("row", "doc_id")
 
@@ -354,4 +395,4 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return encode(table(spark, sf_dir, "documents"))

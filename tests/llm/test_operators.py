@@ -358,6 +358,26 @@ def test_segmentation_rows(spark):
     assert back == dict(enumerate(texts))
 
 
+def test_segmentation_gives_all_n(spark):
+    tool = segmentation.Segmenter(segmentation.load_pieces(segmentation.default_model()))
+    texts = ["a the\n x", "é漢 on it", "", "x", None, "ab ab ab"]
+    rows = {r.doc_id: r for r in segmentation.encode(documents(spark, texts), n=5).collect()}
+    assert rows[4].others is None and rows[2].others == []
+    for k, text in enumerate(texts):
+        if text:
+            got = segmentation.segmentations(rows[k].tokens, rows[k].others)
+            want = all_segmentations(tool, " " + text)
+            assert rows[k].scores == [s for s, _ in want[:5]]
+            assert len({tuple(x) for x in got}) == len(got) == min(5, len(want))
+            assert all((s, tuple(ids)) in want for s, ids in zip(rows[k].scores, got))
+            assert all(tool.decode(ids) == text for ids in got)
+
+
+@pytest.mark.skipif(not TEST_DATA.exists(), reason="no test data")
+def test_segmentation_query_has_tokens(spark):
+    assert {"tokens", "others"} <= set(segmentation.op8(spark, str(TEST_DATA)).columns)
+
+
 # -- 9 ------------------------------------------------------------------------
 
 def base_counts(text):
