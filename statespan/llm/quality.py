@@ -56,7 +56,7 @@ def counts(docs: DataFrame) -> DataFrame:
         _number("t", "0123456789").alias("n_digits"),
         _number("t", ".!?").alias("n_stops"),
         (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}", ""))).cast("bigint").alias("n_upper"),
-        F.expr(r"filter(split(t, '\n'), x -> trim(both ' \t\u000B\f\r' from x) <> '')").alias("lines"),
+        F.expr(r"filter(split(t, '\n'), x -> trim(both ' \t\u000B\u000C\r' from x) <> '')").alias("lines"),
         F.when(F.col("core") == "", F.array().cast("array<string>")).otherwise(F.split("core", r"[ \t-\r]+")).alias("words"))
     rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     item = lambda i, k: F.get("h", i + k)

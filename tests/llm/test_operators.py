@@ -398,6 +398,13 @@ def test_quality_counts(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quality_lines_of_f_and_form_feeds(spark):
+    texts = ["f\nf\nf f", "\x0c\n\x0c\nend", "f\x0c\nf\x0c\n\x0b\x0c\r"]
+    rows = quality.counts(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_dup_lines) for r in rows] == [(3, 1), (1, 0), (2, 1)]
+    assert [r.n_dup_lines for r in rows] == [base_counts(t)[3] for t in texts]
+
+
 def test_quality_estimation():
     rng = random.Random(8)
     rows = []
