@@ -3,9 +3,8 @@
 A gear rolling hash (the last 32 bytes decide) cuts each text into chunks of
 MIN_CHUNK to MAX_CHUNK bytes, about MEAN_CHUNK on average, so an insertion moves
 only the cuts around it. Chunks are deduplicated by digest: a chunk that also
-stands earlier (smaller doc_id, or earlier in the same document) is removed if
-the run of such chunks around it has at least MIN_RUN bytes; shorter runs are
-chance and stay.
+stands earlier (smaller doc_id, or earlier in the same document) is removed,
+however short; a caller may ask to keep runs of such chunks under ``min_run`` bytes.
 
 Copies are collapsed inside each task before the shuffle and by a grouped
 minimum after it; what joins back are only chunks with a digest seen twice.
@@ -30,7 +29,7 @@ from ._common import _BYTE2, SpanHash, document_key, merged, table, text_slices
 MIN_CHUNK = 16
 MEAN_CHUNK = 40
 MAX_CHUNK = 256
-MIN_RUN = 64
+MIN_RUN = 1
 _GEAR = np.random.default_rng(987654321).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 

@@ -458,6 +458,21 @@ def test_chunk_dedup_is_brute_force(spark):
     assert chunk_dedup.repeated_spans(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_chunk_dedup_removes_short_repeats(spark):
+    rng = random.Random(13)
+    short, one, two = "That it.", prose(rng, 90), prose(rng, 90)
+    texts = [short, one, short, two + one[-15:], short]
+    got = {r.doc_id: r.n_removed for r in chunk_dedup.repeated_spans(documents(spark, texts)).collect()}
+    assert got[0] == 0 and got[2] == got[4] == len(short)
+    first, want = set(), {}
+    for i, t in enumerate(texts):  # every chunk but the first of its bytes
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ends = chunk_dedup.cuts(chunk_dedup.gear_hash(raw), np.array([0, len(raw)]))[0].tolist()
+        parts = [raw[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+        want[i] = sum(len(x) for x in parts if x in first or first.add(x))
+    assert got == want
+
+
 def test_chunks_resist_insertion():
     text = prose(random.Random(1), 400).encode()
     parts = lambda raw: {raw[a:b] for e in chunk_dedup.cuts(chunk_dedup.gear_hash(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)])) for a, b in zip([0, *e.tolist()], e.tolist())}
