@@ -1,18 +1,21 @@
 """HTML extraction by equivalence-class template deduction.
 
 Pages become tokens: the open elements on the way to a block (its path) and the
-block's text on that path. Over the pages of a host each token has an occurrence
+block's text on that path, told apart by how often it stood before. Over the pages of a host each token has an occurrence
 vector (how often it stands in each page); tokens with equal vectors form an
 equivalence class, and classes of enough tokens and pages are valid: they are
 the host's template. A class whose paths lie inside another's is nested in it.
-Texts of a valid class that stand once in every page are the template's own;
-what is left are the slots, and the article is the slot that the page marks as
-such (article, main) or else the one with most text. Elements whose kind, role
+Texts of a valid class are the template's own; what is left are the slots, and
+the article is what the page marks as such (article, main) or else all slots; on
+a host without a template, the container with most text. Elements whose kind, role
 or class names say that they are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts or comments are no part of it.
 
 Vectors are never gathered: a class is known by a digest that adds up over its
-pages, with equal pages counted once, so a host of any size is only grouped sums.
+pages, so a host of any size is only grouped sums.
+
+Pages whose blocks outside of menus, adverts and so on are equal count as one
+page, so that copies of an article do not make it part of the template.
 
 Defined cases: a null html gives an empty text; a null or odd url is host "";
 unclosed elements end with their parents; hosts with fewer than MIN_PAGES
@@ -174,22 +177,33 @@ def _token(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _text_tokens(found: list) -> list[int]:
+    """The token of each (path, text, ...): the first, second and so on of equal ones differ."""
+    before: dict[tuple, int] = {}
+    out = []
+    for path, text, *_ in found:
+        k = before[path, text] = before.get((path, text), -1) + 1
+        out.append(_token("/".join(path), text, *([str(k)] if k else [])))
+    return out
+
+
 def _tokens(batches):
     """(host, page digest, token, path token it lies in, is text, n) of each page."""
     for batch in batches:
         columns: list[list] = [[] for _ in range(6)]
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            digest = _token(page or "")
+            found = blocks(page or "")
+            digest = _token(*(x for path, text, junk, _ in found if not junk for x in ("/".join(path), text)))
             seen: dict[tuple[int, int, bool], int] = {}
-            for path, text, junk, _ in blocks(page or ""):
+            texts = iter(_text_tokens([x for x in found if not x[2]]))
+            for path, _, junk, _ in found:
                 parent = 0
                 for depth, here in enumerate(_remembered(_paths, path, _path_tokens), 1):
                     leaf = depth == len(path)
                     seen[here, parent, False] = seen.get((here, parent, False), 0) + 1 if leaf else max(1, seen.get((here, parent, False), 0))
                     parent = here
                 if not junk:
-                    key = (_token("/".join(path), text), parent, True)
-                    seen[key] = seen.get(key, 0) + 1
+                    seen[next(texts), parent, True] = 1
             for (token, parent, is_text), n in seen.items():
                 for c, v in zip(columns, (host, digest, token, parent, is_text, n)):
                     c.append(v)
@@ -219,11 +233,15 @@ def template_tokens(pages: DataFrame) -> DataFrame:
         "token", "is_text", "n_pages", "host_pages", "least", "most")
 
 
-def _main_text(page: str, template: frozenset) -> str:
-    found = [(path, text, article) for path, text, junk, article in blocks(page) if not junk and _token("/".join(path), text) not in template]
+def _main_text(page: str, template: frozenset | None) -> str:
+    found = [(path, text, article) for path, text, junk, article in blocks(page) if not junk]
+    if template:
+        found = [x for x, token in zip(found, _text_tokens(found)) if token not in template]
     marked = [text for _, text, article in found if article]
     if marked:
         return "\n\n".join(marked)
+    if template is not None:
+        return "\n\n".join(text for _, text, _ in found)
     weight: dict[tuple[str, ...], int] = {}
     for path, text, _ in found:
         holder = path
@@ -238,14 +256,13 @@ def _main_text(page: str, template: frozenset) -> str:
 
 def _extract(batches):
     for batch in batches:
-        texts = [_main_text(page or "", frozenset(known or ())) for page, known in zip(batch.column("html").to_pylist(), batch.column("known").to_pylist())]
+        texts = [_main_text(page or "", None if known is None else frozenset(known)) for page, known in zip(batch.column("html").to_pylist(), batch.column("known").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (main text, blocks joined by an empty line), n_chars."""
-    own = template_tokens(pages).where("is_text and least = 1 and most = 1 and n_pages = host_pages")
-    known = own.groupBy("host").agg(F.collect_set("token").alias("known"))
+    known = template_tokens(pages).groupBy("host").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("known"))
     rows = _with_host(pages).join(known, "host", "left").select("page_id", "url", "html", "known")
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 

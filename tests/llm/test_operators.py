@@ -294,6 +294,22 @@ def test_html_template(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_html_template_by_share_of_pages(spark):
+    """Sections in sibling containers, boilerplate on most pages or twice in a page, an error page, copies."""
+    rng = random.Random(14)
+    rows, want = [], {}
+    copied = [prose(rng, 30), prose(rng, 9)]
+    for k in range(24):
+        one, two = copied if k < 12 else [prose(rng, 30), prose(rng, 9)]
+        banner = "" if k == 20 else "<div class=b><p>Our shop</p><p>Our shop</p><p>All rights kept</p></div>"
+        rows.append((k, f"https://site.example/{k}", f"<nav>{prose(rng, 3)}</nav>{banner}<div id=s1><p>{one}</p></div><div id=s2><p>{two}</p></div><script>{k}</script>"))
+        want[k] = f"{one}\n\n{two}"
+    rows.append((24, "https://site.example/e", "<div><h1>Not found</h1></div>"))
+    want[24] = "Not found"
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
 # -- 7 ------------------------------------------------------------------------
 
 TEST_DATA = Path("/root/testdata/sf0.01")
