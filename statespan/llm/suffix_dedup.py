@@ -23,7 +23,7 @@ are compared as numbers, a null id comes after all others; equal rows are one
 document, and rows that share an id but not the text are different documents, in
 order of a hash of the text; extra columns are ignored.
 
-A block holds all distinct contexts of its anchors: 32 bytes each while
+A block holds all distinct contexts of its anchors: 40 bytes each while
 collapsing, their bytes (at most 168) while sorting.
 """
 
@@ -106,6 +106,15 @@ def _collapsed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], rows[again]
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Contexts byte by byte in columns, which compress better than rows."""
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(-1, _CONTEXT.itemsize).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(_CONTEXT.itemsize, -1).T).view(_CONTEXT).ravel()
+
+
 def _deal(n_blocks: int):
     """Contexts packed by block of anchors; repeats found here go to blocks past those."""
     def flush(parts, count):
@@ -114,10 +123,10 @@ def _deal(n_blocks: int):
         order = np.argsort(block, kind="stable")
         keep, block = keep[order], block[order]
         cuts = np.flatnonzero(np.diff(block, prepend=-1))
-        blocks, pieces = block[cuts].tolist(), [keep[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keep)])]
+        blocks, pieces = block[cuts].tolist(), [_packed(keep[a:b]) for a, b in zip(cuts, [*cuts[1:], len(keep)])]
         if len(again):
             blocks.append(n_blocks + (int(again["g"][0]) + count) % n_blocks)
-            pieces.append(again.tobytes())
+            pieces.append(_packed(again))
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(pieces, pa.binary())], names=["block", "packed"])
 
     def run(batches):
@@ -142,7 +151,7 @@ def _runs(repeated: bool, rows: np.ndarray) -> pa.Table:
 def _collapse(n_blocks: int):
     """Runs of repeated windows, and the runs that have to be sorted."""
     def run(key, group):
-        rows = np.frombuffer(b"".join(group.column("packed").to_pylist()), _CONTEXT)
+        rows = np.concatenate([_unpacked(x) for x in group.column("packed").to_pylist()])
         if key[0].as_py() >= n_blocks:
             return _runs(True, rows)
         keep, again = _collapsed(rows)
