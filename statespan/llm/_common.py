@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
 _own_folder: dict[str, str] = {}
 
@@ -28,17 +29,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can read: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local one, as in tests) gets a
-    temporary folder of its own.
+    Only a local session without that setting, as in tests, gets a temporary
+    folder of its own; on a cluster its lack raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
     if "path" not in _own_folder:
         _own_folder["path"] = "file://" + tempfile.mkdtemp(prefix="statespan-")
     return _own_folder["path"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session to BATCH_BYTES, as a kernel holds a whole batch;
+    a session that has set a bound of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", f"{64 << 20}", f"{64 << 20}b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimiser takes the input of ``df`` to be, by the sizes of its files: no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def n_blocks_of(df: DataFrame, block_bytes: int) -> int:
+    """Blocks to deal by: so many that none is due more than ``block_bytes`` of the input, and
+    4 to 64 for each shuffle partition."""
+    n = n_parts(df.sparkSession)
+    return min(64 * n, max(4 * n, -(-input_bytes(df) // block_bytes)))
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives lost executors."""
@@ -57,9 +80,39 @@ def discard(df: DataFrame) -> None:
     folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Scratch:
+    """Tables of one operator that go when it is done with them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(saved(df, label))
+        return self.tables[-1]
+
+    def holds(self, df: DataFrame) -> DataFrame:
+        """Take over a table that is saved already."""
+        self.tables.append(df)
+        return df
+
+    def clear(self, *stay: DataFrame) -> None:
+        for t in self.tables:
+            if all(t is not s for s in stay):
+                discard(t)
+        self.tables = list(stay)
+
+
 def others(docs: DataFrame):
     """All columns but the text as one column ``row``, to go through a kernel beside it."""
-    return F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("row")
+    return F.struct(F.lit(0).alias(unused("_", docs)), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def restored(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
@@ -106,6 +159,13 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
+def sub_batches(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``limit`` bytes of one column, or of one row."""
+    if batch.num_rows:
+        for first, end, _, _ in text_slices(batch.column(column), limit):
+            yield batch.slice(first, end - first)
+
+
 def byte_mask(inside) -> np.ndarray:
     """256 booleans: which byte values belong to words."""
     return np.array([inside(b) for b in range(256)], dtype=bool)
@@ -206,7 +266,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a grouped minimum and an
     equi-join, until a round changes nothing, when the links form stars; each round is
-    written to the shared folder.
+    written to the shared folder, and so is the result.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     sign = None
@@ -222,4 +282,6 @@ def components(links: DataFrame) -> DataFrame:
         if seen == sign:
             break
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component_id", F.col("node"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionByName(roots)
+    out = saved(edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionByName(roots), "components")
+    discard(edges)
+    return out

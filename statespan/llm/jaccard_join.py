@@ -15,33 +15,47 @@ Pairs that pass are verified on whole sets. A pair inside a known component
 needs no verification, so each document is first checked against one partner;
 only pairs between different components are checked after that.
 
-Columns of many documents (``hot``) come last in the order; what remains of
-them in a product is dealt as plain rows and linked through one centre, and only
-pairs of different components that can still reach their bound are paired.
+Columns of HOT_FROM documents or more (``hot``) come last in the order, by level of
+frequency; what remains of them in a product is dealt as plain rows and linked through
+one centre, and only pairs of different components, of sizes that fit, that can still
+reach their bound are paired. Which columns are hot is told by bit maps of a fixed size
+(PREFIX bits of the hash): a column that shares its prefix with a hot one counts as hot
+too, which changes the order of work but no result.
+
+Hot columns and copies meet in equi-joins of two stored tables, whose large partitions
+adaptive execution splits; equal sets go on as the one with the smallest doc_id.
 
 Defined cases: words are runs of anything but white space, A-Z lower-cased;
 fewer than five words are one shingle; a null, empty or blank text has no
 shingles and links with nothing, not even its like; equal sets always link;
 rows that share a doc_id are one node; a null doc_id is never linked and has a
-null component.
+null component; extra columns of any name are ignored, and kept by ``keep_one``; long
+texts are hashed whole, a slice of rows at a time.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_SPACE, SpanHash, components, discard, n_parts, runs_hash, saved, table, text_slices, words
+from ._common import LOWER, NOT_SPACE, Scratch, SpanHash, components, discard, n_blocks_of, runs_hash, saved, small_batches, table, text_slices, unused, words
 
 WORDS = 5
 PERCENT = 80
-#: A column with at least so many documents is hot, or with more if over MAX_HOT columns are.
+#: A column with at least so many documents is hot.
 HOT_FROM = 16
-#: Bound of the broadcast of hot columns (8 bytes each).
-MAX_HOT = 1_000_000
-_FLUSH = 1 << 21
+#: Levels of hot columns: from HOT_FROM documents on, and from 16 and 256 times as many.
+LEVELS = 3
+#: Bits of a hash by which hot columns are known: 8 MB a level, whatever the number of columns.
+PREFIX = 26
+#: Input bytes that a block of columns is due.
+BLOCK_BYTES = 4 << 20
+_SEEN = 100_000
+_FLUSH = 1 << 20
 _POSTING = np.dtype([("h", "<u8"), ("d", "<i8"), ("n", "<i4"), ("k", "<i4"), ("p", "<i4")])
 
 
@@ -119,10 +133,26 @@ def _frequent(least: int):
     return run
 
 
+def _bits(frequent: DataFrame) -> np.ndarray:
+    """Bit maps of the hot columns' prefixes, one for each level."""
+    word, bit = F.shiftright("h40", 20).cast("int"), F.shiftright("h40", 40 - PREFIX).bitwiseAND((1 << (PREFIX - 20)) - 1)
+    maps = [F.bit_or(F.when(F.col("df") >= HOT_FROM << (4 * v), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))).alias(f"v{v}") for v in range(LEVELS)]
+    rows = frequent.select(word.alias("word"), bit.cast("int").alias("bit"), "df").groupBy("word").agg(*maps).toPandas()
+    out = np.zeros((LEVELS, 1 << 20), np.int64)
+    out[:, rows["word"].to_numpy(np.int64)] = [rows[f"v{v}"].to_numpy(np.int64) for v in range(LEVELS)]
+    return out.view(np.uint64)
+
+
+def _level(maps: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """0 for cold columns, else the level of hotness."""
+    word, bit = (grams >> np.uint64(44)).astype(np.int64), (grams >> np.uint64(64 - PREFIX)) & np.uint64((1 << (PREFIX - 20)) - 1)
+    return sum(((maps[v][word] >> bit) & np.uint64(1)).astype(np.int8) for v in range(LEVELS))
+
+
 def _postings(k: int, percent: int, n_blocks: int, shared):
     """The leading columns of every set: cold ones packed by block, hot ones as rows.
 
-    Of equal sets in one partition only the first is needed: equal sets are linked
+    Of equal sets that a task remembers only the first is needed: equal sets are linked
     by their digests.
     """
     def pack(parts):
@@ -136,7 +166,7 @@ def _postings(k: int, percent: int, n_blocks: int, shared):
         return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(pieces, pa.binary())], names=["block", "packed"]) if n else None
 
     def run(batches):
-        hot = shared.value
+        maps = shared.value
         parts, size, seen = [], 0, set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -147,16 +177,13 @@ def _postings(k: int, percent: int, n_blocks: int, shared):
                 digest = _digest(grams)
                 if digest in seen:
                     continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
                 seen.add(digest)
-                short = grams >> np.uint64(24)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
-                    is_hot = hot[at] == short
-                else:
-                    is_hot = np.zeros(n, bool)
+                level = _level(maps, grams)
                 need = n - -(-percent * n // 100) + 1
-                cold = grams[~is_hot][:need]
-                late = grams[is_hot][: need - len(cold)]
+                cold = grams[level == 0][:need]
+                late = grams[np.argsort(level, kind="stable")][n - int((level > 0).sum()):][: need - len(cold)]
                 rows = np.empty(len(cold) + len(late), _POSTING)
                 rows["h"][: len(cold)], rows["h"][len(cold):] = cold, late
                 rows["d"], rows["n"], rows["k"], rows["p"] = ids[r], n, len(late), 0
@@ -182,8 +209,8 @@ def _unpack(batches):
 
 
 def _product(percent: int):
-    """Overlap counts of one block of cold columns: each has under HOT_FROM documents
-    unless the hot columns were cut at their bound, so pairs stay few."""
+    """Overlap counts of one block of cold columns: each has under HOT_FROM documents, so
+    pairs stay few."""
     def run(_, group):
         rows = np.frombuffer(b"".join(group.column("packed").to_pylist()), _POSTING)
         rows = rows[np.lexsort((rows["d"], rows["h"]))]
@@ -237,76 +264,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    n_blocks = 4 * n_parts(spark)
+    spark, scratch = docs.sparkSession, Scratch()
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    n_blocks = n_blocks_of(texts, BLOCK_BYTES)
     summary = saved(texts.mapInArrow(_sets_summary(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "summary")
 
     seen = texts.mapInArrow(_columns(k, n_blocks), "block int, packed binary")
-    frequent = saved(seen.groupBy("block").applyInArrow(_frequent(HOT_FROM), "h40 bigint, df bigint"), "frequent")
-    least, total = 1 << 62, 0
-    for level in frequent.groupBy(F.floor(F.log2("df")).alias("p")).count().orderBy(F.desc("p")).collect():
-        total += level["count"]
-        if total > MAX_HOT:
-            break
-        least = 1 << int(level["p"])
-    hot = np.sort(frequent.where(F.col("df") >= least).select("h40").toPandas()["h40"].to_numpy().astype(np.uint64))
-    shared = spark.sparkContext.broadcast(hot)
-
-    packed = saved(texts.mapInArrow(_postings(k, percent, n_blocks, shared), "block int, packed binary"), "postings")
+    frequent = scratch.saved(seen.groupBy("block").applyInArrow(_frequent(HOT_FROM), "h40 bigint, df bigint"), "frequent")
+    shared = spark.sparkContext.broadcast(_bits(frequent))
+
+    packed = scratch.saved(texts.mapInArrow(_postings(k, percent, n_blocks, shared), "block int, packed binary"), "postings")
     overlap = packed.where("block >= 0").groupBy("block").applyInArrow(_product(percent), "a bigint, b bigint, na bigint, nb bigint, k bigint, shared bigint")
     need = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
     rest = f"({percent} * greatest(na, nb) + 99) div 100 - 1"
     cold = overlap.groupBy("a", "b", "na", "nb", "k").agg(F.sum("shared").alias("shared")).where(f"shared + k >= {need} - ({rest})")
-    cold = saved(cold.select("a", "b", "shared"), "cold")
-    warm = saved(packed.where("block < 0").mapInArrow(_unpack, "h bigint, d bigint, n bigint, k bigint, p bigint"), "warm")
-    discard(packed)
+    cold = scratch.saved(cold.select("a", "b", "shared"), "cold")
 
     equal = summary.where("n > 0 and doc_id is not null")
-    first = equal.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
-    copies = equal.join(first, ["n", "d1", "d2"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"))
+    first = scratch.saved(equal.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "first")
+    copies = scratch.saved(equal.join(first, ["n", "d1", "d2"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")), "copies")
+    warm = packed.where("block < 0").mapInArrow(_unpack, "h bigint, d bigint, n bigint, k bigint, p bigint")
+    warm = warm.join(copies.select(F.col("b").alias("d"), "a"), "d", "left").withColumn("d", F.coalesce("a", "d")).drop("a").distinct()
+    warm = scratch.saved(warm, "warm")
 
     # first one partner for each document: the one that shares most cold columns, and of a hot
     # column the document with most hot ones, which differs least from what its like have in common
-    centre = warm.groupBy("h").agg(F.max_by("d", F.struct("k", "d")).alias("a"), F.max("k").alias("ka"))
+    centre = scratch.saved(warm.groupBy("h").agg(F.max_by("d", F.struct("k", "d")).alias("a"), F.max("k").alias("ka")), "centre")
     stars = warm.join(centre, "h").where("d <> a").groupBy("d").agg(F.max_by("a", F.struct("ka", "a")).alias("a")).select("a", F.col("d").alias("b"))
     partner = cold.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    tries = saved(partner.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tries")
-    links = saved(copies.unionByName(_verified(tries, texts, k, percent)), "links")
-    found = saved(components(links), "classes")
+    tries = scratch.saved(partner.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tries")
+    links = copies.unionByName(scratch.holds(_verified(tries, texts, k, percent)))
+    found = scratch.holds(components(links))
 
     own = lambda df, c: df.join(found.select(F.col("node").alias(c), F.col("component_id").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    again = lambda more: scratch.holds(components(found.where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(scratch.holds(_verified(more, texts, k, percent)))))
     # then another centre for each hot column that still holds several components, out of its largest
-    labelled = saved(own(warm, "d"), "labelled")
+    labelled = scratch.saved(own(warm, "d"), "labelled")
     parts = labelled.groupBy("h", "cd").agg(F.count("*").alias("m"), F.max_by("d", F.struct(F.col("k") + F.pmod(F.xxhash64("d", "h"), F.lit(8)), "d")).alias("e"))
-    columns = parts.groupBy("h").agg(F.max_by(F.struct(F.col("cd").alias("ce"), "e"), F.struct("m", "cd")).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1").select("h", "top.*")
-    tries = labelled.join(columns, "h").where("cd <> ce").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
-    again = lambda more: saved(components(found.where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(_verified(more, texts, k, percent))), "classes")
-    tries = saved(tries, "tries")
+    columns = scratch.saved(parts.groupBy("h").agg(F.max_by(F.struct(F.col("cd").alias("ce"), "e"), F.struct("m", "cd")).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1").select("h", "top.*"), "columns")
+    tries = scratch.saved(labelled.join(columns, "h").where("cd <> ce").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct(), "tries")
     if not tries.isEmpty():
         found = again(tries)
-        labelled = saved(own(warm, "d"), "labelled")
+        labelled = scratch.saved(own(warm, "d"), "labelled")
 
     # at last every pair between different components that shares a leading column and can reach
     # its bound: if this is the first column that they share, what both have from there on must
-    # do; pairs that share a cold column are in ``cold``
+    # do; sizes that fit stand in the same or the next band; pairs that share a cold column are in ``cold``
     apart = own(own(cold.select("a", "b"), "a"), "b").where("ca <> cb").select("a", "b")
-    mixed = labelled.groupBy("h").agg(F.min("cd").alias("lo"), F.max("cd").alias("hi")).where("lo < hi").select("h")
-    left = labelled.join(mixed, "h", "left_semi").withColumn("k", F.col("k") - F.col("p")).drop("p")
-    right = left.select("h", F.col("d").alias("e"), F.col("n").alias("ne"), F.col("k").alias("ke"), F.col("cd").alias("ce"))
+    mixed = scratch.saved(labelled.groupBy("h").agg(F.min("cd").alias("lo"), F.max("cd").alias("hi")).where("lo < hi").select("h"), "mixed")
+    band = F.floor(F.log("n") / math.log(101 / percent))
+    left = labelled.join(mixed, "h", "left_semi").withColumns({"k": F.col("k") - F.col("p"), "band": band}).drop("p")
+    left = scratch.saved(left, "left")
+    right = left.select("h", F.col("d").alias("e"), F.col("n").alias("ne"), F.col("k").alias("ke"), F.col("cd").alias("ce"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
     fits = f"least(k, ke) >= ({percent} * (n + ne) + {99 + percent}) div {100 + percent} - (({percent} * greatest(n, ne) + 99) div 100 - 1)"
-    across = left.join(right, "h").where(f"cd < ce and 100 * least(n, ne) >= {percent} * greatest(n, ne) and {fits}").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b"))
-    more = saved(apart.unionByName(across).distinct(), "more")
+    across = left.join(right, ["h", "band"]).where(f"cd < ce and 100 * least(n, ne) >= {percent} * greatest(n, ne) and {fits}").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b"))
+    more = scratch.saved(apart.unionByName(across).distinct(), "more")
     if not more.isEmpty():
         found = again(more)
+    scratch.clear(found)
+    shared.unpersist()
     out = summary.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without those that have a linked document of smaller id."""
-    other = classes(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(other, F.col("doc_id").cast("bigint") == F.col("_other"), "left_anti")
+    name = unused("other", docs)
+    other = classes(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(other, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ no more than it must.
 
 No piece holds a space after a non-space, so the lattice of a text is a chain of
 lattices of its chunks (spaces and the word behind them). Chunks are solved once
-per worker and batch: all new chunks of a slice share one vectorised Viterbi pass
+per task: all new chunks of a slice share one vectorised Viterbi pass
 forward and backward, which gives the best path and the gap to the second. Of a
 text's chunks only the n - 1 with the smallest gaps can take part in its n best
 segmentations; those go through the A* search, and the search over their
@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import sys
 from itertools import chain, count
 
 import numpy as np
@@ -39,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import small_batches, sub_batches, table
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
-#: Chunks kept by a worker; when a slice would exceed that, the store starts anew with its chunks.
-KEEP_CHUNKS = 400_000
-_SLICE_CHARS = 1 << 20
+#: Solved chunks that a task keeps; when a slice would exceed that, those met only once go, or else all.
+KEEP_CHUNKS = 200_000
 #: Chunks longer than this are solved one by one.
 _LONG = 64
 _CHUNK = re.compile(r" +[^ ]*")
@@ -78,21 +76,37 @@ def load_pieces(path: str) -> dict:
                 raise ValueError(f"piece {text!r} crosses a word")
             pieces[spaced] = (i, float(model.get_score(i)))
     lowest = min(s for _, s in pieces.values() if s > -1e8)
-    return {"pieces": pieces, "bytes": byte_ids, "unknown": lowest - 10.0, "raw": raw}
+    return {"pieces": pieces, "bytes": byte_ids, "unknown": lowest - 10.0, "raw": raw, **_tables(pieces)}
+
+
+def _tables(pieces: dict) -> dict:
+    """Hashes of all pieces and of their beginnings, sorted, with the id and score of pieces."""
+    marks: dict[int, tuple[int, float]] = {}
+    for text, (i, s) in pieces.items():
+        h = 0
+        for k, c in enumerate(text):
+            h = (h * int(_B) + ord(c) + 1) & ((1 << 64) - 1)
+            if k + 1 < len(text):
+                marks.setdefault(h, (-1, 0.0))
+        marks[h] = (i, s)
+    hashes = np.array(sorted(marks), np.uint64)
+    return {"hashes": hashes, "piece_of": np.array([marks[int(h)][0] for h in hashes], np.int64), "score_of": np.array([marks[int(h)][1] for h in hashes])}
 
 
 class Segmenter:
     def __init__(self, model: dict):
         self.pieces, self.byte_ids, self.unknown, self.raw = model["pieces"], model["bytes"], model["unknown"], model["raw"]
+        self.hashes, self.piece_of, self.score_of = model["hashes"], model["piece_of"], model["score_of"]
+        self.near = np.zeros(1 << 22, bool)
+        self.near[self.hashes >> np.uint64(42)] = True
         self.longest = max(map(len, self.pieces))
-        self._tables()
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.score, self.gap, self.met = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
         self.known: dict[tuple[str, int], list] = {}
 
     # -- the lattice of one chunk ------------------------------------------------
@@ -119,6 +133,8 @@ class Segmenter:
             ahead[b] = max(ahead[a] + s for a, s, _ in into[b])
         order = count()
         heap = [(-ahead[-1], next(order), len(chunk), 0.0, None)]
+        # at a position only the n best ways to the end can be part of the n best segmentations
+        ways: list[list[float]] = [[] for _ in ahead]
         out = []
         while heap and len(out) < n:
             _, _, b, done, path = heapq.heappop(heap)
@@ -130,27 +146,18 @@ class Segmenter:
                 out.append((done, tuple(ids)))
                 continue
             for a, s, ids_ in into[b]:
-                heapq.heappush(heap, (-(done + s + ahead[a]), next(order), a, done + s, (ids_, path)))
+                known, new = ways[a], done + s
+                if len(known) < n:
+                    heapq.heappush(known, new)
+                elif new > known[0]:
+                    heapq.heapreplace(known, new)
+                else:
+                    continue
+                heapq.heappush(heap, (-(new + ahead[a]), next(order), a, new, (ids_, path)))
         return out
 
     # -- many chunks at once -------------------------------------------------------
 
-    def _tables(self) -> None:
-        """Hashes of all pieces and of their beginnings."""
-        marks: dict[int, tuple[int, float]] = {}
-        for text, (i, s) in self.pieces.items():
-            h = 0
-            for k, c in enumerate(text):
-                h = (h * int(_B) + ord(c) + 1) & ((1 << 64) - 1)
-                if k + 1 < len(text):
-                    marks.setdefault(h, (-1, 0.0))
-            marks[h] = (i, s)
-        self.hashes = np.array(sorted(marks), np.uint64)
-        self.piece_of = np.array([marks[int(h)][0] for h in self.hashes], np.int64)
-        self.score_of = np.array([marks[int(h)][1] for h in self.hashes])
-        self.near = np.zeros(1 << 22, bool)
-        self.near[self.hashes >> np.uint64(42)] = True
-
     def learn(self, chunks: list[str]) -> None:
         """Solve new chunks: best ids, score and gap to the second best."""
         sizes = np.array([len(c) for c in chunks], np.int64)
@@ -171,7 +178,20 @@ class Segmenter:
         begin = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, *ids])
         self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
-        self.score, self.gap = np.append(self.score, score), np.append(self.gap, gap)
+        self.score, self.gap, self.met = np.append(self.score, score), np.append(self.gap, gap), np.append(self.met, np.zeros(len(chunks), np.int64))
+
+    def forget(self) -> None:
+        """Drop the chunks that were met only once; all, if that leaves over half of what may be kept."""
+        stay = np.flatnonzero(self.met > 1)
+        if len(stay) > KEEP_CHUNKS // 2:
+            return self.clear()
+        size = self.size[stay]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[stay] - (ends - size), size)]
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.begin, self.size, self.score, self.gap, self.met = ends - size, size, self.score[stay], self.gap[stay], np.ones(len(stay), np.int64)
+        self.known = {k: v for k, v in self.known.items() if k[0] in self.place}
 
     def _solve(self, chunks: list[str], size: np.ndarray, where: np.ndarray, ids: list) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over chunks of similar length side by side: ``into[w, t, k - 1]`` is the
@@ -244,31 +264,26 @@ class Segmenter:
 
     # -- texts -----------------------------------------------------------------------
 
-    def slices(self, texts: list[str | None]):
+    def split(self, texts: list[str | None]):
         """Yield (row, chunks, places of the chunks, ids) with every chunk solved."""
-        row = 0
-        while row < len(texts):
-            end, length = row, 0
-            while end < len(texts) and (end == row or length < _SLICE_CHARS):
-                length += len(texts[end] or "")
-                end += 1
-            split = [_CHUNK.findall(" " + t) if t else [] for t in texts[row:end]]
-            new = set().union(*split).difference(self.place)
-            if len(self.place) + len(new) > KEEP_CHUNKS:
-                self.clear()
-                new = set().union(*split)
-            if new:
-                self.learn(sorted(new))
-            n_chunks = np.array([len(c) for c in split])
-            places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(n_chunks.sum()))
-            size = self.size[places]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[places] - ends[:-1], size)]
-            stop = np.cumsum(n_chunks)
-            for k, chunks in enumerate(split):
-                a, b = int(stop[k] - n_chunks[k]), int(stop[k])
-                yield row + k, chunks, places[a:b], ids[ends[a]: ends[b]]
-            row = end
+        split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        all_ = set().union(*split)
+        new = all_.difference(self.place)
+        if len(self.place) + len(new) > KEEP_CHUNKS:
+            self.forget()
+            new = all_.difference(self.place)
+        if new:
+            self.learn(sorted(new))
+        n_chunks = np.array([len(c) for c in split])
+        places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(n_chunks.sum()))
+        self.met += np.bincount(places, minlength=len(self.met))
+        size = self.size[places]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[places] - ends[:-1], size)]
+        stop = np.cumsum(n_chunks)
+        for k, chunks in enumerate(split):
+            a, b = int(stop[k] - n_chunks[k]), int(stop[k])
+            yield k, chunks, places[a:b], ids[ends[a]: ends[b]]
 
     def text_nbest(self, chunks: list[str], places: np.ndarray, n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         """The n best segmentations of a text: score, and the ids of the chunks that differ from the best."""
@@ -303,16 +318,6 @@ class Segmenter:
         return text[1:] if text else text
 
 
-def _segmenter(shared) -> Segmenter:
-    """One segmenter per Python worker and model: tasks that follow find its chunks solved."""
-    held = sys.__dict__.setdefault("_statespan_segmenters", {})
-    key = (len(shared.value["pieces"]), hash(tuple(shared.value["raw"])), KEEP_CHUNKS)
-    if key not in held:
-        held.clear()
-        held[key] = Segmenter(shared.value)
-    return held[key]
-
-
 def segmentations(tokens: list[int], others: list) -> list[list[int]]:
     """The ids of all n best segmentations of a row of ``encode``, best first."""
     out = [list(tokens)]
@@ -345,11 +350,11 @@ def _edits(rows: list) -> pa.Array:
 
 def _encode(shared, n: int, with_ids: bool):
     def run(batches):
-        tool = _segmenter(shared)
-        for batch in batches:
+        tool = Segmenter(shared.value)
+        for batch in chain.from_iterable(map(sub_batches, batches)):
             texts = batch.column("text").to_pylist()
             size, digest, scores, back, tokens, others = [], [], [], [], [], []
-            for r, chunks, places, ids in tool.slices(texts):
+            for r, chunks, places, ids in tool.split(texts):
                 if texts[r] is None:
                     for x in (size, digest, scores, back, tokens, others):
                         x.append(None)
@@ -376,6 +381,7 @@ def encode(docs: DataFrame, model: str | None = None, n: int = N_BEST, with_ids:
     """doc_id, n_tokens, tokens_sha256 (of the ids as 32-bit little-endian numbers), scores
     (of the n best segmentations), round_trip (decoding gives back the text), tokens of the best
     and, for each of the others, the edits (start, end, ids) that make it of those tokens."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model or default_model()))
     schema = "row bigint, n_tokens bigint, tokens_sha256 string, scores array<double>, round_trip boolean" + (", tokens array<int>, others array<array<struct<start:int,end:int,ids:array<int>>>>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("row"), "text")
@@ -387,7 +393,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(model or default_model()))
 
     def run(batches):
-        tool = _segmenter(shared)
+        tool = Segmenter(shared.value)
         for batch in batches:
             texts = [None if t is None else tool.decode(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
