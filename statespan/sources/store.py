@@ -18,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where a session has none."""
+    """``spark.checkpoint.dir``, or a temporary folder where a local session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
     return _own.setdefault("path", "file://" + tempfile.mkdtemp(prefix="statespan-"))
 
 
