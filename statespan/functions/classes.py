@@ -3,7 +3,7 @@ class = white index * 48 + black index. A class name is K and letters, v, K and
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,30 +15,36 @@ SLOTS = {"P": 1, "Q": 2, "R": 3, "B": 4, "N": 5}
 COUNTED = "PNBRQ"
 
 
+def side_pieces(side: int) -> tuple[int, ...]:
+    """Pieces P, N, B, R, Q of a side index."""
+    subset, slot = divmod(side, 6)
+    return tuple(bool(p in SUBSET and subset & SUBSET[p]) + (slot == SLOTS[p]) for p in COUNTED)
+
+
+@lru_cache
+def canonical_sides() -> frozenset[int]:
+    """The side indexes of which the slot's piece, if the subset could hold it, is in the subset
+    too: every count of pieces has one of them at most."""
+    return frozenset(i for i in range(SIDES) if all(i % 6 != SLOTS[p] or i // 6 & bit for p, bit in SUBSET.items()))
+
+
 def side_counts(side: Column) -> dict[str, Column]:
     """Pieces P, N, B, R, Q of a side index."""
-    subset, slot = F.floor(side / 6).cast("int"), F.pmod(side, F.lit(6))
-    one = lambda c: F.when(c, 1).otherwise(0)
-    return {p: (one(subset.bitwiseAND(SUBSET[p]) != 0) if p in SUBSET else F.lit(0)) + one(slot == SLOTS[p]) for p in COUNTED}
+    return {p: F.get(F.lit([side_pieces(i)[k] for i in range(SIDES)]), side) for k, p in enumerate(COUNTED)}
 
 
 def side_index(c: dict[str, Column]) -> Column:
-    """The canonical side index of counts; null where no class has them: at most one
-    product of promotion, and none beside the pawn."""
-    double = sum((F.when(c[p] == 2, 1).otherwise(0) for p in SUBSET), F.lit(0))
-    slot = (F.when(c["P"] == 1, F.when((c["Q"] == 0) & (double == 0), SLOTS["P"]))
-            .when(c["Q"] == 1, F.when(double == 0, SLOTS["Q"]))
-            .when(double > 1, None)
-            .when(c["B"] == 2, SLOTS["B"]).when(c["N"] == 2, SLOTS["N"]).when(c["R"] == 2, SLOTS["R"]).otherwise(0))
-    fits = reduce(lambda a, b: a & b, [(c[p] >= 0) & (c[p] <= (2 if p in SUBSET else 1)) for p in COUNTED])
-    subset = sum((F.when(c[p] > 0, bit).otherwise(0) for p, bit in SUBSET.items()), F.lit(0))
-    return F.when(fits, subset * 6 + slot)
+    """The canonical side index of counts, found in the table of all canonical ones' counts;
+    null where none has them."""
+    of = {side_pieces(i): i for i in canonical_sides()}
+    table = F.lit([of.get(tuple(v // 3 ** k % 3 for k in range(len(COUNTED))), -1) for v in range(3 ** len(COUNTED))])
+    fits = reduce(lambda a, b: a & b, [c[p].between(0, 2) for p in COUNTED])
+    at = sum((c[p] * 3 ** k for k, p in enumerate(COUNTED)), F.lit(0))
+    return F.nullif(F.when(fits, F.get(table, at.cast("int"))), F.lit(-1))
 
 
 def is_canonical(side: Column) -> Column:
-    """Every slot piece that the subset could hold is in the subset, too."""
-    subset, slot = F.floor(side / 6).cast("int"), F.pmod(side, F.lit(6))
-    return reduce(lambda a, b: a & b, [(slot != SLOTS[p]) | (subset.bitwiseAND(SUBSET[p]) != 0) for p in SUBSET])
+    return side.isin(sorted(canonical_sides()))
 
 
 def side_name(c: dict[str, Column]) -> Column:

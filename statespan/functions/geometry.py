@@ -6,11 +6,12 @@ from functools import lru_cache
 
 FILES, RANKS = 4, 5
 SQUARES = FILES * RANKS
-# Move offsets (rank, file) in the order in which moves are tried.
-KNIGHT = [(1, 2), (2, 1), (-1, 2), (-2, 1), (1, -2), (2, -1), (-1, -2), (-2, -1)]
-KING = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)]
-ROOK = [(1, 0), (-1, 0), (0, 1), (0, -1)]
-BISHOP = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
+# Offsets (rank, file) from rules: a knight's have lengths 1 and 2, a king's at most 1.
+_AROUND = [(r, f) for r in range(-2, 3) for f in range(-2, 3)]
+KNIGHT = [s for s in _AROUND if {abs(s[0]), abs(s[1])} == {1, 2}]
+ROOK = [s for s in _AROUND if abs(s[0]) + abs(s[1]) == 1]
+BISHOP = [s for s in _AROUND if abs(s[0]) == abs(s[1]) == 1]
+KING = sorted(ROOK + BISHOP)
 PROMOTIONS = "QRBN"
 
 
@@ -64,16 +65,11 @@ def move_lines() -> list[tuple]:
     return out
 
 
-@lru_cache
-def attack_lines() -> dict[tuple[int, bool], list[tuple[int, int, str]]]:
-    """{(square, by white): [(from, between, pieces that attack along it)]}."""
-    out = {}
-    for sq in range(SQUARES):
-        rank, file = divmod(sq, FILES)
-        for white in (True, False):
-            name = str.upper if white else str.lower
-            lines = [(a, 0, name("P")) for df in (-1, 1) if (a := square(rank + (-1 if white else 1), file + df)) is not None]
-            for kind, pieces in (("N", "N"), ("K", "K"), ("B", "BQ"), ("R", "RQ")):
-                lines += [(a, mask, name(pieces)) for a, mask in _reach(kind, sq)]
-            out[sq, white] = lines
-    return out
+def ray_mask(start: int, step: tuple[int, int]) -> int:
+    """Mask of the squares along a direction."""
+    return sum(1 << to for to, _ in _ray(start, step))
+
+
+def reach_mask(kind: str, start: int) -> int:
+    """Mask of the squares that a piece reaches on an empty board."""
+    return sum(1 << to for to, _ in _reach(kind, start))

@@ -1,120 +1,72 @@
 """Exact keys: (class base + rank of the placement) * 8 + castling * 2 + side to move.
 
 The rank counts the placements of the same pieces that come before, square by square in
-the order of types ``TYPES``; ranking and unranking are vectorised over Arrow batches, as
-twenty dependent steps would leave generated code if written as lambdas.
+the order of types ``TYPES``; ranking, unranking and the search for the class of a key
+run over Arrow batches (``boards``), as twenty dependent steps would leave generated code
+if written as lambdas. What a class is called comes from an equi-join with the class table.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .classes import COUNTED, SIDES, class_table, side_index
-from .geometry import SQUARES
+from . import boards
+from .classes import class_table
 
-#: Fixed value: order of the piece types in a rank.
-TYPES = ".KkPNBRQpnbrq"
 MAX_KEY = 123_263_644_654_240
 
 
-@F.pandas_udf(T.LongType())
-def placement_rank(board: pd.Series) -> pd.Series:
-    """Rank of a board among the placements of its pieces; null for what is no board."""
-    good = board.notna() & (board.str.len() == SQUARES)
-    kind = np.full(256, 255, np.uint8)
-    kind[[ord(c) for c in TYPES]] = range(len(TYPES))
-    raw = np.frombuffer("".join(board[good]).encode("latin-1", "replace"), np.uint8).reshape(-1, SQUARES)
-    types = kind[raw].astype(np.int64)
-    known = (types < len(TYPES)).all(axis=1) if len(types) else np.zeros(0, bool)
-    types = np.where(known[:, None], types, 0)
-    rows = np.arange(len(types))
-    left = np.stack([(types == t).sum(axis=1) for t in range(len(TYPES))], axis=1) if len(types) else np.zeros((0, len(TYPES)), np.int64)
-    ways = np.ones(len(types), np.int64)
-    total = np.zeros(len(types), np.int64)
-    for t in range(1, len(TYPES)):  # 20! / (free! * product of counts!), by binomials
-        for k in range(int(left[:, t].max(initial=0))):
-            has = left[:, t] > k
-            ways = np.where(has, ways * (SQUARES - total) // (k + 1), ways)
-            total += has
-    rank = np.zeros(len(types), np.int64)
-    for sq in range(SQUARES):
-        t = types[:, sq]
-        less = np.where(np.arange(len(TYPES)) < t[:, None], left, 0).sum(axis=1)
-        rank += ways * less // (SQUARES - sq)
-        ways = ways * left[rows, t] // (SQUARES - sq)
-        left[rows, t] -= 1
-    out = pd.Series(pd.NA, index=board.index, dtype="Int64")
-    out[good] = pd.array(np.where(known, rank, 0), dtype="Int64")
-    out[good & ~pd.Series(good).where(~good, pd.Series(known, index=board.index[good]).reindex(board.index, fill_value=False))] = pd.NA
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def placement(rank: pd.Series, white: pd.Series, black: pd.Series) -> pd.Series:
-    """The board of a rank, for piece counts (P, N, B, R, Q) of the two sides."""
-    good = (rank.notna() & white.notna() & black.notna()).to_numpy()
-    r = rank[good].to_numpy(np.int64)
-    n = len(r)
-    w = np.array([list(x) for x in white[good]], np.int64).reshape(n, len(COUNTED))
-    b = np.array([list(x) for x in black[good]], np.int64).reshape(n, len(COUNTED))
-    left = np.concatenate([SQUARES - 2 - w.sum(axis=1, keepdims=True) - b.sum(axis=1, keepdims=True), np.ones((n, 2), np.int64), w, b], axis=1)
-    ways, total = np.ones(n, np.int64), np.zeros(n, np.int64)
-    for t in range(1, len(TYPES)):
-        for k in range(int(left[:, t].max(initial=0))):
-            has = left[:, t] > k
-            ways = np.where(has, ways * (SQUARES - total) // (k + 1), ways)
-            total += has
-    rows, out = np.arange(n), np.zeros((n, SQUARES), np.uint8)
-    letters = np.frombuffer(TYPES.encode(), np.uint8)
-    for sq in range(SQUARES):
-        block = ways[:, None] * left // (SQUARES - sq)
-        ends = np.cumsum(block, axis=1)
-        t = (ends <= r[:, None]).sum(axis=1)
-        t = np.minimum(t, len(TYPES) - 1)
-        r = r - (ends[rows, t] - block[rows, t])
-        ways = block[rows, t]
-        left[rows, t] -= 1
-        out[:, sq] = letters[t]
-    result = pd.Series([None] * len(rank), index=rank.index, dtype=object)
-    result[good] = [x.tobytes().decode() for x in out]
-    return result
-
-
-def class_of(board: Column) -> Column:
-    """The class of a board; null where it has none."""
-    count = lambda c: F.length(board) - F.length(F.translate(board, c, ""))
-    sides = [side_index({p: count(p if white else p.lower()) for p in COUNTED}) for white in (True, False)]
-    return F.when((count("K") == 1) & (count("k") == 1), sides[0] * SIDES + sides[1]).cast("int")
+def _numbers(column: pa.Array, kind, missing) -> np.ndarray:
+    return column.fill_null(missing).to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _null_below(values: np.ndarray, kind) -> pa.Array:
+    return pa.array(values, kind, mask=values < 0)
+
+
+@F.arrow_udf(T.StructType().add("class_id", "integer").add("key", "long"))
+def position_key(board: pa.Array, wtm: pa.Array, castling: pa.Array) -> pa.Array:
+    """Class and key of a position; null for what is none."""
+    codes, good = boards.codes_of(board)
+    good &= wtm.is_valid().to_numpy(zero_copy_only=False) & castling.is_valid().to_numpy(zero_copy_only=False)
+    key, class_id = boards.keys_of(codes, _numbers(wtm, bool, False), _numbers(castling, np.int64, 0))
+    return pa.StructArray.from_arrays([_null_below(np.where(good, class_id, -1), pa.int32()), _null_below(np.where(good, key, -1), pa.int64())], names=["class_id", "key"])
+
+
+@F.arrow_udf(T.IntegerType())
+def key_class(key: pa.Array) -> pa.Array:
+    """The class whose range of keys holds a key; null outside of all."""
+    return _null_below(boards.classes_of_keys(_numbers(key, np.int64, -8)), pa.int32())
+
+
+@F.arrow_udf(T.StructType().add("class_id", "integer").add("board", "string").add("wtm", "boolean").add("castling", "integer"))
+def key_position(key: pa.Array) -> pa.Array:
+    """Class and position of a key; no position for keys that are none (out of range, or of
+    a class that is only another name)."""
+    values = _numbers(key, np.int64, -8)
+    good, codes, white, castling = boards.positions_of(values)
+    return pa.StructArray.from_arrays([
+        _null_below(boards.classes_of_keys(values), pa.int32()), boards.boards_of(codes, good), pa.array(white, mask=~good), pa.array(castling, pa.int32(), mask=~good)],
+        names=["class_id", "board", "wtm", "castling"])
 
 
 def encode(df: DataFrame) -> DataFrame:
     """Rows with board, wtm, castling, and their class_id and key (null where no class fits)."""
-    table = class_table(df.sparkSession).select("class_id", "base")
-    rows = df.drop("class_id", "key").withColumn("class_id", class_of(F.col("board"))).join(F.broadcast(table), "class_id", "left")
-    bits = F.col("castling") * 2 + F.when(F.col("wtm"), 0).otherwise(1)
-    return rows.withColumn("key", ((F.col("base") + placement_rank("board")) * 8 + bits).cast("bigint")).drop("base")
+    rest = [c for c in df.columns if c not in ("class_id", "key")]
+    return df.select(*rest, position_key("board", "wtm", "castling").alias("_position")).select(*rest, "_position.class_id", "_position.key")
 
 
 def with_class(df: DataFrame) -> DataFrame:
-    """Rows with a key, and the class whose range of keys holds it: a range join with the
-    2,304 classes, by the bounds of a class."""
-    table = class_table(df.sparkSession)
-    bounds = F.broadcast(table.select("class_id", "name", "white", "black", "canonical", "base", "placements"))
-    q = F.shiftright("key", 3)
-    return df.join(bounds, (q >= F.col("base")) & (q < F.col("base") + F.col("placements")), "left")
+    """Rows with a key, and the class whose range of keys holds it."""
+    table = F.broadcast(class_table(df.sparkSession).select("class_id", "name", "white", "black", "canonical", "base", "placements"))
+    return df.drop("class_id").withColumn("class_id", key_class("key")).join(table, "class_id", "left")
 
 
 def decode(df: DataFrame) -> DataFrame:
-    """Rows with a key, and its board, wtm and castling; null for keys that are none (out of
-    range, or of a class that is only another name)."""
-    rows = with_class(df)
-    rank = F.when(F.col("canonical"), F.shiftright("key", 3) - F.col("base"))
-    valid = F.col("board").isNotNull()
-    return (rows.withColumn("board", placement(rank, "white", "black"))
-            .withColumn("wtm", F.when(valid, F.col("key").bitwiseAND(1) == 0))
-            .withColumn("castling", F.when(valid, F.shiftright(F.col("key").bitwiseAND(7), 1).cast("int")))
-            .drop("white", "black", "base", "placements"))
+    """Rows with a key, its class_id, and its board, wtm and castling; null for keys that are none."""
+    rest = [c for c in df.columns if c not in ("class_id", "board", "wtm", "castling")]
+    return df.select(*rest, key_position("key").alias("_position")).select(*rest, "_position.*")

@@ -3,12 +3,14 @@ move) and castling (1 white's right, 2 black's); texts in FEN and UCI notation."
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .geometry import FILES, SQUARES, attack_lines
+from . import boards
+from .geometry import FILES, SQUARES
 
 START_FEN = "kbnr/3p/4/3P/KBNR w Dd - 0 1"
 PIECES = "PNBRQKpnbrqk"
@@ -57,21 +59,16 @@ def square_name(sq: Column) -> Column:
 
 
 def square_of(name: Column) -> Column:
-    return (F.instr(F.lit("abcd"), F.substring(name, 1, 1)) - 1 + FILES * (F.substring(name, 2, 1).cast("int") - 1)).cast("int")
-
-
-def uci(from_sq: Column, to_sq: Column, promo: Column) -> Column:
-    return F.concat(square_name(from_sq), square_name(to_sq), F.lower(promo))
+    return (F.instr(F.lit("abcd"), F.substring(name, 1, 1)) - 1 + FILES * (F.instr(F.lit("12345"), F.substring(name, 2, 1)) - 1)).cast("int")
 
 
-def mask(board: Column, characters: str) -> Column:
-    """Bit mask of the squares that hold one of the characters."""
-    ones = "".join("1" if c in characters else "0" for c in "." + PIECES)
-    return F.conv(F.reverse(F.translate(board, "." + PIECES, ones)), 2, 10).cast("int")
+def uci_squares(text: Column) -> tuple[Column, Column]:
+    """The two squares of a move in UCI notation."""
+    return square_of(F.substring(text, 1, 2)), square_of(F.substring(text, 3, 2))
 
 
-def occupied(board: Column) -> Column:
-    return mask(board, PIECES)
+def uci(from_sq: Column, to_sq: Column, promo: Column) -> Column:
+    return F.concat(square_name(from_sq), square_name(to_sq), F.lower(promo))
 
 
 def king_square(board: Column, white: Column) -> Column:
@@ -80,27 +77,20 @@ def king_square(board: Column, white: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
-_LINES = "array<struct<sq:int,between:int,pieces:string>>"
-
-
-def _lines(rows) -> list[dict]:
-    return [{"sq": a, "between": m, "pieces": p} for a, m, p in rows]
-
-
-def attacked(board: Column, occ: Column, sq: int | Column, by_white: bool | Column) -> Column:
-    """Whether a side attacks a square; ``sq`` and ``by_white`` may be columns. The lines are
-    one constant, which the optimiser folds."""
-    if isinstance(sq, int) and isinstance(by_white, bool):
-        lines = F.from_json(F.lit(json.dumps(_lines(attack_lines()[sq, by_white]))), _LINES)
-    else:
-        table = json.dumps([_lines(attack_lines()[s, w]) for s in range(SQUARES) for w in (False, True)])
-        lines = F.get(F.from_json(F.lit(table), f"array<{_LINES}>"), 2 * sq + F.when(by_white, 1).otherwise(0))
-    return F.exists(lines, lambda x: (x["between"].bitwiseAND(occ) == 0) & (F.instr(x["pieces"], F.substring(board, x["sq"] + 1, F.lit(1))) > 0))
+@F.arrow_udf(T.BooleanType())
+def attacked(board: pa.Array, sq: pa.Array, by_white: pa.Array) -> pa.Array:
+    """Whether a side attacks a square; null where one of them is null or no board."""
+    codes, good = boards.codes_of(board)
+    good &= sq.is_valid().to_numpy(zero_copy_only=False) & by_white.is_valid().to_numpy(zero_copy_only=False)
+    at = np.where(good, sq.fill_null(0).to_numpy(zero_copy_only=False), 0)
+    return pa.array(boards.attacked(codes, at, by_white.fill_null(False).to_numpy(zero_copy_only=False)), mask=~good)
 
 
-def in_check(board: Column, wtm: Column) -> Column:
-    """Whether the side to move is in check; false without a king."""
-    return F.coalesce(attacked(board, occupied(board), king_square(board, wtm), ~wtm), F.lit(False))
+@F.arrow_udf(T.BooleanType())
+def in_check(board: pa.Array, wtm: pa.Array) -> pa.Array:
+    """Whether the side to move is in check; false without a king or a board."""
+    codes, good = boards.codes_of(board)
+    return pa.array(boards.checked(codes, wtm.fill_null(False).to_numpy(zero_copy_only=False)) & good)
 
 
 def mirrored(board: Column, wtm: Column, castling: Column) -> dict[str, Column]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import Steps, saved, shared_folder
+from ..sources.store import Steps, discard, saved, shared_folder
 
 
 def layers(roots: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str], max_steps: int | None = None, path: str | None = None, alternating: bool = False) -> DataFrame:
@@ -50,10 +50,12 @@ def fixed_point(edges: DataFrame, settled: DataFrame) -> DataFrame:
     is DRAW. Semi-naive: each round joins only newly settled nodes to their parents, and a
     count of WIN children grows until it meets the out-degree. Returns (node, value, round).
     """
+    scratch = [saved(edges.distinct(), "edges")]
+    edges = scratch[0]
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).union(settled.select("node")).distinct()
-    degree = saved(edges.distinct().groupBy("parent").agg(F.count("*").alias("degree")), "degree")
-    edges = saved(edges.distinct(), "edges")
+    degree = saved(edges.groupBy("parent").agg(F.count("*").alias("degree")), "degree")
     known = saved(settled.select("node", "value", F.lit(0).alias("round")), "known")
+    scratch += [degree, known]
     wins = None  # parent, number of children known to be WIN
     new, turn = known, 0
     while not new.isEmpty():
@@ -65,10 +67,13 @@ def fixed_point(edges: DataFrame, settled: DataFrame) -> DataFrame:
         counted = saved(counted.join(known.select(F.col("node").alias("parent")), "parent", "left_anti"), "counted")
         value = F.when(F.col("win"), "WIN").when(F.col("wins") == F.col("degree"), "LOSS")
         new = saved(counted.join(degree, "parent").select(F.col("parent").alias("node"), value.alias("value"), F.lit(turn).alias("round")).where("value is not null"), "new")
+        scratch += [counted, new]
         wins = counted.select("parent", "wins").join(new.select(F.col("node").alias("parent")), "parent", "left_anti")
         known = known.unionByName(new)
     draws = nodes.join(known, "node", "left_anti").select("node", F.lit("DRAW").alias("value"), F.lit(None).cast("int").alias("round"))
-    return known.unionByName(draws)
+    out = saved(known.unionByName(draws), "values")
+    discard(*scratch)
+    return out
 
 
 def audit(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -89,3 +94,26 @@ def witness(roots: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
     every = edges.join(values.where("value = 'LOSS'").select(F.col("node").alias("parent")), "parent").select("parent", "child")
     proof = saved(first.unionByName(every).distinct(), "proof")
     return layers(roots.select("node"), neighbours(proof, "parent", "child"), ["node"])
+
+
+def principal_line(roots: DataFrame, edges: DataFrame, values: DataFrame, most: int = 200) -> DataFrame:
+    """One line of best play from each root: (root, step, node). At a WIN node the LOSS child
+    that settled first, at a LOSS node the WIN child that settled last, ties by ``move_ord``;
+    it ends at a node that is settled from the start or a DRAW, after ``most`` steps at the latest."""
+    child = values.select(F.col("node").alias("child"), F.col("value").alias("v"), F.col("round").alias("r"))
+    both = edges.join(values.select(F.col("node").alias("parent"), "value", "round"), "parent").join(child, "child").where("round > 0 and ((value = 'WIN' and v = 'LOSS') or (value = 'LOSS' and v = 'WIN'))")
+    order = F.struct(F.when(F.col("value") == "WIN", F.col("r")).otherwise(-F.col("r")), "move_ord", "child")
+    best = saved(both.groupBy("parent").agg(F.min_by("child", order).alias("child")), "best")
+    front = saved(roots.select(F.col("node").alias("root"), F.lit(0).alias("step"), "node"), "line")
+    out = front
+    while not front.isEmpty() and most > 0:
+        most -= 1
+        front = saved(front.join(best, front["node"] == best["parent"]).select("root", (F.col("step") + 1).alias("step"), F.col("child").alias("node")), "line")
+        out = out.unionByName(front)
+    return out
+
+
+def cross_check(values: DataFrame, other: DataFrame) -> DataFrame:
+    """How two tables of values agree: value, other_value (null where one lacks the node), n, same."""
+    both = values.select("node", "value").join(other.select("node", F.col("value").alias("other_value")), "node", "full")
+    return both.groupBy("value", "other_value").agg(F.count("*").alias("n")).withColumn("same", F.col("value").eqNullSafe(F.col("other_value")))

@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys
+from ..functions.position import mirrored
 from ..sources.store import saved
 from .graph import layers
-from .moves import successors
+from .moves import child_keys, key_move_counts, successors
 
 STATE = ["board", "wtm", "castling"]
 
 
+def keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns and the keys of positions; a position that no key stands for raises."""
+    rows = keys.encode(df.select(*columns, *STATE))
+    return rows.select(*columns, F.coalesce("key", F.raise_error(F.lit("a position without a key")).cast("bigint")).alias("key"))
+
+
 def perft(df: DataFrame, depth: int, by: list[str] | None = None) -> DataFrame:
     """Number of move paths of ``depth`` plies from each group of positions: the ``by``
-    columns and ``nodes``. Transpositions are merged at every ply, with the number of
-    paths into them as weight; counts don't depend on clocks, so neither does the merge."""
+    columns and ``nodes``. Positions go as exact keys; transpositions are merged at every ply,
+    with the number of paths into them as weight, and the last ply is only counted."""
     by = by or []
-    front = df.select(*by, *STATE, F.lit(1).cast("bigint").alias("paths"))
-    for ply in range(depth):
-        front = successors(front, [*by, "paths"]).groupBy(*by, *STATE).agg(F.sum("paths").alias("paths"))
-        if ply + 1 < depth:
+    front = keyed(df, by).withColumn("paths", F.lit(1).cast("bigint"))
+    for ply in range(depth - 1):
+        front = child_keys(front, [*by, "paths"]).groupBy(*by, "key").agg(F.sum("paths").alias("paths"))
+        if ply + 2 < depth:
             front = saved(front, "perft")
+    if depth:
+        front = key_move_counts(front, [*by, "paths"]).withColumn("paths", F.col("paths") * F.col("n_moves")).where("n_moves > 0")
     return front.groupBy(*by).agg(F.coalesce(F.sum("paths"), F.lit(0)).alias("nodes"))
 
 
@@ -32,21 +42,20 @@ def divide(df: DataFrame, depth: int) -> DataFrame:
 
 
 def reachable(df: DataFrame, plies: int | None = None, path: str | None = None, quiet: bool = False) -> DataFrame:
-    """Every position that can be reached, with its first ply as ``step``; ``quiet`` leaves out
-    captures and promotions. Plies alternate the side to move, which halves the anti-join."""
-    def expand(front: DataFrame) -> DataFrame:
-        after = successors(front, [])
-        return after.where("captured = '.' and promo = ''") if quiet else after
-
-    return layers(df.select(*STATE), expand, STATE, plies, path, alternating=df.select("wtm").distinct().count() == 1)
+    """Every position that can be reached: key, class_id, position and its first ply as
+    ``step``; ``quiet`` leaves out captures and promotions. The walk goes on exact keys, 8 bytes
+    a row; plies alternate the side to move, which halves the anti-join."""
+    one_side = df.select("wtm").distinct().count() == 1
+    found = layers(keyed(df, []), lambda front: child_keys(front, quiet=quiet), ["key"], plies, path, alternating=one_side)
+    return keys.decode(found)
 
 
 def layered(df: DataFrame, plies: int) -> DataFrame:
     """Distinct positions of each ply, without regard to earlier ones: step, positions."""
-    front, rows = df.select(*STATE).distinct(), []
+    front, rows = keyed(df, []).distinct(), []
     for step in range(plies + 1):
         if step:
-            front = saved(successors(front, []).select(*STATE).distinct(), "layer")
+            front = saved(child_keys(front).distinct(), "layer")
         rows.append(front.agg(F.lit(step).alias("step"), F.count("*").alias("positions")))
     out = rows[0]
     for r in rows[1:]:
@@ -54,6 +63,31 @@ def layered(df: DataFrame, plies: int) -> DataFrame:
     return out
 
 
+def paths(df: DataFrame, plies: int) -> DataFrame:
+    """Every path of some plies, transpositions not merged: the columns of ``df`` but the
+    position's, path (UCI texts) and the position at its end."""
+    front = df.withColumn("path", F.array().cast("array<string>"))
+    for _ in range(plies):
+        keep = [c for c in front.columns if c not in (*STATE, "halfmove", "fullmove")]
+        after = successors(front, keep)
+        front = after.select(*[c for c in keep if c != "path"], F.concat("path", F.array("uci")).alias("path"), *STATE, *[c for c in ("halfmove", "fullmove") if c in front.columns])
+    return front
+
+
+def first_step(reached: DataFrame, targets: DataFrame) -> DataFrame:
+    """The first ply at which each target key is reached: key, step (null if never)."""
+    return targets.select("key").distinct().join(reached.select("key", "step"), "key", "left")
+
+
+def mirror_presence(reached: DataFrame) -> DataFrame:
+    """Per step: n, how many of its positions have their mirror image reached too, the rate and
+    what merging the two would save, 1 / (1 - rate / 2)."""
+    flipped = keys.encode(reached.select("step", *[c for c in mirrored(F.col("board"), F.col("wtm"), F.col("castling")).values()]))
+    hit = flipped.join(reached.select("key", F.lit(1).alias("hit")).distinct(), "key", "left")
+    rate = F.avg(F.coalesce("hit", F.lit(0)).cast("double"))
+    return hit.groupBy("step").agg(F.count("*").alias("n"), F.count("hit").alias("n_mirrored"), rate.alias("rate"), (1 / (1 - rate / 2)).alias("saving"))
+
+
 def ladder(reached: DataFrame) -> DataFrame:
     """step, new, cumulative and growth (new over the step before) of reached rows."""
     from pyspark.sql import Window

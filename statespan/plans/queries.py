@@ -40,7 +40,7 @@ def key_round_trip(spark, sf_dir):
 
 def key_injectivity(spark, sf_dir):
     rows = keys.decode(line_keys(spark, sf_dir)).where("board is not null")
-    return rows.agg(F.countDistinct("key").alias("n_keys"), F.countDistinct("board", "wtm", "castling").alias("n_positions"), F.max("key").alias("max_key"), F.sum("key").cast("decimal(38,0)").cast("double").alias("key_sum"))
+    return rows.agg(F.countDistinct("key").alias("n_keys"), F.countDistinct("board", "wtm", "castling").alias("n_positions"), F.max("key").alias("max_key"), F.sum(F.col("key").cast("decimal(38,0)")).cast("double").alias("key_sum"))
 
 
 def class_histogram(spark, sf_dir):
@@ -80,11 +80,8 @@ def mirror_pairs(spark, sf_dir):
 
 def move_counts(spark, sf_dir):
     """Positions of the orders by side and state: moving, mated, stalemated or without a king to move."""
-    rows = saved(order_positions(spark, sf_dir), "order-positions")
-    n = moves.successors(rows, ["o_orderkey"]).groupBy("o_orderkey").agg(F.count("*").alias("n_moves"), F.count_if(F.col("captured") != ".").alias("n_captures"), F.count_if(F.col("promo") != "").alias("n_promotions"))
-    state = rows.join(n, "o_orderkey", "left").withColumn("check", position.in_check(F.col("board"), F.col("wtm")))
-    kind = F.when(F.col("n_moves").isNotNull(), "moving").when(F.col("check"), "mate").otherwise("stalemate")
-    return state.groupBy("wtm", "check", kind.alias("state")).agg(F.count("*").alias("n"), F.sum(F.coalesce("n_moves", F.lit(0))).alias("n_moves"), F.sum(F.coalesce("n_captures", F.lit(0))).alias("n_captures"), F.sum(F.coalesce("n_promotions", F.lit(0))).alias("n_promotions"))
+    state = moves.summaries(order_positions(spark, sf_dir))
+    return state.groupBy("wtm", "check", "state").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("n_moves", "n_captures", "n_promotions")])
 
 
 def paths_two_plies(spark, sf_dir):
@@ -94,15 +91,15 @@ def paths_two_plies(spark, sf_dir):
 
 def reach_two_plies(spark, sf_dir):
     """New positions per ply within two plies of all orders' positions."""
-    return reach.ladder(reach.reachable(order_positions(spark, sf_dir), 2))
+    return reach.ladder(reach.reachable(order_positions(spark, sf_dir), 2)).withColumn("growth", F.round("growth", 6))
 
 
 def endgame_values(spark, sf_dir):
     """Each order stands for a king and rook against king position by its key; orders by value."""
     solved = retro.solve(spark, ["Kk", "KkR"]).where("pieces = 'KkR'").select("node", "value", "round")
     rows = _table(spark, sf_dir, "orders").select("o_orderstatus", F.pmod(F.col("o_orderkey") * 2654435, F.lit(16000)).alias("i"))
-    rows = rows.select("o_orderstatus", retro.index_board(F.col("i"), "KkR").alias("board"), (F.col("i") % 2 == 0).alias("wtm"))
-    found = rows.withColumn("node", retro.node(F.col("board"), F.col("wtm"))).join(solved, "node", "left")
+    rows = rows.select("o_orderstatus", retro.index_board(F.col("i"), "KkR").alias("board"), (F.col("i") % 2 == 0).alias("wtm"), F.lit(0).alias("castling"))
+    found = keys.encode(rows).join(solved, F.col("key") == F.col("node"), "left")
     return found.groupBy("o_orderstatus", F.coalesce("value", F.lit("ILLEGAL")).alias("value")).agg(F.count("*").alias("n"), F.max("round").alias("max_round"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    """``df`` written to the shared folder and read back, which cuts its lineage and survives
+    lost executors; ``discard`` deletes it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``saved`` tables that nothing reads any more."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_sorted(df: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
@@ -78,7 +88,9 @@ class Steps:
         return out
 
     def commit(self, step: int, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/step={step}")
+        """Write a step, each part sorted and delta-encoded, and then name it in the manifest."""
+        ordered = df.sortWithinPartitions(*df.columns)
+        ordered.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").option("compression", "zstd").parquet(f"{self.path}/step={step}")
         self.spark.createDataFrame([(step,)], "step int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return self.read([step])
 
@@ -89,12 +101,14 @@ class Steps:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/step={s}" for s in steps])
 
     def counts(self) -> DataFrame:
-        """step, new and cumulative rows."""
-        rows, total = [], 0
-        for s in self.committed():
-            n = self.read([s]).count()
-            rows.append((s, n, total := total + n))
-        return self.spark.createDataFrame(rows, "step int, new bigint, cumulative bigint")
+        """step, new and cumulative rows, of one scan of all steps."""
+        done = self.committed()
+        if not done:
+            return self.spark.createDataFrame([], "step int, new bigint, cumulative bigint")
+        step = F.regexp_extract(F.input_file_name(), r"/step=(\d+)/", 1).cast("int")
+        new = self.spark.createDataFrame([(s,) for s in done], "step int").join(self.read(done).groupBy(step.alias("step")).agg(F.count("*").alias("new")), "step", "left")
+        order = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        return new.select("step", F.coalesce("new", F.lit(0)).alias("new"), F.sum(F.coalesce("new", F.lit(0))).over(order).alias("cumulative"))
 
 
 def bucket(key, bits: int = 39):
