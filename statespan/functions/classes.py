@@ -85,3 +85,8 @@ def class_edges(spark: SparkSession) -> DataFrame:
     side = lambda k: side_index({p: F.get("c", F.lit(k * len(COUNTED) + i)) for i, p in enumerate(COUNTED)})
     out = rows.select("class_id", (side(0) * SIDES + side(1)).alias("successor"))
     return out.where("successor is not null and successor <> class_id").distinct()
+
+
+def descends(pieces: Column, nonpawns: Column, after: Column, nonpawns_after: Column) -> Column:
+    """Whether an edge leads down: fewer pieces, or as many and one pawn turned into a piece."""
+    return (after < pieces) | ((after == pieces) & (nonpawns_after > nonpawns))

@@ -64,11 +64,11 @@ def fixed_point(edges: DataFrame, settled: DataFrame) -> DataFrame:
         counted = above.groupBy("parent").agg(F.max(F.expr("value = 'LOSS'")).alias("win"), F.count_if(F.col("value") == "WIN").alias("wins"))
         if wins is not None:
             counted = counted.unionByName(wins.withColumn("win", F.lit(False))).groupBy("parent").agg(F.max("win").alias("win"), F.sum("wins").alias("wins"))
-        counted = saved(counted.join(known.select(F.col("node").alias("parent")), "parent", "left_anti"), "counted")
         value = F.when(F.col("win"), "WIN").when(F.col("wins") == F.col("degree"), "LOSS")
-        new = saved(counted.join(degree, "parent").select(F.col("parent").alias("node"), value.alias("value"), F.lit(turn).alias("round")).where("value is not null"), "new")
-        scratch += [counted, new]
-        wins = counted.select("parent", "wins").join(new.select(F.col("node").alias("parent")), "parent", "left_anti")
+        counted = counted.join(known.select(F.col("node").alias("parent")), "parent", "left_anti").join(degree, "parent").select("parent", "wins", value.alias("value"))
+        scratch.append(counted := saved(counted, "counted"))
+        new = counted.where("value is not null").select(F.col("parent").alias("node"), "value", F.lit(turn).alias("round"))
+        wins = counted.where("value is null").select("parent", "wins")
         known = known.unionByName(new)
     draws = nodes.join(known, "node", "left_anti").select("node", F.lit("DRAW").alias("value"), F.lit(None).cast("int").alias("round"))
     out = saved(known.unionByName(draws), "values")

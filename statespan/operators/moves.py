@@ -115,14 +115,15 @@ def _child_keys(keep: list[str], quiet: bool):
                     stay = np.flatnonzero((m["captured"] == 0) & (table["promo"][m["line"]] == 0))
                     m = {k: v[stay] for k, v in m.items()}
                 key, _ = boards.keys_of(m["codes"], ~white[at][m["row"]], m["castling"])
-                row = pa.array(at[m["row"]])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in keep), pa.array(key, mask=key < 0)], names=[*keep, "key"])
+                row = pa.array(at[m["row"]][key >= 0])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in keep), pa.array(key[key >= 0])], names=[*keep, "key"])
     return run
 
 
 def child_keys(df: DataFrame, keep: list[str] | None = None, quiet: bool = False) -> DataFrame:
     """From keys to the keys of their successors, 8 bytes a row: the ``keep`` columns and key.
-    ``quiet`` leaves out captures and promotions; keys that are no position have none."""
+    ``quiet`` leaves out captures and promotions; keys that are no position have none, and what
+    takes a king (where the side that just moved is in check) leads to no position."""
     keep = list(keep or [])
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("key", T.LongType())])
     return df.select(*keep, "key").mapInArrow(_child_keys(keep, quiet), schema)

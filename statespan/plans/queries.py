@@ -3,12 +3,15 @@ keys are derived from them, with DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes, keys, position
 from ..operators import graph, moves, reach, retro
-from ..sources.store import bucket, saved
+from ..sources.store import Steps, bucket, read_ladder, saved, shared_folder, write_ladder, write_values
+from . import rules_sql as rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +27,11 @@ def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The positions of the orders' keys that are positions, at most one per order."""
+    """The positions of the orders' keys that are positions in which the side that just moved is
+    not in check, at most one per order."""
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_KEY.replace("l_partkey", "o_custkey").replace("l_linenumber", "7").replace("l_suppkey", "o_custkey").replace("l_", "o_")).alias("key"))
-    return keys.decode(rows).where("board is not null").select("o_orderkey", "board", "wtm", "castling")
+    found = keys.decode(rows).where("board is not null").select("o_orderkey", "board", "wtm", "castling")
+    return found.where(~position.in_check("board", ~F.col("wtm")))
 
 
 # -- positions ------------------------------------------------------------------
@@ -100,7 +105,101 @@ def endgame_values(spark, sf_dir):
     rows = _table(spark, sf_dir, "orders").select("o_orderstatus", F.pmod(F.col("o_orderkey") * 2654435, F.lit(16000)).alias("i"))
     rows = rows.select("o_orderstatus", retro.index_board(F.col("i"), "KkR").alias("board"), (F.col("i") % 2 == 0).alias("wtm"), F.lit(0).alias("castling"))
     found = keys.encode(rows).join(solved, F.col("key") == F.col("node"), "left")
-    return found.groupBy("o_orderstatus", F.coalesce("value", F.lit("ILLEGAL")).alias("value")).agg(F.count("*").alias("n"), F.max("round").alias("max_round"))
+    return found.groupBy("o_orderstatus", F.coalesce("value", F.lit("ILLEGAL")).alias("value")).agg(F.count("*").alias("n"), F.coalesce(F.max("round"), F.lit(-1)).alias("max_round"))
+
+
+def uci_histogram(spark, sf_dir):
+    """The legal moves of the orders' positions by their UCI text."""
+    after = moves.successors(order_positions(spark, sf_dir), [])
+    return after.groupBy("uci").agg(F.count("*").alias("n"), F.count_if(F.col("captured") != ".").alias("n_captures"))
+
+
+def parsed_moves(spark, sf_dir):
+    """A text made of each order's numbers, read as a move in its position."""
+    rows = order_positions(spark, sf_dir).join(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    start, to = F.pmod("o_custkey", F.lit(20)).cast("int"), F.pmod(F.floor(F.col("o_orderkey") / 3), F.lit(20)).cast("int")
+    found = moves.parse_move(rows, F.concat(position.square_name(start), position.square_name(to)))
+    return found.groupBy("castle", "legal").agg(F.count("*").alias("n"), F.sum("from_sq").alias("from_sum"), F.sum("to_sq").alias("to_sum"))
+
+
+def clock_successors(spark, sf_dir):
+    """Positions read from FEN with clocks that the orders' keys give, and the clocks a move later."""
+    rows = order_positions(spark, sf_dir)
+    fen = position.to_fen(F.col("board"), F.col("wtm"), F.col("castling"), F.pmod("o_orderkey", F.lit(50)), F.pmod("o_orderkey", F.lit(90)) + 1)
+    read = position.positions(rows.select("o_orderkey", fen.alias("fen"))).drop("fen")
+    return moves.successors(read, []).groupBy("wtm").agg(F.count("*").alias("n"), F.sum("halfmove").alias("halfmoves"), F.sum("fullmove").alias("fullmoves"), F.count_if(F.col("halfmove") == 0).alias("n_reset"))
+
+
+def fen_dump(spark, sf_dir):
+    """The orders' positions as FEN with their number of legal moves, and as a drawing."""
+    rows = moves.summaries(order_positions(spark, sf_dir))
+    return rows.select("o_orderkey", position.to_fen(F.col("board"), F.col("wtm"), F.col("castling")).alias("fen"), position.show(F.col("board")).alias("shown"), "n_moves")
+
+
+def mirror_presence(spark, sf_dir):
+    """Of the positions within a ply of the orders' positions, how many have their mirror image there."""
+    found = reach.mirror_presence(reach.reachable(order_positions(spark, sf_dir), 1))
+    return found.select("step", "n", "n_mirrored", F.round("rate", 9).alias("rate"), F.round("saving", 9).alias("saving"))
+
+
+def first_reach(spark, sf_dir):
+    """The first ply, of two, at which the mirror images of the orders' positions are reached."""
+    rows = order_positions(spark, sf_dir)
+    flipped = keys.encode(rows.select(*position.mirrored(F.col("board"), F.col("wtm"), F.col("castling")).values()))
+    return reach.first_step(reach.reachable(rows, 2), flipped).groupBy(F.coalesce("step", F.lit(-1)).alias("step")).agg(F.count("*").alias("n"))
+
+
+def path_tree(spark, sf_dir):
+    """All paths of two plies from the orders' positions, none merged, by their first move."""
+    tree = reach.paths(order_positions(spark, sf_dir), 2)
+    return tree.groupBy(F.get("path", F.lit(0)).alias("first_move")).agg(F.count("*").alias("n_paths"), F.countDistinct("board", "wtm", "castling").alias("n_ends"))
+
+
+def forced_divide(spark, sf_dir):
+    """Moves after the alphabetically first move of each order's position, by text."""
+    first = moves.successors(order_positions(spark, sf_dir), ["o_orderkey"]).groupBy("o_orderkey").agg(F.min_by(F.struct("board", "wtm", "castling"), "uci").alias("x")).select("x.*")
+    return moves.successors(first, []).groupBy("uci").agg(F.count("*").alias("nodes"))
+
+
+def layered_counts(spark, sf_dir):
+    """Distinct positions of each ply from the orders' positions, whether met before or not."""
+    return reach.layered(order_positions(spark, sf_dir), 2)
+
+
+def quiet_reach(spark, sf_dir):
+    """New positions per ply that moves other than captures and promotions reach."""
+    return reach.ladder(reach.reachable(order_positions(spark, sf_dir), 2, quiet=True)).select("step", "new", "cumulative")
+
+
+def dense_index(spark, sf_dir):
+    """The dense index of king, rook and king positions: line items as indexes, their boards, and back."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 31 + F.col("l_linenumber"), F.lit(16000)).alias("i"))
+    made = rows.withColumn("board", retro.index_board(F.col("i"), "KkR")).withColumn("back", retro.board_index(F.col("board"), F.col("i") % 2 == 0, "KkR"))
+    return made.groupBy(F.coalesce(F.instr("board", "R"), F.lit(0)).alias("rook_at")).agg(F.count("*").alias("n"), F.count_if(F.col("i") == F.col("back")).alias("n_same"), F.coalesce(F.sum("back"), F.lit(-1)).alias("index_sum"))
+
+
+def class_order(spark, sf_dir):
+    """The classes of the line items' keys in the order in which they can be solved, their names read back."""
+    have = class_histogram(spark, sf_dir).select("class_id", "n")
+    rows = F.broadcast(classes.class_table(spark).select("class_id", "name", "piece_count", "nonpawn_count"))
+    order = Window.orderBy("piece_count", F.desc("nonpawn_count"), "class_id")
+    return have.join(rows, "class_id").select("class_id", "name", "piece_count", "nonpawn_count", "n", F.row_number().over(order).alias("place"), classes.parse_class(F.col("name")).cast("int").alias("parsed"))
+
+
+def class_descent(spark, sf_dir):
+    """Edges between classes that the line items' keys are in, and those that break the order."""
+    sizes = classes.class_table(spark).select("class_id", "piece_count", "nonpawn_count")
+    have = class_histogram(spark, sf_dir).select("class_id").join(F.broadcast(sizes), "class_id")
+    below = have.select(F.col("class_id").alias("successor"), F.col("piece_count").alias("p"), F.col("nonpawn_count").alias("q"))
+    edges = have.join(F.broadcast(classes.class_edges(spark)), "class_id").join(below, "successor")
+    return edges.groupBy("piece_count").agg(F.count("*").alias("n_edges"), F.count_if(~classes.descends(F.col("piece_count"), F.col("nonpawn_count"), F.col("p"), F.col("q"))).alias("n_wrong"))
+
+
+def class_space(spark, sf_dir):
+    """Placements of the classes that the line items' keys are in, by number of pieces."""
+    have = class_histogram(spark, sf_dir).select("class_id", "n")
+    rows = have.join(F.broadcast(classes.class_table(spark).select("class_id", "piece_count", "placements")), "class_id")
+    return rows.groupBy("piece_count").agg(F.count("*").alias("n_classes"), F.sum("placements").alias("placements"), F.sum("n").alias("n_positions"), F.round(F.log2(F.sum("placements").cast("double")), 6).alias("bits"))
 
 
 # -- tables -----------------------------------------------------------------------
@@ -115,17 +214,79 @@ def bfs_customer_part(spark, sf_dir):
     return found.groupBy("step").agg(F.count("*").alias("new"), F.sum("node").alias("node_sum"))
 
 
-def order_graph_values(spark, sf_dir):
-    """WIN, LOSS or DRAW of orders that lead to the orders of half and a third of their key;
-    the first orders of a chain have the value of their status."""
+def _order_graph(spark, sf_dir, steps=(2, 3)):
+    """Orders that lead to the orders of half and a third of their key: edges (parent, child) and
+    the ends of chains with a value by their status."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), "o_orderstatus")
-    edges = o.select("parent", F.explode(F.array(F.floor(F.col("parent") / 2), F.floor(F.col("parent") / 3))).alias("child")).where("child <> parent")
+    edges = o.select("parent", F.explode(F.array(*[F.floor(F.col("parent") / k) for k in steps])).alias("child")).where("child <> parent").distinct()
     edges = edges.join(o.select(F.col("parent").alias("child")), "child", "left_semi").select("parent", "child")
     ends = o.join(edges.select("parent"), "parent", "left_anti").select(F.col("parent").alias("node"), F.when(F.col("o_orderstatus") == "F", "LOSS").otherwise("DRAW").alias("value"))
-    values = graph.fixed_point(edges, ends)
+    return edges, ends
+
+
+def order_graph_values(spark, sf_dir):
+    """WIN, LOSS or DRAW of orders that lead to the orders of half and a third of their key;
+    the first orders of a chain have the value of their status."""
+    values = graph.fixed_point(*_order_graph(spark, sf_dir))
     return values.groupBy("value", F.coalesce("round", F.lit(-1)).alias("round")).agg(F.count("*").alias("n"))
 
 
+def graph_audit(spark, sf_dir):
+    """Violations among the order graph's values once every 11th value is called a draw."""
+    edges, ends = _order_graph(spark, sf_dir)
+    values = graph.fixed_point(edges, ends)
+    bent = values.withColumn("value", F.when(F.col("node") % 11 == 0, "DRAW").otherwise(F.col("value")))
+    wrong = graph.audit(edges, values).select(F.lit("true").alias("kind"), "value", "node").unionByName(graph.audit(edges, bent).select(F.lit("bent").alias("kind"), "value", "node"))
+    return wrong.groupBy("kind", "value").agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
+
+
+def graph_witness(spark, sf_dir):
+    """Nodes that prove the values of the order graph's WIN nodes of the last round."""
+    edges, ends = _order_graph(spark, sf_dir)
+    values = graph.fixed_point(edges, ends)
+    last = values.where("value = 'WIN'").agg(F.max("round").alias("round"))
+    roots = values.where("value = 'WIN'").join(F.broadcast(last), "round").select("node")
+    proof = graph.witness(roots, edges.withColumn("move_ord", F.col("child")), values)
+    return proof.groupBy("step").agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
+
+
+def graph_lines(spark, sf_dir):
+    """Lines of best play from the order graph's nodes: how many have each length, and their ends."""
+    edges, ends = _order_graph(spark, sf_dir)
+    values = graph.fixed_point(edges, ends)
+    lines = graph.principal_line(values.where("round > 0").select("node"), edges.withColumn("move_ord", F.col("child")), values)
+    return lines.groupBy("root").agg(F.max("step").alias("length"), F.max_by("node", "step").alias("last")).groupBy("length").agg(F.count("*").alias("n"), F.sum("last").alias("last_sum"))
+
+
+def value_cross_check(spark, sf_dir):
+    """The order graph's values against those of the graph of halves alone."""
+    return graph.cross_check(graph.fixed_point(*_order_graph(spark, sf_dir)), graph.fixed_point(*_order_graph(spark, sf_dir, (2,))))
+
+
+def values_json(spark, sf_dir):
+    """The order graph's values written as JSON lines and read back."""
+    path = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
+    write_values(graph.fixed_point(*_order_graph(spark, sf_dir)).select("node", "value"), path)
+    return spark.read.schema("node bigint, value string").json(path).groupBy("value").agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
+
+
+def stored_steps(spark, sf_dir):
+    """Order keys stored step by step, a step for each status, as sorted delta-encoded sets, and counted there."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
+    steps = Steps(spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", rows.select("key").schema)
+    for k, status in enumerate("FOP"):
+        steps.commit(k, rows.where(F.col("o_orderstatus") == status).select("key"))
+    return steps.counts()
+
+
+def ladder_text(spark, sf_dir):
+    """Orders per number of line items as lines of text, and the ladder read back from them."""
+    per = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().groupBy(F.col("count").cast("int").alias("step")).agg(F.count("*").alias("nodes"))
+    path = f"{shared_folder(spark)}/ladder-{uuid.uuid4().hex}"
+    write_ladder(per, path)
+    return read_ladder(spark, path)
+
+
 def delta_encode(spark, sf_dir):
     """Gaps of sorted order keys within range buckets, and their running sums, which decode them."""
     w = Window.partitionBy("bucket").orderBy("o_orderkey")
@@ -142,6 +303,15 @@ def gap_histogram(spark, sf_dir):
     return gaps.groupBy(size.cast("bigint").alias("varint_bytes")).agg(F.count("*").alias("n"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.sum("gap").alias("gap_sum"))
 
 
+def key_density(spark, sf_dir):
+    """Bytes a key that gaps in 7-bit groups would take, and the mean gap, by bucket."""
+    size = F.lit(1)
+    for k in range(1, 9):
+        size = size + F.when(F.col("gap") >= 1 << (7 * k), 1).otherwise(0)
+    per = delta_encode(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(size.cast("bigint")).alias("bytes"), F.sum("gap").alias("gap_sum"))
+    return per.select("bucket", "n", "bytes", F.round(F.col("bytes") / F.col("n"), 6).alias("bytes_per_key"), F.round(F.col("gap_sum") / F.col("n"), 6).alias("mean_gap"))
+
+
 def ascending_check(spark, sf_dir):
     gaps = delta_encode(spark, sf_dir)
     return gaps.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("gap") <= 0).alias("n_bad"), F.count_if(F.col("decoded") != F.col("o_orderkey")).alias("n_wrong"))
@@ -209,8 +379,9 @@ def overlap_factor(spark, sf_dir):
 
 
 def sample_distribution(spark, sf_dir):
-    """Every 7th customer: number, element n / 2 of the sorted balances, mean and largest by segment."""
-    rows = _table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    """Every 7th customer, 3,000 at most: number, element n / 2 of the sorted balances, mean and
+    largest by segment. The limit is the sample's own and bounds what a segment's window sorts."""
+    rows = _table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").orderBy("c_custkey").limit(3000)
     w = Window.partitionBy("c_mktsegment")
     ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("c_acctbal", "c_custkey")) - 1, "n": F.count("*").over(w)})
     return ranked.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.max(F.when(F.expr("k = n div 2"), F.col("c_acctbal"))).alias("median"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.max("c_acctbal").alias("largest"))
@@ -220,13 +391,14 @@ def hash_sample(spark, sf_dir):
     """A deterministic one-in-eight sample by hash, the share of hits in it and what it projects to."""
     o = _table(spark, sf_dir, "orders")
     hit = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)
-    return o.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(8)) == 0).agg(F.count("*").alias("n"), F.avg(hit).alias("rate"), (1 / (1 - F.avg(hit) / 2)).alias("saving"))
+    return o.where(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 1).isin("0", "1")).agg(F.count("*").alias("n"), F.round(F.avg(hit), 9).alias("rate"), F.round(1 / (1 - F.avg(hit) / 2), 9).alias("saving"))
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         key_round_trip, key_injectivity, class_histogram, class_top, class_successors, piece_counts, fen_round_trip, mirror_pairs, move_counts, paths_two_plies, reach_two_plies, endgame_values,
-        bfs_customer_part, order_graph_values, delta_encode, gap_histogram, ascending_check, range_buckets, visited_split, merge_union, set_equality, child_votes, first_child, ladder_by_month,
+        uci_histogram, parsed_moves, clock_successors, fen_dump, mirror_presence, first_reach, path_tree, forced_divide, layered_counts, quiet_reach, dense_index, class_order, class_descent, class_space,
+        bfs_customer_part, order_graph_values, graph_audit, graph_witness, graph_lines, value_cross_check, values_json, stored_steps, ladder_text, delta_encode, gap_histogram, key_density, ascending_check, range_buckets, visited_split, merge_union, set_equality, child_votes, first_child, ladder_by_month,
         repetition, overlap_factor, sample_distribution, hash_sample)}
 
 
@@ -244,9 +416,58 @@ bounds AS (SELECT *, CAST(coalesce(sum(placements) OVER (ORDER BY class_id ROWS
 keyed AS (SELECT """ + _KEY + """ AS key FROM lineitem),
 k AS (SELECT key, b.* FROM keyed JOIN bounds b ON key // 8 >= base AND key // 8 < base + placements)
 """
+_ORDER_KEY = _KEY.replace("l_partkey", "o_custkey").replace("l_linenumber", "7").replace("l_suppkey", "o_custkey").replace("l_", "o_")
+_POSITIONS = f"""
+order_keys AS (SELECT o_orderkey, key, class_id FROM (SELECT o_orderkey, {_ORDER_KEY} AS key FROM orders) JOIN bounds ON key // 8 >= base AND key // 8 < base + placements WHERE canonical),
+{rules.unrank("order_boards", "order_keys")},
+{rules.STEPS},
+all_places AS (SELECT o_orderkey AS id, board, key % 2 = 0 AS wtm, CAST(key % 8 // 2 AS INT) AS castling FROM order_keys JOIN order_boards USING (key)),
+passive_kings AS (SELECT id, board, instr(board, CASE WHEN wtm THEN 'k' ELSE 'K' END) - 1 AS sq, wtm AS by_white FROM all_places), {rules.checks("takeable", "passive_kings")},
+places AS (SELECT * FROM all_places ANTI JOIN takeable USING (id))"""
+#: The positions within two plies of the orders' ones: layer0, layer1 and layer2 (id, board, wtm, castling), distinct each; ply1 and ply2 are the moves.
+_LAYERS = f"""
+layer0 AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT board, wtm, castling FROM places)), {rules.moves("ply1", "layer0")},
+layer1 AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT board, wtm, castling FROM ply1)), {rules.moves("ply2", "layer1")},
+layer2 AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT board, wtm, castling FROM ply2)),
+first_layer AS (SELECT board, wtm, castling, min(step) AS step FROM (SELECT board, wtm, castling, 0 AS step FROM layer0 UNION ALL SELECT board, wtm, castling, 1 FROM layer1 UNION ALL SELECT board, wtm, castling, 2 FROM layer2) GROUP BY ALL)"""
+_FLIP = f"{rules.mirror('board')} AS board, NOT wtm AS wtm, CAST((castling & 1) * 2 + castling // 2 AS INT) AS castling"
+
+
+def _order_graph_sql(name: str = "", steps: tuple = (2, 3)) -> str:
+    children = " UNION ".join(f"SELECT o_orderkey AS parent, o_orderkey // {k} AS child FROM orders" for k in steps)
+    return f"""
+order_edges{name} AS (SELECT parent, child FROM ({children}) WHERE child <> parent AND child IN (SELECT o_orderkey FROM orders)),
+order_ends{name} AS (SELECT o_orderkey AS node, CASE WHEN o_orderstatus = 'F' THEN 'LOSS' ELSE 'DRAW' END AS value FROM orders WHERE o_orderkey NOT IN (SELECT parent FROM order_edges{name})),
+{rules.fixed_point(f"order_edges{name}", f"order_ends{name}").replace("settled_values", f"settled_values{name}").replace("degrees", f"degrees{name}")},
+order_values{name} AS (
+    SELECT * FROM settled_values{name} UNION ALL
+    SELECT node, 'DRAW', NULL FROM (SELECT parent AS node FROM order_edges{name} UNION SELECT node FROM order_ends{name}) n ANTI JOIN settled_values{name} s USING (node))"""
+
+
+def _audit_sql(values: str) -> str:
+    return f"""SELECT v.value, v.node FROM (SELECT parent, bool_or(c.value = 'LOSS') AS some_loss, bool_and(c.value = 'WIN') AS all_win FROM order_edges JOIN {values} c ON c.node = child GROUP BY parent) e
+    JOIN {values} v ON v.node = e.parent WHERE CASE v.value WHEN 'WIN' THEN NOT some_loss WHEN 'LOSS' THEN NOT all_win ELSE some_loss OR all_win END"""
+
+
+_ENDGAME = f"""{rules.STEPS},
+slots AS (
+    SELECT DISTINCT board, wtm FROM (
+        SELECT list_reduce(list_transform(range(20), lambda s: CASE s WHEN a.i THEN 'K' WHEN b.i THEN 'k' WHEN c.i THEN 'R' ELSE '.' END), lambda x, y: x || y) AS board FROM range(20) a(i), range(20) b(i), range(-1, 20) c(i) WHERE a.i <> b.i AND c.i NOT IN (a.i, b.i)), (VALUES (true), (false)) w(wtm)),
+passive AS (SELECT board || wtm AS id, board, instr(board, CASE WHEN wtm THEN 'k' ELSE 'K' END) - 1 AS sq, wtm AS by_white FROM slots),
+{rules.checks("hanging", "passive")},
+nodes AS (SELECT board || wtm AS id, board, wtm, 0 AS castling FROM slots WHERE board || wtm NOT IN (SELECT id FROM hanging)),
+{rules.moves("step", "nodes")},
+game_edges AS (SELECT DISTINCT id AS parent, board || wtm AS child FROM step),
+active AS (SELECT id, board, instr(board, CASE WHEN wtm THEN 'K' ELSE 'k' END) - 1 AS sq, NOT wtm AS by_white FROM nodes),
+{rules.checks("in_check", "active")},
+game_ends AS (SELECT id AS node, CASE WHEN id IN (SELECT id FROM in_check) THEN 'LOSS' ELSE 'DRAW' END AS value FROM nodes WHERE id NOT IN (SELECT parent FROM game_edges)),
+{rules.fixed_point("game_edges", "game_ends")},
+digits AS (SELECT o_orderstatus, i % 2 = 0 AS wtm, i // 2 % 20 AS a, i // 40 % 20 AS b, i // 800 % 20 AS c FROM (SELECT o_orderstatus, o_orderkey * 2654435 % 16000 AS i FROM orders)),
+asked AS (SELECT o_orderstatus, CASE WHEN a <> b AND a <> c AND b <> c THEN list_reduce(list_transform(range(20), lambda s: CASE s WHEN a THEN 'K' WHEN b THEN 'k' WHEN c THEN 'R' ELSE '.' END), lambda x, y: x || y) || wtm END AS id FROM digits)"""
 _GAPS = """
 rows AS (SELECT DISTINCT o_orderkey, o_orderkey >> 10 AS bucket FROM orders),
 gaps AS (SELECT bucket, o_orderkey, o_orderkey - lag(o_orderkey, 1, 0) OVER (PARTITION BY bucket ORDER BY o_orderkey) AS gap FROM rows),
+sized AS (SELECT *, 1 + """ + " + ".join(f"CAST(gap >= {1 << (7 * k)} AS INT)" for k in range(1, 9)) + """ AS v FROM gaps),
 deltas AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY bucket ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS decoded FROM gaps)
 """
 
@@ -254,7 +475,80 @@ deltas AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY bucket ORDER BY o_orderkey
 def oracle_sql() -> dict[str, str]:
     count = "CAST(coalesce(sum(CASE WHEN canonical THEN 1 ELSE 0 END), 0) AS BIGINT)"
     pieces = ", ".join(f"CAST(sum({side}.{p}) AS BIGINT) AS n_{c}{p}" for side, c in (("w", "w"), ("b", "b")) for p in "pnbrq")
+    game = f"WITH RECURSIVE {_CLASSES}, {_POSITIONS}"
+    two = f"{game}, {_LAYERS}"
+    order_graph = f"WITH RECURSIVE {_order_graph_sql()}"
+    seen = f"WITH {_CLASSES}, hist AS (SELECT class_id, count(*) AS n FROM k WHERE canonical GROUP BY 1), sized AS (SELECT h.*, c.name, c.wi, c.bi, c.placements, CAST(w.size + b.size AS INT) AS piece_count, CAST(w.size + b.size - w.p - b.p AS INT) AS nonpawn_count FROM hist h JOIN cls c USING (class_id) JOIN named w ON w.i = wi JOIN named b ON b.i = bi)"
+    side_steps = """, side_steps AS (
+    SELECT c.i AS was, d.i AS now FROM counts c, (VALUES (-1, 0, 0, 0, 0), (0, -1, 0, 0, 0), (0, 0, -1, 0, 0), (0, 0, 0, -1, 0), (0, 0, 0, 0, -1), (-1, 1, 0, 0, 0), (-1, 0, 1, 0, 0), (-1, 0, 0, 1, 0), (-1, 0, 0, 0, 1)) s(dp, dn, db, dr, dq)
+    JOIN counts d ON d.ok AND d.p = c.p + dp AND d.n = c.n + dn AND d.b = c.b + db AND d.r = c.r + dr AND d.q = c.q + dq),
+class_steps AS (SELECT DISTINCT class_id, n, piece_count, nonpawn_count, CAST(successor AS INT) AS successor FROM (
+    SELECT s.*, now * 48 + bi AS successor FROM sized s JOIN side_steps ON was = wi UNION ALL SELECT s.*, wi * 48 + now FROM sized s JOIN side_steps ON was = bi))"""
+    squares = "substr('abcd', CAST({0} % 4 + 1 AS BIGINT), 1) || ({0} // 4 + 1)"
     return {
+        "class_successors": f"{seen}{side_steps} SELECT successor AS class_id, count(*) AS n_above, CAST(sum(n) AS BIGINT) AS n_positions FROM class_steps GROUP BY 1",
+        "class_order": f"{seen} SELECT class_id, name, piece_count, nonpawn_count, n, CAST(row_number() OVER (ORDER BY piece_count, nonpawn_count DESC, class_id) AS INT) AS place, class_id AS parsed FROM sized",
+        "class_descent": f"{seen}{side_steps} SELECT s.piece_count, count(*) AS n_edges, count(*) FILTER (NOT (b.piece_count < s.piece_count OR (b.piece_count = s.piece_count AND b.nonpawn_count > s.nonpawn_count))) AS n_wrong FROM class_steps s JOIN sized b ON b.class_id = successor GROUP BY 1",
+        "class_space": f"{seen} SELECT piece_count, count(*) AS n_classes, CAST(sum(placements) AS BIGINT) AS placements, CAST(sum(n) AS BIGINT) AS n_positions, round(log2(CAST(sum(placements) AS DOUBLE)), 6) AS bits FROM sized GROUP BY 1",
+        "mirror_pairs": f"""WITH RECURSIVE {_CLASSES}, good AS (SELECT DISTINCT key, class_id, CAST(bi * 48 + wi AS INT) AS other FROM k WHERE canonical), {rules.unrank("line_boards", "good")},
+flipped AS (SELECT key AS id, {rules.mirror("board")} AS board, other AS class_id FROM good JOIN line_boards USING (key)), {rules.rank("ranked", "flipped")},
+pairs AS (SELECT g.key, other, (b.base + rank_) * 8 + (key % 8 // 2 % 2 * 2 + key % 8 // 4) * 2 + 1 - key % 2 AS mirrored FROM good g JOIN ranked r ON r.id = g.key JOIN bounds b ON b.class_id = other)
+SELECT k.class_id, max(other) AS mirror_class, count(*) AS n, count(*) FILTER (key <= mirrored) AS n_canonical FROM k JOIN pairs USING (key) WHERE canonical GROUP BY 1""",
+        "move_counts": f"""{game}, {rules.moves("m", "places")}, kings AS (SELECT id, board, instr(board, CASE WHEN wtm THEN 'K' ELSE 'k' END) - 1 AS sq, NOT wtm AS by_white FROM places), {rules.checks("c", "kings")},
+per AS (SELECT p.id, p.wtm, p.id IN (SELECT id FROM c) AS "check", count(m.id) AS n, count(*) FILTER (captured <> '.') AS captures, count(*) FILTER (promo <> '') AS promotions FROM places p LEFT JOIN m ON m.id = p.id GROUP BY ALL)
+SELECT wtm, "check", CASE WHEN n > 0 THEN 'moving' WHEN "check" THEN 'mate' ELSE 'stalemate' END AS state, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_moves, CAST(sum(captures) AS BIGINT) AS n_captures, CAST(sum(promotions) AS BIGINT) AS n_promotions FROM per GROUP BY 1, 2, 3""",
+        "uci_histogram": f"{game}, {rules.moves('m', 'places')} SELECT uci, count(*) AS n, count(*) FILTER (captured <> '.') AS n_captures FROM m GROUP BY 1",
+        "parsed_moves": f"""{game}, {rules.moves("m", "places")},
+said AS (SELECT id, board, a, b, {squares.format("a")} || {squares.format("b")} AS uci FROM (SELECT p.*, o_custkey % 20 AS a, o_orderkey // 3 % 20 AS b FROM places p JOIN orders ON o_orderkey = id)),
+read AS (SELECT CASE WHEN substr(board, 1, 1) = 'K' AND a = 0 AND b = 2 THEN 1 WHEN substr(board, 17, 1) = 'k' AND a = 16 AND b = 18 THEN 2 ELSE 0 END AS castle, EXISTS (SELECT 1 FROM m WHERE m.id = said.id AND m.uci = said.uci) AS legal, a, b FROM said)
+SELECT castle, legal, count(*) AS n, CAST(sum(a) AS BIGINT) AS from_sum, CAST(sum(b) AS BIGINT) AS to_sum FROM read GROUP BY 1, 2""",
+        "clock_successors": f"""{game}, {rules.moves("m", "places")},
+x AS (SELECT wtm, CASE WHEN upper(piece) = 'P' OR captured <> '.' THEN 0 ELSE id % 50 + 1 END AS h, id % 90 + 1 + CAST(wtm AS INT) AS f FROM m)
+SELECT wtm, count(*) AS n, CAST(sum(h) AS BIGINT) AS halfmoves, CAST(sum(f) AS BIGINT) AS fullmoves, count(*) FILTER (h = 0) AS n_reset FROM x GROUP BY 1""",
+        "fen_dump": f"""{game}, {rules.moves("m", "places")}, per AS (SELECT id, count(*) AS n FROM m GROUP BY 1),
+drawn AS (SELECT *, {" || chr(10) || ".join(f"substr(board, {17 - 4 * k}, 4)" for k in range(5))} AS shown FROM places)
+SELECT d.id AS o_orderkey, replace(replace(replace(replace(replace(shown, chr(10), '/'), '....', '4'), '...', '3'), '..', '2'), '.', '1') || CASE WHEN wtm THEN ' w ' ELSE ' b ' END || (['-', 'D', 'd', 'Dd'])[castling + 1] || ' - 0 1' AS fen, shown, coalesce(n, 0) AS n_moves FROM drawn d LEFT JOIN per USING (id)""",
+        "paths_two_plies": f"{game}, {rules.moves('m', 'places')}, next AS (SELECT row_number() OVER () AS id, id AS root, board, wtm, castling FROM m), {rules.moves('mm', 'next')} SELECT root AS o_orderkey, count(*) AS nodes FROM mm JOIN next USING (id) GROUP BY 1",
+        "path_tree": f"{game}, {rules.moves('m', 'places')}, next AS (SELECT row_number() OVER () AS id, uci AS first_move, board, wtm, castling FROM m), {rules.moves('mm', 'next')} SELECT first_move, count(*) AS n_paths, count(DISTINCT (mm.board, mm.wtm, mm.castling)) AS n_ends FROM mm JOIN next USING (id) GROUP BY 1",
+        "forced_divide": f"{game}, {rules.moves('m', 'places')}, next AS (SELECT id, arg_min(board, uci) AS board, arg_min(wtm, uci) AS wtm, arg_min(castling, uci) AS castling FROM m GROUP BY 1), {rules.moves('mm', 'next')} SELECT uci, count(*) AS nodes FROM mm GROUP BY 1",
+        "layered_counts": f"{two} SELECT 0 AS step, count(*) AS positions FROM layer0 UNION ALL SELECT 1, count(*) FROM layer1 UNION ALL SELECT 2, count(*) FROM layer2",
+        "reach_two_plies": f"{two}, new AS (SELECT step, count(*) AS new FROM first_layer GROUP BY 1) SELECT step, new, CAST(sum(new) OVER (ORDER BY step) AS BIGINT) AS cumulative, round(new / lag(new) OVER (ORDER BY step), 6) AS growth FROM new",
+        "quiet_reach": f"""{game}, layer0 AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT board, wtm, castling FROM places)), {rules.moves("ply1", "layer0")},
+layer1 AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT board, wtm, castling FROM ply1 WHERE captured = '.' AND promo = '')), {rules.moves("ply2", "layer1")},
+every AS (SELECT board, wtm, castling, 0 AS step FROM layer0 UNION ALL SELECT board, wtm, castling, 1 FROM layer1 UNION ALL SELECT board, wtm, castling, 2 FROM ply2 WHERE captured = '.' AND promo = ''),
+new AS (SELECT step, count(*) AS new FROM (SELECT board, wtm, castling, min(step) AS step FROM every GROUP BY ALL) GROUP BY 1)
+SELECT step, new, CAST(sum(new) OVER (ORDER BY step) AS BIGINT) AS cumulative FROM new""",
+        "mirror_presence": f"""{two}, near AS (SELECT * FROM first_layer WHERE step < 2 AND NOT (step = 2)), flipped AS (SELECT step, {_FLIP} FROM near),
+hits AS (SELECT f.step, n.step IS NOT NULL AS hit FROM flipped f LEFT JOIN near n USING (board, wtm, castling))
+SELECT step, count(*) AS n, count(*) FILTER (hit) AS n_mirrored, round(avg(CAST(hit AS DOUBLE)), 9) AS rate, round(1 / (1 - avg(CAST(hit AS DOUBLE)) / 2), 9) AS saving FROM hits GROUP BY 1""",
+        "first_reach": f"{two}, flipped AS (SELECT DISTINCT {_FLIP} FROM places) SELECT coalesce(l.step, -1) AS step, count(*) AS n FROM flipped LEFT JOIN first_layer l USING (board, wtm, castling) GROUP BY 1",
+        "dense_index": """WITH r AS (SELECT (l_orderkey * 7919 + l_partkey * 31 + l_linenumber) % 16000 AS i FROM lineitem), d AS (SELECT i, i // 2 % 20 AS a, i // 40 % 20 AS b, i // 800 % 20 AS c FROM r),
+x AS (SELECT CASE WHEN a <> b AND a <> c AND b <> c THEN i END AS i, CASE WHEN a <> b AND a <> c AND b <> c THEN CAST(c + 1 AS INT) END AS rook_at FROM d)
+SELECT coalesce(rook_at, 0) AS rook_at, count(*) AS n, count(i) AS n_same, CAST(coalesce(sum(i), -1) AS BIGINT) AS index_sum FROM x GROUP BY 1""",
+        "endgame_values": f"""WITH RECURSIVE {_ENDGAME}
+SELECT o_orderstatus, CASE WHEN n.id IS NULL THEN 'ILLEGAL' ELSE coalesce(v.value, 'DRAW') END AS value, count(*) AS n, coalesce(max(round), -1) AS max_round FROM asked a LEFT JOIN nodes n ON n.id = a.id LEFT JOIN settled_values v ON v.node = a.id GROUP BY 1, 2""",
+        "order_graph_values": f"{order_graph} SELECT value, coalesce(round, -1) AS round, count(*) AS n FROM order_values GROUP BY 1, 2",
+        "graph_audit": f"""{order_graph}, bent AS (SELECT node, CASE WHEN node % 11 = 0 THEN 'DRAW' ELSE value END AS value FROM order_values),
+wrong AS (SELECT 'true' AS kind, * FROM ({_audit_sql("order_values")}) UNION ALL SELECT 'bent', * FROM ({_audit_sql("bent")}))
+SELECT kind, value, count(*) AS n, CAST(sum(node) AS BIGINT) AS node_sum FROM wrong GROUP BY 1, 2""",
+        "graph_witness": f"""{order_graph},
+proof AS (SELECT parent, min(child) AS child FROM order_edges JOIN order_values p ON p.node = parent JOIN order_values c ON c.node = child WHERE p.value = 'WIN' AND c.value = 'LOSS' GROUP BY parent
+          UNION SELECT parent, child FROM order_edges JOIN order_values ON node = parent WHERE value = 'LOSS'),
+walk AS (SELECT node, 0 AS step FROM order_values WHERE value = 'WIN' AND round = (SELECT max(round) FROM order_values WHERE value = 'WIN') UNION SELECT child, step + 1 FROM walk JOIN proof ON parent = node)
+SELECT step, count(*) AS n, CAST(sum(node) AS BIGINT) AS node_sum FROM (SELECT node, min(step) AS step FROM walk GROUP BY node) GROUP BY 1""",
+        "graph_lines": f"""{order_graph},
+best AS (SELECT parent, arg_min(child, (CASE WHEN p.value = 'WIN' THEN c.round ELSE -c.round END, child)) AS child FROM order_edges JOIN order_values p ON p.node = parent JOIN order_values c ON c.node = child
+         WHERE p.round > 0 AND ((p.value = 'WIN' AND c.value = 'LOSS') OR (p.value = 'LOSS' AND c.value = 'WIN')) GROUP BY parent),
+walk AS (SELECT node AS root, 0 AS step, node FROM order_values WHERE round > 0 UNION ALL SELECT root, step + 1, child FROM walk JOIN best ON parent = node),
+ends AS (SELECT root, max(step) AS length, arg_max(node, step) AS last FROM walk GROUP BY 1)
+SELECT length, count(*) AS n, CAST(sum(last) AS BIGINT) AS last_sum FROM ends GROUP BY 1""",
+        "value_cross_check": f"""{order_graph}, {_order_graph_sql("_2", (2,))}
+SELECT a.value, b.value AS other_value, count(*) AS n, a.value IS NOT DISTINCT FROM b.value AS same FROM order_values a FULL JOIN order_values_2 b USING (node) GROUP BY a.value, b.value""",
+        "values_json": f"{order_graph} SELECT value, count(*) AS n, CAST(sum(node) AS BIGINT) AS node_sum FROM order_values GROUP BY 1",
+        "stored_steps": "WITH s AS (SELECT CAST(instr('FOP', o_orderstatus) - 1 AS INT) AS step, count(*) AS new FROM orders GROUP BY 1) SELECT step, new, CAST(sum(new) OVER (ORDER BY step) AS BIGINT) AS cumulative FROM s",
+        "ladder_text": "WITH p AS (SELECT CAST(count(*) AS INT) AS step FROM lineitem GROUP BY l_orderkey) SELECT step, count(*) AS nodes FROM p GROUP BY 1",
+        "key_density": f"WITH {_GAPS} SELECT bucket, count(*) AS n, CAST(sum(v) AS BIGINT) AS bytes, round(sum(v) / count(*), 6) AS bytes_per_key, round(sum(gap) / count(*), 6) AS mean_gap FROM sized GROUP BY 1",
+        "hash_sample": "WITH s AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('0', '1')) SELECT count(*) AS n, round(avg(hit), 9) AS rate, round(1 / (1 - avg(hit) / 2), 9) AS saving FROM s",
         "key_round_trip": f"WITH {_CLASSES} SELECT class_id, count(*) AS n, {count} AS n_valid, {count} AS n_same, coalesce(max(CASE WHEN canonical THEN key END), -1) AS max_key FROM k GROUP BY class_id",
         "key_injectivity": f"WITH {_CLASSES} SELECT count(DISTINCT key) AS n_keys, count(DISTINCT key) AS n_positions, max(key) AS max_key, CAST(sum(key) AS DOUBLE) AS key_sum FROM k WHERE canonical",
         "class_histogram": f"WITH {_CLASSES} SELECT class_id, name, count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM k WHERE canonical GROUP BY class_id, name",
@@ -264,9 +558,8 @@ def oracle_sql() -> dict[str, str]:
         "bfs_customer_part": """
 WITH RECURSIVE pairs AS (SELECT DISTINCT o_custkey * 2 AS c, l_partkey * 2 + 1 AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 e AS (SELECT c AS a, p AS b FROM pairs UNION ALL SELECT p, c FROM pairs),
-r AS (SELECT CAST(2 AS BIGINT) AS node, 0 AS step UNION SELECT e.b, step + 1 FROM r JOIN e ON r.node = e.a WHERE step < 12),
-f AS (SELECT node, min(step) AS step FROM r GROUP BY node)
-SELECT step, count(*) AS new, CAST(sum(node) AS BIGINT) AS node_sum FROM f GROUP BY step""",
+r(node, step) USING KEY (node) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT DISTINCT e.b, s.step + 1 FROM r s JOIN e ON s.node = e.a WHERE NOT EXISTS (SELECT 1 FROM recurring.r x WHERE x.node = e.b))
+SELECT step, count(*) AS new, CAST(sum(node) AS BIGINT) AS node_sum FROM r GROUP BY step""",
         "delta_encode": f"WITH {_GAPS} SELECT bucket, o_orderkey, gap, decoded FROM deltas",
         "gap_histogram": f"""WITH {_GAPS}, h AS (SELECT gap, 1 + {' + '.join(f'CAST(gap >= {1 << (7 * k)} AS INT)' for k in range(1, 9))} AS v FROM gaps)
 SELECT CAST(v AS BIGINT) AS varint_bytes, count(*) AS n, min(gap) AS min_gap, max(gap) AS max_gap, CAST(sum(gap) AS BIGINT) AS gap_sum FROM h GROUP BY v""",
@@ -282,6 +575,6 @@ SELECT CAST(v AS BIGINT) AS varint_bytes, count(*) AS n, min(gap) AS min_gap, ma
         "overlap_factor": """WITH x AS (SELECT n_regionkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 g AS (SELECT n_regionkey, count(DISTINCT l_partkey) AS n FROM x GROUP BY 1)
 SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS total, min(n) AS least, max(n) AS most, (SELECT count(DISTINCT l_partkey) FROM x) AS n_distinct, round(sum(n) / (SELECT count(DISTINCT l_partkey) FROM x), 6) AS factor FROM g""",
-        "sample_distribution": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WHERE c_custkey % 7 = 0)
+        "sample_distribution": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM (SELECT * FROM customer WHERE c_custkey % 7 = 0 ORDER BY c_custkey LIMIT 3000))
 SELECT c_mktsegment, count(*) AS n, max(CASE WHEN k = n // 2 THEN c_acctbal END) AS median, round(avg(c_acctbal), 4) AS mean, max(c_acctbal) AS largest FROM r GROUP BY 1""",
     }

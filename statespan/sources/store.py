@@ -111,6 +111,21 @@ class Steps:
         return new.select("step", F.coalesce("new", F.lit(0)).alias("new"), F.sum(F.coalesce("new", F.lit(0))).over(order).alias("cumulative"))
 
 
+def write_ladder(rows: DataFrame, path: str) -> None:
+    """A ladder (step, nodes) as lines of text, the numbers parted by a space."""
+    rows.select("step", "nodes").write.option("sep", " ").csv(path)
+
+
+def read_ladder(spark: SparkSession, path: str) -> DataFrame:
+    """A ladder (step, nodes) from lines of text; lines that are none are left out."""
+    return spark.read.schema("step int, nodes bigint").option("sep", " ").option("mode", "DROPMALFORMED").csv(path)
+
+
+def write_values(values: DataFrame, path: str) -> None:
+    """Values as JSON lines."""
+    values.write.json(path)
+
+
 def bucket(key, bits: int = 39):
     """Range bucket by the high bits of a key."""
     return F.shiftright(key, bits)
