@@ -7,8 +7,6 @@ Python objects, and a slice of rows at a time so that memory stays bounded by
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,32 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, saved
+
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
-_own_folder: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can read: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting, as in tests, gets a temporary
-    folder of its own; on a cluster its lack raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
-    if "path" not in _own_folder:
-        _own_folder["path"] = "file://" + tempfile.mkdtemp(prefix="statespan-")
-    return _own_folder["path"]
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session to BATCH_BYTES, as a kernel holds a whole batch;
     a session that has set a bound of its own keeps it."""
@@ -62,24 +45,6 @@ def n_blocks_of(df: DataFrame, block_bytes: int) -> int:
     return min(64 * n, max(4 * n, -(-input_bytes(df) // block_bytes)))
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a ``saved`` table that nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, df._saved_path
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 class Scratch:
     """Tables of one operator that go when it is done with them."""
 
@@ -272,12 +237,14 @@ def components(links: DataFrame) -> DataFrame:
     sign = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # stored, so that the join deals both sides anew and a node with very many links can be split
+        near = saved(both.groupBy("a").agg(F.min("b").alias("m")), "near")
+        low = near.select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         old, edges = edges, saved(small.where("a <> b").distinct(), "stars")
-        discard(old)
+        discard(old, near)
         seen, sign = sign, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == sign:
             break
