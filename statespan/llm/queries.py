@@ -93,6 +93,43 @@ FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
 
+def _op9() -> str:
+    """The counts by lists of words and lines, and expectation-maximisation as a recursion over
+    rows of shares: (round, share of good, shares of the votes of each rule)."""
+    rules = list(quality.RULES.values())
+    number = lambda characters: f"length(t) - length(translate(t, '{characters}', ''))"
+    cast = ", ".join(f"CASE WHEN {reject} THEN 1 WHEN {keep or 'false'} THEN 3 ELSE 2 END" for reject, keep in rules)
+    start = {c: "[" + ", ".join(f"[{', '.join(f'{x}::DOUBLE' for x in quality.START[c])}]" for _ in rules) + "]" for c in quality.START}
+    odds = f"ln(good / (1 - good)) + list_sum(list_transform(range(1, {len(rules) + 1}), lambda r: ln(gs[r][v[r]] / bs[r][v[r]])))"
+    weight = quality.PRIOR_WEIGHT
+
+    def shares(c: str, w: str) -> str:
+        rows = []
+        for r in range(1, len(rules) + 1):
+            mass = [f"({weight * quality.START[c][j]}::DOUBLE + coalesce(sum({w}) FILTER (v[{r}] = {j + 1}), 0))" for j in range(3)]
+            rows.append(f"[{', '.join(f'{m} / ({weight} + sum({w}))' for m in mass)}]")
+        return f"[{', '.join(rows)}]"
+
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(generate_series(1, len(w) - 4)) AS u(i)),
+p AS (SELECT doc_id, count(DISTINCT i + k.k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g), range(5) k(k) WHERE times > 1 GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, {number('#*$%&|<>')} AS n_symbols, {number('0123456789')} AS n_digits, {number('.!?')} AS n_stops,
+        length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS n_letters, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_stutter, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
+votes AS (SELECT *, [{cast}] AS v FROM c),
+patterns AS (SELECT v, count(*) AS n FROM votes GROUP BY v),
+em AS (
+    SELECT 0 AS round, {quality.START_GOOD}::DOUBLE AS good, {start['bad']} AS bs, {start['good']} AS gs
+    UNION ALL
+    SELECT round + 1, least(0.99, greatest(0.01, (sum(n * p) + {weight * quality.START_GOOD}) / (sum(n) + {weight}))), {shares('bad', 'n * (1 - p)')}, {shares('good', 'n * p')}
+    FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns WHERE round < {quality.ROUNDS}) GROUP BY round)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND p >= 0.5 AS kept, round(p, 4) AS p_good
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed, 1 / (1 + exp(-({odds}))) AS p FROM votes, (SELECT good, bs, gs FROM em WHERE round = {quality.ROUNDS}))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": _OP1,
@@ -100,4 +137,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_jaccard_join": _OP3,
         "op4_warc": _OP4,
         "op5_decontamination": _OP5,
+        "op9_quality_rules": _op9(),
     }

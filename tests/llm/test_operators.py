@@ -429,7 +429,7 @@ def test_quality_estimation():
     rows = []
     for _ in range(4000):
         good = rng.random() < 0.7
-        hit = [0.02, 0.65, 0.33] if good else [0.5, 0.45, 0.05]
+        hit = [0.01, 0.20, 0.79] if good else [0.4, 0.35, 0.25]
         rows.append((good, tuple(rng.choices((-1, 0, 1), hit)[0] for _ in quality.RULES)))
     share, shares = quality.estimate(sorted(Counter(v for _, v in rows).items()))
     assert abs(share - 0.7) < 0.05
@@ -438,6 +438,33 @@ def test_quality_estimation():
     assert quality.estimate([])[0] == quality.START_GOOD
 
 
+def test_quality_departs_from_all_must_pass():
+    """A rule that rejects every tenth of the documents that all others speak for is outvoted."""
+    n = len(quality.RULES)
+    odd = tuple(-1 if r == 3 else 1 for r in range(n))
+    junk = tuple(-1 if r in (1, 3, 5) else 1 if r % 2 else 0 for r in range(n))
+    share, shares = quality.estimate([((1,) * n, 700), (odd, 90), (junk, 210)])
+    assert quality.posterior(odd, share, shares) >= 0.5 > quality.posterior(junk, share, shares)
+
+
+def test_quality_rules_stand_alone():
+    """No rule's condition holds that of another, and most can speak for a document."""
+    counts = {name: set(re.findall(r"n_[a-z_]+|word_chars", " ".join(x for x in r if x))) - {"n_words", "word_chars", "n_lines"} for name, r in quality.RULES.items()}
+    assert all(len(c) <= 1 for c in counts.values()) and len({frozenset(c) for c in counts.values() if c}) == sum(bool(c) for c in counts.values())
+    assert sum(r[1] is not None for r in quality.RULES.values()) >= 3
+
+
+@pytest.mark.skipif(not TEST_DATA.exists(), reason="no test data")
+def test_quality_agrees_with_labels(spark):
+    """Thresholds were set on the labels of the table ten times as large, not on these rows."""
+    kept = quality.op9(spark, str(TEST_DATA)).where("doc_id % 2 = 1").join(spark.read.parquet(f"{TEST_DATA}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in kept if r.quality == 1], [r.kept for r in kept if r.quality == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.1 * len(bad) and len(bad) > 5
+    judged = quality.judge(spark.read.parquet(f"{TEST_DATA}/documents.parquet"))
+    rows = {(r.kept, r.all_pass): r.n for r in quality.departures(judged).collect()}
+    assert rows[True, False] > 0
+
+
 def test_quality_empty(spark):
     assert quality.judge(documents(spark, ["a"]).limit(0)).count() == 0
 
