@@ -3,24 +3,28 @@
 Pages become tokens: the open elements on the way to a block (its path) and the
 block's text on that path, told apart by how often it stood before. Over the pages of a host each token has an occurrence
 vector (how often it stands in each page); tokens with equal vectors form an
-equivalence class, and classes of enough tokens and pages are valid: they are
-the host's template. A class whose paths lie inside another's is nested in it.
-Texts of a valid class are the template's own; what is left are the slots, and
-the article is what the page marks as such (article, main) or else all slots; on
-a host without a template, the container with most text. Elements whose kind, role
-or class names say that they are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts or comments are no part of it.
+equivalence class, and classes of enough tokens and pages are valid. A class whose paths
+lie inside another's is nested in it, and a text is the template's own if its class is
+valid and it stands in an element of a valid class, its own or the one it is nested in.
+What is left are the slots. The article is what the page marks as such (article, main),
+whole, or else all slots.
+
+Elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts or
+comments by their kind, role or class names are no part of the article. Outside of a
+marked article any part of a name counts (``related-work`` holds ``related``); inside,
+only names that say nothing else (``comment-list``, ``ad``), so an article loses no
+section over a name.
 
 Vectors are never gathered: a class is known by a digest that adds up over its
-pages, so a host of any size is only grouped sums.
-
-Pages whose blocks outside of menus, adverts and so on are equal count as one
-page, so that copies of an article do not make it part of the template.
+pages, so a host of any size is only grouped sums. Pages whose blocks outside of menus,
+adverts and so on are equal count as one page, so that copies of an article do not make
+it part of the template.
 
 Defined cases: a null html gives an empty text; a null or odd url is host "";
-unclosed elements end with their parents; hosts with fewer than MIN_PAGES
-different pages have no template; repeated rows each give a row; extra columns
-are ignored.
+unclosed elements end with their parents; of equal texts on one path the first of each
+page are one token, the second another, and so on; a text on fewer than MIN_SUPPORT
+different pages of a host is never its template's; pages are read whole, however long;
+repeated rows each give a row; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved, table
+from ._common import Scratch, saved, small_batches, table
 
-#: A template needs so many different pages of a host, and a valid class so many tokens.
-MIN_PAGES = 8
+#: A valid class has so many tokens, on so many different pages and this share of the host's.
 MIN_TOKENS = 3
-#: A valid class stands in at least this share of the host's pages.
+MIN_SUPPORT = 3
 MIN_SHARE = 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -47,15 +50,17 @@ _HIDDEN = re.compile(r"\bhidden\b")
 _NAME = re.compile(r"[^a-z0-9]+")
 # Element names of HTML, and names that sites use for what isn't an article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mstyle mspace semantics".split())
 _RAW = frozenset("script style textarea title noscript iframe noframes xmp template".split())
-_NEVER = frozenset("head script style noscript template iframe object svg canvas math select option button nav footer aside form dialog menu audio video map textarea title".split())
+_NEVER = frozenset("head script style noscript template iframe object svg canvas select option button nav footer aside form dialog menu audio video map textarea title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 _ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion".split())
 _AROUND = frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended widget toolbar pagination pager copyright legal skip hidden".split())
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+# Names that say what an element is even inside an article, and words that may stand beside them.
+_INSIDE = _ADVERTS - frozenset("banner promo promotion".split()) | _COMMENTS - frozenset("reply respond".split()) | frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices newsletter subscribe toolbar pagination pager".split())
+_BESIDE = frozenset("area bar bottom box container content inner item items left list main outer page post right section site slot top unit widget wrap wrapper banner form links".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_PART = re.compile(r"(p|h[1-6]|hgroup|ul|ol|li|dl|dt|dd|blockquote|pre|table|thead|tbody|tr|td|th|figure|figcaption|section)(\.|$)")
 _SCOPES = frozenset("ul ol dl table select body article section div main aside nav header footer form".split())
 
 
@@ -73,6 +78,15 @@ def _remembered(known: dict, key: tuple, make):
     return known[key]
 
 
+def _says(names: str) -> bool:
+    """Whether one of an element's names says that it is no part of an article and nothing else."""
+    for name in names.lower().split():
+        parts = {x for x in _NAME.split(name) if x and not x.isdigit()}
+        if parts & _INSIDE and parts <= _INSIDE | _BESIDE:
+            return True
+    return False
+
+
 def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool]:
     """The element's label in paths, and whether it is no part of an article."""
     attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
@@ -80,12 +94,13 @@ def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool]:
     label = f"{tag}.{label}" if label else tag
     if tag in ("html", "body", "main"):
         return label, False
-    names = set(_NAME.split(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) if attributes else set()
+    called = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    names = set(_NAME.split(called.lower())) if attributes else set()
     if tag == "article":
         return label, bool(names & _COMMENTS)
     junk = tag in _NEVER or (tag == "header" and not in_article)
     if attributes:
-        junk = junk or bool(names & (_ADVERTS | _AROUND | _COMMENTS)) or ("header" in names and not in_article)
+        junk = junk or (_says(called) if in_article else bool(names & (_ADVERTS | _AROUND | _COMMENTS)) or "header" in names)
         junk = junk or attributes.get("role", "").lower() in _ROLES or attributes.get("aria-hidden") == "true"
         junk = junk or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     if not junk and _HIDDEN.search(_ATTRIBUTE.sub("", raw)):
@@ -216,53 +231,46 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
-def template_tokens(pages: DataFrame) -> DataFrame:
-    """The valid classes of each host, a row per token: host, class_id, parent_class (0 for
-    none), token, is_text, n_pages, host_pages, least and most (occurrences in a page)."""
+def template_tokens(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The valid classes of each host, a row per token: host, class_id, parent_class (the class
+    it is nested in, 0 for none), in_template (it stands in an element of a valid class),
+    token, is_text, n_pages, host_pages, least and most (occurrences in a page)."""
     tokens = _with_host(pages).select("host", "html").mapInArrow(_tokens, "host string, page bigint, token bigint, parent bigint, is_text boolean, n bigint")
-    once = saved(tokens.groupBy("host", "token", "parent", "is_text", "page").agg(F.max("n").alias("n")), "tokens")
-    host_pages = once.where("parent = 0").groupBy("host").agg(F.countDistinct("page").alias("host_pages")).where(f"host_pages >= {MIN_PAGES}")
+    scratch = scratch or Scratch()
+    once = scratch.saved(tokens.groupBy("host", "token", "parent", "is_text", "page").agg(F.max("n").alias("n")), "tokens")
+    host_pages = once.where("parent = 0").groupBy("host").agg(F.countDistinct("page").alias("host_pages")).where(f"host_pages >= {MIN_SUPPORT}")
     vectors = once.groupBy("host", "token", "parent", "is_text").agg(
         F.count("*").alias("n_pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
-    near = saved(vectors.join(host_pages, "host").where(f"n_pages >= {MIN_SHARE} * host_pages"), "vectors")
+    near = scratch.saved(vectors.join(host_pages, "host").where(f"n_pages >= greatest({MIN_SUPPORT}, {MIN_SHARE} * host_pages)"), "vectors")
     valid = near.groupBy("host", "vector", "n_pages").agg(F.count("*").alias("n_tokens"), F.min("token").alias("class_id")).where(f"n_tokens >= {MIN_TOKENS}")
     classed = near.join(valid, ["host", "vector", "n_pages"])
     holder = classed.where("not is_text").select("host", F.col("token").alias("parent"), F.col("class_id").alias("parent_class"))
     return classed.join(holder, ["host", "parent"], "left").select(
         "host", "class_id", F.when(F.col("parent_class") != F.col("class_id"), F.col("parent_class")).otherwise(0).alias("parent_class"),
-        "token", "is_text", "n_pages", "host_pages", "least", "most")
+        F.col("parent_class").isNotNull().alias("in_template"), "token", "is_text", "n_pages", "host_pages", "least", "most")
 
 
-def _main_text(page: str, template: frozenset | None) -> str:
-    found = [(path, text, article) for path, text, junk, article in blocks(page) if not junk]
-    if template:
-        found = [x for x, token in zip(found, _text_tokens(found)) if token not in template]
-    marked = [text for _, text, article in found if article]
+def _main_text(page: str, template: frozenset) -> str:
+    found = [x for x in blocks(page) if not x[2]]
+    marked = [text for _, text, _, article in found if article]
     if marked:
         return "\n\n".join(marked)
-    if template is not None:
-        return "\n\n".join(text for _, text, _ in found)
-    weight: dict[tuple[str, ...], int] = {}
-    for path, text, _ in found:
-        holder = path
-        while holder and _PART.match(holder[-1]):
-            holder = holder[:-1]
-        weight[holder] = weight.get(holder, 0) + len(text)
-    if not weight:
-        return ""
-    best = max(weight, key=lambda k: (weight[k], -len(k)))
-    return "\n\n".join(text for path, text, _ in found if path[: len(best)] == best)
+    return "\n\n".join(x[1] for x, token in zip(found, _text_tokens(found)) if token not in template)
 
 
 def _extract(batches):
     for batch in batches:
-        texts = [_main_text(page or "", None if known is None else frozenset(known)) for page, known in zip(batch.column("html").to_pylist(), batch.column("known").to_pylist())]
+        texts = [_main_text(page or "", frozenset(known or ())) for page, known in zip(batch.column("html").to_pylist(), batch.column("known").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (main text, blocks joined by an empty line), n_chars."""
-    known = template_tokens(pages).groupBy("host").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("known"))
+    small_batches(pages.sparkSession)
+    # a template's texts are as many as a page can hold twice over, as each is on half of the pages
+    scratch = Scratch()
+    known = saved(template_tokens(pages, scratch).where("is_text and in_template").groupBy("host").agg(F.collect_set("token").alias("known")), "templates")
+    scratch.clear()
     rows = _with_host(pages).join(known, "host", "left").select("page_id", "url", "html", "known")
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 

@@ -277,7 +277,7 @@ def test_html_main_text(spark):
     plain = "<div id=main-column><p>long text of the page itself<p>more of it</div><div class='x y'><p>short</div>"
     pages = spark.createDataFrame([(1, "http://h.org/a", page, 1), (2, "odd", None, 1), (3, None, plain, 1), (4, "http://h.org/b", "", 1), (5, "u", "<p>a<!-- b", 1)], "page_id bigint, url string, html string, n_chars int")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
-    assert got == {1: "Head & line\n\none two three\n\nfour 1 < 2\n\nx\n\ny", 2: "", 3: "long text of the page itself\n\nmore of it", 4: "", 5: "a"}
+    assert got == {1: "Head & line\n\none two three\n\nfour 1 < 2\n\nx\n\ny", 2: "", 3: "long text of the page itself\n\nmore of it\n\nshort", 4: "", 5: "a"}
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
@@ -297,6 +297,76 @@ def test_html_template(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_html_keeps_the_article_whole(spark):
+    """Names that only hold a word of the lists, formulas, and a sentence on every page stay in an article."""
+    rows, want = [], {}
+    for k in range(12):
+        body = (f"<h1>Title {k}</h1><section class='related-work'><p>Others {k}</p></section><p class=legal>Law {k}</p><figure class='side'>Figure {k}</figure>"
+                f"<p>See <math><mi>x{k}</mi></math> here</p><p>Thanks for reading this.</p>")
+        gone = f"<div class='comment-list'><p>me too {k}</p></div><div class='ad'>buy {k}</div><nav>menu {k}</nav><div class='cookie-banner'>yes {k}</div>"
+        rows.append((k, "http://h.org/x", f"<div class='related posts'>More {k}</div><article>{body}{gone}</article><div class=legal>rights {k}</div>"))
+        want[k] = f"Title {k}\n\nOthers {k}\n\nLaw {k}\n\nFigure {k}\n\nSee x{k} here\n\nThanks for reading this."
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
+def plain_classes(rows):
+    """{(host, vector): tokens} of the texts and paths of pages, vectors written out."""
+    vectors, pages = {}, {}
+    for page_id, url, page in rows:
+        found = html_text.blocks(page)
+        content = tuple((path, text) for path, text, junk, _ in found if not junk)
+        if content in pages.setdefault(url, {}):
+            continue
+        pages[url][content] = page_id
+        counts = Counter()
+        for path, _, _, _ in found:
+            counts[("path", path)] += 1
+        inner = {("path", path[:d]) for path, _, _, _ in found for d in range(1, len(path))}
+        for t in inner - set(counts):
+            counts[t] = 1
+        before = Counter()
+        for path, text in content:
+            counts[("text", path, text, before[path, text])] = 1
+            before[path, text] += 1
+        for t, n in counts.items():
+            vectors.setdefault((url, t), []).append((page_id, n))
+    out = {}
+    for (url, t), v in vectors.items():
+        if len(v) >= max(html_text.MIN_SUPPORT, html_text.MIN_SHARE * len(pages[url])):
+            out.setdefault((url, tuple(v)), []).append(t)
+    return sorted(len(c) for c in out.values() if len(c) >= html_text.MIN_TOKENS)
+
+
+def test_html_classes_are_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        parts = [f"<div class=a><p>Shop</p><p>Rights</p><p>Rights</p></div>" if rng.random() < 0.8 else "", f"<div><p>{rng.choice('pqr')}</p><p>{rng.randint(0, 3)}</p></div>",
+                 "<ul>" + "".join(f"<li>{rng.choice('xyz')}" for _ in range(rng.randint(1, 3))) + "</ul>", "<section><b>One</b><i>two</i></section>" if rng.random() < 0.5 else ""]
+        rows.append((k, f"http://h{k % 5}.org", "".join(parts)))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "2 as token")
+    got = html_text.template_tokens(pages).groupBy("host", "class_id").count().collect()
+    assert sorted(r["count"] for r in got) == plain_classes(rows) and len(got) > 4
+
+
+def test_html_template_changes_pages(spark, monkeypatch):
+    """Without the template unmarked boilerplate stays; a host of three pages has one too."""
+    rng = random.Random(22)
+    rows = [(k, f"http://{'small' if k < 3 else 'large'}.org/{k}", f"<div class=top><p>Our shop</p><p>Since 1990</p><p>Call us</p></div><div class=text><p>{prose(rng, 30)}</p></div>") for k in range(15)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    on = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    monkeypatch.setattr(html_text, "MIN_TOKENS", 1 << 30)
+    off = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(off[k] == f"Our shop\n\nSince 1990\n\nCall us\n\n{on[k]}" for k in range(15))
+
+
+def test_html_long_page(spark):
+    page = "<article>" + "".join(f"<p>{k} words" for k in range(60_000)) + "</article>"
+    got = html_text.extract(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")).first()
+    assert got.text == "\n\n".join(f"{k} words" for k in range(60_000)) and got.n_chars == len(got.text)
+
+
 def test_html_template_by_share_of_pages(spark):
     """Sections in sibling containers, boilerplate on most pages or twice in a page, an error page, copies."""
     rng = random.Random(14)
