@@ -5,7 +5,7 @@ block's text on that path, told apart by how often it stood before. Over the pag
 vector (how often it stands in each page); tokens with equal vectors form an
 equivalence class, and classes of enough tokens and pages are valid. A class whose paths
 lie inside another's is nested in it, and a text is the template's own if its class is
-valid and it stands in an element of a valid class, its own or the one it is nested in.
+valid and its block stands in an element of a valid class, its own or the one it is nested in.
 What is left are the slots. The article is what the page marks as such (article, main),
 whole, or else all slots.
 
@@ -212,13 +212,13 @@ def _tokens(batches):
             seen: dict[tuple[int, int, bool], int] = {}
             texts = iter(_text_tokens([x for x in found if not x[2]]))
             for path, _, junk, _ in found:
-                parent = 0
+                parent, above = 0, 0
                 for depth, here in enumerate(_remembered(_paths, path, _path_tokens), 1):
                     leaf = depth == len(path)
                     seen[here, parent, False] = seen.get((here, parent, False), 0) + 1 if leaf else max(1, seen.get((here, parent, False), 0))
-                    parent = here
-                if not junk:
-                    seen[next(texts), parent, True] = 1
+                    parent, above = here, parent
+                if not junk:  # the block itself may stand any number of times: what holds it counts
+                    seen[next(texts), above or parent, True] = 1
             for (token, parent, is_text), n in seen.items():
                 for c, v in zip(columns, (host, digest, token, parent, is_text, n)):
                     c.append(v)
