@@ -7,24 +7,30 @@ earlier (in a document of smaller id, or earlier in the same document).
    GRAM-byte substrings (its anchor, leftmost on ties). The anchor depends only
    on the window's bytes, so equal windows have equal anchors and meet in one
    block. An anchor stands for one run of windows and their joint bytes, its
-   context. Equal contexts are collapsed, first inside each task, then by block:
-   all but the earliest are repeats throughout. Contexts whose anchor no other
-   context has are unique and are done with.
-2. Sorting. What is left, a few per cent of the text, is dealt by anchor, and
-   each block gets its suffix array by difference cover: sort the triples at
+   context. Contexts whose anchor no other context has are unique and are done with;
+   of those equal byte for byte within a task only the earliest goes on, and the others
+   are repeats throughout. An anchor of more than HEAVY contexts is dealt again window
+   by window, by a hash of the whole window, so a passage that very many documents
+   share is spread over all blocks.
+2. Sorting. What is left, some per cent of the text, is dealt by anchor. Each block
+   collapses contexts of equal bytes and gets the suffix array of the others by
+   difference cover: sort the triples at
    positions 1 and 2 modulo 3, recurse on their names, sort the remaining
    suffixes by a symbol and the rank behind it, and merge. Names that already
    reach LENGTH symbols deep are not told apart any further. Adjacent suffixes are
    compared over LENGTH bytes; in a run of equal ones all but the earliest repeat.
 3. Removal. Repeated windows are gathered by document and cut out.
 
-Defined cases: a null text is empty; a text under LENGTH bytes keeps all; ids
-are compared as numbers, a null id comes after all others; equal rows are one
-document, and rows that share an id but not the text are different documents, in
-order of a hash of the text; extra columns are ignored.
+Hashes only decide what meets what: nothing is removed unless its bytes were compared.
 
-A block holds all distinct contexts of its anchors: 40 bytes each while
-collapsing, their bytes (at most 168) while sorting.
+Defined cases: a null text is empty; a text under LENGTH bytes keeps all; a long text
+goes piece by piece; ids are compared as numbers, a null id comes after all others;
+equal rows are one document, and rows that share an id but not the text are different
+documents, in order of a hash of the text; an empty table gives no rows; extra columns
+of any name are ignored, and kept by ``remove_repeats``.
+
+A block holds all contexts of its anchors, 32 bytes each, and the bytes (at most 168)
+of those whose anchor is shared.
 """
 
 from __future__ import annotations
@@ -36,15 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, document_key, merged, n_parts, others, restored, saved, table, text_slices
+from ._common import Scratch, SpanHash, document_key, merged, n_blocks_of, others, restored, saved, small_batches, sub_batches, table, text_slices
 
 LENGTH = 100
 GRAM = 32
+#: An anchor of more contexts is dealt window by window.
+HEAVY = 20_000
+#: Input bytes that a block is due.
+BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 20
 _FLUSH = 1 << 19
-_CONTEXT = np.dtype([("g", "<u8"), ("c", "<u8"), ("d", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-_RUN = "repeated boolean, g bigint, d bigint, h bigint, lo int, hi int"
+_CONTEXT = np.dtype([("g", "<u8"), ("d", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+_RUN = "kind string, g bigint, d bigint, h bigint, lo int, hi int"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
+_PACKED = "block int, packed binary"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -57,10 +68,12 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1: n])
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The anchors of every window, with their runs of windows (lo to hi, in the document)."""
+def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of every window with their runs of windows (lo to hi, in the document), a
+    hash of each context and where it starts in the data."""
+    nothing = np.zeros(0, _CONTEXT), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return np.zeros(0, _CONTEXT)
+        return nothing
     span = SpanHash(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = span(at, at + GRAM)
@@ -71,39 +84,83 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.
     fits = start + LENGTH <= offsets[row + 1]
     start, anchor, row = start[fits], anchor[fits], row[fits]
     if not len(start):
-        return np.zeros(0, _CONTEXT)
+        return nothing
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     cuts = np.flatnonzero(new)
     lo, hi, row = start[cuts], start[np.append(cuts[1:], len(start)) - 1], row[cuts]
     out = np.empty(len(cuts), _CONTEXT)
-    out["g"], out["c"], out["d"], out["h"] = grams[anchor[cuts]], span(lo, hi + LENGTH), ids[row], marks[row]
+    out["g"], out["d"], out["h"] = grams[anchor[cuts]], ids[row], marks[row]
     out["lo"], out["hi"] = lo - offsets[row], hi - offsets[row]
-    return out
+    return out, span(lo, hi + LENGTH), lo
+
 
+def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False)
 
-def _pieces(column, ids: np.ndarray, marks: np.ndarray):
-    """Contexts slice by slice; a longer text goes piece by piece."""
-    for first, end, data, offsets in text_slices(column, _PIECE):
+
+def _pieces(batch: pa.RecordBatch):
+    """(contexts, hashes, starts, data) slice by slice; a longer text goes piece by piece."""
+    ids, marks = _numbers(batch, "d"), _numbers(batch, "h")
+    for first, end, data, offsets in text_slices(batch.column("text"), _PIECE):
         if len(data) <= _PIECE:
-            yield _contexts(data, offsets, ids[first:end], marks[first:end])
+            yield *_contexts(data, offsets, ids[first:end], marks[first:end]), data
             continue
         for base in range(0, len(data), _PIECE):
             part = data[base: base + _PIECE + LENGTH - 1]
-            found = _contexts(part, np.array([0, len(part)]), ids[first:end], marks[first:end])
+            found, hashes, start = _contexts(part, np.array([0, len(part)]), ids[first:end], marks[first:end])
             found["lo"] += base
             found["hi"] += base
-            yield found
-
-
-def _collapsed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The earliest of each context, in order of anchors, and the others."""
-    rows = rows[np.lexsort((rows["lo"], rows["h"], rows["d"], rows["c"], rows["g"]))]
+            yield found, hashes, start, part
+
+
+def _windows(batch: pa.RecordBatch):
+    """The same for the windows of given runs, each a context of its own and its own anchor."""
+    ids, marks, todo = _numbers(batch, "d"), _numbers(batch, "h"), batch.column("todo").to_pylist()
+    for first, end, data, offsets in text_slices(batch.column("text"), _PIECE):
+        at = [np.arange(t["lo"], t["hi"] + 1) for r in range(first, end) for t in todo[r]]
+        row = np.repeat([r for r in range(first, end) for _ in todo[r]], [len(x) for x in at]).astype(np.int64)
+        lo = np.concatenate(at) if at else np.zeros(0, np.int64)
+        start = lo + offsets[row - first]
+        hashes = SpanHash(data)(start, start + LENGTH)
+        out = np.empty(len(lo), _CONTEXT)
+        out["g"], out["d"], out["h"], out["lo"], out["hi"] = hashes, ids[row], marks[row], lo, lo
+        yield out, hashes, start, data
+
+
+def _collapsed(rows: np.ndarray, hashes: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of the contexts of equal bytes, and the others but for equal rows of one
+    document. Contexts of equal hash and unequal bytes are different."""
+    size = rows["hi"].astype(np.int64) - rows["lo"] + LENGTH
+    order = np.lexsort((rows["lo"], rows["h"], rows["d"], size, hashes, rows["g"]))
+    rows, hashes, at, size = rows[order], hashes[order], at[order], size[order]
     first = np.ones(len(rows), bool)
-    first[1:] = (rows["g"][1:] != rows["g"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
-    lead = rows[first][np.cumsum(first) - 1]
-    again = (rows["d"] != lead["d"]) | (rows["h"] != lead["h"]) | (rows["lo"] != lead["lo"])
-    return rows[first], rows[again]
+    first[1:] = (rows["g"][1:] != rows["g"][:-1]) | (hashes[1:] != hashes[:-1]) | (size[1:] != size[:-1])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = np.flatnonzero(~first)
+    equal = np.zeros(len(rows), bool)
+    for a in range(0, len(later), 1 << 13):
+        x = later[a: a + (1 << 13)]
+        reach = np.arange(int(size[x].max()))
+        within = reach < size[x][:, None]
+        there = lambda i: data[np.minimum(at[i][:, None] + reach, len(data) - 1)]
+        equal[x] = ((there(x) == there(lead[x])) | ~within).all(axis=1)
+    same = (rows["d"] == rows["d"][lead]) & (rows["h"] == rows["h"][lead]) & (rows["lo"] == rows["lo"][lead])
+    return rows[~equal], rows[equal & ~same]
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Runs of windows that touch in one document as one run each."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["lo"], rows["h"], rows["d"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["d"][1:] != rows["d"][:-1]) | (rows["h"][1:] != rows["h"][:-1]) | (rows["lo"][1:] > rows["hi"][:-1] + 1)
+    cuts = np.flatnonzero(new)
+    out = rows[cuts]
+    out["hi"] = rows["hi"][np.append(cuts[1:], len(rows)) - 1]
+    out["g"] = 0
+    return out
 
 
 def _packed(rows: np.ndarray) -> bytes:
@@ -115,26 +172,28 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(_CONTEXT.itemsize, -1).T).view(_CONTEXT).ravel()
 
 
-def _deal(n_blocks: int):
+def _deal(n_blocks: int, contexts=_pieces):
     """Contexts packed by block of anchors; repeats found here go to blocks past those."""
     def flush(parts, count):
-        keep, again = _collapsed(np.concatenate(parts))
+        shift = np.cumsum([0, *(len(p[3]) for p in parts)])
+        keep, again = _collapsed(*(np.concatenate(x) for x in zip(*((r, c, s + shift[i]) for i, (r, c, s, _) in enumerate(parts)))), np.concatenate([p[3] for p in parts]))
+        again = _joined(again)
         block = (keep["g"] % np.uint64(n_blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         keep, block = keep[order], block[order]
         cuts = np.flatnonzero(np.diff(block, prepend=-1))
         blocks, pieces = block[cuts].tolist(), [_packed(keep[a:b]) for a, b in zip(cuts, [*cuts[1:], len(keep)])]
         if len(again):
-            blocks.append(n_blocks + (int(again["g"][0]) + count) % n_blocks)
+            blocks.append(n_blocks + (int(again["d"][0]) + count) % n_blocks)
             pieces.append(_packed(again))
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(pieces, pa.binary())], names=["block", "packed"])
 
     def run(batches):
         parts, size, count = [], 0, 0
         for batch in batches:
-            for found in _pieces(batch.column("text"), batch.column("d").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)):
-                parts.append(found)
-                size += len(found)
+            for part in contexts(batch):
+                parts.append(part)
+                size += len(part[0])
                 if size >= _FLUSH:
                     yield flush(parts, count)
                     parts, size, count = [], 0, count + 1
@@ -143,49 +202,49 @@ def _deal(n_blocks: int):
     return run
 
 
-def _runs(repeated: bool, rows: np.ndarray) -> pa.Table:
-    return pa.table({"repeated": pa.array(np.full(len(rows), repeated)), "g": rows["g"].view(np.int64).copy() if rows["g"].flags.c_contiguous else np.ascontiguousarray(rows["g"]).view(np.int64),
-                     "d": np.ascontiguousarray(rows["d"]), "h": np.ascontiguousarray(rows["h"]), "lo": np.ascontiguousarray(rows["lo"]), "hi": np.ascontiguousarray(rows["hi"])})
+def _runs(kind: np.ndarray | str, rows: np.ndarray) -> pa.Table:
+    plain = {c: np.ascontiguousarray(rows[c]) for c in ("g", "d", "h", "lo", "hi")}
+    plain["g"] = plain["g"].view(np.int64)
+    return pa.table({"kind": pa.array(np.full(len(rows), kind) if isinstance(kind, str) else kind, pa.string()), **plain})
 
 
-def _collapse(n_blocks: int):
-    """Runs of repeated windows, and the runs that have to be sorted."""
+def _shared(n_blocks: int, heavy: int):
+    """Runs of repeated windows (again), and those whose anchor is shared by some (sort) or by very many (heavy)."""
     def run(key, group):
         rows = np.concatenate([_unpacked(x) for x in group.column("packed").to_pylist()])
         if key[0].as_py() >= n_blocks:
-            return _runs(True, rows)
-        keep, again = _collapsed(rows)
-        same = keep["g"][1:] == keep["g"][:-1]
-        shared = np.zeros(len(keep), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        return pa.concat_tables([_runs(True, again), _runs(False, keep[shared])])
+            return _runs("again", rows)
+        rows = rows[np.argsort(rows["g"], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rows["g"], prepend=rows["g"][:1] + np.uint64(1)))
+        count = np.diff(np.append(cuts, len(rows)))
+        count = np.repeat(count, count)
+        rows, count = rows[count > 1], count[count > 1]
+        return _runs(np.where(count > heavy, "heavy", "sort").astype(object), rows)
     return run
 
 
 def _cut_contexts(n_blocks: int):
     """Fetch the bytes of the runs to sort, packed by block of anchors."""
     def run(batches):
-        for batch in batches:
-            todo = batch.column("todo")
-            flat = todo.flatten()
-            g = flat.field("g").to_numpy(zero_copy_only=False)
-            lo, hi = flat.field("lo").to_numpy(zero_copy_only=False), flat.field("hi").to_numpy(zero_copy_only=False)
-            ends = np.cumsum(np.array(todo.value_lengths().to_numpy(zero_copy_only=False), np.int64))
-            ids, marks = batch.column("d").to_pylist(), batch.column("h").to_pylist()
-            heads: dict[int, list[bytes]] = {}
-            texts: dict[int, list[bytes]] = {}
-            block = (g.view(np.uint64) % np.uint64(n_blocks)).astype(np.int64).tolist()
-            for first, end, data, offsets in text_slices(batch.column("text")):
-                raw = data.tobytes()
-                for r in range(first, end):
-                    base, stop = int(offsets[r - first]), int(offsets[r - first + 1])
-                    for i in range(int(ends[r - 1]) if r else 0, int(ends[r])):
-                        a = int(lo[i])
-                        text = raw[base + a: min(base + int(hi[i]) + LENGTH, stop)]
-                        heads.setdefault(block[i], []).append(np.array([ids[r], marks[r], a, len(text)], np.int64).tobytes())
-                        texts.setdefault(block[i], []).append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(list(heads), pa.int32()), pa.array([b"".join(x) for x in heads.values()], pa.binary()), pa.array([b"".join(x) for x in texts.values()], pa.binary())], names=["block", "heads", "texts"])
+        for whole in batches:
+            for batch in sub_batches(whole):
+                todo = batch.column("todo")
+                flat = todo.flatten()
+                g, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "lo", "hi"))
+                row = np.repeat(np.arange(batch.num_rows), todo.value_lengths().to_numpy(zero_copy_only=False))
+                (_, _, data, offsets), = text_slices(batch.column("text"), 1 << 62)
+                start = lo + offsets[row]
+                size = np.minimum(hi + LENGTH, offsets[row + 1] - offsets[row]) - lo
+                heads = np.stack([_numbers(batch, "d")[row], _numbers(batch, "h")[row], lo.astype(np.int64), size], axis=1)
+                block = (g.view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+                raw, texts = data.tobytes(), []
+                for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                    texts.append(b"".join([raw[i:j] for i, j in zip(start[order[a:b]].tolist(), (start + size)[order[a:b]].tolist())]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[order[cuts]], pa.int32()), pa.array([heads[order[a:b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(order)])], pa.binary()), pa.array(texts, pa.binary())],
+                    names=["block", "heads", "texts"])
     return run
 
 
@@ -252,10 +311,30 @@ def suffix_order(s: np.ndarray, reach: int | None = None, depth: int = 3) -> np.
 
 
 def _sort_block(_, group):
+    """Runs of repeated windows in a block: of contexts of equal bytes all but the earliest, of
+    the others what their suffix array shows."""
     heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), np.int64).reshape(-1, 4)
+    raw = b"".join(group.column("texts").to_pylist())
+    ends = np.cumsum(heads[:, 3])
+    texts = [raw[i:j] for i, j in zip((ends - heads[:, 3]).tolist(), ends.tolist())]
+    order = np.lexsort((heads[:, 2], heads[:, 1], heads[:, 0]))
+    first: dict[bytes, int] = {}
+    lead = np.array([first.setdefault(texts[i], i) for i in order.tolist()], np.int64)
+    again = order[(lead != order) & (heads[order, :3] != heads[lead, :3]).any(axis=1)]
+    runs = np.empty(len(again), _CONTEXT)
+    runs["d"], runs["h"], runs["lo"] = heads[again, 0], heads[again, 1], heads[again, 2]
+    runs["hi"] = heads[again, 2] + heads[again, 3] - LENGTH
+    runs = _joined(runs)
+    heads, raw = heads[list(first.values())], np.frombuffer(b"".join(first), np.uint8)
+    del texts, first
+    late = _sorted_repeats(heads, raw)
+    return pa.concat_tables([pa.table({c: np.ascontiguousarray(runs[c]) for c in ("d", "h", "lo", "hi")}), late])
+
+
+def _sorted_repeats(heads: np.ndarray, raw: np.ndarray) -> pa.Table:
+    """Runs (d, h, lo, hi) of windows that stand earlier in different contexts (d, h, lo, size)."""
     keys, document = np.unique(heads[:, :2], axis=0, return_inverse=True)  # in order of d, then h
     document = document.ravel()
-    raw = np.frombuffer(b"".join(group.column("texts").to_pylist()), np.uint8)
     sizes = heads[:, 3]
     # one separator before each context: symbols 2 to 257 are bytes, 1 separates
     begin = np.cumsum(sizes + 1) - sizes
@@ -294,21 +373,29 @@ def _sort_block(_, group):
     return pa.table({"d": keys[d[cuts], 0], "h": keys[d[cuts], 1], "lo": at[cuts].astype(np.int32), "hi": at[last].astype(np.int32) if len(cuts) else np.zeros(0, np.int32)})
 
 
-def _repeats(texts: DataFrame) -> DataFrame:
+def _repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs (d, h, lo, hi) of window starts that repeat an earlier window; texts has d, h and text."""
-    n_blocks = 4 * n_parts(texts.sparkSession)
-    dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal(n_blocks), "block int, packed binary")
-    runs = saved(dealt.groupBy("block").applyInArrow(_collapse(n_blocks), _RUN), "runs")
-    todo = runs.where("not repeated").groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("todo"))
+    n_blocks = n_blocks_of(texts, BLOCK_BYTES)
+    dealt = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal(n_blocks), _PACKED)
+    runs = scratch.saved(dealt.groupBy("block").applyInArrow(_shared(n_blocks, HEAVY), _RUN), "runs")
+    heavy = runs.where("kind = 'heavy'")
+    if not heavy.isEmpty():
+        todo = heavy.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("todo"))
+        fine = texts.join(todo, ["d", "h"]).mapInArrow(_deal(n_blocks, _windows), _PACKED)
+        runs = runs.unionByName(scratch.saved(fine.groupBy("block").applyInArrow(_shared(n_blocks, 1 << 62), _RUN), "windows"))
+    todo = runs.where("kind = 'sort'").groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("todo"))
     cut = texts.join(todo, ["d", "h"]).mapInArrow(_cut_contexts(n_blocks), "block int, heads binary, texts binary")
     late = cut.groupBy("block").applyInArrow(_sort_block, "d bigint, h bigint, lo int, hi int")
-    return runs.where("repeated").select("d", "h", "lo", "hi").unionByName(late)
+    return runs.where("kind = 'again'").select("d", "h", "lo", "hi").unionByName(late)
 
 
 def _with_runs(docs: DataFrame, row) -> DataFrame:
     """row, text and the runs of repeated windows of each document."""
-    key = document_key(docs)
-    runs = _repeats(docs.select(*key, "text")).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    small_batches(docs.sparkSession)
+    key, scratch = document_key(docs), Scratch()
+    runs = _repeats(docs.select(*key, "text"), scratch).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = saved(runs, "repeats")
+    scratch.clear()
     return docs.select(*key, row.alias("row"), "text").join(runs, ["d", "h"], "left").select("row", "text", "runs")
 
 

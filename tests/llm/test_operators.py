@@ -65,11 +65,19 @@ def removed_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 150])
-def test_suffix_dedup_is_brute_force(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece,heavy,collide", [(1 << 20, 20_000, False), (150, 20_000, False), (1 << 20, 2, False), (1 << 20, 20_000, True), (1 << 20, 2, True)])
+def test_suffix_dedup_is_brute_force(spark, monkeypatch, piece, heavy, collide):
+    """Also where long texts are cut, where every shared anchor is heavy and where hashes collide."""
     monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    if collide:  # few different hashes, each for very different bytes
+        class Colliding(suffix_dedup.SpanHash):
+            def __call__(self, starts, ends):
+                return super().__call__(starts, ends) % np.uint64(7)
+
+        monkeypatch.setattr(suffix_dedup, "SpanHash", Colliding)
     texts = corpus()
-    found = suffix_dedup.repeated_spans(documents(spark, texts)).collect()
+    found = suffix_dedup.repeated_spans(documents(spark, texts).selectExpr("*", "1 as d", "2 as h", "3 as runs", "4 as row")).collect()
     want = removed_bytes(list(enumerate(texts)))
     assert len(found) == len(texts)
     for r in found:
