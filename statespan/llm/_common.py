@@ -161,7 +161,6 @@ def words(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.n
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE2 = np.random.default_rng(7102023).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -177,7 +176,7 @@ class SpanHash:
 
     _cache: dict = {}
 
-    def __init__(self, data: np.ndarray, byte_values: np.ndarray = _BYTE):
+    def __init__(self, data: np.ndarray):
         n = len(data) + 1
         size = max(1 << 20, 1 << (n - 1).bit_length())
         if size not in self._cache:
@@ -186,7 +185,7 @@ class SpanHash:
         up, self.down = self._cache[size]
         self.sums = np.zeros(n, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(byte_values[data] * up[: n - 1], out=self.sums[1:])
+            np.cumsum(_BYTE[data] * up[: n - 1], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE2, SpanHash, document_key, merged, table, text_slices
+from ._common import document_key, merged, saved, small_batches, table, text_slices
 
 MIN_CHUNK = 16
 MEAN_CHUNK = 40
 MAX_CHUNK = 256
 MIN_RUN = 1
+#: Chunks are known by 128 bits of BLAKE2b under this key.
+_KEY = b"statespan chunks"
 _GEAR = np.random.default_rng(987654321).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -83,7 +85,9 @@ def _chunks(batches):
             start[1:] = stop[:-1]
             begin = np.cumsum(sizes) - sizes
             start[begin[sizes > 0]] = offsets[:-1][sizes > 0]
-            one, two = SpanHash(data)(start, stop).view(np.int64), SpanHash(data, _BYTE2)(start, stop).view(np.int64)
+            raw, digest = data.tobytes(), hashlib.blake2b
+            digests = b"".join([digest(raw[a:b], digest_size=16, key=_KEY).digest() for a, b in zip(start.tolist(), stop.tolist())])
+            one, two = np.frombuffer(digests, np.int64).reshape(-1, 2).T
             lo, size = (start - offsets[row]).astype(np.int32), (stop - start).astype(np.int32)
             d, h = ids[first + row], marks[first + row]
             order = np.lexsort((lo, h, d, two, one))
@@ -96,11 +100,13 @@ def _chunks(batches):
 
 
 def _with_runs(docs: DataFrame, row) -> DataFrame:
+    small_batches(docs.sparkSession)
     key = document_key(docs)
     places = docs.select(*key, "text").mapInArrow(_chunks, "c1 bigint, c2 bigint, d bigint, h bigint, lo int, size int, again boolean")
     known = places.where("again").select("d", "h", "lo", "size")
     firsts = places.where("not again")
-    twice = firsts.groupBy("c1", "c2").agg(F.min(F.struct("d", "h", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join deals both sides anew and a chunk that very many tasks found can be split
+    twice = saved(firsts.groupBy("c1", "c2").agg(F.min(F.struct("d", "h", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
     late = firsts.join(twice, ["c1", "c2"]).where("d <> first.d or h <> first.h or lo <> first.lo").select("d", "h", "lo", "size")
     runs = known.unionByName(late).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
     return docs.select(*key, row.alias("row"), "text").join(runs, ["d", "h"], "left").select("row", "text", "runs")

@@ -6,16 +6,16 @@ so that the dictionary matters along the whole text, and the language of the
 smallest total wins. When the margin to the second language is narrow the
 document is rejected.
 
-The dictionaries are the only thing learned, from at most ``SAMPLE_DOCS``
-labelled texts per language (chosen by a hash of the text) of which each gives
-at most ``SAMPLE_CHARS`` characters, cut to ``DICTIONARY_BYTES``. Prediction
-reads whole texts and nothing but texts.
+The dictionaries are the only thing learned, from ``SAMPLE_DOCS`` labelled rows per
+language at most (those of the smallest hashes of the text), each row whole. That
+number of rows is the only bound. Prediction reads whole texts and nothing but texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 is rejected; equal sizes go to the language with more labelled texts, then to the
-alphabetically first; without any
-labelled text every document is ``und``; rows are never merged or dropped by
-``identify``.
+alphabetically first; without any labelled text every document is ``und``; equal
+labelled rows count once; long texts are compressed whole, piece by piece; rows are
+never merged or dropped by ``identify``; an empty table gives no rows; extra columns of
+any name are ignored, and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import others, restored, table
+from ._common import others, restored, small_batches, table
 
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 1000
-DICTIONARY_BYTES = 128 << 10
+SAMPLE_DOCS = 64
 PIECE_BYTES = 2048
 LEVEL = 3
+#: So many per cent more bytes make a language half as likely, for the score.
+HALF_LIFE = 5.0
 #: Rejected if the second language needs less than this many per cent more bytes.
 MIN_MARGIN = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
@@ -47,26 +47,26 @@ def normalised(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower())
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """{language: dictionary} from the rows with text and lang.
 
-    A first pass counts rows by language; the second keeps a share of each
-    language, by hash, that gives about twice the sample, and ranks only those.
+    A first pass counts rows by language; the second keeps a share of each language, by
+    hash, that gives a little over twice the sample, and ranks only those.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and length(text) > 0").select("lang", "text")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * sample_docs / n + 0.001))])
-    near = rows.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h")).where(
-        F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * sample_docs + 32) / n))])
+    near = rows.select("lang", "text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of a text count once
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample_docs)
     parts: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "k").collect():
         parts.setdefault(r["lang"], []).append(r["text"])
     order = sorted(parts, key=lambda lang: (-counts[lang], lang))
-    return {lang: " ".join(dict.fromkeys(map(normalised, parts[lang]))).encode()[:dictionary_bytes] for lang in order}
+    return {lang: " ".join(dict.fromkeys(map(normalised, parts[lang]))).encode() for lang in order}
 
 
 class _Sizes:
@@ -102,7 +102,7 @@ def _predict(shared, level: int, piece: int, with_text: bool):
                 best = int(got.argmin())
                 rest = np.delete(got, best)
                 langs.append(names[best])
-                scores.append(float(1 / np.exp2(np.maximum(got[best] - got, -60)).sum()))
+                scores.append(float(1 / np.exp2((got[best] - got) / got[best] * 100 / HALF_LIFE).sum()))
                 margins.append(float(100 * (rest.min() - got[best]) / got[best]) if len(rest) else 100.0)
             kept = [c for c in ("row", "text") if c == "row" or with_text]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=[*kept, "lang_pred", "score", "margin"])
@@ -118,8 +118,8 @@ def _identified(rows: DataFrame, dictionaries: dict[str, bytes], level: int, pie
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """doc_id, lang_pred, score (posterior share of the winner, a byte being worth a
-    factor of two), margin (per cent more bytes that the second language needs), rejected."""
+    """doc_id, lang_pred, score (share of the winner, HALF_LIFE per cent more bytes being
+    worth a factor of two), margin (per cent more bytes that the second language needs), rejected."""
     rows = docs.select(F.col("doc_id").alias("row"), "text")
     return _identified(rows, dictionaries, level, piece_bytes, min_margin).withColumnRenamed("row", "doc_id")
 

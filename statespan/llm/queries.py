@@ -39,13 +39,16 @@ WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 c(control) AS (VALUES ('<<SYS>>'), ('<</SYS>>'), ('<s>'), ('</s>'), ('[INST]'), ('[/INST]'), ('[ANSWER]'), ('[ROLE]'), ('[/ROLE]'), ('[/TURN]')),
-m(role, extra) AS (VALUES ('system', length('<<SYS>> ' || ' <</SYS>>')), ('user', length('<s>[INST] ' || ' [/INST]')), ('assistant', length('[ANSWER] ' || ' </s>'))),
-x AS (SELECT t.*, length(text) + length(text) - length(replace(text, chr(9243), ''))
-             + 2 * (SELECT sum((length(t.text) - length(replace(t.text, control, ''))) // length(control)) FROM c) + extra AS size FROM t JOIN m USING (role))
+m(role, around) AS (VALUES ('system', length('<<SYS>> ' || ' <</SYS>>')), ('user', length('<s>[INST] ' || ' [/INST]')), ('assistant', length('[ANSWER] ' || ' </s>'))),
+x AS (SELECT t.*, m.role IS NOT NULL AS known, length(text) + length(text) - length(replace(text, chr(9243), ''))
+             + 2 * (SELECT sum((length(t.text) - length(replace(t.text, control, ''))) // length(control)) FROM c)
+             + coalesce(around, length('[ROLE] ' || ' [/ROLE] ' || ' [/TURN]') + length(t.role) + length(t.role) - length(replace(t.role, chr(9243), ''))
+                                + 2 * (SELECT sum((length(t.role) - length(replace(t.role, control, ''))) // length(control)) FROM c)) AS size FROM t LEFT JOIN m USING (role))
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(size) AS BIGINT) AS formatted_chars
+       CAST(sum(size) AS BIGINT) AS formatted_chars,
+       bool_and(known) AND regexp_full_match(string_agg(role, ' ' ORDER BY turn, role, text), '(system )?user assistant( user assistant)*') AS valid
 FROM x GROUP BY conv_id
 """
 _OP4 = r"""

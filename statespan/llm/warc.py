@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved, table
+from ._common import saved, small_batches, table
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
@@ -70,10 +70,12 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 
 class _Stream:
-    """Inflates any number of gzip members, a step at a time."""
+    """Inflates any number of gzip members, a step at a time; what was taken is dropped now and
+    then, so that a record of any length costs time in proportion to it."""
 
     def __init__(self, content: bytes):
-        self.content, self.at, self.tool, self.held = memoryview(content), 0, zlib.decompressobj(31), b""
+        self.content, self.at, self.tool = memoryview(content), 0, zlib.decompressobj(31)
+        self.held, self.start = bytearray(), 0
 
     def more(self) -> bool:
         while True:
@@ -93,20 +95,27 @@ class _Stream:
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
-        start = 0
-        while (i := self.held.find(mark, start)) < 0:
-            start = max(0, len(self.held) - len(mark) + 1)
+        seen = self.start
+        while (i := self.held.find(mark, seen)) < 0:
+            seen = max(self.start, len(self.held) - len(mark) + 1)
             if not self.more():
                 return None
-        return self.take(i + len(mark))
+        return self.take(i + len(mark) - self.start)
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
+        while len(self.held) - self.start < n:
             if not self.more():
                 raise ValueError("the stream ends inside a record")
-        out, self.held = self.held[:n], self.held[n:]
+        out = bytes(memoryview(self.held)[self.start: self.start + n])
+        self.start += n
+        if self.start > max(_STEP * 16, len(self.held) // 2):
+            del self.held[: self.start]
+            self.start = 0
         return out
 
+    def rest(self) -> bytes:
+        return bytes(self.held[self.start:])
+
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, whole record) of each record of a gzip stream."""
@@ -114,7 +123,7 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while True:
         head = stream.until(b"\r\n\r\n")
         if head is None:
-            if stream.held.strip():
+            if stream.rest().strip():
                 raise ValueError("bytes after the last record")
             return
         if not head.startswith(b"WARC/"):
@@ -152,6 +161,7 @@ def _pack(archive_bytes: int, level: int):
 def write_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
     """Monolithic archives (archive, content) of pages (page_id, url, html), as a table
     in the shared folder."""
+    small_batches(pages.sparkSession)
     page_id = F.col("page_id").cast("bigint").alias("page_id")
     html = F.coalesce("html", F.lit(""))
     digests = pages.select(page_id, F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
