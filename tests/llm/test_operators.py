@@ -227,6 +227,36 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.normalise(warc.write_pages(pages.limit(0)))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """Real files: one gzip stream over all records, read, normalised, and records found by the sidecar's offsets."""
+    parts = [warc.record(k, f"http://a/{k}", b"<p>%d" % k * 500, hashlib.sha1(b"<p>%d" % k * 500).hexdigest()) for k in range(20)]
+    for name, content in (("one.warc.gz", gzip.compress(b"".join(parts[:12]))), ("two.warc.gz", b"".join(map(gzip.compress, parts[12:])))):
+        (tmp_path / name).write_bytes(content)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.warc.gz")).selectExpr("path as archive", "content")
+    normal = warc.normalise(files)
+    assert sorted(r.page_id for r in warc.read_records(normal).collect()) == list(range(20))
+    for r in normal.collect():
+        out = tmp_path / (r.archive.rsplit("/", 1)[1] + ".new")
+        out.write_bytes(r.content)
+        assert gzip.decompress(out.read_bytes()) == b"".join(parts[:12] if "one" in r.archive else parts[12:])
+        with out.open("rb") as f:
+            for i in warc.sidecar(normal.where(f"archive = '{r.archive}'")).collect():
+                f.seek(i.offset)
+                assert zlib.decompress(f.read(i.length), 31) == parts[int(i.record_id[10:-1])]
+
+
+def test_warc_long_record_takes_linear_time():
+    import time
+
+    took = []
+    for mb in (8, 64):
+        content = gzip.compress(warc.record(1, "u", bytes(mb << 20), "d"), 1)
+        began = time.process_time()
+        assert len(next(iter(warc.records(content)))[1]) > mb << 20
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_warc_inflates_any_layout():
     parts = [warc.record(k, "u", bytes([65 + k]) * (k * 70_000), "d") for k in range(4)]
     one, many = gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))
@@ -251,7 +281,7 @@ def test_decontamination_is_brute_force(spark, block):
     rng = random.Random(4)
     texts = corpus(3)
     items = [(1, " ".join(texts[9].split()[2:20])), (2, "Two, WORDS"), (10, texts[12]), (3, None), (4, "..."), (None, texts[13]), (5, prose(rng, 30)), (1, "one")]
-    found = decontamination.find_overlaps(documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), max_block_bytes=block)
+    found = decontamination.find_overlaps(documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), max_bytes=block)
     windows = {}
     for i, t in items:
         w = item_words(t)
@@ -270,8 +300,8 @@ def test_decontamination_is_brute_force(spark, block):
         assert (r.n_words, sum(b - a for a, b in r.runs), r["items"]) == (len(w), len(hit), sorted(ids))
         raw = (texts[r.doc_id] or "").encode()
         assert item_words(" ".join(raw[s.start: s.end].decode() for s in r.spans)) == [w[i] for i in sorted(hit)]
-    docs = documents(spark, texts)
-    kept = decontamination.decontaminate(docs, spark.createDataFrame(items[:1], "item_id bigint, text string"))
+    docs = documents(spark, texts).selectExpr("*", "1 as row", "2 as _", "3 as d", "4 as items")
+    kept = decontamination.decontaminate(docs, spark.createDataFrame(items[:1], "item_id bigint, text string"), max_bytes=block)
     assert kept.columns == docs.columns and 9 not in {r.doc_id for r in kept.collect()}
     assert decontamination.find_overlaps(docs.limit(0), spark.createDataFrame(items, "item_id bigint, text string").limit(0)).count() == 0
 
@@ -403,6 +433,26 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_is_brute_force(spark):
+    """Predictions against a plain loop that compresses piece by piece."""
+    import zstandard
+
+    rng = random.Random(17)
+    given = {"aa": prose(rng, 400), "bb": " ".join("".join(rng.choice("nopqrs") for _ in range(4)) for _ in range(400)), "cc": "und der die das mit " * 40}
+    raw = {k: language.normalised(v).encode() for k, v in given.items()}
+    texts = [*(v[: rng.randrange(20, 900)] for v in given.values() for _ in range(6)), prose(rng, 3000), "der nop é", given["aa"][:60] + given["bb"][:60]]
+    docs = documents(spark, texts).selectExpr("*", "1 as row", "2 as lang_pred", "3 as margin")
+    tools = {k: zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, v in raw.items()}
+    for r in language.identify(docs, raw).collect():
+        text = re.sub(r"[\W\d_]+", " ", texts[r.doc_id].lower()).encode()
+        sizes = {k: sum(len(t.compress(text[i: i + language.PIECE_BYTES])) for i in range(0, len(text), language.PIECE_BYTES)) for k, t in tools.items()}
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == best and abs(r.margin - 100 * (second - best) / best) < 1e-9 and r.rejected == (r.margin < language.MIN_MARGIN)
+        assert abs(r.score - 1 / sum(2 ** ((best - x) / best * 100 / language.HALF_LIFE) for x in sizes.values())) < 1e-9
+    kept = language.keep_identified(docs, raw)
+    assert kept.columns == docs.columns and kept.count() <= len(texts) and language.identify(docs.limit(0), raw).count() == 0
+
+
 def test_language_odd_rows(spark):
     docs = documents(spark, ["the and of that with", None, "", "12 !?", "der die und das mit"])
     found = {r.doc_id: r for r in language.identify(docs, {"en": b"the and of that with which", "de": b"der die und das mit einem"}).collect()}
@@ -470,6 +520,32 @@ def test_segmentation_gives_all_n(spark):
             assert all(tool.decode(ids) == text for ids in got)
 
 
+def test_segmentation_of_long_runs(spark):
+    """A run of one character has very many segmentations of equal score."""
+    import time
+
+    tool = segmentation.Segmenter(segmentation.load_pieces(segmentation.default_model()))
+    short = " " + "x" * 14
+    assert [s for s, _ in tool.nbest(short, 4)] == pytest.approx([s for s, _ in all_segmentations(tool, short)[:4]])
+    began = time.process_time()
+    found = tool.nbest(" " + "x" * 20_000, 4)
+    assert time.process_time() - began < 5 and len(found) == 4 and len({ids for _, ids in found}) == 4
+    assert all(tool.decode(list(ids)) == "x" * 20_000 for _, ids in found)
+    assert segmentation.encode(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_segmentation_forgets_rare_chunks(monkeypatch):
+    monkeypatch.setattr(segmentation, "KEEP_CHUNKS", 40)
+    tool, plain = (segmentation.Segmenter(segmentation.load_pieces(segmentation.default_model())) for _ in range(2))
+    rng = random.Random(3)
+    for _ in range(12):
+        texts = [prose(rng, 9) + " the of and the", "the of and"]
+        monkeypatch.setattr(segmentation, "KEEP_CHUNKS", 40)
+        got = [(k, ids.tolist()) for k, _, _, ids in tool.split(texts)]
+        monkeypatch.setattr(segmentation, "KEEP_CHUNKS", 10_000)
+        assert got == [(k, ids.tolist()) for k, _, _, ids in plain.split(texts)]
+
+
 @pytest.mark.skipif(not TEST_DATA.exists(), reason="no test data")
 def test_segmentation_query_has_tokens(spark):
     assert {"tokens", "others"} <= set(segmentation.op8(spark, str(TEST_DATA)).columns)
