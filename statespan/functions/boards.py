@@ -7,7 +7,6 @@ Arrow batches at once; sets of squares are masks of 20 bits in 32-bit numbers.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from math import factorial
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 from .classes import COUNTED, SIDES, canonical_sides, side_pieces
-from .geometry import BISHOP, FILES, ROOK, SQUARES, move_lines, ray_mask, reach_mask
+from .geometry import BISHOP, FILES, ROOK, SQUARES, move_lines, once, ray_mask, reach_mask
 
 #: Fixed value: order of the piece types in a rank, which are also the codes here.
 TYPES = ".KkPNBRQpnbrq"
@@ -70,7 +69,7 @@ def masks(inside: np.ndarray) -> np.ndarray:
 
 # -- attacks ------------------------------------------------------------------------
 
-@lru_cache
+@once
 def _attack_tables():
     leap = {k: np.array([reach_mask(k, sq) for sq in range(SQUARES)], np.int32) for k in "NK"}
     pawn = np.zeros((2, SQUARES), np.int32)  # by side that attacks
@@ -121,7 +120,7 @@ def checked(codes: np.ndarray, white: np.ndarray) -> np.ndarray:
 
 # -- moves --------------------------------------------------------------------------
 
-@lru_cache
+@once
 def lines() -> dict[str, np.ndarray]:
     """The lines of ``geometry.move_lines`` as columns, sorted by piece and square, with the
     first line and the number of lines of each (piece, square)."""
@@ -187,7 +186,7 @@ def moves(codes: np.ndarray, white: np.ndarray, castling: np.ndarray, legal: boo
 
 # -- classes and keys -----------------------------------------------------------------
 
-@lru_cache
+@once
 def class_arrays() -> dict[str, np.ndarray]:
     """By class: pieces (white P, N, B, R, Q, then black), placements, base, canonical."""
     sides = [side_pieces(i) for i in range(SIDES)]

@@ -3,11 +3,13 @@ class = white index * 48 + black index. A class name is K and letters, v, K and
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .geometry import once
+
 SIDES = 48
 # Bit of a piece in the subset, and slot number.
 SUBSET = {"B": 1, "N": 2, "R": 4}
@@ -21,7 +23,7 @@ def side_pieces(side: int) -> tuple[int, ...]:
     return tuple(bool(p in SUBSET and subset & SUBSET[p]) + (slot == SLOTS[p]) for p in COUNTED)
 
 
-@lru_cache
+@once
 def canonical_sides() -> frozenset[int]:
     """The side indexes of which the slot's piece, if the subset could hold it, is in the subset
     too: every count of pieces has one of them at most."""

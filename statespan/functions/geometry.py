@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 FILES, RANKS = 4, 5
 SQUARES = FILES * RANKS
@@ -15,6 +15,20 @@ KING = sorted(ROOK + BISHOP)
 PROMOTIONS = "QRBN"
 
 
+def once(make: Callable) -> Callable:
+    """A function without arguments that works its result out once. It travels to tasks by value,
+    which ``functools.cache`` would not."""
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(make())
+        return held[0]
+
+    get.__doc__ = make.__doc__
+    return get
+
+
 def square(rank: int, file: int) -> int | None:
     return rank * FILES + file if 0 <= rank < RANKS and 0 <= file < FILES else None
 
@@ -38,7 +52,7 @@ def _reach(kind: str, start: int) -> list[tuple[int, int]]:
     return [x for step in steps for x in _ray(start, step)]
 
 
-@lru_cache
+@once
 def move_lines() -> list[tuple]:
     """(piece, from_sq, to_sq, between, mode, promo, castle, ord): mode m needs an empty
     target, c an enemy on it, b either; castling has castle 1 or 2."""
