@@ -12,16 +12,19 @@ earlier (in a document of smaller id, or earlier in the same document).
    are repeats throughout. An anchor of more than HEAVY contexts is dealt again window
    by window, by a hash of the whole window, so a passage that very many documents
    share is spread over all blocks.
-2. Sorting. What is left, some per cent of the text, is dealt by anchor. Each block
-   collapses contexts of equal bytes and gets the suffix array of the others by
-   difference cover: sort the triples at
+2. Sorting. What is left, some per cent of the text, is dealt by anchor with its bytes.
+   Of contexts of different tasks that a hash takes for equal only the earliest goes
+   with its bytes and the others with a keyed 128-bit digest of theirs, which has to be
+   the same; should one not be, all contexts of its anchor go with their bytes. Each
+   block gets the suffix array of the different contexts by difference cover: sort the triples at
    positions 1 and 2 modulo 3, recurse on their names, sort the remaining
    suffixes by a symbol and the rank behind it, and merge. Names that already
    reach LENGTH symbols deep are not told apart any further. Adjacent suffixes are
    compared over LENGTH bytes; in a run of equal ones all but the earliest repeat.
 3. Removal. Repeated windows are gathered by document and cut out.
 
-Hashes only decide what meets what: nothing is removed unless its bytes were compared.
+Plain hashes only decide what meets what: nothing is removed unless its bytes, or keyed
+128-bit digests of them, were compared.
 
 Defined cases: a null text is empty; a text under LENGTH bytes keeps all; a long text
 goes piece by piece; ids are compared as numbers, a null id comes after all others;
@@ -52,8 +55,11 @@ HEAVY = 20_000
 BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 20
 _FLUSH = 1 << 19
-_CONTEXT = np.dtype([("g", "<u8"), ("d", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+#: Key of the digests.
+_KEY = b"statespan contexts"
+_CONTEXT = np.dtype([("g", "<u8"), ("c", "<u8"), ("d", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 _RUN = "kind string, g bigint, d bigint, h bigint, lo int, hi int"
+_FOUND = "wrong boolean, g bigint, d bigint, h bigint, lo int, hi int"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 _PACKED = "block int, packed binary"
 
@@ -68,10 +74,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1: n])
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of every window with their runs of windows (lo to hi, in the document), a
-    hash of each context and where it starts in the data."""
-    nothing = np.zeros(0, _CONTEXT), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of every window with their runs of windows (lo to hi, in the document) and a
+    hash of each context, and where it starts in the data."""
+    nothing = np.zeros(0, _CONTEXT), np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return nothing
     span = SpanHash(data)
@@ -90,9 +96,9 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.
     cuts = np.flatnonzero(new)
     lo, hi, row = start[cuts], start[np.append(cuts[1:], len(start)) - 1], row[cuts]
     out = np.empty(len(cuts), _CONTEXT)
-    out["g"], out["d"], out["h"] = grams[anchor[cuts]], ids[row], marks[row]
+    out["g"], out["c"], out["d"], out["h"] = grams[anchor[cuts]], span(lo, hi + LENGTH), ids[row], marks[row]
     out["lo"], out["hi"] = lo - offsets[row], hi - offsets[row]
-    return out, span(lo, hi + LENGTH), lo
+    return out, lo
 
 
 def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -100,7 +106,7 @@ def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _pieces(batch: pa.RecordBatch):
-    """(contexts, hashes, starts, data) slice by slice; a longer text goes piece by piece."""
+    """(contexts, starts, data) slice by slice; a longer text goes piece by piece."""
     ids, marks = _numbers(batch, "d"), _numbers(batch, "h")
     for first, end, data, offsets in text_slices(batch.column("text"), _PIECE):
         if len(data) <= _PIECE:
@@ -108,10 +114,10 @@ def _pieces(batch: pa.RecordBatch):
             continue
         for base in range(0, len(data), _PIECE):
             part = data[base: base + _PIECE + LENGTH - 1]
-            found, hashes, start = _contexts(part, np.array([0, len(part)]), ids[first:end], marks[first:end])
+            found, start = _contexts(part, np.array([0, len(part)]), ids[first:end], marks[first:end])
             found["lo"] += base
             found["hi"] += base
-            yield found, hashes, start, part
+            yield found, start, part
 
 
 def _windows(batch: pa.RecordBatch):
@@ -122,20 +128,20 @@ def _windows(batch: pa.RecordBatch):
         row = np.repeat([r for r in range(first, end) for _ in todo[r]], [len(x) for x in at]).astype(np.int64)
         lo = np.concatenate(at) if at else np.zeros(0, np.int64)
         start = lo + offsets[row - first]
-        hashes = SpanHash(data)(start, start + LENGTH)
         out = np.empty(len(lo), _CONTEXT)
-        out["g"], out["d"], out["h"], out["lo"], out["hi"] = hashes, ids[row], marks[row], lo, lo
-        yield out, hashes, start, data
+        out["g"], out["d"], out["h"], out["lo"], out["hi"] = SpanHash(data)(start, start + LENGTH), ids[row], marks[row], lo, lo
+        out["c"] = out["g"]
+        yield out, start, data
 
 
-def _collapsed(rows: np.ndarray, hashes: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _collapsed(rows: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest of the contexts of equal bytes, and the others but for equal rows of one
     document. Contexts of equal hash and unequal bytes are different."""
     size = rows["hi"].astype(np.int64) - rows["lo"] + LENGTH
-    order = np.lexsort((rows["lo"], rows["h"], rows["d"], size, hashes, rows["g"]))
-    rows, hashes, at, size = rows[order], hashes[order], at[order], size[order]
+    order = np.lexsort((rows["lo"], rows["h"], rows["d"], size, rows["c"], rows["g"]))
+    rows, at, size = rows[order], at[order], size[order]
     first = np.ones(len(rows), bool)
-    first[1:] = (rows["g"][1:] != rows["g"][:-1]) | (hashes[1:] != hashes[:-1]) | (size[1:] != size[:-1])
+    first[1:] = (rows["g"][1:] != rows["g"][:-1]) | (rows["c"][1:] != rows["c"][:-1]) | (size[1:] != size[:-1])
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = np.flatnonzero(~first)
     equal = np.zeros(len(rows), bool)
@@ -159,7 +165,7 @@ def _joined(rows: np.ndarray) -> np.ndarray:
     cuts = np.flatnonzero(new)
     out = rows[cuts]
     out["hi"] = rows["hi"][np.append(cuts[1:], len(rows)) - 1]
-    out["g"] = 0
+    out["g"] = out["c"] = 0
     return out
 
 
@@ -175,8 +181,8 @@ def _unpacked(packed: bytes) -> np.ndarray:
 def _deal(n_blocks: int, contexts=_pieces):
     """Contexts packed by block of anchors; repeats found here go to blocks past those."""
     def flush(parts, count):
-        shift = np.cumsum([0, *(len(p[3]) for p in parts)])
-        keep, again = _collapsed(*(np.concatenate(x) for x in zip(*((r, c, s + shift[i]) for i, (r, c, s, _) in enumerate(parts)))), np.concatenate([p[3] for p in parts]))
+        shift = np.cumsum([0, *(len(data) for _, _, data in parts)])
+        keep, again = _collapsed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, shift)]), np.concatenate([p[2] for p in parts]))
         again = _joined(again)
         block = (keep["g"] % np.uint64(n_blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
@@ -209,42 +215,51 @@ def _runs(kind: np.ndarray | str, rows: np.ndarray) -> pa.Table:
 
 
 def _shared(n_blocks: int, heavy: int):
-    """Runs of repeated windows (again), and those whose anchor is shared by some (sort) or by very many (heavy)."""
+    """Runs of repeated windows (again), and those whose anchor is shared: by very many contexts
+    (heavy), by others of a different hash (sort, the earliest of its hash), or by such as the
+    hash takes for equal alone (the earliest: lead; the others: claim)."""
     def run(key, group):
         rows = np.concatenate([_unpacked(x) for x in group.column("packed").to_pylist()])
         if key[0].as_py() >= n_blocks:
             return _runs("again", rows)
-        rows = rows[np.argsort(rows["g"], kind="stable")]
-        cuts = np.flatnonzero(np.diff(rows["g"], prepend=rows["g"][:1] + np.uint64(1)))
-        count = np.diff(np.append(cuts, len(rows)))
-        count = np.repeat(count, count)
-        rows, count = rows[count > 1], count[count > 1]
-        return _runs(np.where(count > heavy, "heavy", "sort").astype(object), rows)
+        rows = rows[np.lexsort((rows["lo"], rows["h"], rows["d"], rows["c"], rows["g"]))]
+        new_g = np.ones(len(rows), bool)
+        new_g[1:] = rows["g"][1:] != rows["g"][:-1]
+        new = new_g.copy()
+        new[1:] |= rows["c"][1:] != rows["c"][:-1]
+        of = np.cumsum(new_g) - 1
+        count, kinds = np.bincount(of)[of], np.bincount(of, weights=new)[of]
+        kind = np.where(count > heavy, "heavy", np.where(~new, "claim", np.where(kinds > 1, "sort", "lead"))).astype(object)
+        return _runs(kind[count > 1], rows[count > 1])
     return run
 
 
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16, key=_KEY).digest()
+
+
 def _cut_contexts(n_blocks: int):
-    """Fetch the bytes of the runs to sort, packed by block of anchors."""
+    """Fetch the bytes of the runs to sort, and digests of those of the others, packed by block of anchors."""
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole):
                 todo = batch.column("todo")
                 flat = todo.flatten()
-                g, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "lo", "hi"))
+                g, lo, hi, with_bytes = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "lo", "hi", "whole"))
                 row = np.repeat(np.arange(batch.num_rows), todo.value_lengths().to_numpy(zero_copy_only=False))
                 (_, _, data, offsets), = text_slices(batch.column("text"), 1 << 62)
                 start = lo + offsets[row]
                 size = np.minimum(hi + LENGTH, offsets[row + 1] - offsets[row]) - lo
-                heads = np.stack([_numbers(batch, "d")[row], _numbers(batch, "h")[row], lo.astype(np.int64), size], axis=1)
+                heads = np.stack([_numbers(batch, "d")[row], _numbers(batch, "h")[row], lo.astype(np.int64), size, g, with_bytes])
                 block = (g.view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-                raw, texts = data.tobytes(), []
+                raw, first, texts = data.tobytes(), [], []
                 for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                    texts.append(b"".join([raw[i:j] for i, j in zip(start[order[a:b]].tolist(), (start + size)[order[a:b]].tolist())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[order[cuts]], pa.int32()), pa.array([heads[order[a:b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(order)])], pa.binary()), pa.array(texts, pa.binary())],
-                    names=["block", "heads", "texts"])
+                    x = order[a:b]
+                    first.append(np.ascontiguousarray(heads[:, x]).tobytes())
+                    texts.append(b"".join([raw[i: i + n] if w else _digest(raw[i: i + n]) for i, n, w in zip(start[x].tolist(), size[x].tolist(), with_bytes[x].tolist())]))
+                yield pa.RecordBatch.from_arrays([pa.array(block[order[cuts]], pa.int32()), pa.array(first, pa.binary()), pa.array(texts, pa.binary())], names=["block", "heads", "texts"])
     return run
 
 
@@ -311,24 +326,36 @@ def suffix_order(s: np.ndarray, reach: int | None = None, depth: int = 3) -> np.
 
 
 def _sort_block(_, group):
-    """Runs of repeated windows in a block: of contexts of equal bytes all but the earliest, of
-    the others what their suffix array shows."""
-    heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), np.int64).reshape(-1, 4)
+    """Runs of repeated windows in a block: of contexts of equal digest all but the earliest, of
+    the others what their suffix array shows. An anchor with a context that is neither there
+    with its bytes nor equal to one that is (nor its anchor's only one) is wrong."""
+    heads = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in group.column("heads").to_pylist()], axis=1).T
     raw = b"".join(group.column("texts").to_pylist())
-    ends = np.cumsum(heads[:, 3])
-    texts = [raw[i:j] for i, j in zip((ends - heads[:, 3]).tolist(), ends.tolist())]
+    whole = heads[:, 5] > 0
+    ends = np.cumsum(np.where(whole, heads[:, 3], 16))
+    texts = [raw[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    digests = [_digest(t) if w else t for t, w in zip(texts, whole.tolist())]
     order = np.lexsort((heads[:, 2], heads[:, 1], heads[:, 0]))
-    first: dict[bytes, int] = {}
-    lead = np.array([first.setdefault(texts[i], i) for i in order.tolist()], np.int64)
-    again = order[(lead != order) & (heads[order, :3] != heads[lead, :3]).any(axis=1)]
-    runs = np.empty(len(again), _CONTEXT)
+    first: dict[tuple, int] = {}
+    lead = np.array([first.setdefault((digests[i], g), i) for i, g in zip(order.tolist(), heads[order, 4].tolist())], np.int64)
+    # the first of each digest: sorted if its anchor has several, and then it has to have its bytes
+    one = np.array(list(first.values()), np.int64)
+    _, of, count = np.unique(heads[one, 4], return_inverse=True, return_counts=True)
+    mixed = one[count[of] > 1]
+    wrong = np.unique(heads[mixed[~whole[mixed]], 4])
+    fine = ~np.isin(heads[:, 4], wrong)
+    again = order[(lead != order) & (heads[order, :3] != heads[lead, :3]).any(axis=1) & fine[order]]
+    runs = np.zeros(len(again), _CONTEXT)
     runs["d"], runs["h"], runs["lo"] = heads[again, 0], heads[again, 1], heads[again, 2]
     runs["hi"] = heads[again, 2] + heads[again, 3] - LENGTH
     runs = _joined(runs)
-    heads, raw = heads[list(first.values())], np.frombuffer(b"".join(first), np.uint8)
-    del texts, first
-    late = _sorted_repeats(heads, raw)
-    return pa.concat_tables([pa.table({c: np.ascontiguousarray(runs[c]) for c in ("d", "h", "lo", "hi")}), late])
+    mixed = mixed[fine[mixed]]
+    late = _sorted_repeats(heads[mixed], np.frombuffer(b"".join([texts[i] for i in mixed.tolist()]), np.uint8))
+    out = pa.concat_tables([pa.table({c: np.ascontiguousarray(runs[c]) for c in ("d", "h", "lo", "hi")}), late])
+    none = np.zeros(len(wrong), np.int32)
+    out = pa.concat_tables([out, pa.table({"d": none.astype(np.int64), "h": none.astype(np.int64), "lo": none, "hi": none})])
+    n = len(out) - len(wrong)
+    return out.add_column(0, "g", pa.array(np.concatenate([np.zeros(n, np.int64), wrong]))).add_column(0, "wrong", pa.array(np.arange(len(out)) >= n))
 
 
 def _sorted_repeats(heads: np.ndarray, raw: np.ndarray) -> pa.Table:
@@ -383,10 +410,18 @@ def _repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
         todo = heavy.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("todo"))
         fine = texts.join(todo, ["d", "h"]).mapInArrow(_deal(n_blocks, _windows), _PACKED)
         runs = runs.unionByName(scratch.saved(fine.groupBy("block").applyInArrow(_shared(n_blocks, 1 << 62), _RUN), "windows"))
-    todo = runs.where("kind = 'sort'").groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("todo"))
-    cut = texts.join(todo, ["d", "h"]).mapInArrow(_cut_contexts(n_blocks), "block int, heads binary, texts binary")
-    late = cut.groupBy("block").applyInArrow(_sort_block, "d bigint, h bigint, lo int, hi int")
-    return runs.where("kind = 'again'").select("d", "h", "lo", "hi").unionByName(late)
+    def sorted_(some: DataFrame, whole) -> DataFrame:
+        todo = some.groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi", whole.alias("whole"))).alias("todo"))
+        cut = texts.join(todo, ["d", "h"]).mapInArrow(_cut_contexts(n_blocks), "block int, heads binary, texts binary")
+        return scratch.saved(cut.groupBy("block").applyInArrow(_sort_block, _FOUND), "found")
+
+    shared = runs.where("kind in ('sort', 'lead', 'claim')")
+    found = sorted_(shared, F.col("kind") == "sort")
+    wrong = found.where("wrong").select("g").distinct()
+    out = runs.where("kind = 'again'").select("d", "h", "lo", "hi").unionByName(found.where("not wrong").select("d", "h", "lo", "hi"))
+    if not wrong.isEmpty():
+        out = out.unionByName(sorted_(shared.join(wrong, "g", "left_semi"), F.lit(True)).select("d", "h", "lo", "hi"))
+    return out
 
 
 def _with_runs(docs: DataFrame, row) -> DataFrame:
