@@ -161,23 +161,28 @@ class Segmenter:
     def learn(self, chunks: list[str]) -> None:
         """Solve new chunks: best ids, score and gap to the second best."""
         sizes = np.array([len(c) for c in chunks], np.int64)
-        ids, score, gap = [np.zeros(0, np.int32)] * len(chunks), np.zeros(len(chunks)), np.zeros(len(chunks))
+        size, score, gap = np.zeros(len(chunks), np.int64), np.zeros(len(chunks)), np.zeros(len(chunks))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # chunks, and their ids one after another
         low = 0
         for high in (8, 12, 16, 24, 32, 48, _LONG):
             some = np.flatnonzero((sizes > low) & (sizes <= high))
             if len(some):
-                score[some], gap[some] = self._solve([chunks[i] for i in some], sizes[some], some, ids)
+                score[some], gap[some], size[some], flat = self._solve([chunks[i] for i in some], sizes[some])
+                parts.append((some, flat))
             low = high
         for i in np.flatnonzero(sizes > _LONG).tolist():
             two = self.nbest(chunks[i], 2)
-            ids[i] = np.array(two[0][1], np.int32)
-            score[i], gap[i] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
+            parts.append((np.array([i]), np.array(two[0][1], np.int32)))
+            size[i], score[i], gap[i] = len(two[0][1]), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
         new = len(self.place)
         self.place.update(zip(chunks, range(new, new + len(chunks))))
-        size = np.array([len(x) for x in ids], np.int64)
-        begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, *ids])
-        self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
+        begin = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        for some, ids in parts:
+            n = size[some]
+            flat[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        self.begin, self.size = np.append(self.begin, len(self.flat) + begin), np.append(self.size, size)
+        self.flat = np.concatenate([self.flat, flat])
         self.score, self.gap, self.met = np.append(self.score, score), np.append(self.gap, gap), np.append(self.met, np.zeros(len(chunks), np.int64))
 
     def forget(self) -> None:
@@ -193,9 +198,10 @@ class Segmenter:
         self.begin, self.size, self.score, self.gap, self.met = ends - size, size, self.score[stay], self.gap[stay], np.ones(len(stay), np.int64)
         self.known = {k: v for k, v in self.known.items() if k[0] in self.place}
 
-    def _solve(self, chunks: list[str], size: np.ndarray, where: np.ndarray, ids: list) -> tuple[np.ndarray, np.ndarray]:
+    def _solve(self, chunks: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Viterbi over chunks of similar length side by side: ``into[w, t, k - 1]`` is the
-        score of the edge of k characters that ends at t in chunk w."""
+        score of the edge of k characters that ends at t in chunk w. Gives scores, gaps, numbers
+        of ids and the ids of all chunks."""
         n_chunks, n = len(chunks), int(size.max())
         code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.uint64)
         word = np.repeat(np.arange(n_chunks), size)
@@ -252,15 +258,14 @@ class Segmenter:
         owner, got, last = (np.concatenate(x) for x in zip(*steps))
         order = np.argsort(owner[::-1], kind="stable")
         owner, got, last = owner[::-1][order], got[::-1][order].astype(np.int32), last[::-1][order]
-        n_ids = np.bincount(owner, minlength=n_chunks)
-        ends = np.cumsum(n_ids)
-        for k, part in enumerate(np.split(got, ends[:-1])):
-            ids[where[k]] = part
-        for k in np.unique(owner[got < 0]).tolist():
-            a, b = ends[k] - n_ids[k], ends[k]
-            spelled = [[i] if i >= 0 else [self.byte_ids[x] for x in chunks[k][j].encode()] for i, j in zip(got[a:b].tolist(), last[a:b].tolist())]
-            ids[where[k]] = np.array(sum(spelled, []), np.int32)
-        return best, best - second
+        # a character without a piece gives way to the pieces of its bytes
+        bare = np.flatnonzero(got < 0)
+        spelled = [[self.byte_ids[x] for x in chunks[w][i].encode()] for w, i in zip(owner[bare].tolist(), last[bare].tolist())]
+        times = np.ones(len(got), np.int64)
+        times[bare] = [len(x) for x in spelled]
+        flat = np.repeat(got, times)
+        flat[flat < 0] = np.array(list(chain.from_iterable(spelled)), np.int32)
+        return best, best - second, np.bincount(np.repeat(owner, times), minlength=n_chunks), flat
 
     # -- texts -----------------------------------------------------------------------
 
