@@ -238,3 +238,108 @@ def test_streamed_successors(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("arrivals").count() == 9
+
+
+# -- kernels and what goes with them ------------------------------------------------
+
+def test_clocks(spark):
+    fens = ["kbnr/3p/4/3P/KBNR w Dd - 7 12", "kbnr/3p/4/3P/KBNR b Dd - 7 12"]
+    rows = position.positions(spark.createDataFrame([(f,) for f in fens], "fen string"))
+    got = {(r.fen.split()[1], r.uci): (r.halfmove, r.fullmove) for r in moves.successors(rows).collect()}
+    assert got["w", "d2d3"] == (0, 12) and got["w", "b1a2"] == (8, 12)
+    assert {v for (side, _), v in got.items() if side == "b"} == {(8, 13), (0, 13)}
+
+
+def test_parse_moves(spark):
+    """UCI texts against the position: a castling move is known by the king's squares."""
+    rows = position.positions(spark.createDataFrame([("k3/4/4/4/K2R w D - 0 1",)], "fen string"))
+    texts = ["a1c1", "a1a2", "d1d5", "a1c3", "xx", "a9a1", "d1d4q"]
+    given = rows.crossJoin(spark.createDataFrame([(t,) for t in texts], "said string"))
+    got = {r.said: (r.castle, r.legal) for r in moves.parse_move(given, F.col("said")).collect()}
+    assert got == {"a1c1": (1, True), "a1a2": (0, True), "d1d5": (0, True), "a1c3": (0, False), "xx": (None, None), "a9a1": (None, None), "d1d4q": (0, False)}
+
+
+def test_child_keys_are_successors(spark):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(random_boards(300, 8))], "id int, board string, wtm boolean, castling int")
+    coded = keys.encode(rows).where("key is not null")
+    fine = coded.where(~position.in_check("board", ~F.col("wtm")))
+    a = keys.encode(moves.successors(fine.drop("key", "class_id"))).select("id", "key")
+    b = moves.child_keys(fine, ["id"])
+    assert a.count() > 500 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    n = {r.id: r.n_moves for r in moves.key_move_counts(fine, ["id"]).collect()}
+    assert n == {r.id: r.n_moves for r in moves.summaries(fine).collect()}
+    odd = spark.createDataFrame([(None, True, 0), ("x" * 20, True, 0), ("K..k", True, 0), ("." * 20, None, None)], "board string, wtm boolean, castling int")
+    assert moves.successors(odd).isEmpty() and moves.summaries(odd).count() == 4
+    with pytest.raises(Exception, match="without a key"):
+        reach.perft(odd.limit(1), 1).collect()
+
+
+def test_dense_index(spark):
+    for pieces in ("Kk", "KkR", "KkRR"):
+        rows = retro.material(spark, pieces)
+        again = rows.withColumn("back", retro.board_index(F.col("board"), F.col("wtm"), pieces))
+        assert again.where("back is null or back <> index").isEmpty()
+        assert rows.select("board", "wtm").distinct().count() == rows.count()
+
+
+def test_principal_line_and_cross_check(spark):
+    values = retro.solve(spark, ["Kk", "KkR"])
+    edges = retro.edges(values)
+    root = values.where("value = 'LOSS'").orderBy(F.desc("round"), "node").limit(1)
+    line = graph.principal_line(root, edges, values).join(values, "node").orderBy("step").collect()
+    assert [r.value for r in line] == ["LOSS" if k % 2 == 0 else "WIN" for k in range(len(line))] and line[-1]["round"] == 0 and len(line) == line[0]["round"] + 1
+    rows = {(r.value, r.other_value): r.same for r in graph.cross_check(values, values.where("value <> 'DRAW'")).collect()}
+    assert rows == {("WIN", "WIN"): True, ("LOSS", "LOSS"): True, ("DRAW", None): False}
+
+
+def test_mirror_commutes_with_moves(spark, start):
+    """Flipping and moving give the same positions in either order; presence counts them."""
+    flip = lambda df: df.select(*position.mirrored(F.col("board"), F.col("wtm"), F.col("castling")).values())
+    rows = reach.reachable(start, 2)
+    a = moves.successors(flip(rows), []).select("board", "wtm", "castling").distinct()
+    b = flip(moves.successors(rows.select("board", "wtm", "castling"), [])).distinct()
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    both = rows.unionByName(keys.encode(flip(rows)).withColumn("step", F.lit(9)), allowMissingColumns=True)
+    seen = {r.step: (r.n, r.n_mirrored) for r in reach.mirror_presence(both).collect()}
+    assert all(n == hit for n, hit in seen.values())
+
+
+def test_ladder_text_and_values(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    (tmp_path / "ladder.txt").write_text("1 9\n2 69\nnot a line\n3 525\n")
+    assert [tuple(r) for r in store.read_ladder(spark, f"{path}/ladder.txt").orderBy("step").collect()] == [(1, 9), (2, 69), (3, 525)]
+    store.write_values(spark.createDataFrame([(1, "WIN"), (2, None)], "node bigint, value string"), f"{path}/values")
+    assert {tuple(r) for r in spark.read.schema("node bigint, value string").json(f"{path}/values").collect()} == {(1, "WIN"), (2, None)}
+
+
+def test_steps_resume_and_count(spark, tmp_path):
+    rows = spark.range(0, 100).withColumnRenamed("id", "key")
+    steps = store.Steps(spark, f"file://{tmp_path}/s", rows.schema)
+    for k in range(3):
+        steps.commit(k, rows.where(F.col("key") % 3 == k))
+    steps.commit(3, rows.limit(0))
+    assert [tuple(r) for r in steps.counts().orderBy("step").collect()] == [(0, 34, 34), (1, 33, 67), (2, 33, 100), (3, 0, 100)]
+
+
+def test_missing_checkpoint_dir_raises(monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        store.shared_folder(Cluster())
+
+
+def test_kernels_travel_by_value():
+    """Executors have no copy of this package on their path."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps((moves._successors(["id"], ["uci"], True), moves._summary(["id"]), moves._child_keys([], False), keys.position_key.func, keys.key_position.func, position.in_check.func))
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert not any(m.startswith('statespan') and getattr(sys.modules[m], '__file__', None) for m in sys.modules)"
+    subprocess.run([sys.executable, "-c", code], input=payload, check=True, cwd="/", timeout=60)
