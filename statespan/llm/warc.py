@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved, small_batches, table
+from ._common import discard, saved, small_batches, table
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
@@ -231,4 +231,7 @@ def read_records(normal: DataFrame) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return read_records(normalise(write_pages(table(spark, sf_dir, "pages")))).drop("url")
+    archives = write_pages(table(spark, sf_dir, "pages"))
+    normal = normalise(archives)
+    discard(archives)
+    return read_records(normal).drop("url")
