@@ -8,6 +8,11 @@
 
 Stages 1 to 4 return the columns of ``documents``; a document that becomes empty in
 stage 3 stays, with an empty text.
+
+Defined cases: a null or empty text goes in stage 1, as no language is found in it; equal
+rows are one node in stage 2 and stay both; rows with a null doc_id are never linked, and
+come last in stage 3; an empty table gives no rows; extra columns of any name are kept
+through stages 1 to 4.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statespan.llm import decontamination, jaccard_join, language, segmentation, suffix_dedup
-from statespan.llm._common import saved, table
+from statespan.llm._common import discard, saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -343,3 +343,14 @@ def test_kernels_travel_by_value():
     payload = cloudpickle.dumps((moves._successors(["id"], ["uci"], True), moves._summary(["id"]), moves._child_keys([], False), keys.position_key.func, keys.key_position.func, position.in_check.func))
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert not any(m.startswith('statespan') and getattr(sys.modules[m], '__file__', None) for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], input=payload, check=True, cwd="/", timeout=60)
+
+
+def test_command_line(spark):
+    from statespan.__main__ import run
+
+    assert run(spark, ["perft", "3"]) == ["525"]
+    assert sum(int(x.split()[1]) for x in run(spark, ["perft", "3", "--divide"])) == 525 and len(run(spark, ["moves"])) == 9
+    assert run(spark, ["show", "--after", "d2d3"]) == ["kbnr", "...p", "...P", "....", "KBNR"]
+    assert run(spark, ["reach", "2"]) == ["0 1 1", "1 9 10", "2 69 79"]
+    with pytest.raises(ValueError):
+        run(spark, ["moves", "--fen", "nothing"])
