@@ -49,8 +49,8 @@ from ._common import Scratch, SpanHash, document_key, merged, n_blocks_of, other
 
 LENGTH = 100
 GRAM = 32
-#: An anchor of more contexts is dealt window by window.
-HEAVY = 20_000
+#: An anchor of more contexts, some 350 MB while a block sorts them, is dealt window by window.
+HEAVY = 40_000
 #: Input bytes that a block is due.
 BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 20
@@ -350,7 +350,9 @@ def _sort_block(_, group):
     runs["hi"] = heads[again, 2] + heads[again, 3] - LENGTH
     runs = _joined(runs)
     mixed = mixed[fine[mixed]]
-    late = _sorted_repeats(heads[mixed], np.frombuffer(b"".join([texts[i] for i in mixed.tolist()]), np.uint8))
+    heads, joint = heads[mixed], b"".join([texts[i] for i in mixed.tolist()])
+    del raw, texts, digests, first, order, lead, again
+    late = _sorted_repeats(heads, np.frombuffer(joint, np.uint8))
     out = pa.concat_tables([pa.table({c: np.ascontiguousarray(runs[c]) for c in ("d", "h", "lo", "hi")}), late])
     none = np.zeros(len(wrong), np.int32)
     out = pa.concat_tables([out, pa.table({"d": none.astype(np.int64), "h": none.astype(np.int64), "lo": none, "hi": none})])
