@@ -216,9 +216,9 @@ def bfs_customer_part(spark, sf_dir):
 
 def _order_graph(spark, sf_dir, steps=(2, 3)):
     """Orders that lead to the orders of half and a third of their key: edges (parent, child) and
-    the ends of chains with a value by their status."""
+    the ends of chains, every fifth key and those that lead nowhere, with a value by their status."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), "o_orderstatus")
-    edges = o.select("parent", F.explode(F.array(*[F.floor(F.col("parent") / k) for k in steps])).alias("child")).where("child <> parent").distinct()
+    edges = o.select("parent", F.explode(F.array(*[F.floor(F.col("parent") / k) for k in steps])).alias("child")).where("child <> parent and parent % 5 <> 0").distinct()
     edges = edges.join(o.select(F.col("parent").alias("child")), "child", "left_semi").select("parent", "child")
     ends = o.join(edges.select("parent"), "parent", "left_anti").select(F.col("parent").alias("node"), F.when(F.col("o_orderstatus") == "F", "LOSS").otherwise("DRAW").alias("value"))
     return edges, ends
@@ -226,7 +226,7 @@ def _order_graph(spark, sf_dir, steps=(2, 3)):
 
 def order_graph_values(spark, sf_dir):
     """WIN, LOSS or DRAW of orders that lead to the orders of half and a third of their key;
-    the first orders of a chain have the value of their status."""
+    the ends of chains have the value of their status."""
     values = graph.fixed_point(*_order_graph(spark, sf_dir))
     return values.groupBy("value", F.coalesce("round", F.lit(-1)).alias("round")).agg(F.count("*").alias("n"))
 
@@ -436,7 +436,7 @@ _FLIP = f"{rules.mirror('board')} AS board, NOT wtm AS wtm, CAST((castling & 1)
 def _order_graph_sql(name: str = "", steps: tuple = (2, 3)) -> str:
     children = " UNION ".join(f"SELECT o_orderkey AS parent, o_orderkey // {k} AS child FROM orders" for k in steps)
     return f"""
-order_edges{name} AS (SELECT parent, child FROM ({children}) WHERE child <> parent AND child IN (SELECT o_orderkey FROM orders)),
+order_edges{name} AS (SELECT parent, child FROM ({children}) WHERE child <> parent AND parent % 5 <> 0 AND child IN (SELECT o_orderkey FROM orders)),
 order_ends{name} AS (SELECT o_orderkey AS node, CASE WHEN o_orderstatus = 'F' THEN 'LOSS' ELSE 'DRAW' END AS value FROM orders WHERE o_orderkey NOT IN (SELECT parent FROM order_edges{name})),
 {rules.fixed_point(f"order_edges{name}", f"order_ends{name}").replace("settled_values", f"settled_values{name}").replace("degrees", f"degrees{name}")},
 order_values{name} AS (
