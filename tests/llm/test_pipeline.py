@@ -76,3 +76,20 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(DATA))
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_stages_with_odd_rows(spark):
+    """Null ids and texts, repeated rows, columns of clashing names, a long text and an empty table."""
+    some = spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(12).collect()
+    long = " ".join(r.text for r in some) * 20
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in some] + [(None, some[0].text, "en", "s", 1), (None, None, None, None, None), (901, "", "en", "s", 0), (902, long, "en", "s", len(long)), (902, long, "en", "s", len(long)), (903, long + " end", "en", "s", len(long) + 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "1 as _", "2 as other", "3 as row", "4 as runs", "5 as items", "6 as d", "'x' as `Component_id`")
+    for given in (docs, docs.limit(0)):
+        kept = given
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(DATA))
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, str(DATA))
+        found = {r.doc_id for r in out.collect()}
+        assert found <= {r[0] for r in rows} and (903 not in found) and (given is docs) == bool(found) and 901 not in found
