@@ -50,25 +50,24 @@ def fixed_point(edges: DataFrame, settled: DataFrame) -> DataFrame:
     is DRAW. Semi-naive: each round joins only newly settled nodes to their parents, and a
     count of WIN children grows until it meets the out-degree. Returns (node, value, round).
     """
-    scratch = [saved(edges.distinct(), "edges")]
-    edges = scratch[0]
+    edges = edges.select("parent", "child").distinct()
+    edges = saved(edges.join(edges.groupBy("parent").agg(F.count("*").alias("degree")), "parent"), "edges")
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).union(settled.select("node")).distinct()
-    degree = saved(edges.groupBy("parent").agg(F.count("*").alias("degree")), "degree")
     known = saved(settled.select("node", "value", F.lit(0).alias("round")), "known")
-    scratch += [degree, known]
-    wins = None  # parent, number of children known to be WIN
+    scratch = [edges, known]
+    wins = None  # parent, its out-degree and number of children known to be WIN
     new, turn = known, 0
     while not new.isEmpty():
         turn += 1
-        above = new.withColumnRenamed("node", "child").join(edges, "child").select("parent", "value")
-        counted = above.groupBy("parent").agg(F.max(F.expr("value = 'LOSS'")).alias("win"), F.count_if(F.col("value") == "WIN").alias("wins"))
+        above = new.withColumnRenamed("node", "child").join(edges, "child").select("parent", "degree", (F.col("value") == "LOSS").alias("win"), F.when(F.col("value") == "WIN", 1).otherwise(0).cast("bigint").alias("wins"))
         if wins is not None:
-            counted = counted.unionByName(wins.withColumn("win", F.lit(False))).groupBy("parent").agg(F.max("win").alias("win"), F.sum("wins").alias("wins"))
+            above = above.unionByName(wins.withColumn("win", F.lit(False)))
+        counted = above.groupBy("parent").agg(F.max("degree").alias("degree"), F.max("win").alias("win"), F.sum("wins").alias("wins"))
         value = F.when(F.col("win"), "WIN").when(F.col("wins") == F.col("degree"), "LOSS")
-        counted = counted.join(known.select(F.col("node").alias("parent")), "parent", "left_anti").join(degree, "parent").select("parent", "wins", value.alias("value"))
+        counted = counted.join(known.select(F.col("node").alias("parent")), "parent", "left_anti").select("parent", "degree", "wins", value.alias("value"))
         scratch.append(counted := saved(counted, "counted"))
         new = counted.where("value is not null").select(F.col("parent").alias("node"), "value", F.lit(turn).alias("round"))
-        wins = counted.where("value is null").select("parent", "wins")
+        wins = counted.where("value is null").select("parent", "degree", "wins")
         known = known.unionByName(new)
     draws = nodes.join(known, "node", "left_anti").select("node", F.lit("DRAW").alias("value"), F.lit(None).cast("int").alias("round"))
     out = saved(known.unionByName(draws), "values")
