@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunk_dedup, decontamination, html_text, jaccard_join, language, quality, segmentation, suffix_dedup, warc
+from . import chat, chunk_dedup, collocations, decontamination, html_text, jaccard_join, language, quality, segmentation, spelling, suffix_dedup, topk_search, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_sentencepiece": segmentation.op8,
         "op9_quality_rules": quality.op9,
         "op10_chunk_dedup": chunk_dedup.op10,
+        "op11_topk_search": topk_search.op11,
+        "op12_spelling_variants": spelling.op12,
+        "op13_collocations": collocations.op13,
     }
 
 
@@ -95,6 +98,48 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIG
 FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
+_OP11 = r"""
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+#: The CRC goes bit by bit over the UTF-8 bytes; all code points are below 256.
+_OP12 = r"""
+WITH RECURSIVE d AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bytes FROM d GROUP BY id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS h FROM c),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(generate_series(1, length(word))) AS u(i)),
+near AS (
+    SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION SELECT less.word, v.word FROM less JOIN v ON v.word = rest
+    UNION SELECT v.word, less.word FROM less JOIN v ON v.word = rest),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-m.n, b)) AS b, max(m.n) AS m FROM near JOIN v m ON m.word = b GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) JOIN f g ON g.word = walk.root WHERE g.form IS NULL
+"""
+_OP13 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w[i:i + k.k - 1] AS p, k.k AS k FROM w, unnest(generate_series(1, len(w))) AS u(i), range(1, 6) k(k) WHERE i + k.k - 1 <= len(w)),
+f AS (SELECT lang, array_to_string(p, ' ') AS phrase, any_value(p) AS p, k, count(*) AS f FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k > 1),
+held AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND y.k > x.k AND 100 * y.f >= 100 * x.f AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, i, l.f AS l, r.f AS r, n, 1000::HUGEINT * c.f * n // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT * FROM c ANTI JOIN held USING (lang, phrase)) c, unnest(generate_series(1, k - 1)) AS u(i) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.p[1:i], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.p[i + 1:], ' ') JOIN total ON total.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 
 def _op9() -> str:
     """The counts by lists of words and lines, and expectation-maximisation as a recursion over
@@ -141,4 +186,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": _OP4,
         "op5_decontamination": _OP5,
         "op9_quality_rules": _op9(),
+        "op11_topk_search": _OP11,
+        "op12_spelling_variants": _OP12,
+        "op13_collocations": _OP13,
     }
