@@ -7,11 +7,11 @@ smallest total wins. When the margin to the second language is narrow the
 document is rejected.
 
 The dictionaries are the only thing learned, from ``SAMPLE_DOCS`` labelled rows per
-language at most (those of the smallest hashes of the text), each row whole. That
+language at most (different texts, those of the smallest hashes), each row whole. That
 number of rows is the only bound. Prediction reads whole texts and nothing but texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
-is rejected; equal sizes go to the language with more labelled texts, then to the
+is rejected; equal sizes go to the language with more different labelled texts, then to the
 alphabetically first; without any labelled text every document is ``und``; equal
 labelled rows count once; long texts are compressed whole, piece by piece; rows are
 never merged or dropped by ``identify``; an empty table gives no rows; extra columns of
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import others, restored, small_batches, table
+from ._common import discard, others, restored, saved, small_batches, table
 
 SAMPLE_DOCS = 64
 PIECE_BYTES = 2048
@@ -50,21 +50,21 @@ def normalised(text: str) -> str:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """{language: dictionary} from the rows with text and lang.
 
-    A first pass counts rows by language; the second keeps a share of each language, by
-    hash, that gives a little over twice the sample, and ranks only those.
+    A first pass takes the ``sample_docs`` smallest hashes of different texts of each language, by
+    a window that keeps no more a task; the second fetches their texts. No share is guessed, so
+    copies cost a language nothing.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where("lang is not null and length(text) > 0").select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * sample_docs + 32) / n))])
-    near = rows.select("lang", "text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of a text count once
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample_docs)
+    rows = docs.where("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
+    different = saved(rows.select("lang", "h").distinct(), "labelled")
+    counts = {r["lang"]: r["count"] for r in different.groupBy("lang").count().collect()}
+    sample = different.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs)
+    # at most sample_docs rows of a hash a language, as are the texts below
+    ranked = rows.join(F.broadcast(sample), ["lang", "h"]).groupBy("lang", "k").agg(F.min("text").alias("text"))
     parts: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "k").collect():
         parts.setdefault(r["lang"], []).append(r["text"])
+    discard(different)
     order = sorted(parts, key=lambda lang: (-counts[lang], lang))
     return {lang: " ".join(dict.fromkeys(map(normalised, parts[lang]))).encode() for lang in order}
 
