@@ -24,7 +24,7 @@ Defined cases: a null html gives an empty text; a null or odd url is host "";
 unclosed elements end with their parents; of equal texts on one path the first of each
 page are one token, the second another, and so on; a text on fewer than MIN_SUPPORT
 different pages of a host is never its template's; pages are read whole, however long;
-repeated rows each give a row; extra columns of any name are ignored.
+repeated rows each give a row; an empty table gives none; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ _ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising banner
 _AROUND = frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended widget toolbar pagination pager copyright legal skip hidden".split())
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 # Names that say what an element is even inside an article, and words that may stand beside them.
-_INSIDE = _ADVERTS - frozenset("banner promo promotion".split()) | _COMMENTS - frozenset("reply respond".split()) | frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices newsletter subscribe toolbar pagination pager".split())
-_BESIDE = frozenset("area bar bottom box container content inner item items left list main outer page post right section site slot top unit widget wrap wrapper banner form links".split())
+_INSIDE = _ADVERTS | _COMMENTS - frozenset("reply respond".split()) | frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup newsletter subscribe related recommended toolbar pagination pager".split())
+_BESIDE = frozenset("area articles bar block bottom box container content feed form inner item items left links list main outer page post posts reader readers right section site slot stories stream thread threads top unit user users widget wrap wrapper".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table select body article section div main aside nav header footer form".split())
 
