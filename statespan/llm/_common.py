@@ -192,6 +192,48 @@ class SpanHash:
             return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+class WordHash(SpanHash):
+    """A polynomial modulo a prime beside the one modulo 2^64, so that strings of a structure
+    which cancels out in powers of two (as complementary Thue-Morse words do) differ."""
+
+    _P, _AT, _BACK = np.uint64((1 << 31) - 1), 1_582_417_361, pow(1_582_417_361, -1, (1 << 31) - 1)
+    _primes: dict = {}
+
+    def __init__(self, data: np.ndarray):
+        super().__init__(data)
+        n = len(data) + 1
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        if size not in self._primes:
+            self._primes.clear()
+            self._primes[size] = (_powers_modulo(self._AT, size, int(self._P)), _powers_modulo(self._BACK, size, int(self._P)))
+        up, self.back = self._primes[size]
+        self.rests = np.zeros(n, np.uint64)
+        np.cumsum((_BYTE[data] >> np.uint64(33)) * up[: n - 1] % self._P, out=self.rests[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        rest = (self.rests[ends] - self.rests[starts]) % self._P * self.back[starts] % self._P
+        with np.errstate(over="ignore"):
+            return mixed(super().__call__(starts, ends) + rest * np.uint64(0xA24BAED4963EE407))
+
+
+def _powers_modulo(base: int, n: int, prime: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:  # twice as many each time
+        more = min(have, n - have)
+        out[have: have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return out
+
+
+def word_column(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words of a buffer as an Arrow column."""
+    size = ends - starts
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    raw = data[np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], size)]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     with np.errstate(over="ignore"):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Scratch, SpanHash, byte_mask, input_bytes, mixed, n_parts, small_batches, table, text_slices, words
+from ._common import LOWER, Scratch, SpanHash, byte_mask, input_bytes, mixed, n_parts, small_batches, table, text_slices, word_column, words
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 SLICE = 4 << 20
@@ -110,14 +110,6 @@ def frequent_cells(rows: DataFrame, n_cells: int, least: int) -> np.ndarray:
     return out
 
 
-def _text_of(data, start, stop) -> pa.Array:
-    """The words as an Arrow column."""
-    size = stop - start
-    ends = np.concatenate([[0], np.cumsum(size)])
-    raw = data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
-    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
-
-
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Place of a first row and number of rows of each distinct one."""
     order = np.lexsort(columns)
@@ -146,7 +138,7 @@ def _windows(shared, n_cells: int):
                     reach[: -k or None] &= pair[k:]
                     reach[len(reach) - k:] = False
                 at = np.flatnonzero(single)
-                texts = _text_of(data, start[at], stop[at]).dictionary_encode()
+                texts = word_column(data, start[at], stop[at]).dictionary_encode()
                 code = np.zeros(len(start) + LONGEST, np.int64)
                 code[at] = texts.indices.to_numpy(zero_copy_only=False) + 1
                 lead = [np.where(size[at] > k, code[at + k], 0) for k in range(LONGEST)]

@@ -11,9 +11,11 @@ be multiplied and what can be dropped:
 * the shared columns summed over all blocks must reach the overlap that the two
   sizes ask for, less what the columns left out can add.
 
-Pairs that pass are verified on whole sets. A pair inside a known component
-needs no verification, so each document is first checked against one partner;
-only pairs between different components are checked after that.
+Pairs that pass are verified on their texts: the words of both are numbered by value and the
+shingles compared as tuples of these numbers, so no link rests on a hash of words. A pair inside a
+known component needs no verification, so each document is first checked against one partner;
+only pairs between different components are checked after that. Texts of one and the same sequence
+of words are linked by a keyed digest of 128 bits of that sequence.
 
 Columns of HOT_FROM documents or more (``hot``) come last in the order, by level of
 frequency; what remains of them in a product is dealt as plain rows and linked through
@@ -23,26 +25,28 @@ reach their bound are paired. Which columns are hot is told by bit maps of a fix
 too, which changes the order of work but no result.
 
 Hot columns and copies meet in equi-joins of two stored tables, whose large partitions
-adaptive execution splits; equal sets go on as the one with the smallest doc_id.
+adaptive execution splits; equal sequences go on as the one with the smallest doc_id.
 
 Defined cases: words are runs of anything but white space, A-Z lower-cased;
 fewer than five words are one shingle; a null, empty or blank text has no
 shingles and links with nothing, not even its like; equal sets always link;
 rows that share a doc_id are one node; a null doc_id is never linked and has a
-null component; extra columns of any name are ignored, and kept by ``keep_one``; long
+null component; an empty table gives no rows; words that are as long and alike as can be are still
+told apart; extra columns of any name are ignored, and kept by ``keep_one``; long
 texts are hashed whole, a slice of rows at a time.
 """
 
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_SPACE, Scratch, SpanHash, components, discard, n_blocks_of, runs_hash, saved, small_batches, table, text_slices, unused, words
+from ._common import LOWER, NOT_SPACE, Scratch, WordHash, components, discard, n_blocks_of, runs_hash, saved, small_batches, table, text_slices, unused, word_column, words
 
 WORDS = 5
 PERCENT = 80
@@ -55,44 +59,38 @@ PREFIX = 26
 #: Input bytes that a block of columns is due.
 BLOCK_BYTES = 4 << 20
 _SEEN = 100_000
+_KEY = b"words of a document"
 _FLUSH = 1 << 20
 _POSTING = np.dtype([("h", "<u8"), ("d", "<i8"), ("n", "<i4"), ("k", "<i4"), ("p", "<i4")])
 
 
 def shingle_sets(column, k: int = WORDS):
-    """Yield (row, sorted distinct shingle hashes) for a text column."""
+    """Yield (row, sorted distinct shingle hashes, digest of its words) for a text column."""
     for first, end, data, offsets in text_slices(column):
         data = LOWER[data]
         starts, ends, row = words(data, offsets, NOT_SPACE)
-        hashes = SpanHash(data)(starts, ends)
+        hashes = WordHash(data)(starts, ends)
         counts = np.bincount(row, minlength=end - first)
         begin = np.concatenate([[0], np.cumsum(counts)])
         grams = runs_hash(hashes, k)
+        # words with a space after each
+        size = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        plain = np.full(size[-1], 0x20, np.uint8)
+        plain[np.arange(size[-1] - len(starts)) + np.repeat(np.arange(len(starts)), ends - starts)] = data[NOT_SPACE[data]]
+        cuts, plain = size[begin], memoryview(plain)
         for r in range(end - first):
             a, c = begin[r], counts[r]
-            if c >= k:
-                yield first + r, np.unique(grams[a: a + c - k + 1])
-            elif c:
-                yield first + r, runs_hash(hashes[a: a + c], int(c))
-            else:
-                yield first + r, hashes[:0]
-
-
-def _digest(grams: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        x = (grams * np.uint64(0x9E3779B97F4A7C15)) ^ (grams >> np.uint64(29))
-        y = (grams ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        y = (y ^ (y >> np.uint64(31))) * y
-    return int(x.sum(dtype=np.uint64).view(np.int64)), int(y.sum(dtype=np.uint64).view(np.int64))
+            own = grams[a: a + c - k + 1] if c >= k else runs_hash(hashes[a: a + c], int(c)) if c else hashes[:0]
+            yield first + r, np.unique(own), blake2b(plain[cuts[r]: cuts[r + 1]], digest_size=16, key=_KEY).digest()
 
 
 def _sets_summary(k: int):
     def run(batches):
         for batch in batches:
-            out = np.zeros((3, batch.num_rows), np.int64)
-            for r, grams in shingle_sets(batch.column("text"), k):
-                out[:, r] = (len(grams), *_digest(grams))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], names=["doc_id", "n", "d1", "d2"])
+            n, digests = np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
+            for r, grams, digest in shingle_sets(batch.column("text"), k):
+                n[r], digests[r] = len(grams), digest
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digests, pa.binary())], names=["doc_id", "n", "digest"])
     return run
 
 
@@ -109,7 +107,7 @@ def _columns(k: int, n_blocks: int):
     def run(batches):
         parts, size = [], 0
         for batch in batches:
-            for _, grams in shingle_sets(batch.column("text"), k):
+            for _, grams, _ in shingle_sets(batch.column("text"), k):
                 parts.append(grams)
                 size += len(grams)
                 if size >= _FLUSH:
@@ -152,8 +150,8 @@ def _level(maps: np.ndarray, grams: np.ndarray) -> np.ndarray:
 def _postings(k: int, percent: int, n_blocks: int, shared):
     """The leading columns of every set: cold ones packed by block, hot ones as rows.
 
-    Of equal sets that a task remembers only the first is needed: equal sets are linked
-    by their digests.
+    Of equal texts that a task remembers only the first is needed: they are linked by
+    their digests.
     """
     def pack(parts):
         rows = np.concatenate(parts)
@@ -170,11 +168,10 @@ def _postings(k: int, percent: int, n_blocks: int, shared):
         parts, size, seen = [], 0, set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for r, grams in shingle_sets(batch.column("text"), k):
+            for r, grams, digest in shingle_sets(batch.column("text"), k):
                 n = len(grams)
                 if not n or ids[r] is None:
                     continue
-                digest = _digest(grams)
                 if digest in seen:
                     continue
                 if len(seen) >= _SEEN:
@@ -238,27 +235,66 @@ def _product(percent: int):
     return run
 
 
-def _set_arrays(k: int):
+def _pair_slices(batch, limit: int = 1 << 20):
+    """A batch of pairs of texts in parts of about ``limit`` bytes, or of one pair."""
+    size = np.cumsum(sum(pa.compute.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb")))
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(size, limit + (size[first - 1] if first else 0), side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
+def overlaps(left: pa.Array, right: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of texts how many shingles the first has, the second, and both; by the words
+    themselves."""
+    n = len(left)
+    both = pa.concat_arrays([left, right])
+    out = np.zeros((3, n), np.int64)
+    for _, _, data, offsets in text_slices(both, 1 << 62):
+        data = LOWER[data]
+        starts, ends, row = words(data, offsets, NOT_SPACE)
+        if not len(starts):
+            break
+        word = word_column(data, starts, ends).dictionary_encode()
+        many, number = len(word.dictionary) + 1, np.concatenate([word.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.zeros(k, np.int64)])
+        counts = np.bincount(row, minlength=2 * n)
+        place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+        at = np.flatnonzero((place == 0) | (place + k <= counts[row]))
+        # of fewer than k words, 0 stands where there is none
+        columns = [np.where(place[at] + i < counts[row[at]], number[at + i], 0) for i in range(k)]
+        if many < 1 << 21:
+            columns = [sum(c * many ** i for i, c in enumerate(columns[j: j + 3])) for j in range(0, k, 3)]
+        pair, side = row[at] % n, row[at] // n
+        order = np.lexsort((side, *columns, pair))
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in (pair, *columns):
+            new[1:] |= c[order][1:] != c[order][:-1]
+        group, side = np.cumsum(new) - 1, side[order]
+        pair = pair[order][new]
+        have = [np.bincount(group[side == s], minlength=len(pair)) > 0 for s in (0, 1)]
+        for i, which in enumerate((*have, have[0] & have[1])):
+            out[i] += np.bincount(pair[which], minlength=n)
+    return tuple(out)
+
+
+def _links(k: int, percent: int):
     def run(batches):
         for batch in batches:
-            sets = [g.view(np.int64) for _, g in shingle_sets(batch.column("text"), k)]
-            sizes = np.array([len(g) for g in sets], np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "grams"])
+            for part in _pair_slices(batch):
+                x, y, common = overlaps(part.column("ta"), part.column("tb"), k)
+                yield part.select(["a", "b"]).filter(pa.array((common > 0) & (100 * common >= percent * (x + y - common))))
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose texts are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_arrays(k), "doc_id bigint, n bigint, grams array<bigint>"), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("c"))
-    links = saved(common.where(f"100 * c >= {percent} * (na + nb - c)").select("a", "b").distinct(), "verified")
-    discard(sets)
+    own = saved(texts.join(ids, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "sets")
+    both = pairs.select("a", "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    links = saved(both.mapInArrow(_links(k, percent), "a bigint, b bigint").distinct(), "verified")
+    discard(own)
     return links
 
 
@@ -268,7 +304,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n_blocks = n_blocks_of(texts, BLOCK_BYTES)
-    summary = saved(texts.mapInArrow(_sets_summary(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "summary")
+    summary = saved(texts.mapInArrow(_sets_summary(k), "doc_id bigint, n bigint, digest binary"), "summary")
 
     seen = texts.mapInArrow(_columns(k, n_blocks), "block int, packed binary")
     frequent = scratch.saved(seen.groupBy("block").applyInArrow(_frequent(HOT_FROM), "h40 bigint, df bigint"), "frequent")
@@ -282,8 +318,8 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     cold = scratch.saved(cold.select("a", "b", "shared"), "cold")
 
     equal = summary.where("n > 0 and doc_id is not null")
-    first = scratch.saved(equal.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "first")
-    copies = scratch.saved(equal.join(first, ["n", "d1", "d2"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")), "copies")
+    first = scratch.saved(equal.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "first")
+    copies = scratch.saved(equal.join(first, "digest").where("doc_id > a").select("a", F.col("doc_id").alias("b")), "copies")
     warm = packed.where("block < 0").mapInArrow(_unpack, "h bigint, d bigint, n bigint, k bigint, p bigint")
     warm = warm.join(copies.select(F.col("b").alias("d"), "a"), "d", "left").withColumn("d", F.coalesce("a", "d")).drop("a").distinct()
     warm = scratch.saved(warm, "warm")
