@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 from statespan.llm import (
-    chat, chunk_dedup, decontamination, html_text, jaccard_join, language, quality, segmentation, suffix_dedup, warc,
+    chat, chunk_dedup, collocations, decontamination, html_text, jaccard_join, language, quality, segmentation, spelling, suffix_dedup, topk_search, warc,
 )
 from statespan.llm._common import components
 
@@ -200,6 +200,45 @@ def test_jaccard_join_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9] and kept.columns[:2] == ["doc_id", "text"]
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out[:n]
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_jaccard_join_tells_structured_words_apart(spark, size):
+    """Complementary Thue-Morse words collide under any polynomial modulo a power of two."""
+    t = thue_morse(size)
+    u = t.translate(str.maketrans("ab", "ba"))
+    texts = [f"{t} one two three four", f"{u} one two three four", f"{t} x y z w {u} x y z w"]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.classes(documents(spark, texts)).collect()} == {(0, 1, 0), (1, 1, 1), (2, 6, 2)}
+
+
+def test_jaccard_join_rests_on_no_hash(spark, monkeypatch):
+    """All words hashed to a few values: candidates abound, links stay those of the words."""
+    class Colliding(jaccard_join.WordHash):
+        def __call__(self, starts, ends):
+            return super().__call__(starts, ends) % np.uint64(3)
+
+    texts = [t for t in corpus(9, 12) if t is None or len(t) < 900]
+    monkeypatch.setattr(jaccard_join, "WordHash", Colliding)
+    found = {r.doc_id: r.component_id for r in jaccard_join.classes(documents(spark, texts)).collect()}
+    want = linked(list(enumerate(texts)))
+    assert all(want[i] == want[found[i]] for i in found)  # nothing is linked that shouldn't be
+
+
+def test_overlaps_are_sets():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    left = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    right = [" ".join(rng.choice("abC") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    got = jaccard_join.overlaps(pa.array(left), pa.array(right), 5)
+    assert list(zip(*map(list, got))) == [(len(shingles(x)), len(shingles(y)), len(shingles(x) & shingles(y))) for x, y in zip(left, right)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (3, 4), (4, 10), (5, 5)], "a bigint, b bigint")
     assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (10, 1), (8, 8), (9, 8)}
@@ -348,6 +387,13 @@ def test_html_keeps_the_article_whole(spark):
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
 
 
+@pytest.mark.parametrize("around", ["article", "main"])
+@pytest.mark.parametrize("name", ["user-comments", "comments-thread", "disqus_thread", "promo-box", "top-banner", "cookie-consent-popup", "related-posts"])
+def test_html_names_inside_an_article(around, name):
+    page = f"<{around}><p>Text</p><section class='related-work'><p>Earlier work</p></section><div class='{name}'><p>not of it</p></div></{around}>"
+    assert html_text._main_text(page, frozenset()) == "Text\n\nEarlier work"
+
+
 def plain_classes(rows):
     """{(host, vector): tokens} of the texts and paths of pages, vectors written out."""
     vectors, pages = {}, {}
@@ -453,6 +499,16 @@ def test_language_is_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() <= len(texts) and language.identify(docs.limit(0), raw).count() == 0
 
 
+def test_language_is_not_lost_to_copies(spark):
+    """20,000 copies of one text beside five others, a language of one text, and fewer texts than the sample."""
+    rng = random.Random(5)
+    rows = [("fr", "le la les un une des et pour")] * 20_000 + [("fr", f"le chat numero {prose(rng, 9)}") for _ in range(5)] + [("de", f"der die das {prose(rng, 9)}") for _ in range(200)] + [("es", "el los las una")]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    learned = language.learn(docs)
+    assert list(learned) == ["de", "fr", "es"]
+    assert learned["fr"].count(b"le la les") == 1 and learned["fr"].count(b"le chat") == 5 and learned["de"].count(b"der die das") == language.SAMPLE_DOCS
+
+
 def test_language_odd_rows(spark):
     docs = documents(spark, ["the and of that with", None, "", "12 !?", "der die und das mit"])
     found = {r.doc_id: r for r in language.identify(docs, {"en": b"the and of that with which", "de": b"der die und das mit einem"}).collect()}
@@ -678,3 +734,164 @@ def test_chunks_resist_insertion():
     parts = lambda raw: {raw[a:b] for e in chunk_dedup.cuts(chunk_dedup.gear_hash(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)])) for a, b in zip([0, *e.tolist()], e.tolist())}
     moved = parts(text[:500] + b"inserted" + text[500:])
     assert len(parts(text) - moved) <= 4
+
+
+# -- 11 -----------------------------------------------------------------------
+
+def best_vectors(rows, asks, k=5):
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for i, q in {(i, tuple(v)) for i, v in good if asks(i)}:
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i and len(v) == len(q))
+        out |= {(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("block,left", [(2048, 64), (16, 2), (5, 1)])
+def test_top_k_is_brute_force(spark, monkeypatch, block, left):
+    """Random, equal, huge and missing components, ties, several lengths, few rows."""
+    monkeypatch.setattr(topk_search, "_LEFT", left)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (160, 8)))]
+    rows += [(i, [0.25, -0.5, 0.0, 0.1, 0.1, 0.1, 0.1, 0.1]) for i in range(160, 200)]  # one vector, many ids
+    rows += [(200, None), (None, [0.1] * 8), (250, [0.1, None]), (300, [0.1, float("nan")]), (350, [float("inf")]), (400, []), (401, []), (450, [1.5, 2.0]), (451, [2e4, -3e6]), (452, [1.0, 1.0]), (500, [0.5] * 3)]
+    vectors = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id bigint, embedding array<double>, score int, g int")
+    got = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), block_rows=block, query_rows=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert {tuple(r) for r in got.collect()} == best_vectors(rows, lambda i: i % 50 == 0)
+    assert topk_search.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_top_k_repeated_rows(spark):
+    """Repeated rows count each as candidates, and once as queries; two vectors under one id ask apart."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, -1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [0.5, -1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = Counter((r.query_id, r.vec_id, r.score) for r in topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 3).collect())
+    u = 256 * 256
+    assert got == {(50, 7, u): 2, (50, 8, u // 2): 1, (100, 7, u): 2, (100, 50, 0): 3, (100, 8, u): 1}
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    rows = [(0, [1e5, 3e5, 7e4]), (1, [2e5 + 1 / 256, 1e5, 9e4]), (2, [2e5, 1e5, 9e4]), (3, [-1e5, 5e4, 1e3])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk_search.top_k(vectors, vectors.where("vec_id = 0")).collect()
+    assert {tuple(r) for r in got} == best_vectors(rows, lambda i: i == 0)
+
+
+def test_top_k_stops_early():
+    """What the lists' ends show is enough: a bound of the first entries leaves few rows."""
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * rng.normal(0, 0.1, (512, 4)))
+    v[7] = [400, 400, -400, 0]
+    lists = np.argsort(v, axis=0, kind="stable").T.astype(np.uint16)
+    low, high = topk_search._bounds(np.array([[3.0, 2.0, -1.0, 0.0]]), v, lists, 64)
+    exact = np.array([[3.0, 2.0, -1.0, 0.0]]) @ v.T
+    assert (low <= exact).all() and (exact <= high).all() and (high >= low.max()).sum() < 64 and (low < high).any()
+
+
+# -- 12 -----------------------------------------------------------------------
+
+def spelling_rows(rows, every=97):
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if every and h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def plain_variants(counts):
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, counts[w], len(near[w]), None if form[w] is None else counts[form[w]])
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_spelling_variants_are_brute_force(spark, block):
+    """Words over few letters, so that many are near, also in groups of many tiles; long words; odd rows."""
+    rng = random.Random(41)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(4, 7))) for _ in range(60)] + ["q" * 3000, "q" * 2999, "q" * 1500 + "r" + "q" * 1499, "STRASSE", "stra\u00dfe", "\u00c0bcdef", "\u00e0bcdef"]
+    texts = [None, "", "12 !?"] + [" ".join(rng.choice(words) if rng.random() < 0.9 else w for w in rng.sample(words, 40)) for _ in range(30)]
+    docs = documents(spark, texts, [None, None, 3, *range(30)]).selectExpr("*", "1 as word", "2 as n", "3 as form")
+    counts = spelling_rows(list(zip([None, None, 3, *range(30)], texts)))
+    got = spelling.variants(spelling.word_counts(docs), block_words=block)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    found = {r.word: tuple(r)[1:] for r in got.collect()}
+    want = plain_variants(counts)
+    assert found == want and len(want) > 40
+    assert spelling.variants(spelling.word_counts(docs.limit(0))).count() == 0
+
+
+def test_spelling_chains(spark):
+    rows = [("abcde", 100), ("abcdf", 40), ("abcgf", 20), ("abhgf", 10), ("xbhgf", 9), ("zzzzz", 3)]
+    words = spark.createDataFrame(rows, "word string, n bigint")
+    found = {r.word: tuple(r)[1:] for r in spelling.variants(words).collect()}
+    assert found == plain_variants(dict(rows)) and found["abhgf"][:2] == ("abcgf", "abcde") and found["xbhgf"][0] is None
+
+
+# -- 13 -----------------------------------------------------------------------
+
+def plain_collocations(rows, least, top):
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang if lang is not None else "und"
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", text):
+            w = re.findall("[^ \t]+", piece)
+            total[lang] += len(w)
+            for k in range(1, 6):
+                for i in range(len(w) - k + 1):
+                    counts[lang, tuple(w[i: i + k])] += 1
+    found = {(lang, p): a for (lang, p), a in counts.items() if len(p) > 1 and a >= least}
+    out = {}
+    for (lang, p), a in found.items():
+        inside = any(other == lang and len(q) > len(p) and b >= a and any(q[i: i + len(p)] == p for i in range(len(q))) for (other, q), b in found.items())
+        if not inside:
+            score, _, l, r = min((1000 * a * total[lang] // (counts[lang, p[:k]] * counts[lang, p[k:]]), k, counts[lang, p[:k]], counts[lang, p[k:]]) for k in range(1, len(p)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), l, r))
+    return {(lang, rank, p.decode(), -a, l, r, total[lang], -s) for lang, x in out.items() for rank, (s, a, p, l, r) in enumerate(sorted(x)[:top], 1)}
+
+
+@pytest.mark.parametrize("least,cells,slice_bytes", [(4, None, 1 << 22), (4, 1 << 18, 200), (2, 1 << 16, 1 << 22), (300, None, 1 << 22)])
+def test_collocations_are_brute_force(spark, monkeypatch, least, cells, slice_bytes):
+    """Also with small slices, with counts past one byte, and in a table so small that all cells are frequent."""
+    monkeypatch.setattr(collocations.text_slices, "__defaults__", (slice_bytes,))
+    rng = random.Random(51)
+    vocabulary = ["a", "the", "A", "of", "x\u00e9", "\u00a0", "new", "york", "#1", "end\u2028"]
+    texts = [None, "", " \t ", ".,;", "one"] + ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\t", "  ", ". ", ", ", "\n", "!", " :"]) for _ in range(rng.randint(1, 120))) for _ in range(60)] + ["to be or not to be " * (20 if least < 300 else 400)] * 2
+    langs = [rng.choice(["en", "de", None, "und"]) for _ in texts]
+    docs = spark.createDataFrame([(lang, t, 1, 2, 3) for lang, t in zip(langs, texts)], "lang string, text string, w1 int, n int, phrase int")
+    got = collocations.collocations(docs, least, 15, cells)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = plain_collocations(list(zip(langs, texts)), least, 15)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 2
+    assert collocations.collocations(docs.limit(0), least).count() == 0
+
+
+def test_collocation_scores_are_exact(spark):
+    """Products past 64 bits."""
+    a, n, l, r = 10**15, 9 * 10**15, 10**15 + 7, 3 * 10**15
+    got = spark.createDataFrame([(a, n, l, r)], "a bigint, n bigint, l bigint, r bigint").selectExpr(
+        "cast(1000 * (cast(a as decimal(19,0)) * cast(n as decimal(19,0))) as decimal(38,0)) div cast(cast(l as decimal(19,0)) * cast(r as decimal(19,0)) as decimal(38,0)) as score").first().score
+    assert got == 1000 * a * n // (l * r)
