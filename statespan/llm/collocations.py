@@ -6,10 +6,10 @@ past the end; only these longest windows are counted. ROLLUP over (lang, w1 ...
 up to every shorter prefix: the windows that begin with a phrase are its occurrences, so no other
 order of n-grams is ever produced, and the level of the language alone is its number of words.
 
-A phrase of ``min_count`` occurrences has no word and no pair of words of fewer, so a window may
-end where one follows. A first pass counts words and pairs by language in cells of a hash table of
-fixed size, which can only count too many; a bit a cell, ``min_count`` reached or not, is what tasks
-get. Windows end at pairs whose bit is off. Nothing that counts is lost whatever the hashes do;
+A phrase of ``min_count`` occurrences has no word and no two or three words in a row of fewer, so a
+window may end where such follow. A first pass counts words, pairs and triples by language in cells
+of a hash table of fixed size, which can only count too many; a bit a cell, ``min_count`` reached or
+not, is what tasks get. Windows end at pairs and triples whose bit is off. Nothing that counts is lost whatever the hashes do;
 past some billions of words the table fills, and windows are then counted without shortening.
 
 Equal windows of a slice of texts are counted together before they leave the task. Words
@@ -55,15 +55,18 @@ def _tokens(batch, limit: int = SLICE):
             yield data, start, stop, on, of_row[first:end][row], names
 
 
-def _cells(data, start, stop, on, lang, names, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each word, and of the pair that it begins (of itself where it begins none)."""
+def _cells(data, start, stop, on, lang, names, n_cells: int) -> tuple[np.ndarray, ...]:
+    """Cells of each word, of the pair that it begins and of the triple, and whether it begins one."""
     salt = np.array([hash_of(x) for x in names.to_pylist()], np.uint64)[lang]
     h = SpanHash(data)(start, stop)
-    after = np.concatenate([h[1:], h[:1]])
+    after = np.roll(h, -1)
     with np.errstate(over="ignore"):
-        one = mixed(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt) & np.uint64(n_cells - 1)
-        two = mixed(mixed(h ^ salt) * np.uint64(0x165667B19E3779F9) + after) & np.uint64(n_cells - 1)
-    return one.astype(np.int64), np.where(on, two, one).astype(np.int64)
+        one = mixed(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt)
+        two = mixed(mixed(h ^ salt) * np.uint64(0x165667B19E3779F9) + after)
+        three = mixed(two * np.uint64(0x9E3779B97F4A7C15) + np.roll(after, -1))
+    thrice = on.copy()
+    thrice[:-1] &= on[1:]
+    return *((x & np.uint64(n_cells - 1)).astype(np.int64) for x in (one, two, three)), thrice
 
 
 def hash_of(text: str) -> int:
@@ -78,9 +81,9 @@ def _count(n_cells: int, least: int):
         counts = np.zeros(n_cells, np.uint32)
         for batch in batches:
             for data, start, stop, on, lang, names in _tokens(batch):
-                one, two = _cells(data, start, stop, on, lang, names, n_cells)
-                np.add.at(counts, one, np.uint32(1))
-                np.add.at(counts, two[on], np.uint32(1))
+                one, two, three, thrice = _cells(data, start, stop, on, lang, names, n_cells)
+                for cells in (one, two[on], three[thrice]):
+                    np.add.at(counts, cells, np.uint32(1))
         kind = np.uint8 if least < 256 else np.uint32
         for k in range(0, n_cells, _BLOCK):
             if counts[k: k + _BLOCK].any():
@@ -127,16 +130,18 @@ def _windows(shared, n_cells: int):
         have = lambda cells: (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
         for batch in batches:
             for data, start, stop, on, lang, names in _tokens(batch):
-                one, two = _cells(data, start, stop, on, lang, names, n_cells)
+                one, two, three, thrice = _cells(data, start, stop, on, lang, names, n_cells)
                 single = have(one)
                 pair = on & have(two) & single
                 pair[:-1] &= single[1:]
-                size = single.astype(np.int64)  # words of each window
-                reach = pair.copy()
-                for k in range(1, LONGEST):
+                triple = thrice & have(three) & pair
+                triple[:-1] &= pair[1:]
+                size = single.astype(np.int64) + pair  # words of each window
+                reach = triple.copy()
+                for k in range(1, LONGEST - 1):
                     size += reach
-                    reach[: -k or None] &= pair[k:]
-                    reach[len(reach) - k:] = False
+                    reach[:-k] &= triple[k:]
+                    reach[-k:] = False
                 at = np.flatnonzero(single)
                 texts = word_column(data, start[at], stop[at]).dictionary_encode()
                 code = np.zeros(len(start) + LONGEST, np.int64)
