@@ -43,6 +43,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,7 +238,7 @@ def _product(percent: int):
 
 def _pair_slices(batch, limit: int = 1 << 20):
     """A batch of pairs of texts in parts of about ``limit`` bytes, or of one pair."""
-    size = np.cumsum(sum(pa.compute.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb")))
+    size = np.cumsum(sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb")))
     first = 0
     while first < batch.num_rows:
         end = max(first + 1, int(np.searchsorted(size, limit + (size[first - 1] if first else 0), side="right")))
