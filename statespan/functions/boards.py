@@ -276,3 +276,18 @@ def positions_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     codes = np.zeros((len(key), SQUARES), np.uint8)
     codes[at] = placements((key[at] >> 3) - class_arrays()["base"][class_id[at]], class_id[at])
     return good, codes, (key & 1) == 0, ((key & 7) >> 1).astype(np.int32)
+
+
+def mirror(codes: np.ndarray, white: np.ndarray, castling: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Colours swapped, ranks flipped, side and rights swapped."""
+    other = np.array([TYPES.index(t.swapcase()) for t in TYPES], np.uint8)
+    flipped = codes.reshape(-1, SQUARES // FILES, FILES)[:, ::-1].reshape(-1, SQUARES)
+    return other[flipped], ~white, (castling & 1) * 2 + (castling >> 1)
+
+
+def least_keys(codes: np.ndarray, white: np.ndarray, castling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smaller of a position's key and its mirror image's, and how many of the two differ (1 or
+    2); -1 where no class fits."""
+    own, _ = keys_of(codes, white, castling)
+    image, _ = keys_of(*mirror(codes, white, castling))
+    return np.minimum(own, image), 1 + (own != image)

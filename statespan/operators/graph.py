@@ -5,36 +5,35 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import Steps, discard, saved, shared_folder
+from ..sources.store import Steps, bucketed, discard, merging, saved, setting, shared_folder
 
 
-def layers(roots: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str], max_steps: int | None = None, path: str | None = None, alternating: bool = False) -> DataFrame:
+def layers(roots: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str], max_steps: int | None = None, path: str | None = None, alternating: bool = False, most_parts: int = 4) -> DataFrame:
     """Breadth-first layers: every row that can be reached, with its first ``step``.
 
     ``expand`` gives the successors (columns ``key``) of a frontier. Each step is the distinct
-    successors without those seen before, a left anti-join, and is committed to ``path``;
-    a later call with the same path goes on where the last one stopped. With ``alternating``
-    a row can only recur at steps of its own parity, and half of the seen rows are skipped.
+    successors without those seen before: they are hashed and sorted once and merged with the
+    sorted buckets of the seen rows, which stay where they lie. Steps are committed to ``path``; a
+    later call with the same path goes on where the last one stopped. With ``alternating`` a row
+    can only recur at steps of its own parity, and half of the seen rows are skipped. Seen rows
+    stand in at most ``most_parts`` parts a parity, or in all, besides the last two steps.
     """
     spark = roots.sparkSession
     roots = roots.select(*key).distinct()
     steps = Steps(spark, path or f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}", roots.schema)
+    steps.sweep()
     done = steps.committed()
     frontier = steps.read(done[-1:]) if done else steps.commit(0, roots)
     step = max(done, default=0)
     while not frontier.isEmpty() and (max_steps is None or step < max_steps):
         step += 1
-        seen = steps.read([s for s in range(step) if not alternating or (s - step) % 2 == 0])
-        frontier = steps.commit(step, expand(frontier).select(*key).distinct().join(seen, key, "left_anti"))
-    out = None
-    for s in steps.committed():
-        if max_steps is None or s <= max_steps:
-            part = steps.read([s]).withColumn("step", F.lit(s))
-            out = part if out is None else out.unionByName(part)
-    return out
+        seen = [s for s in range(step) if not alternating or (s - step) % 2 == 0]
+        steps.compact([s for s in seen if s < step - 1], most_parts)
+        frontier = steps.commit(step, steps.unseen(expand(frontier).select(*key), seen), placed=True)
+    return steps.read_steps([s for s in steps.committed() if max_steps is None or s <= max_steps])
 
 
 def neighbours(edges: DataFrame, a: str, b: str) -> Callable[[DataFrame], DataFrame]:
@@ -43,38 +42,61 @@ def neighbours(edges: DataFrame, a: str, b: str) -> Callable[[DataFrame], DataFr
     return lambda frontier: frontier.select(F.col("node").alias("_from")).join(pairs, "_from").select("node")
 
 
-def fixed_point(edges: DataFrame, settled: DataFrame) -> DataFrame:
+def fixed_point(edges: DataFrame, settled: DataFrame, rounds: int = 5) -> DataFrame:
     """Values of an AND/OR graph: edges (parent, child), settled (node, value, round 0).
 
     A parent is WIN if a child is LOSS, and LOSS if all children are WIN; what never settles
-    is DRAW. Semi-naive: each round joins only newly settled nodes to their parents, and a
-    count of WIN children grows until it meets the out-degree. Returns (node, value, round).
+    is DRAW. Returns (node, value, round).
+
+    The state is one table in buckets of the nodes touched so far: their value and round, or the
+    number of children known to be WIN. A round sends what settled in the last one along the edges,
+    which lie in buckets by child, sums it up by parent, and looks the parents up in the state; only
+    these messages, and the parents touched since the state was written, are shuffled. Each edge
+    carries one message in all. A job is ``rounds`` such rounds in one plan, and writes the state anew;
+    as all its joins are of buckets, sizes met on the way would not change that plan.
     """
     edges = edges.select("parent", "child").distinct()
-    edges = saved(edges.join(edges.groupBy("parent").agg(F.count("*").alias("degree")), "parent"), "edges")
-    nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).union(settled.select("node")).distinct()
-    known = saved(settled.select("node", "value", F.lit(0).alias("round")), "known")
-    scratch = [edges, known]
-    wins = None  # parent, its out-degree and number of children known to be WIN
-    new, turn = known, 0
-    while not new.isEmpty():
-        turn += 1
-        above = new.withColumnRenamed("node", "child").join(edges, "child").select("parent", "degree", (F.col("value") == "LOSS").alias("win"), F.when(F.col("value") == "WIN", 1).otherwise(0).cast("bigint").alias("wins"))
-        if wins is not None:
-            above = above.unionByName(wins.withColumn("win", F.lit(False)))
-        counted = above.groupBy("parent").agg(F.max("degree").alias("degree"), F.max("win").alias("win"), F.sum("wins").alias("wins"))
-        value = F.when(F.col("win"), "WIN").when(F.col("wins") == F.col("degree"), "LOSS")
-        counted = counted.join(known.select(F.col("node").alias("parent")), "parent", "left_anti").select("parent", "degree", "wins", value.alias("value"))
-        scratch.append(counted := saved(counted, "counted"))
-        new = counted.where("value is not null").select(F.col("parent").alias("node"), "value", F.lit(turn).alias("round"))
-        wins = counted.where("value is null").select("parent", "degree", "wins")
-        known = known.unionByName(new)
-    draws = nodes.join(known, "node", "left_anti").select("node", F.lit("DRAW").alias("value"), F.lit(None).cast("int").alias("round"))
-    out = saved(known.unionByName(draws), "values")
-    discard(*scratch)
+    kind = edges.schema["child"].dataType.simpleString()
+    degrees = edges.groupBy("parent").agg(F.count("*").alias("degree"))
+    lines = bucketed(edges.join(degrees, "parent").select("child", "parent", F.col("degree").alias("of")), "child", "edges")
+    settled = settled.select(F.col("node").cast(kind).alias("node"), "value", F.lit(0).alias("round"), F.lit(0).cast("bigint").alias("wins"))
+    state, turn = bucketed(settled, "node", "state"), 0
+    while True:
+        touched = state.where(F.col("round") == turn).select("node", "value", "round", "wins", F.lit(None).cast("bigint").alias("degree"))
+        with merging(lines.sparkSession), setting(lines.sparkSession, spark__sql__adaptive__enabled="false"):
+            for _ in range(rounds):
+                turn += 1
+                touched = _round(touched, lines, state, turn)
+            new = Observation()
+            both = state.withColumnsRenamed({"node": "n", "value": "v", "round": "r", "wins": "w"}).hint("merge").join(touched, F.col("n") == F.col("node"), "full")
+            both = both.select(F.coalesce("node", "n").alias("node"), F.coalesce("v", "value").alias("value"), F.coalesce("r", "round").alias("round"), (F.coalesce("w", F.lit(0)) + F.coalesce("wins", F.lit(0))).alias("wins"))
+            state, old = bucketed(both.observe(new, F.count_if(F.col("round") == turn).alias("fresh")), "node", "state", placed=True), state
+        discard(old)
+        if not new.get["fresh"]:
+            break
+    nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).union(settled.select("node")).distinct()
+    known = state.where("value is not null").select("node", "value", "round")
+    out = saved(nodes.join(known, "node", "left").select("node", F.coalesce("value", F.lit("DRAW")).alias("value"), "round"), "values")
+    discard(lines, state)
     return out
 
 
+def _round(touched: DataFrame, lines: DataFrame, state: DataFrame, turn: int) -> DataFrame:
+    """The nodes touched since ``state`` was written, after one more round: node, value and round
+    (null if unsettled), wins since then, degree.
+
+    Each row stays as it is, and goes up each edge to it if it settled in the last round."""
+    sent = touched.join(lines.hint("merge"), (F.col("node") == F.col("child")) & (F.col("round") == turn - 1), "left")
+    own = F.struct("node", "value", "round", F.when(F.col("parent").isNull(), F.col("wins")).otherwise(F.lit(0)).alias("wins"), "degree", F.lit(False).alias("win"))
+    up = F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("round"), F.when(F.col("value") == "WIN", 1).otherwise(0).cast("bigint").alias("wins"), F.col("of").alias("degree"), (F.col("value") == "LOSS").alias("win"))
+    rows = sent.select(F.explode(F.array(own, up)).alias("m")).select("m.*").where("node is not null")
+    met = rows.groupBy("node").agg(F.max("value").alias("value"), F.max("round").alias("round"), F.sum("wins").alias("wins"), F.max("degree").alias("degree"), F.max("win").alias("win"))
+    before = state.select(F.col("node").alias("n"), F.col("value").alias("v"), F.col("wins").alias("w")).hint("merge")
+    met = met.join(before, F.col("node") == F.col("n"), "left").where("v is null")
+    now = F.when(F.col("win"), "WIN").when(F.col("wins") + F.coalesce("w", F.lit(0)) == F.col("degree"), "LOSS")
+    return met.select("node", F.coalesce("value", now).alias("value"), F.coalesce("round", F.when(now.isNotNull(), turn)).alias("round"), "wins", "degree")
+
+
 def audit(edges: DataFrame, values: DataFrame) -> DataFrame:
     """Violations: a WIN without a LOSS child, a LOSS with a child that isn't WIN (terminal
     nodes aside), a DRAW with a LOSS child or only WIN ones."""
@@ -95,6 +117,42 @@ def witness(roots: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
     return layers(roots.select("node"), neighbours(proof, "parent", "child"), ["node"])
 
 
+def witness_sizes(roots: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
+    """How many nodes prove each root's value: root, value, size (the root included).
+
+    All roots walk at once: the frontier holds (root, node, ours). At nodes of the side that proves
+    (``ours``, every other step from the root) the first child by ``move_ord`` suffices, a LOSS one
+    under a WIN, a DRAW one under a DRAW; at the other side's nodes every child is needed. A node that
+    two roots need is walked for each."""
+    value = values.select(F.col("node").alias("parent"), "value")
+    child = values.select(F.col("node").alias("child"), F.col("value").alias("v"))
+    fit = edges.join(value.where("value in ('WIN', 'DRAW')"), "parent").join(child, "child").where("(value = 'WIN' and v = 'LOSS') or (value = 'DRAW' and v = 'DRAW')")
+    first = fit.groupBy("parent").agg(F.min_by("child", F.struct("move_ord", "child")).alias("child"))
+    need = saved(first.withColumn("ours", F.lit(True)).unionByName(edges.select("parent", "child").withColumn("ours", F.lit(False))).distinct(), "needed")
+    step = lambda front: front.join(need, (front["node"] == need["parent"]) & (front["ours"] == need["ours"])).select("root", F.col("child").alias("node"), (~front["ours"]).alias("ours"))
+    asked = roots.select("node").join(values.where("value in ('WIN', 'DRAW')"), "node").select(F.col("node").alias("root"), "node", F.lit(True).alias("ours"))
+    walked = layers(asked, step, ["root", "node", "ours"])
+    sizes = walked.groupBy("root").agg(F.countDistinct("node").alias("size"))
+    return sizes.join(values.select(F.col("node").alias("root"), "value"), "root").select("root", "value", "size")
+
+
+def spread(rows: DataFrame, group: str, x: str, cells: int = 4096) -> DataFrame:
+    """By group: n, median (element n / 2 of the sorted numbers, counted from 0), mean, largest.
+
+    The median comes from counts: of ``cells`` ranges of values first, then of the values in the one
+    range that holds it, so no group's rows are sorted or gathered."""
+    rows = rows.select(group, F.col(x).alias("x"))
+    whole = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    whole = whole.withColumn("width", F.expr(f"(largest - least) div {cells} + 1"))
+    placed = rows.join(whole.select(group, "least", "width", "n"), group).withColumn("cell", F.expr("(x - least) div width"))
+    upto = lambda column: F.sum("c").over(Window.partitionBy(group).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    cell = placed.groupBy(group, "cell", "n").agg(F.count("*").alias("c")).withColumn("upto", upto("cell"))
+    cell = cell.where("upto - c <= n div 2 and n div 2 < upto").select(group, "cell", F.expr("n div 2 - upto + c").alias("rank"))
+    inside = placed.join(cell, [group, "cell"]).groupBy(group, "x", "rank").agg(F.count("*").alias("c")).withColumn("upto", upto("x"))
+    middle = inside.where("upto - c <= rank and rank < upto").select(group, F.col("x").alias("median"))
+    return whole.join(middle, group).select(group, "n", "median", "mean", "largest")
+
+
 def principal_line(roots: DataFrame, edges: DataFrame, values: DataFrame, most: int = 200) -> DataFrame:
     """One line of best play from each root: (root, step, node). At a WIN node the LOSS child
     that settled first, at a LOSS node the WIN child that settled last, ties by ``move_ord``;

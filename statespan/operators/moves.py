@@ -102,7 +102,7 @@ def summaries(df: DataFrame) -> DataFrame:
     return df.select(*rest).mapInArrow(_summary(rest), schema).withColumn("state", F.when(F.col("n_moves") > 0, "moving").when(F.col("check"), "mate").otherwise("stalemate"))
 
 
-def _child_keys(keep: list[str], quiet: bool):
+def _child_keys(keep: list[str], quiet: bool, orbits: bool = False):
     def run(batches):
         table = boards.lines()
         for batch in batches:
@@ -114,19 +114,39 @@ def _child_keys(keep: list[str], quiet: bool):
                 if quiet:
                     stay = np.flatnonzero((m["captured"] == 0) & (table["promo"][m["line"]] == 0))
                     m = {k: v[stay] for k, v in m.items()}
-                key, _ = boards.keys_of(m["codes"], ~white[at][m["row"]], m["castling"])
+                key, _ = (boards.least_keys if orbits else boards.keys_of)(m["codes"], ~white[at][m["row"]], m["castling"])
                 row = pa.array(at[m["row"]][key >= 0])
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in keep), pa.array(key[key >= 0])], names=[*keep, "key"])
     return run
 
 
-def child_keys(df: DataFrame, keep: list[str] | None = None, quiet: bool = False) -> DataFrame:
+def child_keys(df: DataFrame, keep: list[str] | None = None, quiet: bool = False, orbits: bool = False) -> DataFrame:
     """From keys to the keys of their successors, 8 bytes a row: the ``keep`` columns and key.
-    ``quiet`` leaves out captures and promotions; keys that are no position have none, and what
+    ``quiet`` leaves out captures and promotions, ``orbits`` gives the smaller key of each successor and
+    its mirror image; keys that are no position have none, and what
     takes a king (where the side that just moved is in check) leads to no position."""
     keep = list(keep or [])
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("key", T.LongType())])
-    return df.select(*keep, "key").mapInArrow(_child_keys(keep, quiet), schema)
+    return df.select(*keep, "key").mapInArrow(_child_keys(keep, quiet, orbits), schema)
+
+
+def _orbits(keep: list[str]):
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(start, _ROWS)
+                good, codes, white, castling = boards.positions_of(part.column("key").fill_null(-8).to_numpy(zero_copy_only=False))
+                least, size = boards.least_keys(codes, white, castling)
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(least, pa.int64(), mask=~good), pa.array(size.astype(np.int32), mask=~good)], names=[*keep, "key", "orbit"])
+    return run
+
+
+def orbits(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns, key as the smaller of a key and its mirror image's, and orbit, how many
+    positions stand behind it (1 or 2); null for keys that are no position."""
+    keep = list(keep or [])
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("key", T.LongType()), T.StructField("orbit", T.IntegerType())])
+    return df.select(*keep, "key").mapInArrow(_orbits(keep), schema)
 
 
 def _key_counts(keep: list[str]):
@@ -175,10 +195,19 @@ def is_legal(board: pa.Array, wtm: pa.Array, castling: pa.Array, move: pa.Array)
 
 
 def play(df: DataFrame, moves: list[str]) -> DataFrame:
-    """The positions after a sequence of moves; an illegal one raises."""
+    """The positions after a sequence of moves, in one plan that one job checks; a move that is
+    illegal in any of them raises."""
+    clocks = [c for c in CLOCKS if c in df.columns]
     for move in moves:
-        after = successors(df, []).where(F.col("uci") == move).select(*POSITION, *[c for c in CLOCKS if c in df.columns])
-        if after.isEmpty():
-            raise ValueError(f"illegal move {move}")
-        df = after
+        rows = parse_move(df.select(*POSITION, *clocks), move)
+        error = F.raise_error(F.lit(f"illegal move {move}")).cast("boolean")
+        legal = rows.where(F.when(F.coalesce("legal", F.lit(False)), True).otherwise(error)).select(*POSITION, *clocks)
+        df = successors(legal, []).where(F.col("uci") == move.lower()).select(*POSITION, *clocks)
+    try:
+        df.count()
+    except Exception as e:
+        bad = next((m for m in moves if f"illegal move {m}" in str(e)), None)
+        if bad is None:
+            raise
+        raise ValueError(f"illegal move {bad}") from e
     return df

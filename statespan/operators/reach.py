@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.position import mirrored
-from ..sources.store import saved
+from ..sources.store import bucketed, discard, merging, saved
 from .graph import layers
-from .moves import child_keys, key_move_counts, successors
+from .moves import child_keys, key_move_counts, orbits, successors
 
 STATE = ["board", "wtm", "castling"]
 
@@ -74,6 +74,73 @@ def paths(df: DataFrame, plies: int) -> DataFrame:
     return front
 
 
+def quotient(df: DataFrame, plies: int | None = None, path: str | None = None) -> DataFrame:
+    """The walk of ``reachable`` over pairs of mirror images: key (the smaller of the two), step and
+    orbit (1 or 2, the positions behind a key), from the given positions and their images.
+
+    Moves commute with the mirror, so a pair is reached when its first half is, and the sums of
+    orbits are the counts of the plain walk. A pair's halves have different sides to move, so
+    plies don't alternate."""
+    start = orbits(keyed(df, []))
+    return orbits(layers(start.select("key").where("key is not null"), lambda front: child_keys(front, orbits=True), ["key"], plies, path), ["step"])
+
+
+def pair_ladder(walked: DataFrame) -> DataFrame:
+    """step, pairs and positions (new ones), and their running sums."""
+    from pyspark.sql import Window
+
+    upto = lambda c: F.sum(c).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    new = walked.groupBy("step").agg(F.count("*").alias("pairs"), F.sum("orbit").alias("positions"))
+    return new.select("step", "pairs", "positions", upto("pairs").alias("all_pairs"), upto("positions").alias("all_positions"))
+
+
+def subtrees(starts: DataFrame, group: str, plies: int) -> DataFrame:
+    """Which groups of positions reach which keys within some plies: key and one bit a group in
+    columns s0, s1, ..., 63 groups in each; bit order is that of the groups.
+
+    One walk for all groups: a key goes on with the bits that are new to it. The table of what each
+    key has been reached by lies in buckets and is merged with the successors' bits at each ply."""
+    from pyspark.sql import Window
+
+    labels = starts.select(group).distinct().withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)
+    labels = saved(labels, "labels")
+    words = range(-(-labels.count() // 63) or 1)
+    rows = keyed(starts.join(labels, group), ["i"])
+    bit = lambda w: F.bit_or(F.when(F.expr(f"i div 63 = {w}"), F.expr("shiftleft(1L, cast(i % 63 as int))")).otherwise(F.lit(0).cast("bigint")))
+    seen = rows.groupBy("key").agg(*[bit(w).alias(f"s{w}") for w in words])
+    seen = bucketed(seen.select("*", *[F.col(f"s{w}").alias(f"n{w}") for w in words]), "key", "subtrees")
+    new = [f"n{w}" for w in words]
+    for _ in range(plies):
+        front = seen.where(" or ".join(f"{n} <> 0" for n in new)).select("key", *new)
+        after = child_keys(front, new).groupBy("key").agg(*[F.bit_or(n).alias(n) for n in new])
+        have = seen.select(F.col("key").alias("k"), *[f"s{w}" for w in words]).hint("merge")
+        old = lambda w: F.coalesce(f"s{w}", F.lit(0).cast("bigint"))
+        more = lambda w: F.coalesce(f"n{w}", F.lit(0).cast("bigint"))
+        with merging(seen.sparkSession):
+            both = have.join(after, F.col("k") == F.col("key"), "full")
+            both = both.select(F.coalesce("key", "k").alias("key"), *[old(w).bitwiseOR(more(w)).alias(f"s{w}") for w in words], *[more(w).bitwiseAND(F.bitwise_not(old(w))).alias(f"n{w}") for w in words])
+            seen, before = bucketed(both, "key", "subtrees", placed=True), seen
+        discard(before)
+    discard(labels)
+    return seen.select("key", *[f"s{w}" for w in words])
+
+
+def subtree_sizes(walked: DataFrame) -> DataFrame:
+    """group (its place among the groups) and size, the keys that it reaches."""
+    words = [c for c in walked.columns if c != "key"]
+    bits = F.expr(f"concat({', '.join(f'transform(filter(sequence(0, 62), i -> getbit({c}, i) = 1), i -> i + {63 * k})' for k, c in enumerate(words))})")
+    return walked.select(F.explode(bits).alias("group")).groupBy("group").agg(F.count("*").alias("size"))
+
+
+def subtree_overlap(starts: DataFrame, group: str, plies: int) -> DataFrame:
+    """How much a split by groups repeats, from one walk: groups, total (sum of their sizes),
+    distinct (keys that any reaches), factor, least, most and imbalance (most over least)."""
+    walked = subtrees(starts, group, plies)
+    sizes = subtree_sizes(walked).agg(F.count("*").alias("groups"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most"))
+    union = walked.agg(F.count("*").alias("distinct"))
+    return sizes.join(F.broadcast(union), F.lit(True)).select("groups", "total", "distinct", (F.col("total") / F.col("distinct")).alias("factor"), "least", "most", (F.col("most") / F.col("least")).alias("imbalance"))
+
+
 def first_step(reached: DataFrame, targets: DataFrame) -> DataFrame:
     """The first ply at which each target key is reached: key, step (null if never)."""
     return targets.select("key").distinct().join(reached.select("key", "step"), "key", "left")

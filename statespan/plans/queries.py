@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classes, keys, position
+from ..functions import classes, keys, position, sql
 from ..operators import graph, moves, reach, retro
-from ..sources.store import Steps, bucket, read_ladder, saved, shared_folder, write_ladder, write_values
+from ..operators.sample import exact_sample, labelled
+from ..sources.store import Folder, Steps, bucket, convert, discard, read_ladder, saved, shared_folder, write_ladder, write_values
 from . import rules_sql as rules
 
 
@@ -21,6 +22,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _KEY = "((l_orderkey % 1000003007 * 1103515 + l_partkey * 40503 + l_linenumber * 97) % 1000003007) * 123263 + l_suppkey % 123263"
 
 
+_ORDER_KEY = _KEY.replace("l_partkey", "o_custkey").replace("l_linenumber", "7").replace("l_suppkey", "o_custkey").replace("l_", "o_")
+
+
 def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key of a position for each line item."""
     return _table(spark, sf_dir, "lineitem").select(F.expr(_KEY).alias("key"))
@@ -29,7 +33,7 @@ def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The positions of the orders' keys that are positions in which the side that just moved is
     not in check, at most one per order."""
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_KEY.replace("l_partkey", "o_custkey").replace("l_linenumber", "7").replace("l_suppkey", "o_custkey").replace("l_", "o_")).alias("key"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER_KEY).alias("key"))
     found = keys.decode(rows).where("board is not null").select("o_orderkey", "board", "wtm", "castling")
     return found.where(~position.in_check("board", ~F.col("wtm")))
 
@@ -202,6 +206,41 @@ def class_space(spark, sf_dir):
     return rows.groupBy("piece_count").agg(F.count("*").alias("n_classes"), F.sum("placements").alias("placements"), F.sum("n").alias("n_positions"), F.round(F.log2(F.sum("placements").cast("double")), 6).alias("bits"))
 
 
+def subtree_overlap(spark, sf_dir):
+    """What a split of the work by first move would repeat: the positions within a ply of each move
+    of the orders' positions, of all moves of one text together, and of all in one."""
+    first = moves.successors(order_positions(spark, sf_dir), [])
+    out = reach.subtree_overlap(first.select("uci", "board", "wtm", "castling"), "uci", 1)
+    return out.select("groups", "total", F.col("distinct").alias("n_distinct"), F.round("factor", 6).alias("factor"), "least", "most", F.round("imbalance", 6).alias("imbalance"))
+
+
+def quotient_ladder(spark, sf_dir):
+    """New pairs of mirror images per ply from the orders' positions, and the positions behind them."""
+    return reach.pair_ladder(reach.quotient(order_positions(spark, sf_dir), 2))
+
+
+def labelled_sample(spark, sf_dir):
+    """Twenty of the orders' king and rook against king positions of each value, as FEN = VALUE."""
+    solved = retro.solve(spark, ["Kk", "KkR"]).where("pieces = 'KkR'").select("node", "value")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey") * 2654435, F.lit(16000)).alias("i"))
+    rows = rows.select("o_orderkey", retro.index_board(F.col("i"), "KkR").alias("board"), (F.col("i") % 2 == 0).alias("wtm"), F.lit(0).alias("castling"))
+    found = keys.encode(rows.withColumn("fen", position.to_fen(F.col("board"), F.col("wtm"), F.col("castling")))).join(solved, F.col("key") == F.col("node"))
+    return labelled(exact_sample(found.select("o_orderkey", "fen", "value"), "value", "o_orderkey", 20), "fen", "value")
+
+
+def sql_move_counts(spark, sf_dir):
+    """The counts of ``move_counts`` in SQL text alone, moves under LATERAL VIEW."""
+    sql.register(spark)
+    return spark.sql(f"""
+WITH keyed AS (SELECT o_orderkey, key_position({_ORDER_KEY}) AS p FROM parquet.`{sf_dir}/orders.parquet`),
+placed AS (SELECT o_orderkey, p.board, p.wtm, p.castling FROM keyed WHERE p.board IS NOT NULL),
+places AS (SELECT *, in_check(board, wtm) AS check FROM placed WHERE NOT in_check(board, NOT wtm)),
+per AS (SELECT o_orderkey, wtm, check, count(m.uci) AS n, count_if(m.captured <> '.') AS captures, count_if(length(m.uci) = 5) AS promotions
+        FROM (SELECT o_orderkey, wtm AS white, check AS checked, legal_moves(board, wtm, castling) AS all_moves, wtm, check FROM places) LATERAL VIEW OUTER inline(all_moves) m AS uci, move_ord, piece, captured, board_after, wtm_after, castling_after
+        GROUP BY o_orderkey, wtm, check)
+SELECT wtm, check, CASE WHEN n > 0 THEN 'moving' WHEN check THEN 'mate' ELSE 'stalemate' END AS state, count(*) AS n, sum(n) AS n_moves, sum(captures) AS n_captures, sum(promotions) AS n_promotions FROM per GROUP BY 1, 2, 3""".replace("m.uci", "uci").replace("m.captured", "captured").replace("wtm AS white, check AS checked, ", ""))
+
+
 # -- tables -----------------------------------------------------------------------
 
 def bfs_customer_part(spark, sf_dir):
@@ -258,6 +297,16 @@ def graph_lines(spark, sf_dir):
     return lines.groupBy("root").agg(F.max("step").alias("length"), F.max_by("node", "step").alias("last")).groupBy("length").agg(F.count("*").alias("n"), F.sum("last").alias("last_sum"))
 
 
+def witness_sizes(spark, sf_dir):
+    """How many nodes prove the value of every 101st order of the order graph, for those that need
+    more than themselves: n, element n / 2 of the sorted sizes, mean, largest and that as a share of all nodes in per cent."""
+    edges, ends = _order_graph(spark, sf_dir)
+    values = graph.fixed_point(edges, ends)
+    sizes = saved(graph.witness_sizes(values.where("node % 101 = 0").select("node"), edges.withColumn("move_ord", F.col("child")), values).where("size > 1"), "sizes")
+    share = F.round(100 * F.col("largest") / F.lit(values.count()), 6)
+    return graph.spread(sizes, "value", "size").select("value", "n", "median", F.round("mean", 4).alias("mean"), "largest", share.alias("share"))
+
+
 def value_cross_check(spark, sf_dir):
     """The order graph's values against those of the graph of halves alone."""
     return graph.cross_check(graph.fixed_point(*_order_graph(spark, sf_dir)), graph.fixed_point(*_order_graph(spark, sf_dir, (2,))))
@@ -279,6 +328,18 @@ def stored_steps(spark, sf_dir):
     return steps.counts()
 
 
+def converted_buckets(spark, sf_dir):
+    """The line items' keys rewritten bucket by bucket, in a call that ends after five buckets and one that
+    does the rest: state, rows and mismatches of each."""
+    rows = saved(line_keys(spark, sf_dir).select("key", bucket(F.col("key"), 42).cast("int").alias("bucket")), "rows")
+    path = f"{shared_folder(spark)}/converted-{uuid.uuid4().hex}"
+    convert(rows, path, "bucket", at_once=3, most=5)
+    out = convert(rows, path, "bucket")
+    Folder(spark, path).delete("")
+    discard(rows)
+    return out
+
+
 def ladder_text(spark, sf_dir):
     """Orders per number of line items as lines of text, and the ladder read back from them."""
     per = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().groupBy(F.col("count").cast("int").alias("step")).agg(F.count("*").alias("nodes"))
@@ -398,7 +459,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         key_round_trip, key_injectivity, class_histogram, class_top, class_successors, piece_counts, fen_round_trip, mirror_pairs, move_counts, paths_two_plies, reach_two_plies, endgame_values,
         uci_histogram, parsed_moves, clock_successors, fen_dump, mirror_presence, first_reach, path_tree, forced_divide, layered_counts, quiet_reach, dense_index, class_order, class_descent, class_space,
-        bfs_customer_part, order_graph_values, graph_audit, graph_witness, graph_lines, value_cross_check, values_json, stored_steps, ladder_text, delta_encode, gap_histogram, key_density, ascending_check, range_buckets, visited_split, merge_union, set_equality, child_votes, first_child, ladder_by_month,
+        subtree_overlap, quotient_ladder, labelled_sample, sql_move_counts, converted_buckets,
+        bfs_customer_part, order_graph_values, graph_audit, graph_witness, graph_lines, witness_sizes, value_cross_check, values_json, stored_steps, ladder_text, delta_encode, gap_histogram, key_density, ascending_check, range_buckets, visited_split, merge_union, set_equality, child_votes, first_child, ladder_by_month,
         repetition, overlap_factor, sample_distribution, hash_sample)}
 
 
@@ -416,7 +478,6 @@ bounds AS (SELECT *, CAST(coalesce(sum(placements) OVER (ORDER BY class_id ROWS
 keyed AS (SELECT """ + _KEY + """ AS key FROM lineitem),
 k AS (SELECT key, b.* FROM keyed JOIN bounds b ON key // 8 >= base AND key // 8 < base + placements)
 """
-_ORDER_KEY = _KEY.replace("l_partkey", "o_custkey").replace("l_linenumber", "7").replace("l_suppkey", "o_custkey").replace("l_", "o_")
 _POSITIONS = f"""
 order_keys AS (SELECT o_orderkey, key, class_id FROM (SELECT o_orderkey, {_ORDER_KEY} AS key FROM orders) JOIN bounds ON key // 8 >= base AND key // 8 < base + placements WHERE canonical),
 {rules.unrank("order_boards", "order_keys")},
@@ -485,7 +546,36 @@ def oracle_sql() -> dict[str, str]:
 class_steps AS (SELECT DISTINCT class_id, n, piece_count, nonpawn_count, CAST(successor AS INT) AS successor FROM (
     SELECT s.*, now * 48 + bi AS successor FROM sized s JOIN side_steps ON was = wi UNION ALL SELECT s.*, wi * 48 + now FROM sized s JOIN side_steps ON was = bi))"""
     squares = "substr('abcd', CAST({0} % 4 + 1 AS BIGINT), 1) || ({0} // 4 + 1)"
+    move_counts = f"""{game}, {rules.moves("m", "places")}, kings AS (SELECT id, board, instr(board, CASE WHEN wtm THEN 'K' ELSE 'k' END) - 1 AS sq, NOT wtm AS by_white FROM places), {rules.checks("c", "kings")},
+per AS (SELECT p.id, p.wtm, p.id IN (SELECT id FROM c) AS "check", count(m.id) AS n, count(*) FILTER (captured <> '.') AS captures, count(*) FILTER (promo <> '') AS promotions FROM places p LEFT JOIN m ON m.id = p.id GROUP BY ALL)
+SELECT wtm, "check", CASE WHEN n > 0 THEN 'moving' WHEN "check" THEN 'mate' ELSE 'stalemate' END AS state, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_moves, CAST(sum(captures) AS BIGINT) AS n_captures, CAST(sum(promotions) AS BIGINT) AS n_promotions FROM per GROUP BY 1, 2, 3"""
+    fen = "replace(replace(replace(replace(replace(shown, chr(10), '/'), '....', '4'), '...', '3'), '..', '2'), '.', '1')"
+    shown = " || chr(10) || ".join(f"substr(board, {17 - 4 * k}, 4)" for k in range(5))
+    flipped = f"{rules.mirror('board')} AS fb, NOT wtm AS fw, CAST((castling & 1) * 2 + castling // 2 AS INT) AS fc"
     return {
+        "sql_move_counts": move_counts,
+        "subtree_overlap": f"""{two}, g0 AS (SELECT DISTINCT uci, board, wtm, castling FROM ply1),
+pairs AS (SELECT * FROM g0 UNION SELECT g0.uci, p.board, p.wtm, p.castling FROM g0 JOIN layer1 l USING (board, wtm, castling) JOIN ply2 p ON p.id = l.id),
+sizes AS (SELECT uci, count(*) AS n FROM pairs GROUP BY 1), every AS (SELECT count(*) AS d FROM (SELECT DISTINCT board, wtm, castling FROM pairs))
+SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS total, max(d) AS n_distinct, round(sum(n) / max(d), 6) AS factor, min(n) AS least, max(n) AS most, round(max(n) / min(n), 6) AS imbalance FROM sizes, every""",
+        "quotient_ladder": f"""{game}, closed0 AS (SELECT row_number() OVER () AS id, * FROM (SELECT board, wtm, castling FROM places UNION SELECT {_FLIP} FROM places)), {rules.moves("cply1", "closed0")},
+closed1 AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT board, wtm, castling FROM cply1)), {rules.moves("cply2", "closed1")},
+first_met AS (SELECT board, wtm, castling, min(step) AS step FROM (SELECT board, wtm, castling, 0 AS step FROM closed0 UNION ALL SELECT board, wtm, castling, 1 FROM closed1 UNION ALL SELECT board, wtm, castling, 2 FROM cply2) GROUP BY ALL),
+new AS (SELECT step, count(DISTINCT least(board || wtm || castling, fb || fw || fc)) AS pairs, count(*) AS positions FROM (SELECT *, {flipped} FROM first_met) GROUP BY 1)
+SELECT step, pairs, positions, CAST(sum(pairs) OVER (ORDER BY step) AS BIGINT) AS all_pairs, CAST(sum(positions) OVER (ORDER BY step) AS BIGINT) AS all_positions FROM new""",
+        "labelled_sample": f"""WITH RECURSIVE {_ENDGAME}, own AS (SELECT o_orderkey, i % 2 = 0 AS wtm, i // 2 % 20 AS a, i // 40 % 20 AS b, i // 800 % 20 AS c FROM (SELECT o_orderkey, o_orderkey * 2654435 % 16000 AS i FROM orders)),
+sought AS (SELECT o_orderkey, wtm, list_reduce(list_transform(range(20), lambda s: CASE s WHEN a THEN 'K' WHEN b THEN 'k' WHEN c THEN 'R' ELSE '.' END), lambda x, y: x || y) AS board FROM own WHERE a <> b AND a <> c AND b <> c),
+valued AS (SELECT o_orderkey, {shown.replace("board", "s.board")} AS shown, s.wtm, coalesce(v.value, 'DRAW') AS value FROM sought s JOIN nodes n ON n.id = s.board || s.wtm LEFT JOIN settled_values v ON v.node = n.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM valued)
+SELECT {fen} || CASE WHEN wtm THEN ' w ' ELSE ' b ' END || '- - 0 1 = ' || value AS line FROM ranked WHERE k <= 20""",
+        "witness_sizes": f"""{order_graph},
+need AS (SELECT parent, min(child) AS child, true AS ours FROM order_edges JOIN order_values p ON p.node = parent JOIN order_values c ON c.node = child WHERE (p.value = 'WIN' AND c.value = 'LOSS') OR (p.value = 'DRAW' AND c.value = 'DRAW') GROUP BY parent
+         UNION ALL SELECT parent, child, false FROM order_edges),
+walk AS (SELECT node AS root, node, true AS ours FROM order_values WHERE node % 101 = 0 AND value IN ('WIN', 'DRAW') UNION SELECT root, child, NOT walk.ours FROM walk JOIN need ON parent = node AND need.ours = walk.ours),
+sizes AS (SELECT root, count(DISTINCT node) AS size FROM walk GROUP BY 1),
+r AS (SELECT value, size, row_number() OVER (PARTITION BY value ORDER BY size) - 1 AS k, count(*) OVER (PARTITION BY value) AS n FROM sizes JOIN order_values ON node = root WHERE size > 1)
+SELECT value, max(n) AS n, max(CASE WHEN k = n // 2 THEN size END) AS median, round(avg(size), 4) AS mean, max(size) AS largest, round(100 * max(size) / (SELECT count(*) FROM order_values), 6) AS share FROM r GROUP BY 1""",
+        "converted_buckets": f"WITH k AS (SELECT CAST(({_KEY}) >> 42 AS INT) AS bucket FROM lineitem), b AS (SELECT bucket, count(*) AS n_rows FROM k GROUP BY 1) SELECT bucket, CASE WHEN row_number() OVER (ORDER BY bucket) <= 5 THEN 'converted' ELSE 'new' END AS state, n_rows, CAST(0 AS BIGINT) AS n_wrong FROM b",
         "class_successors": f"{seen}{side_steps} SELECT successor AS class_id, count(*) AS n_above, CAST(sum(n) AS BIGINT) AS n_positions FROM class_steps GROUP BY 1",
         "class_order": f"{seen} SELECT class_id, name, piece_count, nonpawn_count, n, CAST(row_number() OVER (ORDER BY piece_count, nonpawn_count DESC, class_id) AS INT) AS place, class_id AS parsed FROM sized",
         "class_descent": f"{seen}{side_steps} SELECT s.piece_count, count(*) AS n_edges, count(*) FILTER (NOT (b.piece_count < s.piece_count OR (b.piece_count = s.piece_count AND b.nonpawn_count > s.nonpawn_count))) AS n_wrong FROM class_steps s JOIN sized b ON b.class_id = successor GROUP BY 1",
@@ -494,9 +584,7 @@ class_steps AS (SELECT DISTINCT class_id, n, piece_count, nonpawn_count, CAST(su
 flipped AS (SELECT key AS id, {rules.mirror("board")} AS board, other AS class_id FROM good JOIN line_boards USING (key)), {rules.rank("ranked", "flipped")},
 pairs AS (SELECT g.key, other, (b.base + rank_) * 8 + (key % 8 // 2 % 2 * 2 + key % 8 // 4) * 2 + 1 - key % 2 AS mirrored FROM good g JOIN ranked r ON r.id = g.key JOIN bounds b ON b.class_id = other)
 SELECT k.class_id, max(other) AS mirror_class, count(*) AS n, count(*) FILTER (key <= mirrored) AS n_canonical FROM k JOIN pairs USING (key) WHERE canonical GROUP BY 1""",
-        "move_counts": f"""{game}, {rules.moves("m", "places")}, kings AS (SELECT id, board, instr(board, CASE WHEN wtm THEN 'K' ELSE 'k' END) - 1 AS sq, NOT wtm AS by_white FROM places), {rules.checks("c", "kings")},
-per AS (SELECT p.id, p.wtm, p.id IN (SELECT id FROM c) AS "check", count(m.id) AS n, count(*) FILTER (captured <> '.') AS captures, count(*) FILTER (promo <> '') AS promotions FROM places p LEFT JOIN m ON m.id = p.id GROUP BY ALL)
-SELECT wtm, "check", CASE WHEN n > 0 THEN 'moving' WHEN "check" THEN 'mate' ELSE 'stalemate' END AS state, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_moves, CAST(sum(captures) AS BIGINT) AS n_captures, CAST(sum(promotions) AS BIGINT) AS n_promotions FROM per GROUP BY 1, 2, 3""",
+        "move_counts": move_counts,
         "uci_histogram": f"{game}, {rules.moves('m', 'places')} SELECT uci, count(*) AS n, count(*) FILTER (captured <> '.') AS n_captures FROM m GROUP BY 1",
         "parsed_moves": f"""{game}, {rules.moves("m", "places")},
 said AS (SELECT id, board, a, b, {squares.format("a")} || {squares.format("b")} AS uci FROM (SELECT p.*, o_custkey % 20 AS a, o_orderkey // 3 % 20 AS b FROM places p JOIN orders ON o_orderkey = id)),
