@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Scratch, SpanHash, byte_mask, input_bytes, mixed, n_parts, small_batches, table, text_slices, word_column, words
+from ._common import LOWER, Scratch, SpanHash, byte_mask, mixed, n_parts, small_batches, table, text_slices, word_column, words
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 SLICE = 4 << 20
 _CUT = byte_mask(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _WORD = byte_mask(lambda b: b not in (0x20, 0x09)) & ~_CUT
-#: Cells of the table: one for so many bytes of input files, within bounds (a task counts in 4 bytes a cell).
-_CELL_BYTES, _CELLS = 32, (1 << 18, 1 << 25)
+#: Cells of the table, whatever the input: a task counts in 4 bytes a cell, and is told a bit a cell.
+CELLS = 1 << 24
 _BLOCK = 1 << 16
 COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
@@ -158,20 +158,18 @@ def _windows(shared, n_cells: int):
     return run
 
 
-def windows(docs: DataFrame, min_count: int = MIN_COUNT, n_cells: int | None = None) -> DataFrame:
+def windows(docs: DataFrame, min_count: int = MIN_COUNT, n_cells: int = CELLS) -> DataFrame:
     """lang, w1 to w5 and n: windows by their leading word, padded with nulls; words that no phrase
     of ``min_count`` has are counted by language alone."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    if n_cells is None:
-        n_cells = min(_CELLS[1], max(_CELLS[0], 1 << (input_bytes(rows) // _CELL_BYTES).bit_length()))
     shared = spark.sparkContext.broadcast(frequent_cells(rows, n_cells, min_count))
     counted = rows.mapInArrow(_windows(shared, n_cells), ", ".join(["lang string", *(f"{c} string" for c in COLUMNS), "n bigint"]))
     return counted.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, n_cells: int | None = None) -> DataFrame:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, n_cells: int = CELLS) -> DataFrame:
     """lang, phrase (words joined by spaces), size, f of phrases of one to five words with f >=
     ``min_count``; size 0 is the language's number of words."""
     rolled = windows(docs, min_count, n_cells).rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
@@ -185,7 +183,7 @@ def _whole(column: str):
     return F.col(column).cast("decimal(19,0)")
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, n_cells: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, n_cells: int = CELLS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases of 2 to 5 words."""
     scratch = Scratch()
     counts = scratch.saved(phrase_counts(docs, min_count, n_cells), "phrases")

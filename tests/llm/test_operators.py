@@ -873,7 +873,7 @@ def plain_collocations(rows, least, top):
     return {(lang, rank, p.decode(), -a, l, r, total[lang], -s) for lang, x in out.items() for rank, (s, a, p, l, r) in enumerate(sorted(x)[:top], 1)}
 
 
-@pytest.mark.parametrize("least,cells,slice_bytes", [(4, None, 1 << 22), (4, 1 << 18, 200), (2, 1 << 16, 1 << 22), (300, None, 1 << 22)])
+@pytest.mark.parametrize("least,cells,slice_bytes", [(4, 1 << 20, 1 << 22), (4, 1 << 18, 200), (2, 1 << 16, 1 << 22), (300, collocations.CELLS, 1 << 22)])
 def test_collocations_are_brute_force(spark, monkeypatch, least, cells, slice_bytes):
     """Also with small slices, with counts past one byte, and in a table so small that all cells are frequent."""
     monkeypatch.setattr(collocations.text_slices, "__defaults__", (slice_bytes,))
