@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import Steps, bucketed, discard, merging, saved, setting, shared_folder
+from ..sources.store import Steps, bucketed, discard, merging, saved, scratch_path, setting
 
 
 def layers(roots: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str], max_steps: int | None = None, path: str | None = None, alternating: bool = False, most_parts: int = 4) -> DataFrame:
@@ -23,7 +22,7 @@ def layers(roots: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list
     """
     spark = roots.sparkSession
     roots = roots.select(*key).distinct()
-    steps = Steps(spark, path or f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}", roots.schema)
+    steps = Steps(spark, path or scratch_path(spark, "layers"), roots.schema)
     steps.sweep()
     done = steps.committed()
     frontier = steps.read(done[-1:]) if done else steps.commit(0, roots)

@@ -3,15 +3,13 @@ keys are derived from them, with DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes, keys, position, sql
 from ..operators import graph, moves, reach, retro
 from ..operators.sample import exact_sample, labelled
-from ..sources.store import Folder, Steps, bucket, convert, discard, read_ladder, saved, shared_folder, write_ladder, write_values
+from ..sources.store import Folder, Steps, bucket, convert, discard, read_ladder, saved, scratch_path, write_ladder, write_values, write_verified
 from . import rules_sql as rules
 
 
@@ -206,6 +204,40 @@ def class_space(spark, sf_dir):
     return rows.groupBy("piece_count").agg(F.count("*").alias("n_classes"), F.sum("placements").alias("placements"), F.sum("n").alias("n_positions"), F.round(F.log2(F.sum("placements").cast("double")), 6).alias("bits"))
 
 
+def divided_paths(spark, sf_dir):
+    """Paths of two plies from all of the orders' positions by their first move."""
+    return reach.divide(order_positions(spark, sf_dir), 2)
+
+
+def resumed_walk(spark, sf_dir):
+    """New positions per ply of a walk that stopped after one ply, was swept of what a broken run had
+    left, and went on; counts from the manifest."""
+    rows, path = order_positions(spark, sf_dir), scratch_path(spark, "walk")
+    reach.reachable(rows, 1, path)
+    keys_of = reach.keyed(rows, []).select("key").schema
+    rows.select("wtm").limit(5).write.parquet(f"{path}/merged-broken")
+    reach.reachable(rows, 2, path)
+    steps = Steps(spark, path, keys_of)
+    left = len([n for n in steps.folder.names() if n == "merged-broken"])
+    return steps.counts().withColumn("left_over", F.lit(left))
+
+
+def key_space_share(spark, sf_dir):
+    """How many different positions the line items' keys stand for, and the share of the space of keys in millionths."""
+    rows = keys.decode(line_keys(spark, sf_dir)).where("board is not null")
+    space = classes.class_table(spark).agg((F.sum("placements") * 8).alias("key_space"))
+    n = rows.agg(F.countDistinct("key").alias("n_positions"))
+    return n.join(F.broadcast(space), F.lit(True)).select("n_positions", "key_space", F.round(1000000 * F.col("n_positions") / F.col("key_space"), 9).alias("share"))
+
+
+def verified_store(spark, sf_dir):
+    """The line items' keys rewritten as a sorted set, read back and compared row for row before it takes
+    its place; what stands there then, by bucket."""
+    path = scratch_path(spark, "verified")
+    write_verified(line_keys(spark, sf_dir).distinct(), path, "key")
+    return spark.read.parquet(path).groupBy(bucket(F.col("key"), 42).alias("bucket")).agg(F.count("*").alias("n"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+
+
 def subtree_overlap(spark, sf_dir):
     """What a split of the work by first move would repeat: the positions within a ply of each move
     of the orders' positions, of all moves of one text together, and of all in one."""
@@ -314,7 +346,7 @@ def value_cross_check(spark, sf_dir):
 
 def values_json(spark, sf_dir):
     """The order graph's values written as JSON lines and read back."""
-    path = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "values")
     write_values(graph.fixed_point(*_order_graph(spark, sf_dir)).select("node", "value"), path)
     return spark.read.schema("node bigint, value string").json(path).groupBy("value").agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
 
@@ -322,7 +354,7 @@ def values_json(spark, sf_dir):
 def stored_steps(spark, sf_dir):
     """Order keys stored step by step, a step for each status, as sorted delta-encoded sets, and counted there."""
     rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
-    steps = Steps(spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", rows.select("key").schema)
+    steps = Steps(spark, scratch_path(spark, "steps"), rows.select("key").schema)
     for k, status in enumerate("FOP"):
         steps.commit(k, rows.where(F.col("o_orderstatus") == status).select("key"))
     return steps.counts()
@@ -332,7 +364,7 @@ def converted_buckets(spark, sf_dir):
     """The line items' keys rewritten bucket by bucket, in a call that ends after five buckets and one that
     does the rest: state, rows and mismatches of each."""
     rows = saved(line_keys(spark, sf_dir).select("key", bucket(F.col("key"), 42).cast("int").alias("bucket")), "rows")
-    path = f"{shared_folder(spark)}/converted-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "converted")
     convert(rows, path, "bucket", at_once=3, most=5)
     out = convert(rows, path, "bucket")
     Folder(spark, path).delete("")
@@ -343,7 +375,7 @@ def converted_buckets(spark, sf_dir):
 def ladder_text(spark, sf_dir):
     """Orders per number of line items as lines of text, and the ladder read back from them."""
     per = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().groupBy(F.col("count").cast("int").alias("step")).agg(F.count("*").alias("nodes"))
-    path = f"{shared_folder(spark)}/ladder-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ladder")
     write_ladder(per, path)
     return read_ladder(spark, path)
 
@@ -459,7 +491,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         key_round_trip, key_injectivity, class_histogram, class_top, class_successors, piece_counts, fen_round_trip, mirror_pairs, move_counts, paths_two_plies, reach_two_plies, endgame_values,
         uci_histogram, parsed_moves, clock_successors, fen_dump, mirror_presence, first_reach, path_tree, forced_divide, layered_counts, quiet_reach, dense_index, class_order, class_descent, class_space,
-        subtree_overlap, quotient_ladder, labelled_sample, sql_move_counts, converted_buckets,
+        subtree_overlap, quotient_ladder, labelled_sample, sql_move_counts, converted_buckets, divided_paths, resumed_walk, key_space_share, verified_store,
         bfs_customer_part, order_graph_values, graph_audit, graph_witness, graph_lines, witness_sizes, value_cross_check, values_json, stored_steps, ladder_text, delta_encode, gap_histogram, key_density, ascending_check, range_buckets, visited_split, merge_union, set_equality, child_votes, first_child, ladder_by_month,
         repetition, overlap_factor, sample_distribution, hash_sample)}
 
@@ -554,6 +586,10 @@ SELECT wtm, "check", CASE WHEN n > 0 THEN 'moving' WHEN "check" THEN 'mate' ELSE
     flipped = f"{rules.mirror('board')} AS fb, NOT wtm AS fw, CAST((castling & 1) * 2 + castling // 2 AS INT) AS fc"
     return {
         "sql_move_counts": move_counts,
+        "divided_paths": f"{game}, {rules.moves('m', 'places')}, next AS (SELECT row_number() OVER () AS id, uci, board, wtm, castling FROM m), {rules.moves('mm', 'next')} SELECT next.uci, count(mm.id) AS nodes FROM next LEFT JOIN mm USING (id) GROUP BY 1",
+        "resumed_walk": f"{two}, new AS (SELECT step, count(*) AS new FROM first_layer GROUP BY 1) SELECT step, new, CAST(sum(new) OVER (ORDER BY step) AS BIGINT) AS cumulative, 0 AS left_over FROM new",
+        "key_space_share": f"WITH {_CLASSES}, s AS (SELECT CAST(sum(placements) * 8 AS BIGINT) AS key_space FROM cls), n AS (SELECT count(DISTINCT key) AS n_positions FROM k WHERE canonical) SELECT n_positions, key_space, round(1000000 * n_positions / key_space, 9) AS share FROM n, s",
+        "verified_store": f"SELECT key >> 42 AS bucket, count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM (SELECT DISTINCT {_KEY} AS key FROM lineitem) GROUP BY 1",
         "subtree_overlap": f"""{two}, g0 AS (SELECT DISTINCT uci, board, wtm, castling FROM ply1),
 pairs AS (SELECT * FROM g0 UNION SELECT g0.uci, p.board, p.wtm, p.castling FROM g0 JOIN layer1 l USING (board, wtm, castling) JOIN ply2 p ON p.id = l.id),
 sizes AS (SELECT uci, count(*) AS n FROM pairs GROUP BY 1), every AS (SELECT count(*) AS d FROM (SELECT DISTINCT board, wtm, castling FROM pairs))

@@ -9,6 +9,7 @@ Readers see a missing store as empty.
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
+#: What this process has put into the shared folder and not deleted: path, and the name of its table if it has one.
+_made: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,10 +35,45 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault("path", "file://" + tempfile.mkdtemp(prefix="statespan-"))
 
 
+def scratch_path(spark: SparkSession, label: str, table: str | None = None) -> str:
+    """A new path in the shared folder, which ``scope``, ``release`` or the end of the process deletes."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}" if table is None else f"{shared_folder(spark)}/{table}"
+    if not _made:
+        atexit.register(release)
+    _made[path] = (spark, table)
+    return path
+
+
+def release(but: set[str] | frozenset[str] = frozenset()) -> None:
+    """Delete what this process still has in the shared folder, ``but`` some paths. Results that are
+    read later would miss it."""
+    for path in [p for p in _made if p not in but]:
+        spark, table = _made.pop(path)
+        try:
+            if table and spark.sparkContext._jsc is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+        except Exception:  # the session's JVM may be gone at the end of the process
+            if but:
+                raise
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is put into the shared folder within the block goes with it, as soon as its results are
+    written or collected there."""
+    before = frozenset(_made)
+    try:
+        yield
+    finally:
+        release(before | {""})
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage and survives
-    lost executors; ``discard`` deletes it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    lost executors; ``discard`` deletes it, and so does the end of the process."""
+    path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_path = path
@@ -47,6 +85,7 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         if name := getattr(df, "_saved_table", None):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        _made.pop(df._saved_path, None)
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_path)
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -109,7 +148,7 @@ def bucketed(df: DataFrame, key: str, label: str, placed: bool = False) -> DataF
     sorted; ``placed``: the rows lie so already. ``discard`` deletes it."""
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"statespan_{label}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
+    path = scratch_path(spark, label, name)
     with merging(spark):
         (df if placed else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
     out = spark.table(name)

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from statespan.plans import queries as plans
+from statespan.sources import store
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,7 +19,12 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query_is_its_sql(spark, name):
-    got = plans.queries()[name](spark, str(DATA)).toPandas()
+    """Also leaves nothing in the shared folder once its result is there."""
+    folder = store.Folder(spark, store.shared_folder(spark))
+    before = folder.names()
+    with store.scope():
+        got = plans.queries()[name](spark, str(DATA)).toPandas()
+    assert folder.names() == before
     with duckdb.connect() as con:
         for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
