@@ -61,14 +61,11 @@ def fixed_point(edges: DataFrame, settled: DataFrame, rounds: int = 5) -> DataFr
     settled = settled.select(F.col("node").cast(kind).alias("node"), "value", F.lit(0).alias("round"), F.lit(0).cast("bigint").alias("wins"))
     state, turn = bucketed(settled, "node", "state"), 0
     while True:
-        touched = state.where(F.col("round") == turn).select("node", "value", "round", "wins", F.lit(None).cast("bigint").alias("degree"))
         with merging(lines.sparkSession), setting(lines.sparkSession, spark__sql__adaptive__enabled="false"):
-            for _ in range(rounds):
-                turn += 1
-                touched = _round(touched, lines, state, turn)
-            new = Observation()
-            both = state.withColumnsRenamed({"node": "n", "value": "v", "round": "r", "wins": "w"}).hint("merge").join(touched, F.col("n") == F.col("node"), "full")
-            both = both.select(F.coalesce("node", "n").alias("node"), F.coalesce("v", "value").alias("value"), F.coalesce("r", "round").alias("round"), (F.coalesce("w", F.lit(0)) + F.coalesce("wins", F.lit(0))).alias("wins"))
+            new, touched = Observation(), _rounds(lines, state, turn, rounds)
+            turn += rounds
+            before = state.withColumnsRenamed({"node": "n", "value": "v", "round": "r", "wins": "w"})
+            both = before.hint("merge").join(touched, F.col("n") == F.col("node"), "full").selectExpr("coalesce(node, n) AS node", "coalesce(v, value) AS value", "coalesce(r, round) AS round", "coalesce(w, 0) + coalesce(wins, 0) AS wins")
             state, old = bucketed(both.observe(new, F.count_if(F.col("round") == turn).alias("fresh")), "node", "state", placed=True), state
         discard(old)
         if not new.get["fresh"]:
@@ -80,20 +77,23 @@ def fixed_point(edges: DataFrame, settled: DataFrame, rounds: int = 5) -> DataFr
     return out
 
 
-def _round(touched: DataFrame, lines: DataFrame, state: DataFrame, turn: int) -> DataFrame:
-    """The nodes touched since ``state`` was written, after one more round: node, value and round
-    (null if unsettled), wins since then, degree.
-
-    Each row stays as it is, and goes up each edge to it if it settled in the last round."""
-    sent = touched.join(lines.hint("merge"), (F.col("node") == F.col("child")) & (F.col("round") == turn - 1), "left")
-    own = F.struct("node", "value", "round", F.when(F.col("parent").isNull(), F.col("wins")).otherwise(F.lit(0)).alias("wins"), "degree", F.lit(False).alias("win"))
-    up = F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("round"), F.when(F.col("value") == "WIN", 1).otherwise(0).cast("bigint").alias("wins"), F.col("of").alias("degree"), (F.col("value") == "LOSS").alias("win"))
-    rows = sent.select(F.explode(F.array(own, up)).alias("m")).select("m.*").where("node is not null")
-    met = rows.groupBy("node").agg(F.max("value").alias("value"), F.max("round").alias("round"), F.sum("wins").alias("wins"), F.max("degree").alias("degree"), F.max("win").alias("win"))
-    before = state.select(F.col("node").alias("n"), F.col("value").alias("v"), F.col("wins").alias("w")).hint("merge")
-    met = met.join(before, F.col("node") == F.col("n"), "left").where("v is null")
-    now = F.when(F.col("win"), "WIN").when(F.col("wins") + F.coalesce("w", F.lit(0)) == F.col("degree"), "LOSS")
-    return met.select("node", F.coalesce("value", now).alias("value"), F.coalesce("round", F.when(now.isNotNull(), turn)).alias("round"), "wins", "degree")
+def _rounds(lines: DataFrame, state: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The nodes touched by some rounds after ``turn``: node, value and round (null if unsettled), wins
+    since then, degree.
+
+    In a round each row stays as it is, and goes up each edge to it if it settled in the one before.
+    The rounds are one statement, so that they are analysed once."""
+    parts = [f"t0 AS (SELECT node, value, round, wins, CAST(NULL AS BIGINT) AS degree FROM {state._saved_table} WHERE round = {turn})"]
+    for i in range(1, rounds + 1):
+        parts.append(f"""
+m{i} AS (SELECT /*+ MERGE(e) */ explode(array(
+    named_struct('node', node, 'value', value, 'round', round, 'wins', CASE WHEN parent IS NULL THEN wins ELSE 0L END, 'degree', degree, 'win', false),
+    named_struct('node', parent, 'value', CAST(NULL AS STRING), 'round', CAST(NULL AS INT), 'wins', CASE WHEN value = 'WIN' THEN 1L ELSE 0L END, 'degree', of, 'win', value = 'LOSS'))) AS m
+    FROM t{i - 1} LEFT JOIN {lines._saved_table} e ON node = child AND round = {turn + i - 1}),
+g{i} AS (SELECT m.node, max(m.value) AS value, max(m.round) AS round, sum(m.wins) AS wins, max(m.degree) AS degree, max(m.win) AS win FROM m{i} WHERE m.node IS NOT NULL GROUP BY m.node),
+n{i} AS (SELECT /*+ MERGE(s) */ g.node, g.value, g.round, g.wins, g.degree, CASE WHEN win THEN 'WIN' WHEN g.wins + coalesce(s.wins, 0) = degree THEN 'LOSS' END AS now FROM g{i} g LEFT JOIN {state._saved_table} s ON g.node = s.node WHERE s.value IS NULL),
+t{i} AS (SELECT node, coalesce(value, now) AS value, coalesce(round, CASE WHEN now IS NOT NULL THEN {turn + i} END) AS round, wins, degree FROM n{i})""")
+    return lines.sparkSession.sql(f"WITH {', '.join(parts)} SELECT * FROM t{rounds}")
 
 
 def audit(edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -142,9 +142,8 @@ def test_fixed_point_moves_messages_only(spark):
     """In a round's plan edges and state are read from their buckets, and one shuffle stands."""
     lines = store.bucketed(spark.createDataFrame([(1, 2, 1)], "child bigint, parent bigint, of bigint"), "child", "edges")
     state = store.bucketed(spark.createDataFrame([(1, "LOSS", 0, 0)], "node bigint, value string, round int, wins bigint"), "node", "state")
-    first = state.select("node", "value", "round", "wins", F.lit(None).cast("bigint").alias("degree"))
     with store.merging(spark), store.setting(spark, spark__sql__adaptive__enabled="false"):
-        after = graph._round(first, lines, state, 1)
+        after = graph._rounds(lines, state, 0, 1)
         plan = plan_of(after)
     assert {tuple(r)[:3] for r in after.collect()} == {(2, "WIN", 1)}
     assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 3
