@@ -39,10 +39,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def n_blocks_of(df: DataFrame, block_bytes: int) -> int:
-    """Blocks to deal by: so many that none is due more than ``block_bytes`` of the input, and
-    4 to 64 for each shuffle partition."""
-    n = n_parts(df.sparkSession)
-    return min(64 * n, max(4 * n, -(-input_bytes(df) // block_bytes)))
+    """Blocks to deal by: so many that each is due ``block_bytes`` of the input's files at most,
+    however large it is, and four for each shuffle partition at least."""
+    return max(4 * n_parts(df.sparkSession), -(-input_bytes(df) // block_bytes))
 
 
 class Scratch:

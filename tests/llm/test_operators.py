@@ -47,6 +47,16 @@ def corpus(seed=1, n=24):
     return [*texts, base, base, base.upper(), texts[8]]
 
 
+@pytest.mark.parametrize("size", [10**6, 10**9, 10**14])
+def test_blocks_follow_the_bytes(spark, monkeypatch, size):
+    """No block is due more than its bytes, 100 TB or not."""
+    from statespan.llm import _common
+
+    monkeypatch.setattr(_common, "input_bytes", lambda df: size)
+    n = _common.n_blocks_of(spark.range(1), 4 << 20)
+    assert n >= 4 * _common.n_parts(spark) and n * (4 << 20) >= size and (size < 10**9 or (n - 1) * (4 << 20) < size)
+
+
 # -- 1 ------------------------------------------------------------------------
 
 def removed_bytes(rows):
