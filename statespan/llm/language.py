@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from ._common import discard, others, restored, saved, small_batches, table
 
-SAMPLE_DOCS = 64
+SAMPLE_DOCS = 128
 PIECE_BYTES = 2048
 LEVEL = 3
 #: So many per cent more bytes make a language half as likely, for the score.
