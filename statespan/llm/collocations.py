@@ -12,7 +12,7 @@ of a hash table of fixed size, which can only count too many; a bit a cell, ``mi
 not, is what tasks get. Windows end at pairs and triples whose bit is off. Nothing that counts is lost whatever the hashes do;
 past some billions of words the table fills, and windows are then counted without shortening.
 
-Equal windows of a slice of texts are counted together before they leave the task. Words
+Equal windows of many texts are counted together before they leave the task. Words
 travel as text: no count rests on a hash.
 
 Defined cases: a null text is empty; a null lang is ``und``; null or repeated ids do not matter,
@@ -36,6 +36,8 @@ _CUT = byte_mask(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _WORD = byte_mask(lambda b: b not in (0x20, 0x09)) & ~_CUT
 #: Cells of the table, whatever the input: a task counts in 4 bytes a cell, and is told a bit a cell.
 CELLS = 1 << 24
+#: Different windows that a task holds before it gives them on.
+_HELD = 150_000
 _BLOCK = 1 << 16
 COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
@@ -124,8 +126,29 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.diff(np.concatenate([at, [len(order)]]))
 
 
+def _summed(batches: list) -> pa.Table:
+    """Equal windows counted together."""
+    out = pa.Table.from_batches(batches).group_by(["lang", *COLUMNS], use_threads=False).aggregate([("n", "sum")])
+    return out.rename_columns([c.replace("n_sum", "n") for c in out.column_names]).select(["lang", *COLUMNS, "n"])
+
+
 def _windows(shared, n_cells: int):
+    """Windows of a task, counted together as far as _HELD rows go."""
     def run(batches):
+        held, size = [], 0
+        for made in slices(batches):
+            held.append(made)
+            size += made.num_rows
+            if size >= 2 * _HELD:
+                held = _summed(held).combine_chunks().to_batches()
+                size = sum(b.num_rows for b in held)
+                if size >= _HELD:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from _summed(held).to_batches()
+
+    def slices(batches):
         bits = shared.value
         have = lambda cells: (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
         for batch in batches:
