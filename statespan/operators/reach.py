@@ -36,9 +36,10 @@ def perft(df: DataFrame, depth: int, by: list[str] | None = None) -> DataFrame:
 
 
 def divide(df: DataFrame, depth: int) -> DataFrame:
-    """Path counts by first move: uci, nodes."""
+    """Path counts by first move: uci, nodes (0 where every path ends before)."""
     first = saved(successors(df, []).select("uci", *STATE), "divide")
-    return perft(first, depth - 1, ["uci"])
+    counts = perft(first, depth - 1, ["uci"])
+    return first.select("uci").distinct().join(counts, "uci", "left").select("uci", F.coalesce("nodes", F.lit(0).cast("bigint")).alias("nodes"))
 
 
 def reachable(df: DataFrame, plies: int | None = None, path: str | None = None, quiet: bool = False) -> DataFrame:
