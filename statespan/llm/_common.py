@@ -34,8 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimiser takes the input of ``df`` to be, by the sizes of its files: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of the files that ``df`` reads: no job runs. Sources of unknown size count nothing, and
+    what joins are guessed to make does not matter."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def n_blocks_of(df: DataFrame, block_bytes: int) -> int:
