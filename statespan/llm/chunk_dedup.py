@@ -6,13 +6,15 @@ only the cuts around it. Chunks are deduplicated by digest: a chunk that also
 stands earlier (smaller doc_id, or earlier in the same document) is removed,
 however short; a caller may ask to keep runs of such chunks under ``min_run`` bytes.
 
-Copies are collapsed inside each task before the shuffle and by a grouped
-minimum after it; what joins back are only chunks with a digest seen twice.
+Texts are chunked once, into a table of digests and places. Copies are collapsed
+inside each task before the shuffle and by a grouped minimum after it; what joins
+back are only chunks with a digest seen twice.
 
 Defined cases: a null text is empty and has no chunks; a text under MIN_CHUNK
 bytes is one chunk; a null id comes after all others; equal rows are one
 document; rows that share an id but not the text are different documents, in
-order of a hash of the text; extra columns are ignored.
+order of a hash of the text; an empty table gives no rows; very long texts are
+chunked whole, in memory of some times their size; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +104,8 @@ def _chunks(batches):
 def _with_runs(docs: DataFrame, row) -> DataFrame:
     small_batches(docs.sparkSession)
     key = document_key(docs)
-    places = docs.select(*key, "text").mapInArrow(_chunks, "c1 bigint, c2 bigint, d bigint, h bigint, lo int, size int, again boolean")
+    # stored, so that texts are chunked once; each read takes the columns it needs
+    places = saved(docs.select(*key, "text").mapInArrow(_chunks, "c1 bigint, c2 bigint, d bigint, h bigint, lo int, size int, again boolean"), "places")
     known = places.where("again").select("d", "h", "lo", "size")
     firsts = places.where("not again")
     # stored, so that the join deals both sides anew and a chunk that very many tasks found can be split

@@ -11,7 +11,7 @@ of which there are at most 3 ** len(RULES) however many documents.
 
 Defined cases: a null text has no words; documents without words abstain on all
 ratios; repeated rows each count; texts of any length are judged whole; with no
-documents the starting values stay; extra columns are ignored.
+documents the starting values stay; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def counts(docs: DataFrame) -> DataFrame:
         _number("t", "#*$%&|<>").alias("n_symbols"),
         _number("t", "0123456789").alias("n_digits"),
         _number("t", ".!?").alias("n_stops"),
-        (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}", ""))).cast("bigint").alias("n_upper"),
-        (F.length("t") - F.length(F.regexp_replace("t", r"\p{L}", ""))).cast("bigint").alias("n_letters"),
+        (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}+", ""))).cast("bigint").alias("n_upper"),
+        (F.length("t") - F.length(F.regexp_replace("t", r"\p{L}+", ""))).cast("bigint").alias("n_letters"),
         F.expr(r"filter(split(t, '\n'), x -> trim(both ' \t\u000B\u000C\r' from x) <> '')").alias("lines"),
         F.when(F.col("core") == "", F.array().cast("array<string>")).otherwise(F.split("core", r"[ \t-\r]+")).alias("words"))
     rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))

@@ -23,7 +23,8 @@ tokens give way to which, chunk by chunk; ``segmentations`` spells them out.
 
 Defined cases: a null text gives null tokens, an empty text no tokens and one
 segmentation of score 0; equal scores prefer longer last pieces; rows are never
-merged or dropped; extra columns are ignored.
+merged or dropped; an empty table gives no rows; very long texts are segmented
+whole; extra columns of any name are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Defined cases: a null html is an empty payload, a null url is "about:blank"
 in the record; equal payloads on rows that share the largest page_id are all
 responses; a null page_id counts as smaller than all others; a broken record
 (no version line, a length beyond the stream) raises; an empty table gives no
-archives.
+archives; a payload of any length is one record, held whole by the task that
+writes or reads it; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -164,15 +165,18 @@ def write_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int
     small_batches(pages.sparkSession)
     page_id = F.col("page_id").cast("bigint").alias("page_id")
     html = F.coalesce("html", F.lit(""))
-    digests = pages.select(page_id, F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    again = (digests.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"), F.count("page_id").alias("known"), F.count("*").alias("n"))
+    # stored, as two plans read it: of the html itself there are this scan and that of the packing
+    digests = saved(pages.where(F.octet_length(html) >= MIN_REVISIT).select(page_id, F.sha1(html.cast("binary")).alias("digest")), "digests")
+    again = (digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"), F.count("page_id").alias("known"), F.count("*").alias("n"))
              .where("n > 1 and (low < refers_to or known < n)").select("digest", "refers_to"))
-    revisits = (digests.where(F.col("size") >= MIN_REVISIT).join(again, "digest").where("refers_to is not null and not (page_id <=> refers_to)")
+    revisits = (digests.join(again, "digest").where("refers_to is not null and not (page_id <=> refers_to)")
                 .select("page_id", "digest", "refers_to").distinct())
     rows = pages.select(page_id, F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     joined = rows.alias("p").join(revisits.alias("r"), F.expr("p.page_id <=> r.page_id and p.digest = r.digest"), "left")
     full = joined.select("p.page_id", "p.url", "p.html", "p.digest", "r.refers_to", F.col("r.refers_to").isNotNull().alias("revisit"), F.monotonically_increasing_id().alias("place"))
-    return saved(full.mapInArrow(_pack(archive_bytes, level), "archive string, content binary"), "archives")
+    out = saved(full.mapInArrow(_pack(archive_bytes, level), "archive string, content binary"), "archives")
+    discard(digests)
+    return out
 
 
 def _rewrite(level: int):

@@ -159,6 +159,14 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(ok.limit(0)).count() == 0
 
 
+def test_chat_long_turn(spark):
+    long = "[INST] ␛ words and </s> " * 60_000
+    given = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_conversations(given).first()
+    assert out.valid and chat.parse(out.formatted, chat.INSTRUCTIONS) == [("user", "q"), ("assistant", long)]
+    assert "".join(chat.unescape(s.text) for s in out.segments if s.loss) == long
+
+
 # -- 3 ------------------------------------------------------------------------
 
 def shingles(text):
@@ -276,6 +284,16 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.normalise(warc.write_pages(pages.limit(0)))).count() == 0
 
 
+def test_warc_long_payloads_and_other_columns(spark):
+    """Columns named as the operator's own are ignored; of two equal rows with the largest id both are responses."""
+    long = "<p>" + "long é " * 400_000
+    rows = [(1, "u", long, "size", True), (2, "u", long, "x", False), (2, "u", long, "y", None), (3, "u", "short", None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, refers_to string, revisit boolean")
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_records(warc.normalise(warc.write_pages(pages))).collect())
+    size = len(long.encode())
+    assert got == [(1, "revisit", 2, size), (2, "response", None, size), (2, "response", None, size), (3, "response", None, 5)]
+
+
 def test_warc_files(spark, tmp_path):
     """Real files: one gzip stream over all records, read, normalised, and records found by the sidecar's offsets."""
     parts = [warc.record(k, f"http://a/{k}", b"<p>%d" % k * 500, hashlib.sha1(b"<p>%d" % k * 500).hexdigest()) for k in range(20)]
@@ -571,6 +589,15 @@ def test_segmentation_rows(spark):
     assert back == dict(enumerate(texts))
 
 
+def test_segmentation_empty_long_and_other_columns(spark):
+    texts = ["plain words", "long text, é漢 " * 20_000]
+    given = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int, row string")
+    encoded = segmentation.encode(given)
+    assert {r.doc_id: r.text for r in segmentation.decode(encoded).collect()} == dict(enumerate(texts))
+    assert all(r.round_trip and r.n_tokens == len(r.tokens) > 1 for r in encoded.collect())
+    assert segmentation.encode(given.limit(0)).count() == 0
+
+
 def test_segmentation_gives_all_n(spark):
     tool = segmentation.Segmenter(segmentation.load_pieces(segmentation.default_model()))
     texts = ["a the\n x", "é漢 on it", "", "x", None, "ab ab ab"]
@@ -685,6 +712,18 @@ def test_quality_agrees_with_labels(spark):
     assert rows[True, False] > 0
 
 
+def test_quality_long_and_other_columns(spark):
+    """A text of 300,000 words is counted whole; columns named as the operator's own are ignored; letters are counted one by one."""
+    rng = random.Random(3)
+    long = " ".join(f"Wörd{i}ÄÖ" for i in range(300_000))
+    texts = [long, "ABC déF 12 x.", prose(rng, 50)]
+    given = spark.createDataFrame([(i, t, "x", -1) for i, t in enumerate(texts)], "doc_id bigint, text string, words string, n_words int")
+    got = {r.doc_id: r for r in quality.judge(given).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, got[i].n_letters, got[i].n_upper) == (len(t.split()), sum(c.isalpha() for c in t), sum(c.isupper() for c in t))
+    assert got[0].n_repeat_words == 0
+
+
 def test_quality_empty(spark):
     assert quality.judge(documents(spark, ["a"]).limit(0)).count() == 0
 
@@ -724,6 +763,18 @@ def test_chunk_dedup_is_brute_force(spark):
     assert chunk_dedup.repeated_spans(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_chunk_dedup_reads_texts_once_for_chunks(spark):
+    """Of the kernels only the one that cuts spans out is left in the result's plan; a long text and
+    columns named as the operator's own change nothing."""
+    long = prose(random.Random(5), 60_000)
+    given = spark.createDataFrame([(0, long, 1, "x"), (1, "new " * 9 + long, 2, "y"), (2, "alone", None, None)], "doc_id bigint, text string, h int, runs string")
+    found = chunk_dedup.repeated_spans(given)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: r for r in found.collect()}
+    assert set(got) == {0, 1, 2} and got[2].n_removed == 0
+    assert got[1].n_removed > 0.99 * len(long.encode()) and got[1].n_bytes == len(long.encode()) + 36
+
+
 def test_chunk_dedup_removes_short_repeats(spark):
     rng = random.Random(13)
     short, one, two = "That it.", prose(rng, 90), prose(rng, 90)
