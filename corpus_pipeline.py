@@ -11,7 +11,8 @@ stage 3 stays, with an empty text.
 
 Defined cases: a null or empty text goes in stage 1, as no language is found in it; equal
 rows are one node in stage 2 and stay both; rows with a null doc_id are never linked, and
-come last in stage 3; an empty table gives no rows; extra columns of any name are kept
+come last in stage 3; very long texts go through every stage whole; an empty table gives no
+rows; extra columns of any name are kept
 through stages 1 to 4.
 """
 
