@@ -6,11 +6,16 @@ past the end; only these longest windows are counted. ROLLUP over (lang, w1 ...
 up to every shorter prefix: the windows that begin with a phrase are its occurrences, so no other
 order of n-grams is ever produced, and the level of the language alone is its number of words.
 
-A phrase of ``min_count`` occurrences has no word and no two or three words in a row of fewer, so a
-window may end where such follow. A first pass counts words, pairs and triples by language in cells
-of a hash table of fixed size, which can only count too many; a bit a cell, ``min_count`` reached or
-not, is what tasks get. Windows end at pairs and triples whose bit is off. Nothing that counts is lost whatever the hashes do;
-past some billions of words the table fills, and windows are then counted without shortening.
+A phrase of ``min_count`` occurrences holds no shorter one of fewer, so a window may end where such
+begins. A first pass counts words and pairs by language in cells of a hash table of fixed size, which
+can only count too many; a bit a cell, ``min_count`` reached or not, is what tasks get. A second pass
+counts in a new table what is left of words and pairs and, where all their pairs are left, phrases of
+three to five words. Windows end at phrases whose bit is off, so hardly any but phrases that count are
+given on. Nothing that counts is lost whatever the hashes do; past some billions of words the tables
+fill, and windows are then counted without shortening.
+
+A task gives on the table and each of its windows once, so partitions of the input are read together,
+up to ``TASK_BYTES`` of files, while each core has two tasks.
 
 Equal windows of many texts are counted together before they leave the task. Words
 travel as text: no count rests on a hash.
@@ -28,16 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Scratch, SpanHash, byte_mask, mixed, n_parts, small_batches, table, text_slices, word_column, words
+from ._common import LOWER, Scratch, SpanHash, byte_mask, input_bytes, mixed, n_parts, small_batches, table, text_slices, word_column, words
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Of the input's files, that a task reads.
+TASK_BYTES = 64 << 20
 _CUT = byte_mask(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _WORD = byte_mask(lambda b: b not in (0x20, 0x09)) & ~_CUT
 #: Cells of the table, whatever the input: a task counts in 4 bytes a cell, and is told a bit a cell.
 CELLS = 1 << 24
 #: Different windows that a task holds before it gives them on.
-_HELD = 150_000
+_HELD = 400_000
 _BLOCK = 1 << 16
 COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
@@ -57,18 +64,34 @@ def _tokens(batch, limit: int = SLICE):
             yield data, start, stop, on, of_row[first:end][row], names
 
 
-def _cells(data, start, stop, on, lang, names, n_cells: int) -> tuple[np.ndarray, ...]:
-    """Cells of each word, of the pair that it begins and of the triple, and whether it begins one."""
+def _cells(data, start, stop, lang, names, n_cells: int, longest: int) -> list[np.ndarray]:
+    """Cells of each word and of the phrases of two to ``longest`` words that it begins."""
     salt = np.array([hash_of(x) for x in names.to_pylist()], np.uint64)[lang]
     h = SpanHash(data)(start, stop)
-    after = np.roll(h, -1)
+    out = []
     with np.errstate(over="ignore"):
-        one = mixed(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt)
-        two = mixed(mixed(h ^ salt) * np.uint64(0x165667B19E3779F9) + after)
-        three = mixed(two * np.uint64(0x9E3779B97F4A7C15) + np.roll(after, -1))
-    thrice = on.copy()
-    thrice[:-1] &= on[1:]
-    return *((x & np.uint64(n_cells - 1)).astype(np.int64) for x in (one, two, three)), thrice
+        for k in range(longest):
+            phrase = mixed(phrase * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -k)) if k else mixed(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt)
+            out.append((phrase & np.uint64(n_cells - 1)).astype(np.int64))
+    return out
+
+
+def _left(cells: list[np.ndarray], on: np.ndarray, bits, tested: int) -> list[np.ndarray]:
+    """Whether each word, and the phrase of two and more words that it begins, is whole and frequent
+    by its bits, those of up to ``tested`` words; longer ones by the phrases they hold."""
+    out = [np.ones(len(on), bool)]
+    for k, cell in enumerate(cells):
+        if k:
+            out.append(out[-1].copy())
+            out[-1][:-1] &= out[-2][1:]
+            out[-1][-1] = False
+        if k == 1:
+            out[1] &= on
+        if k < tested:
+            at = np.flatnonzero(out[-1])
+            c = cell[at]
+            out[-1][at] = (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def hash_of(text: str) -> int:
@@ -78,14 +101,16 @@ def hash_of(text: str) -> int:
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
-def _count(n_cells: int, least: int):
+def _count(n_cells: int, least: int, shared=None):
+    """Counts of words and pairs; given their bits, of what is left of them and of longer phrases."""
     def run(batches):
         counts = np.zeros(n_cells, np.uint32)
+        bits, tested, longest = (None, 0, 2) if shared is None else (shared.value, 2, LONGEST)
         for batch in batches:
             for data, start, stop, on, lang, names in _tokens(batch):
-                one, two, three, thrice = _cells(data, start, stop, on, lang, names, n_cells)
-                for cells in (one, two[on], three[thrice]):
-                    np.add.at(counts, cells, np.uint32(1))
+                cells = _cells(data, start, stop, lang, names, n_cells, longest)
+                for cell, left in zip(cells, _left(cells, on, bits, tested)):
+                    np.add.at(counts, cell[left], np.uint32(1))
         kind = np.uint8 if least < 256 else np.uint32
         for k in range(0, n_cells, _BLOCK):
             if counts[k: k + _BLOCK].any():
@@ -106,9 +131,9 @@ def _frequent(least: int):
     return run
 
 
-def frequent_cells(rows: DataFrame, n_cells: int, least: int) -> np.ndarray:
+def frequent_cells(rows: DataFrame, n_cells: int, least: int, shared=None) -> np.ndarray:
     """Bits of the cells of at least ``least``: n_cells / 8 bytes whatever the input."""
-    counted = rows.mapInArrow(_count(n_cells, least), "block int, counts binary")
+    counted = rows.mapInArrow(_count(n_cells, least, shared), "block int, counts binary")
     out = np.zeros(n_cells // 8, np.uint8)
     for r in counted.repartition(n_parts(rows.sparkSession), "block").mapInArrow(_frequent(least), "block int, bits binary").collect():
         out[r["block"] * _BLOCK // 8: (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -140,31 +165,20 @@ def _windows(shared, n_cells: int):
             held.append(made)
             size += made.num_rows
             if size >= 2 * _HELD:
-                held = _summed(held).combine_chunks().to_batches()
+                held = _summed(held).combine_chunks().to_batches(_BLOCK)
                 size = sum(b.num_rows for b in held)
                 if size >= _HELD:
                     yield from held
                     held, size = [], 0
         if held:
-            yield from _summed(held).to_batches()
+            yield from _summed(held).combine_chunks().to_batches(_BLOCK)
 
     def slices(batches):
         bits = shared.value
-        have = lambda cells: (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
         for batch in batches:
             for data, start, stop, on, lang, names in _tokens(batch):
-                one, two, three, thrice = _cells(data, start, stop, on, lang, names, n_cells)
-                single = have(one)
-                pair = on & have(two) & single
-                pair[:-1] &= single[1:]
-                triple = thrice & have(three) & pair
-                triple[:-1] &= pair[1:]
-                size = single.astype(np.int64) + pair  # words of each window
-                reach = triple.copy()
-                for k in range(1, LONGEST - 1):
-                    size += reach
-                    reach[:-k] &= triple[k:]
-                    reach[-k:] = False
+                left = _left(_cells(data, start, stop, lang, names, n_cells, LONGEST), on, bits, LONGEST)
+                single, size = left[0], sum(x.astype(np.int64) for x in left)  # words of each window
                 at = np.flatnonzero(single)
                 texts = word_column(data, start[at], stop[at]).dictionary_encode()
                 code = np.zeros(len(start) + LONGEST, np.int64)
@@ -181,13 +195,22 @@ def _windows(shared, n_cells: int):
     return run
 
 
+def read_together(rows: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The rows in tasks of ``task_bytes`` of the files read, two a core at least; no task is split,
+    and sources of unknown size stay as they are."""
+    size = input_bytes(rows)
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))) if size else rows
+
+
 def windows(docs: DataFrame, min_count: int = MIN_COUNT, n_cells: int = CELLS) -> DataFrame:
     """lang, w1 to w5 and n: windows by their leading word, padded with nulls; words that no phrase
     of ``min_count`` has are counted by language alone."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    shared = spark.sparkContext.broadcast(frequent_cells(rows, n_cells, min_count))
+    rows = read_together(docs.select(F.col("lang").cast("string").alias("lang"), "text"))
+    shared = None
+    for _ in range(2):
+        shared = spark.sparkContext.broadcast(frequent_cells(rows, n_cells, min_count, shared))
     counted = rows.mapInArrow(_windows(shared, n_cells), ", ".join(["lang string", *(f"{c} string" for c in COLUMNS), "n bigint"]))
     return counted.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
 

@@ -956,3 +956,44 @@ def test_collocation_scores_are_exact(spark):
     got = spark.createDataFrame([(a, n, l, r)], "a bigint, n bigint, l bigint, r bigint").selectExpr(
         "cast(1000 * (cast(a as decimal(19,0)) * cast(n as decimal(19,0))) as decimal(38,0)) div cast(cast(l as decimal(19,0)) * cast(r as decimal(19,0)) as decimal(38,0)) as score").first().score
     assert got == 1000 * a * n // (l * r)
+
+
+@pytest.mark.parametrize("times", [1, 5])
+def test_windows_end_where_phrases_are_rare(spark, times):
+    """All triples are frequent and hardly any phrase of five words is: there are no more windows than
+    phrases that count, on five times the text too."""
+    rng, least = random.Random(52), 60
+    texts = [" ".join(rng.choice("abcdef") for _ in range(1000)) for _ in range(25 * times)]
+    counts = Counter(tuple(w[i: i + k]) for w in map(str.split, texts) for k in range(1, 6) for i in range(len(w) - k + 1))
+    kept = sum(n >= least for n in counts.values())
+    assert sum(n >= least for p, n in counts.items() if len(p) == 3) > 200 and len(counts) > 4 * kept
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    assert collocations.windows(docs, least).count() <= 1.05 * kept
+
+
+def test_small_partitions_are_read_together(spark, tmp_path):
+    """Each task gives on a table and windows of its own, so their number follows the bytes."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(8 * cores).selectExpr("'en' as lang", "'a b c' as text").repartition(8 * cores).write.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        assert docs.rdd.getNumPartitions() > 2 * cores
+        assert collocations.read_together(docs).rdd.getNumPartitions() == 2 * cores
+        assert collocations.read_together(docs, 100).rdd.getNumPartitions() > 2 * cores
+        got = collocations.phrase_counts(docs, 3).where("phrase = 'a b c'").first()
+        assert got.f == 8 * cores
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = spark.createDataFrame([("en", "a")], "lang string, text string").repartition(3 * cores)
+    assert collocations.read_together(plain).rdd.getNumPartitions() == 3 * cores
+
+
+def test_windows_given_on_early_are_summed(spark, monkeypatch):
+    """Slices of 200 bytes, and tasks that hold no more than a few windows."""
+    monkeypatch.setattr(collocations._tokens, "__defaults__", (200,))
+    monkeypatch.setattr(collocations, "_HELD", 20)
+    rng = random.Random(53)
+    rows = [(rng.choice(["en", None]), " ".join(rng.choice("abcde") + rng.choice(["", "", ".", ","]) for _ in range(rng.randint(1, 90)))) for _ in range(50)]
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), 5, 12)
+    assert {tuple(r) for r in got.collect()} == plain_collocations(rows, 5, 12)
