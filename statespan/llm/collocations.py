@@ -41,8 +41,9 @@ SLICE = 2 << 20
 TASK_BYTES = 64 << 20
 _CUT = byte_mask(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _WORD = byte_mask(lambda b: b not in (0x20, 0x09)) & ~_CUT
-#: Cells of the table, whatever the input: a task counts in 4 bytes a cell, and is told a bit a cell.
-CELLS = 1 << 24
+#: Cells of the table, whatever the input: a task counts in a byte a cell (four from a least count of
+#: 256 on), and is told a bit a cell.
+CELLS = 1 << 26
 #: Different windows that a task holds before it gives them on.
 _HELD = 400_000
 _BLOCK = 1 << 16
@@ -104,17 +105,18 @@ def hash_of(text: str) -> int:
 def _count(n_cells: int, least: int, shared=None):
     """Counts of words and pairs; given their bits, of what is left of them and of longer phrases."""
     def run(batches):
-        counts = np.zeros(n_cells, np.uint32)
+        kind = np.uint8 if least < 256 else np.uint32
+        counts = np.zeros(n_cells, kind)
         bits, tested, longest = (None, 0, 2) if shared is None else (shared.value, 2, LONGEST)
         for batch in batches:
             for data, start, stop, on, lang, names in _tokens(batch):
                 cells = _cells(data, start, stop, lang, names, n_cells, longest)
                 for cell, left in zip(cells, _left(cells, on, bits, tested)):
-                    np.add.at(counts, cell[left], np.uint32(1))
-        kind = np.uint8 if least < 256 else np.uint32
+                    at, n = np.unique(cell[left], return_counts=True)
+                    counts[at] = np.minimum(counts[at] + n, least)
         for k in range(0, n_cells, _BLOCK):
             if counts[k: k + _BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([np.minimum(counts[k: k + _BLOCK], least).astype(kind).tobytes()], pa.binary())], names=["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([counts[k: k + _BLOCK].tobytes()], pa.binary())], names=["block", "counts"])
     return run
 
 
