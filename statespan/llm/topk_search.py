@@ -199,7 +199,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: float = S
     group = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND((1 << 32) - 1), F.lit(n)).alias("g")
     left = blocks.select(group, "dims", "ids", "numbers", "lists")
     right = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("g"), "dims", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("numbers").alias("query_numbers"))
-    pairs = left.join(right, ["g", "dims"]).select("dims", "ids", "numbers", "lists", "query_block", "query_ids", "query_numbers")
+    # merged: a broadcast would gather the copies in the driver, and Spark's guess of the size doesn't count them
+    pairs = left.hint("merge").join(right, ["g", "dims"]).select("dims", "ids", "numbers", "lists", "query_block", "query_ids", "query_numbers")
     best = pairs.mapInArrow(_search(k), "query_block bigint, query_row int, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_block", "query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

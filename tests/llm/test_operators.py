@@ -850,6 +850,18 @@ def test_top_k_stops_early():
     assert (low <= exact).all() and (exact <= high).all() and (high >= low.max()).sum() < 64 and (low < high).any()
 
 
+def test_top_k_gathers_no_copies_of_queries(spark):
+    """The copies of the queries, which Spark's guess of a size doesn't count, go by a shuffle: a broadcast
+    would hold all of them in the driver. Nor does adaptive execution turn the join into one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (300, 8)))]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    best = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), block_rows=16)
+    assert {tuple(r) for r in best.collect()} == best_vectors(rows, lambda i: i % 50 == 0)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # -- 12 -----------------------------------------------------------------------
 
 def spelling_rows(rows, every=97):
