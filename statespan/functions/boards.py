@@ -89,20 +89,34 @@ def _highest(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 1)
 
 
+@once
+def _attackers() -> np.ndarray:
+    """By square, side and code: the square's bit in the masks of what attacks, three of 20 bits in a number:
+    knights, kings and pawns of the side; its bishops or queens, its rooks or queens, any piece."""
+    upper = np.array([0, 6, 6, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5])
+    kind = np.where(OWN, upper, 0)
+    bits = [[np.isin(kind, k) for k in ([2], [6], [1])], [np.isin(kind, [3, 5]), np.isin(kind, [4, 5]), np.broadcast_to(np.array(list(TYPES)) != ".", kind.shape)]]
+    words = np.stack([sum(x.astype(np.int64) << SQUARES * i for i, x in enumerate(own)) for own in bits])
+    return words.reshape(2, -1)[None] << np.arange(SQUARES)[:, None, None]
+
+
 def attacked(codes: np.ndarray, sq: np.ndarray, by_white: np.ndarray) -> np.ndarray:
     """Whether a side attacks a square."""
     leap, pawn, rays = _attack_tables()
-    side = by_white.astype(np.int64)
-    upper = np.array([0, 6, 6, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5], np.uint8)
-    kind = np.where(OWN, upper, 0).astype(np.uint8)[side[:, None], codes]
-    of = lambda *kinds: masks(np.isin(kind, kinds) if len(kinds) > 1 else kind == kinds[0])
-    hit = (leap["N"][sq] & of(2)) | (leap["K"][sq] & of(6)) | (pawn[side, sq] & of(1))
-    occ, queens = masks(codes > 0), of(5)
-    along = {True: of(4) | queens, False: of(3) | queens}
+    side, mask = by_white.astype(np.int64), (1 << SQUARES) - 1
+    near, far = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    for at, table in enumerate(_attackers()):
+        of = codes[:, at] + len(TYPES) * side
+        near |= table[0][of]
+        far |= table[1][of]
+    hit = (leap["N"][sq] & near) | (leap["K"][sq] & near >> SQUARES) | (pawn[side, sq] & near >> 2 * SQUARES)
+    occ = (far >> 2 * SQUARES).astype(np.int32)
+    along = {True: (far >> SQUARES & mask).astype(np.int32), False: (far & mask).astype(np.int32)}
+    hit = (hit & mask).astype(np.int32)
     for step, table in rays.items():
         line = table[sq] & occ
-        near = line & -line if step[0] * FILES + step[1] > 0 else _highest(line)
-        hit |= near & along[step in ROOK]
+        first = line & -line if step[0] * FILES + step[1] > 0 else _highest(line)
+        hit |= first & along[step in ROOK]
     return hit != 0
 
 
@@ -207,26 +221,48 @@ def class_arrays() -> dict[str, np.ndarray]:
     return {"pieces": pieces, "placements": placements, "base": np.cumsum(placements) - placements, "canonical": canonical, "side_of": of}
 
 
+@once
+def _packed() -> dict[str, np.ndarray]:
+    """Counts of types packed into numbers. ``before``: a class's pieces before each type but the first, 5
+    bits each; ``left``: its pieces of each type, 5 bits for empty squares and 2 for others (no class
+    has over 3 of one). By type: where it stands in both, and what one piece of it takes off."""
+    n = len(TYPES)
+    pieces = _pieces(np.arange(SIDES * SIDES))
+    # nothing stands before the first type: its place is above all others and stays 0
+    before_at = np.array([5 * (n - 1), *range(0, 5 * (n - 1), 5)])
+    left_at = np.array([0, *range(5, 5 + 2 * (n - 1), 2)])
+    before = np.concatenate([np.zeros((len(pieces), 1), np.int64), np.cumsum(pieces, axis=1)[:, :-1]], axis=1)
+    return {
+        "before": (before << before_at).sum(axis=1), "left": (pieces << left_at).sum(axis=1), "before_at": before_at, "left_at": left_at, "left_mask": np.array([31] + [3] * (n - 1)),
+        "before_less": np.array([sum(1 << int(x) for x in before_at[t + 1:]) for t in range(n)]), "left_less": np.int64(1) << left_at, "one": np.array([0, *(1 << 5 * np.arange(n - 1))]),
+    }
+
+
 def class_ids(codes: np.ndarray) -> np.ndarray:
     """The class of each board, -1 where it has none."""
-    n = np.stack([(codes == t).sum(axis=1) for t in range(len(TYPES))], axis=1) if len(codes) else np.zeros((0, len(TYPES)), np.int64)
-    digits, of = 4 ** np.arange(len(COUNTED)), class_arrays()["side_of"]
-    side = [np.where((c < 4).all(axis=1), of[np.minimum(c, 3) @ digits], -1) for c in (n[:, 3:8], n[:, 8:13])]
-    good = (n[:, 1] == 1) & (n[:, 2] == 1) & (side[0] >= 0) & (side[1] >= 0)
+    one, counted = _packed()["one"], len(COUNTED)
+    n = np.zeros(len(codes), np.int64)  # K, k and the counted types of both sides, 5 bits each
+    for sq in range(SQUARES):
+        n += one[codes[:, sq]]
+    good = ((n & 1023) == 33) & ((n & sum(28 << 5 * t for t in range(2, 2 + 2 * counted))) == 0)
+    side = []
+    for first in (2, 2 + counted):
+        digits = sum(((n >> 5 * (first + i)) & 3) << 2 * i for i in range(counted))
+        side.append(class_arrays()["side_of"][digits])
+        good &= side[-1] >= 0
     return np.where(good, side[0] * SIDES + side[1], -1)
 
 
 def ranks(codes: np.ndarray, class_id: np.ndarray) -> np.ndarray:
     """Rank of each board among the placements of its pieces."""
-    types, n = codes.astype(np.int64), len(codes)
-    left, ways = _pieces(class_id), class_arrays()["placements"][class_id]
-    rows, rank = np.arange(n), np.zeros(n, np.int64)
+    p = _packed()
+    before, left, ways, rank = p["before"][class_id], p["left"][class_id], class_arrays()["placements"][class_id], np.zeros(len(codes), np.int64)
     for sq in range(SQUARES):
-        t = types[:, sq]
-        less = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(left, axis=1)], axis=1)[rows, t]
-        rank += ways * less // (SQUARES - sq)
-        ways = ways * left[rows, t] // (SQUARES - sq)
-        left[rows, t] -= 1
+        t = codes[:, sq]
+        rank += ways * ((before >> p["before_at"][t]) & 31) // (SQUARES - sq)
+        ways = ways * ((left >> p["left_at"][t]) & p["left_mask"][t]) // (SQUARES - sq)
+        before -= p["before_less"][t]
+        left -= p["left_less"][t]
     return rank
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,51 +97,132 @@ def pair_ladder(walked: DataFrame) -> DataFrame:
     return new.select("step", "pairs", "positions", upto("pairs").alias("all_pairs"), upto("positions").alias("all_positions"))
 
 
-def subtrees(starts: DataFrame, group: str, plies: int) -> DataFrame:
-    """Which groups of positions reach which keys within some plies: key and one bit a group in
-    columns s0, s1, ..., 63 groups in each; bit order is that of the groups.
+#: Groups whose bits stand in one number.
+_BITS = 63
 
-    One walk for all groups: a key goes on with the bits that are new to it. The table of what each
-    key has been reached by lies in buckets and is merged with the successors' bits at each ply."""
+
+def _subtree_walk(starts: DataFrame, group: str, plies: int) -> tuple[DataFrame, int]:
+    """Which groups of positions reach which keys within some plies, and the number of words of 63
+    bits, one a group in the order of the groups.
+
+    A row is a key's word that is not empty: place (the key times the number of words, and the word), bits
+    and new, those of them that came with the last ply. So a key that few groups reach takes a row or two,
+    however many groups there are, and one that all reach no more than a row for each word."""
     from pyspark.sql import Window
 
-    labels = starts.select(group).distinct().withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)
+    rows = saved(keyed(starts, [group]), "starts")
+    labels = rows.select(group).distinct().withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)
     labels = saved(labels, "labels")
-    words = range(-(-labels.count() // 63) or 1)
-    rows = keyed(starts.join(labels, group), ["i"])
-    bit = lambda w: F.bit_or(F.when(F.expr(f"i div 63 = {w}"), F.expr("shiftleft(1L, cast(i % 63 as int))")).otherwise(F.lit(0).cast("bigint")))
-    seen = rows.groupBy("key").agg(*[bit(w).alias(f"s{w}") for w in words])
-    seen = bucketed(seen.select("*", *[F.col(f"s{w}").alias(f"n{w}") for w in words]), "key", "subtrees")
-    new = [f"n{w}" for w in words]
+    words = -(-labels.count() // _BITS) or 1
+    if words > ((1 << 63) - 1) // keys.MAX_KEY:
+        raise ValueError("too many groups for the words of a key to be numbered")
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = rows.join(labels, group).select(F.expr(f"key * {words} + i div {_BITS}").alias("place"), F.expr(f"shiftleft(1L, cast(i % {_BITS} as int))").alias("bits"))
+    seen = bits.repartition(n, "place").groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    seen = bucketed(seen.withColumn("new", F.col("bits")), "place", "subtrees", placed=True)
+    discard(rows, labels)
     for _ in range(plies):
-        front = seen.where(" or ".join(f"{n} <> 0" for n in new)).select("key", *new)
-        after = child_keys(front, new).groupBy("key").agg(*[F.bit_or(n).alias(n) for n in new])
-        have = seen.select(F.col("key").alias("k"), *[f"s{w}" for w in words]).hint("merge")
-        old = lambda w: F.coalesce(f"s{w}", F.lit(0).cast("bigint"))
-        more = lambda w: F.coalesce(f"n{w}", F.lit(0).cast("bigint"))
-        with merging(seen.sparkSession):
-            both = have.join(after, F.col("k") == F.col("key"), "full")
-            both = both.select(F.coalesce("key", "k").alias("key"), *[old(w).bitwiseOR(more(w)).alias(f"s{w}") for w in words], *[more(w).bitwiseAND(F.bitwise_not(old(w))).alias(f"n{w}") for w in words])
-            seen, before = bucketed(both, "key", "subtrees", placed=True), seen
+        after = _subtree_children(seen, words).groupBy("place").agg(F.bit_or("bits").alias("more"))
+        have = seen.select(F.col("place").alias("p"), F.col("bits").alias("old")).hint("merge")
+        old, more = F.coalesce("old", F.lit(0).cast("bigint")), F.coalesce("more", F.lit(0).cast("bigint"))
+        with merging(spark):
+            both = have.join(after, F.col("p") == F.col("place"), "full")
+            both = both.select(F.coalesce("place", "p").alias("place"), old.bitwiseOR(more).alias("bits"), more.bitwiseAND(F.bitwise_not(old)).alias("new"))
+            seen, before = bucketed(both, "place", "subtrees", placed=True), seen
         discard(before)
-    discard(labels)
-    return seen.select("key", *[f"s{w}" for w in words])
+    return seen, words
+
+
+def _subtree_children(seen: DataFrame, words: int) -> DataFrame:
+    """place and bits of the successors of what is new."""
+    front = seen.where("new <> 0").selectExpr(f"place div {words} AS key", f"place % {words} AS word", "new")
+    return child_keys(front, ["word", "new"]).select(F.expr(f"key * {words} + word").alias("place"), F.col("new").alias("bits"))
+
+
+def subtrees(starts: DataFrame, group: str, plies: int) -> DataFrame:
+    """Which groups of positions reach which keys within some plies: key and one bit a group in
+    columns s0, s1, ..., 63 groups in each; bit order is that of the groups.
+
+    One walk for all groups: a key goes on with the bits that are new to it. The table of what each
+    key has been reached by lies in buckets and is merged with the successors' bits at each ply."""
+    seen, words = _subtree_walk(starts, group, plies)
+    word = lambda w: F.coalesce(F.bit_or(F.when(F.expr(f"place % {words} = {w}"), F.col("bits"))), F.lit(0).cast("bigint"))
+    return seen.groupBy(F.expr(f"place div {words}").alias("key")).agg(*[word(w).alias(f"s{w}") for w in range(words)])
+
+
+def _add_bits(counts: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
+    """Count each bit of some words; they are taken off from the lowest on, so few bits are little work."""
+    while len(bits):
+        low = bits & -bits
+        counts += np.bincount(word * _BITS + np.bitwise_count(low - 1), minlength=len(counts))
+        bits = bits ^ low
+        left = np.flatnonzero(bits)
+        word, bits = word[left], bits[left]
+
+
+def _bit_counts(words: int):
+    def run(batches):
+        counts = np.zeros(words * _BITS, np.int64)
+        for batch in batches:
+            for w in range(words):
+                bits = batch.column(w).to_numpy(zero_copy_only=False)
+                bits = bits[bits != 0]
+                _add_bits(counts, np.full(len(bits), w), bits)
+        group = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(counts[group])], names=["group", "n"])
+    return run
 
 
 def subtree_sizes(walked: DataFrame) -> DataFrame:
     """group (its place among the groups) and size, the keys that it reaches."""
     words = [c for c in walked.columns if c != "key"]
-    bits = F.expr(f"concat({', '.join(f'transform(filter(sequence(0, 62), i -> getbit({c}, i) = 1), i -> i + {63 * k})' for k, c in enumerate(words))})")
-    return walked.select(F.explode(bits).alias("group")).groupBy("group").agg(F.count("*").alias("size"))
+    return walked.select(*words).mapInArrow(_bit_counts(len(words)), "group int, n bigint").groupBy("group").agg(F.sum("n").alias("size"))
+
+
+def _place_counts(words: int):
+    """Of (place, bits) in the order of places: each group's keys, and under no group those of any. Between
+    batches only the last place is held."""
+    def run(batches):
+        counts, n_keys, last = np.zeros(words * _BITS, np.int64), 0, -1
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def add(place, bits):
+            nonlocal n_keys, last
+            if len(place):
+                key = place // words
+                n_keys += int(key[0] != last) + int((key[1:] != key[:-1]).sum())
+                last = key[-1]
+                _add_bits(counts, place - key * words, bits)
+
+        for batch in batches:
+            place, bits = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("place", "bits")))
+            if len(place):
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                place, bits = place[first], np.bitwise_or.reduceat(bits, first)
+                held = place[-1:], bits[-1:]
+                add(place[:-1], bits[:-1])
+        add(*held)
+        group = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *group.tolist()], pa.int32()), pa.array([n_keys, *counts[group].tolist()], pa.int64())], names=["group", "n"])
+    return run
 
 
 def subtree_overlap(starts: DataFrame, group: str, plies: int) -> DataFrame:
     """How much a split by groups repeats, from one walk: groups, total (sum of their sizes),
-    distinct (keys that any reaches), factor, least, most and imbalance (most over least)."""
-    walked = subtrees(starts, group, plies)
-    sizes = subtree_sizes(walked).agg(F.count("*").alias("groups"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most"))
-    union = walked.agg(F.count("*").alias("distinct"))
-    return sizes.join(F.broadcast(union), F.lit(True)).select("groups", "total", "distinct", (F.col("total") / F.col("distinct")).alias("factor"), "least", "most", (F.col("most") / F.col("least")).alias("imbalance"))
+    distinct (keys that any reaches), factor, least, most and imbalance (most over least).
+
+    The last ply, which holds most keys, is not stored: it meets the table of those before by key, is sorted
+    and counted as it comes."""
+    seen, words = _subtree_walk(starts, group, max(plies - 1, 0))
+    rows = seen.select("place", "bits")
+    if plies:
+        rows = rows.unionByName(_subtree_children(seen, words))
+    placed = rows.repartition(F.expr(f"place div {words}")).sortWithinPartitions("place")
+    sizes = placed.mapInArrow(_place_counts(words), "group int, n bigint").groupBy("group").agg(F.sum("n").alias("n"))
+    size, union = F.when(F.col("group").isNotNull(), F.col("n")), F.when(F.col("group").isNull(), F.col("n"))
+    out = sizes.agg(F.count("group").alias("groups"), F.sum(size).alias("total"), F.coalesce(F.max(union), F.lit(0).cast("bigint")).alias("distinct"), F.min(size).alias("least"), F.max(size).alias("most"))
+    return out.select("groups", "total", "distinct", (F.col("total") / F.col("distinct")).alias("factor"), "least", "most", (F.col("most") / F.col("least")).alias("imbalance"))
 
 
 def first_step(reached: DataFrame, targets: DataFrame) -> DataFrame:

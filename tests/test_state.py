@@ -2,7 +2,10 @@
 what is built on them, against plain Python."""
 
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +224,36 @@ def test_subtrees_of_many_groups(spark, start):
     assert sum(sizes.values()) == 9 * sum(1 + n for n in [r.n_moves for r in moves.summaries(first).collect()])
 
 
+def test_subtree_overlap_stores_neither_the_last_ply_nor_empty_words(spark, start):
+    """What is stored are the words of the keys before the last ply that a group reaches, in rows that don't widen
+    with the groups; the sums are those of the walks."""
+    first = moves.successors(start, []).select("board", "wtm", "castling")
+    many = store.saved(first.crossJoin(spark.range(30)).withColumn("g", F.monotonically_increasing_id()), "many")
+    before = set(store._made)
+    found = reach.subtree_overlap(many, "g", 1).first()
+    after = [spark.read.parquet(p) for p in store._made if p not in before]
+    each = [1 + r.n_moves for r in moves.summaries(first).collect()]
+    assert (found.groups, found.total, found.distinct) == (270, 30 * sum(each), reach.reachable(first, 1).count())
+    assert (found.least, found.most) == (min(each), max(each))
+    assert [len(t.columns) for t in after] == [3] and 9 * 1 <= after[0].count() <= 9 * 5 and not after[0].where("bits = 0").count()
+    none = reach.subtree_overlap(many.limit(0), "g", 1).first()
+    assert (none.groups, none.total, none.distinct, none.factor, none.least) == (0, None, 0, None, None)
+    alone = reach.subtree_overlap(many, "g", 0).first()
+    assert (alone.groups, alone.total, alone.distinct, alone.least, alone.most) == (270, 270, 9, 1, 1)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_place_counts_across_batches(size):
+    """Equal places and a key's words meet wherever batches end, and all 63 bits count."""
+    rng = np.random.default_rng(4)
+    rows = sorted((int(p), int(b)) for p, b in zip(rng.integers(0, 60, 400), rng.integers(1, 1 << 63, 400)))
+    rows += [(90, 1 << 62), (90, 1 << 62), (91, 1), (3 * 10**13, (1 << 63) - 1)]
+    batches = [pa.RecordBatch.from_pydict({"place": pa.array([p for p, _ in rows[i: i + size]], pa.int64()), "bits": pa.array([b for _, b in rows[i: i + size]], pa.int64())}) for i in range(0, len(rows), size)]
+    got = [r for b in reach._place_counts(3)([batches[0].slice(0, 0), *batches]) for r in b.to_pylist()]
+    want = {(p // 3, p % 3 * 63 + i) for p, b in rows for i in range(63) if b >> i & 1}
+    assert {r["group"]: r["n"] for r in got} == {None: len({k for k, _ in want})} | Counter(g for _, g in want)
+
+
 # -- conversion, samples, SQL ---------------------------------------------------------------
 
 def test_conversion_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
